@@ -52,7 +52,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bound = F.lit(None).cast("long")
     for r in counted:
         share = min(1.0, 4 * SAMPLE_DOCS / r["count"])
-        bound = F.when(F.col("lang") == r["lang"], F.lit(int(-(2**63) + share * (2**64 - 1)))).otherwise(bound)
+        bound = F.when(F.col("lang") == r["lang"], F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).otherwise(bound)
     order = Window.partitionBy("lang").orderBy("h", "piece")
     got = rows.filter(F.col("h") <= bound).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS).select("lang", "k", "piece").collect()
     pieces: dict[str, dict[str, None]] = {}
