@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import common, langid, mpegts
+from glossa.llm import common, langid, mpegts, packing, seekable, toxicity
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,24 @@ def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.read(mpegts.store(common.documents(spark, sf_dir)))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir))
+
+
+def op7_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seekable.read(spark, seekable.write(common.documents(spark, sf_dir)))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out()))
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_language_id, op4_transport_streams)}
+    return {f.__name__: f for f in (op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
