@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import common, langid, mpegts, packing, seekable, toxicity
+from glossa.llm import bytebpe, common, langid, mpegts, packing, seekable, toxicity
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op7_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.read(spark, seekable.write(common.documents(spark, sf_dir)))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(common.documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -36,7 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op10_toxicity)}
+    return {f.__name__: f for f in (op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
