@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, langid, mpegts, packing, seekable, toxicity
+from glossa.llm import bytebpe, common, langid, mpegts, packing, seekable, simhash, toxicity
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(common.documents(spark, sf_dir))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.near_duplicates(common.documents(spark, sf_dir))
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -40,7 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
