@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, langid, mpegts, packing, seekable, simhash, toxicity
+from glossa.llm import bytebpe, common, langid, mpegts, packing, rpforest, seekable, simhash, toxicity
+
+
+def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rpforest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
