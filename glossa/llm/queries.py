@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, langid, mpegts, packing, rpforest, seekable, simhash, toxicity
+from glossa.llm import bytebpe, common, langid, mpegts, packing, rpforest, seekable, simhash, suffixdedup, toxicity
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(common.documents(spark, sf_dir))
 
 
 def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
