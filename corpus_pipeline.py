@@ -1,12 +1,50 @@
-"""The corpus pipeline: its stages in order, and run()."""
+"""The corpus pipeline: documents pass five stages, each written as Parquet and read again before the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from glossa.llm import common, langid, packing, simhash, suffixdedup, toxicity
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language compression tells clearly."""
+    return langid.keep_identified(docs, langid.learn(docs.filter(~langid.held_out())))
+
+
+def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models don't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_ordinary(docs, toxicity.learn(docs.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out())))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of SimHash near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what was said before, to the byte."""
+    return suffixdedup.deduplicated(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("toxicity", ordinary), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
+
+#: Compression, language models, tokenizers and packing are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = common.checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
