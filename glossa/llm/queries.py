@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, langid, mpegts, packing, rpforest, seekable, simhash, suffixdedup, toxicity
+from glossa.llm import bytebpe, common, langid, mpegts, packing, passages, rpforest, seekable, simhash, suffixdedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.classes(common.documents(spark, sf_dir))
+
+
 def op7_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.read(spark, seekable.write(common.documents(spark, sf_dir)))
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
