@@ -3,8 +3,9 @@
 The hyperplanes are fitted on a bounded sample (SAMPLE vectors at most, chosen by hash of the id): each node cuts its sample
 at the median of the projection on the difference of two sample vectors. Every vector is then indexed in every tree. A
 query walks all trees at once: leaves wait in one queue, ordered by the widest margin by which they were missed, and
-PROBES (a share of all leaves) are taken. Leaf by leaf, exact distances in double precision rank the candidates; the
-best of each leaf are merged per query.
+PROBES (a share of all leaves) are taken. Leaf by leaf, exact distances in double precision rank the candidates. The leaves
+that a query falls into are ranked first; the others return only what is as near as the k-th of those, so the number of
+rows that are merged per query does not grow with the table.
 
 Of equal vectors only the k + 1 with the smallest ids can ever be answers (ties go to smaller ids), so the others needn't
 be carried along; that loses nothing and keeps large groups of copies out of the leaves. Leaves of a table with at most
@@ -115,13 +116,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
                 at = pa.array(np.repeat(np.arange(batch.num_rows), f.trees))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), batch.column(0).take(at), batch.column(1).take(at)], ["leaf", "vec_id", "v"])
 
-    def route(batches):
-        f = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                took = [f.probes(q, share) for q in matrix(batch.column(1))]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in took]))
-                yield pa.RecordBatch.from_arrays([pa.array([y for x in took for y in x], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["leaf", "vec_id", "v"])
+    def route(home: bool):
+        def run(batches):
+            f = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    took = [f.probes(q, share) for q in matrix(batch.column(1))]
+                    took = [x[: f.trees] if home else x[f.trees :] for x in took]
+                    at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in took]))
+                    yield pa.RecordBatch.from_arrays([pa.array([y for x in took for y in x], pa.int64()), *(c.take(at) for c in batch.columns)], ["leaf", "vec_id", "v", "most"])
+
+        return run
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list = [[], [], []]
@@ -129,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
             ids, x = left.column("vec_id").to_numpy(), matrix(left.column("v"))
             by_id = np.argsort(ids, kind="stable")
             ids, x = ids[by_id], x[by_id]
-            asked, q = right.column("vec_id").to_numpy(), matrix(right.column("v"))
+            asked, q, most = right.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("most").to_numpy()
             block = max(1, (1 << 20) // len(ids))
             for at in range(0, len(asked), 256):
                 own = q[at : at + 256]
@@ -143,7 +148,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
                     best_i = np.concatenate((best_i, np.broadcast_to(ids[part], d.shape)), axis=1)
                     first = np.argsort(best_d, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to smaller ones
                     best_d, best_i = np.take_along_axis(best_d, first, 1), np.take_along_axis(best_i, first, 1)
-                hit = np.isfinite(best_d)
+                hit = np.isfinite(best_d) & (best_d <= most[at : at + 256][:, None])
                 out[0].append(np.repeat(asked[at : at + 256], hit.sum(axis=1)))
                 out[1].append(best_i[hit])
                 out[2].append(best_d[hit])
@@ -151,9 +156,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cat), strict=True)))
 
     schema = "leaf long, vec_id long, v array<double>"
-    indexed = common.arrow_rows(kept, 2000).mapInArrow(index, schema)
-    asked = usable(queries, id_col, vector_col).filter(F.size("v") == size).mapInArrow(route, schema)
-    found = indexed.groupBy("leaf").cogroup(asked.groupBy("leaf")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    met = found.withColumn("__r", F.dense_rank().over(best)).filter(F.col("__r") <= k)
-    return met.groupBy("query_id", F.col("__r").alias("rank")).agg(F.min("vec_id").alias("vec_id"), F.min("score").alias("score"))
+    indexed = common.arrow_rows(kept, 2000).mapInArrow(index, schema).groupBy("leaf")
+    asked = usable(queries, id_col, vector_col).filter(F.size("v") == size)
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        met = found.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
+        return met.groupBy("query_id", "rank").agg(F.min("vec_id").alias("vec_id"), F.min("score").alias("score"))
+
+    # The leaves a query falls into come first: what they give bounds the distances worth returning from the others.
+    found = "query_id long, vec_id long, score double"
+    first = common.checkpointed(best(indexed.cogroup(asked.withColumn("most", F.lit(float("inf"))).mapInArrow(route(True), schema + ", most double").groupBy("leaf")).applyInArrow(rank, found)))
+    most = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("most"))
+    rest = asked.join(most, "vec_id", "left").select("vec_id", "v", F.coalesce("most", F.lit(float("inf"))).alias("most"))
+    more = indexed.cogroup(rest.mapInArrow(route(False), schema + ", most double").groupBy("leaf")).applyInArrow(rank, found)
+    return best(more.unionByName(first.select("query_id", "vec_id", "score")))
