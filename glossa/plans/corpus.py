@@ -1,11 +1,406 @@
-"""Named queries of the corpus engine and their SQL."""
+"""Named queries of the corpus engine, each with the SQL that gives the same rows.
+
+QUERIES maps a name to (function of (spark, sf_dir), SQL or None). Queries run over whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glossa.functions import geometry, labels, text
+from glossa.operators import edits, merge, quality, reports, state
+from glossa.operators import links as L
+from glossa.operators import segments as S
+from glossa.plans import views as V
+
+QUERIES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return put
+
+
+def _visible(spark: SparkSession, d: str) -> DataFrame:
+    return S.visible(V.segments(spark, d), V.papers(spark, d), V.exhibits(spark, d))
+
+
+@query(f"WITH {V.VISIBLE} SELECT paper_id, id, ord, kind FROM vis")
+def visible_segments(spark, d):
+    return _visible(spark, d).select("paper_id", "id", F.col("order").alias("ord"), "kind")
+
+
+@query(f"WITH {V.VISIBLE} SELECT paper_id, id, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS position FROM vis")
+def renumber_visible(spark, d):
+    return S.renumbered(_visible(spark, d), ["paper_id"], "order", to="position").select("paper_id", "id", F.col("position").cast("long").alias("position"))
+
+
+@query(
+    f"WITH {V.VISIBLE}, {V.ACTIONS}, seen AS (SELECT DISTINCT user_id AS paper_id, user_id || '-' || (k + 1) AS id FROM acts), n AS (SELECT paper_id, count(*) AS visible FROM vis GROUP BY 1), "
+    "h AS (SELECT v.paper_id, count(*) AS seen FROM vis v JOIN seen USING (paper_id, id) GROUP BY 1) "
+    "SELECT paper_id, coalesce(seen, 0) AS seen, visible, CAST(floor(coalesce(seen, 0) * 100.0 / visible + 0.5) AS BIGINT) AS percent FROM n LEFT JOIN h USING (paper_id)"
+)
+def reading_progress(spark, d):
+    seen = V.actions(spark, d).select(F.col("user_id").alias("paper_id"), F.concat("user_id", F.lit("-"), F.col("k") + 1).alias("id"))
+    return state.progress(seen, _visible(spark, d))
+
+
+@query(
+    f"WITH {V.SEGMENTS}, x AS (SELECT *, coalesce(excluded, false) AS e FROM segs) SELECT paper_id, count(*) FILTER (NOT e) AS included, count(*) FILTER (e) AS excluded, "
+    "count(*) FILTER (NOT e AND review = 'reviewed') AS reviewed, count(*) FILTER (NOT e AND translation = 'ai-draft') AS drafted FROM x GROUP BY 1"
+)
+def editor_counters(spark, d):
+    return reports.editor_counters(V.segments(spark, d))
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def citation_containment(spark, d):
+    """The benchmark is a list of fixed passages; it is broadcast only below the session's threshold and streamed
+    against the documents otherwise, by their first 24 characters as an equality key."""
+    b = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.substring("text", 1, 24).alias("head"))
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    # Documents that hold a passage hold its head; heads are found by exploding only places where one can start.
+    short = b.filter(F.length("head") < 24).select("item_id", "quote")
+    starts = F.filter(F.sequence(F.lit(1), F.length("text") - 23), lambda k: F.substring("text", 1, 1).isNotNull() & (k > 0))
+    heads = docs.filter(F.length("text") >= 24).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda k: F.col("text").substr(k, F.lit(24))))).alias("head"))
+    hits = heads.join(b.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
+    held = hits.join(b.select("item_id", "quote"), "item_id").join(docs, "doc_id").filter(F.contains("text", "quote")).select("doc_id", "item_id")
+    return held.unionByName(docs.join(short, F.contains("text", "quote")).select("doc_id", "item_id"))
+
+
+@query("SELECT item_id, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_document FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
+def citing_documents(spark, d):
+    return citation_containment(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.min("doc_id").alias("first_document"))
+
+
+_FORWARD = (
+    "SELECT conv_id, turn, coalesce((SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'assistant' AND b.turn >= a.turn), "
+    "(SELECT max(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'assistant')) AS resolved FROM conversations a"
+)
+
+
+@query(_FORWARD)
+def resolve_forward(spark, d):
+    return S.forward(V.turns(spark, d), F.col("role") == "assistant", ["conv_id"], "turn", "turn").select("conv_id", "turn", "resolved")
+
+
+@query("SELECT b.conv_id, b.turn AS target, a.turn AS child FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'system'")
+def merged_children(spark, d):
+    rows = V.turns(spark, d).select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("id"), F.col("turn").alias("order"), F.lit("body").alias("kind"), F.when(F.col("role") == "system", F.col("turn") + 1).alias("mergedIntoSegmentId"))
+    got = S.merged_children(rows).join(rows.select("paper_id", F.col("id").alias("target")), ["paper_id", "target"], "left_semi")
+    return got.select(F.col("paper_id").alias("conv_id"), "target", "child")
+
+
+_KEPT = f"""WITH {V.PAIRS}, {V.CORRECTIONS}, j AS (SELECT p.*, c.action FROM pairs p LEFT JOIN corr c USING (segment, exhibit)),
+  a AS (SELECT segment, exhibit, method, 'high' AS confidence, 'accepted' AS status FROM j WHERE coalesce(action, '') <> 'exclude' AND (confidence = 'high' OR coalesce(action, '') = 'include')),
+  c AS (SELECT segment, exhibit, method, confidence, 'candidate' AS status FROM j WHERE confidence = 'candidate' AND action IS NULL),
+  s AS (SELECT c.segment, c.exhibit, 'semantic' AS method, 'high' AS confidence, 'accepted' AS status FROM corr c WHERE action = 'include'
+        AND c.segment IN (SELECT o_orderkey FROM orders) AND c.exhibit IN (SELECT p_partkey FROM part WHERE p_partkey < 90) AND NOT EXISTS (SELECT 1 FROM a WHERE a.segment = c.segment AND a.exhibit = c.exhibit)),
+  r AS (SELECT * FROM a UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s)"""
+
+
+def _links(spark, d):
+    orders = V.table(spark, d, "orders").select(F.lit(0).alias("paper_id"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("order"), F.lit("").alias("sourceText"), F.lit(None).cast("long").alias("mergedIntoSegmentId"))
+    exhibits = V.table(spark, d, "part").filter("p_partkey < 90").select(F.lit(0).alias("paper_id"), F.col("p_partkey").alias("id"))
+    links = V.pairs(spark, d).select(F.lit(0).alias("paper_id"), F.col("segment").alias("segmentId"), F.col("exhibit").alias("exhibitId"), "method", "confidence", F.lit("").alias("relationshipZh"), F.lit("").alias("evidenceQuote"))
+    own = V.corrections(spark, d).select(F.lit(0).alias("paper_id"), F.col("segment").alias("segment_id"), F.col("exhibit").alias("exhibit_id"), "action")
+    known = orders.unionByName(links.select("paper_id", F.col("segmentId").alias("id"), F.col("segmentId").alias("order"), F.lit("").alias("sourceText"), F.lit(None).cast("long").alias("mergedIntoSegmentId"))).distinct()
+    return L.resolve_links(links, L.effective_corrections(own, known), known, exhibits), own, orders
+
+
+@query(_KEPT + " SELECT segment, exhibit, method, confidence, status FROM r")
+def link_corrections(spark, d):
+    return _links(spark, d)[0].select(F.col("segmentId").alias("segment"), F.col("exhibitId").alias("exhibit"), "method", "confidence", "status")
+
+
+@query(
+    _KEPT + " SELECT r.exhibit, r.segment, CASE WHEN c.segment IS NOT NULL THEN 'added' WHEN r.method = 'explicit' THEN 'explicit' ELSE 'semantic' END AS label "
+    "FROM r LEFT JOIN corr c ON c.segment = r.segment AND c.exhibit = r.exhibit AND c.action = 'include' WHERE r.status = 'accepted' AND r.segment IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')"
+)
+def exhibit_overview(spark, d):
+    resolved, own, orders = _links(spark, d)
+    open_ = V.table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"))
+    return L.exhibit_overview(resolved, orders.join(open_, "id", "left_semi"), own).select(F.col("exhibit_id").alias("exhibit"), F.col("segment_id").alias("segment"), "label")
+
+
+@query(f"WITH {V.PAIRS} SELECT p_partkey AS part, p_partkey IN (SELECT exhibit FROM pairs WHERE confidence = 'high') AS is_linked FROM part")
+def linked_flag(spark, d):
+    parts = V.table(spark, d, "part").select(F.lit(0).alias("paper_id"), F.col("p_partkey").alias("id"))
+    links = V.pairs(spark, d).select(F.lit(0).alias("paper_id"), F.col("exhibit").alias("exhibitId"), "confidence")
+    return L.linked_flags(parts, links).select(F.col("id").alias("part"), "is_linked")
+
+
+@query(
+    "SELECT o_orderkey, u.k AS position, c_custkey, c_name FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS k, unnest([o_custkey, o_custkey + 1, -1]) AS id FROM orders) u JOIN customer ON c_custkey = u.id"
+)
+def exhibit_ids_join(spark, d):
+    rows = V.table(spark, d, "orders").select(F.lit(0).alias("paper_id"), F.col("o_orderkey").alias("id"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1, F.lit(-1).cast("long")).alias("exhibitIds"))
+    customers = V.table(spark, d, "customer").select(F.lit(0).alias("paper_id"), F.col("c_custkey").alias("id"), "c_name")
+    return L.segment_exhibits(rows, customers).select(F.col("id").alias("o_orderkey"), "position", F.col("exhibitId").alias("c_custkey"), "c_name")
+
+
+@query(
+    "SELECT conv_id, turn, row_number() OVER w - 1 AS idx, coalesce(lag(turn) OVER w, turn) AS previous, coalesce(lead(turn) OVER w, turn) AS following FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+)
+def nav_prev_next(spark, d):
+    return S.neighbours(V.turns(spark, d), ["conv_id"], "turn", "turn").select("conv_id", "turn", F.col("index").cast("long").alias("idx"), "previous", F.col("next").alias("following"))
+
+
+@query("SELECT conv_id, min(turn) AS first_id, max(turn) AS last_id FROM conversations WHERE role = 'assistant' GROUP BY 1")
+def default_position(spark, d):
+    return S.ends(V.turns(spark, d).filter("role = 'assistant'"), ["conv_id"], "turn", "turn")
+
+
+@query("SELECT l_orderkey, string_agg(n, '、' ORDER BY n) AS pages FROM (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem) GROUP BY 1")
+def pages_joined(spark, d):
+    rows = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("page")))).alias("fragments"))
+    return rows.select("l_orderkey", S.pages().alias("pages"))
+
+
+@query("SELECT md5(lower(trim(text))) AS key, count(*) AS n FROM documents GROUP BY lower(trim(text)) HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    rows = V.table(spark, d, "documents").select(F.md5(F.lower(F.trim("text"))).alias("key"))
+    return reports.duplicates(rows, "key")
+
+
+@query(
+    f"WITH {V.SEGMENTS}, x AS (SELECT paper_id, CAST(floor((ord - 1) / 10) AS BIGINT) AS page, kind, coalesce(excluded, false) AS e, id FROM segs) SELECT paper_id, page, count(*) FILTER (NOT e AND kind <> 'caption') AS units, "
+    "count(*) FILTER (e) AS excluded, count(*) FILTER (kind = 'caption') AS boxes FROM x GROUP BY 1, 2"
+)
+def page_report(spark, d):
+    rows = V.segments(spark, d).withColumn("page", F.floor((F.col("order") - 1) / 10))
+    out = F.coalesce("excluded", F.lit(False))
+    return reports.page_report(rows.filter(~out & (F.col("kind") != "caption")), rows.filter(out), rows.filter("kind = 'caption'"))
+
+
+@query(f"WITH {V.ACTIONS} SELECT user_id, k, max_by(event_type, (ts, event_id)) AS event_type FROM acts GROUP BY 1, 2")
+def state_fold(spark, d):
+    return state.last_actions(V.actions(spark, d), ["user_id", "k"], ["ts", "event_id"], "event_type")
+
+
+@query(f"WITH {V.ACTIONS} SELECT user_id, k, count(*) % 2 = 1 AS is_on FROM acts GROUP BY 1, 2")
+def toggle_parity(spark, d):
+    return state.toggled(V.actions(spark, d), ["user_id", "k"])
+
+
+@query(f"WITH {V.ACTIONS} SELECT user_id, k, max_by(event_type, (ts, event_id)) AS note FROM acts GROUP BY 1, 2")
+def notes_map(spark, d):
+    notes = state.folded_notes(V.actions(spark, d), "user_id", "k", "event_type", ["ts", "event_id"])
+    return notes.select("user_id", F.explode("notes").alias("k", "note"))
+
+
+@query(
+    f"WITH {V.VISIBLE}, {V.ACTIONS}, s AS (SELECT DISTINCT user_id AS paper_id, user_id || '-' || (k + 1) AS id, event_type FROM acts) SELECT paper_id, "
+    "count(DISTINCT id) FILTER (id IN (SELECT id FROM vis)) AS seen, count(DISTINCT id) FILTER (event_type = 'click' AND id IN (SELECT id FROM segs)) AS bookmarks FROM s GROUP BY 1"
+)
+def prune_state(spark, d):
+    rows = V.actions(spark, d).select(F.col("user_id").alias("paper_id"), F.col("user_id").alias("reader_id"), F.concat("user_id", F.lit("-"), F.col("k") + 1).alias("id"), "event_type")
+    click = F.collect_set(F.when(F.col("event_type") == "click", F.col("id")))
+    states = rows.groupBy("paper_id", "reader_id").agg(F.collect_set("id").alias("seen"), click.alias("bookmarks")).withColumns({"understood": F.col("bookmarks"), "notes": F.from_json(F.lit("{}"), "map<string,string>")})
+    got = state.pruned(states, V.segments(spark, d), _visible(spark, d))
+    return got.select("paper_id", F.size("seen").cast("long").alias("seen"), F.size("bookmarks").cast("long").alias("bookmarks"))
+
+
+_SAID = "'See Table ' || (l_partkey % 120) || ' and Fig. ' || l_linenumber || ', 圖' || (l_suppkey % 7)"
+
+
+@query(
+    f"WITH t AS (SELECT DISTINCT {_SAID} AS said, l_partkey % 120 AS a, l_linenumber AS b, l_suppkey % 7 AS c FROM lineitem), e AS (SELECT p_partkey AS n, CASE WHEN p_size % 2 = 0 THEN 'table' ELSE 'figure' END AS kind FROM part WHERE p_partkey < 90), "
+    "m AS (SELECT said, 'table' AS kind, a AS n FROM t UNION SELECT said, 'figure', b FROM t UNION SELECT said, 'figure', c FROM t) SELECT said, m.kind, CAST(m.n AS VARCHAR) AS number, e.n AS exhibit_id FROM m JOIN e ON e.n = m.n AND e.kind = m.kind"
+)
+def mention_extract(spark, d):
+    said = F.concat(F.lit("See Table "), F.col("l_partkey") % 120, F.lit(" and Fig. "), "l_linenumber", F.lit(", 圖"), F.col("l_suppkey") % 7)
+    texts = V.table(spark, d, "lineitem").select(said.alias("said")).distinct().withColumn("paper_id", F.lit(0))
+    parts = V.table(spark, d, "part").filter("p_partkey < 90")
+    exhibits = parts.select(F.lit(0).alias("paper_id"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("position"), F.when(F.col("p_size") % 2 == 0, "table").otherwise("figure").alias("kind"), F.col("p_partkey").cast("string").alias("number"))
+    return L.mentioned_exhibits(texts, "said", exhibits).select("said", "kind", "number", "exhibit_id").distinct()
+
+
+@query("SELECT page_id, url FROM pages WHERE lower(url) LIKE 'https://%'")
+def https_filter(spark, d):
+    return V.table(spark, d, "pages").select("page_id", text.https_url("url").alias("url")).filter("url is not null")
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages""")
+def html_escape(spark, d):
+    return V.table(spark, d, "pages").select("page_id", F.md5(text.html_escape("html")).alias("escaped"))
+
+
+@query("""SELECT page_id, '{"url":"' || replace(replace(replace(url, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') || '","note":null}' AS json FROM pages WHERE url NOT LIKE '%"%' AND url NOT LIKE '%\\%'""")
+def script_json(spark, d):
+    rows = V.table(spark, d, "pages").filter(~F.contains("url", F.lit('"')) & ~F.contains("url", F.lit("\\")))
+    return rows.select("page_id", text.script_json(F.struct("url", F.lit(None).cast("string").alias("note"))).alias("json"))
+
+
+@query("SELECT doc_id, md5(regexp_replace('ABSTRACT  ' || text, '^Abstract\\s+', '', 'i')) AS stripped FROM documents")
+def abstract_strip(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", F.md5(text.strip_abstract(F.concat(F.lit("ABSTRACT  "), "text"))).alias("stripped"))
+
+
+_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.ABSTRACT_LABELS.items())
+
+
+@query(
+    f"WITH x AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'crossref' WHEN 'view' THEN 'eric' WHEN 'error' THEN 'doaj' ELSE event_type END AS s, CASE WHEN event_id % 3 = 0 THEN 'ERIC' WHEN event_id % 3 = 1 THEN 'As Provided' END AS o FROM events) "
+    f"SELECT event_id, CASE WHEN s = 'eric' THEN CASE o WHEN 'ERIC' THEN '{labels.ERIC_LABELS['ERIC']}' WHEN 'As Provided' THEN '{labels.ERIC_LABELS['As Provided']}' ELSE '{labels.ERIC_OTHER_LABEL}' END ELSE CASE s {_LABELS} ELSE '{labels.ABSTRACT_OTHER_LABEL}' END END AS label FROM x"
+)
+def label_case(spark, d):
+    source = F.when(F.col("event_type") == "click", "crossref").when(F.col("event_type") == "view", "eric").when(F.col("event_type") == "error", "doaj").otherwise(F.col("event_type"))
+    origin = F.when(F.col("event_id") % 3 == 0, "ERIC").when(F.col("event_id") % 3 == 1, "As Provided")
+    return V.table(spark, d, "events").select("event_id", labels.abstract_label(source, origin).alias("label"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def date_part(spark, d):
+    return V.table(spark, d, "events").select("event_id", text.date_part(F.col("ts").cast("string")).alias("day"))
+
+
+@query(None)
+def slug(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 200)).alias("slug"))
+
+
+@query(
+    "SELECT d.doc_id, coalesce(nullif(CASE WHEN quality = 1 THEN lang ELSE '' END, ''), CASE WHEN toxic = 1 THEN source ELSE coalesce(nullif(CASE WHEN d.doc_id % 2 = 0 THEN '' ELSE 'plain' END, ''), nullif(CASE WHEN d.doc_id % 3 = 0 THEN 'faithful' END, ''), source) END) AS said "
+    "FROM documents d LEFT JOIN labels l USING (doc_id)"
+)
+def fallback_text(spark, d):
+    rows = V.table(spark, d, "documents").join(V.table(spark, d, "labels"), "doc_id", "left")
+    plain, faithful = F.when(F.col("doc_id") % 2 == 0, "").otherwise("plain"), F.when(F.col("doc_id") % 3 == 0, "faithful")
+    said = labels.relationship(F.when(F.col("quality") == 1, F.col("lang")).otherwise(""), F.when(F.col("toxic") == 1, "fragment"), F.col("source"), plain, faithful)
+    return rows.select("doc_id", said.alias("said"))
+
+
+@query("SELECT p_partkey, CAST(floor((p_retailprice - p_size) * 300 / 72 + 0.5) AS BIGINT) AS width, greatest(320, CAST(floor((p_retailprice - p_size) * 2.5 + 0.5) AS BIGINT)) AS preview FROM part")
+def bbox_pixels(spark, d):
+    box = F.array(F.col("p_size").cast("double"), F.lit(0.0), F.col("p_retailprice"), F.lit(10.0))
+    return V.table(spark, d, "part").select("p_partkey", geometry.pixels(F.col("p_size"), F.col("p_retailprice")).alias("width"), geometry.preview(box)["width"].alias("preview"))
+
+
+@query("SELECT p_partkey, greatest(16, least(28, p_size)) AS font, greatest(0.5, least(4.0, p_retailprice / 500)) AS zoom FROM part")
+def clamp(spark, d):
+    return V.table(spark, d, "part").select("p_partkey", geometry.clamp(F.col("p_size"), 16, 28).alias("font"), geometry.clamp(F.col("p_retailprice") / 500, 0.5, 4.0).alias("zoom"))
+
+
+@query(
+    "WITH x AS (SELECT conv_id, turn, text, lead(text) OVER w AS t2, lead(turn) OVER w AS n, lag(turn) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
+    "SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND n IS NOT NULL THEN turn || '-merged' ELSE CAST(turn AS VARCHAR) END AS id, md5(CASE WHEN turn % 4 = 0 AND n IS NOT NULL THEN trim(text) || ' ' || trim(t2) ELSE text END) AS body, "
+    "CASE WHEN turn % 4 = 0 AND n IS NOT NULL THEN 0.5 ELSE 0.9 END AS confidence FROM x WHERE p IS NULL OR p % 4 <> 0"
+)
+def merge_neighbours(spark, d):
+    rows = V.turns(spark, d).select("conv_id", "turn", F.col("turn").cast("string").alias("id"), "text", F.lit(0.9).alias("confidence"))
+    got = edits.merge_with_next(rows, ["conv_id"], "turn", F.col("turn") % 4 == 0)
+    return got.select("conv_id", "turn", "id", F.md5("text").alias("body"), "confidence")
+
+
+@query(
+    "WITH x AS (SELECT conv_id, turn, text, trim(substr(text, 1, 20)) AS a, trim(substr(text, 21)) AS b FROM conversations), y AS (SELECT *, a <> '' AND b <> '' AS cut FROM x) "
+    "SELECT conv_id, turn, turn || '-a' AS id, md5(a) AS body, 0.45 AS confidence FROM y WHERE cut UNION ALL SELECT conv_id, turn, turn || '-b', md5(b), 0.45 FROM y WHERE cut UNION ALL SELECT conv_id, turn, CAST(turn AS VARCHAR), md5(text), 0.9 FROM y WHERE NOT cut"
+)
+def split_at(spark, d):
+    rows = V.turns(spark, d).select("conv_id", "turn", F.col("turn").cast("string").alias("id"), "text", F.lit(0.9).alias("confidence"))
+    return edits.split_at(rows, ["conv_id"], "turn", F.lit(20)).select("conv_id", "turn", "id", F.md5("text").alias("body"), "confidence")
+
+
+@query(
+    f"WITH {V.SEGMENTS} SELECT paper_id, CASE WHEN count(*) FILTER (NOT coalesce(excluded, false)) = 0 THEN 'segments.included' WHEN bool_or(trim(\"sourceText\") = '') THEN 'segment.text' WHEN max(ord) > 40 THEN 'segment.fragments' END AS error FROM segs GROUP BY 1"
+)
+def dq_curated(spark, d):
+    """Documents as edited papers: pages of one line each, at most 40 pages."""
+    seg = F.struct(
+        "id", "order", "sourceText", "excluded", F.array(F.struct(F.col("order").cast("int").alias("page"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"), F.array(F.lit(1.0), F.lit(1.0)).alias("pageSize"))).alias("fragments"),
+        F.struct(F.lit("ai-draft").alias("status"), F.lit("").alias("faithfulZh"), F.lit("").alias("plainZh")).alias("translation"),
+    )
+    stored = V.segments(spark, d).groupBy(F.col("paper_id").alias("id")).agg(F.sort_array(F.collect_list(seg)).alias("segments")).withColumns({"schemaVersion": F.lit("1"), "sourceSha256": F.lit("x")})
+    source = stored.select("id", "schemaVersion", "sourceSha256", F.lit(40).alias("pageCount"))
+    return quality.curated_document(stored, source).select(F.col("id").alias("paper_id"), "error")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper('#' || substr(md5(p_name), 1, 6)) END AS colour FROM part")
+def dq_colour(spark, d):
+    said = F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("g"))
+    return V.table(spark, d, "part").select("p_partkey", quality.colour(said).alias("colour"))
+
+
+@query("SELECT doc_id, length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) BETWEEN 1 AND 2000 AS is_valid FROM documents")
+def dq_length(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", quality.text_ok(F.col("text"), 2000).alias("is_valid"))
+
+
+@query(
+    "WITH src AS (SELECT conv_id, turn FROM conversations), x AS (SELECT conv_id, turn, turn % 3 <> 2 AS stored, turn % 3 = 2 AND turn % 2 = 1 AS new FROM src) "
+    "SELECT conv_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, CASE WHEN stored THEN 'stored' ELSE 'source' END AS origin FROM x WHERE stored OR new"
+)
+def order_repair(spark, d):
+    rows = V.turns(spark, d).select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("id"), F.col("turn").alias("order"))
+    stored = rows.filter("id % 3 <> 2")
+    previous = rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.when(F.col("id") % 2 == 0, F.col("id")))).alias("previous_ids"))
+    got = merge.order_repair(stored, rows, previous)
+    return got.select(F.col("paper_id").alias("conv_id"), "id", F.col("order").cast("long").alias("position"), "origin")
+
+
+@query(
+    "WITH s AS (SELECT c_custkey AS id, c_name AS t, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END AS role, CASE WHEN c_nationkey % 4 = 0 THEN true END AS e FROM customer WHERE c_custkey % 2 = 0), "
+    "n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'other' ELSE c_name END AS t, 'source-role' AS role, c_acctbal < 0 AS e FROM customer) "
+    'SELECT s.id, CASE WHEN s.role IS NULL AND n.t = s.t THEN n.role ELSE s.role END AS "readingRole", CASE WHEN s.e IS NULL AND n.t = s.t AND s.id % 7 <> 0 THEN n.e ELSE s.e END AS excluded FROM s LEFT JOIN n USING (id)'
+)
+def field_merge(spark, d):
+    c = V.table(spark, d, "customer")
+    one = F.lit(0).alias("paper_id")
+    stored = c.filter("c_custkey % 2 = 0").select(one, F.col("c_custkey").alias("id"), F.col("c_name").alias("sourceText"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_mktsegment")).alias("readingRole"), F.when(F.col("c_nationkey") % 4 == 0, F.lit(True)).alias("excluded"))
+    source = c.select(one, F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, "other").otherwise(F.col("c_name")).alias("sourceText"), F.lit("source-role").alias("readingRole"), (F.col("c_acctbal") < 0).alias("excluded"))
+    protected = stored.filter("id % 7 = 0").select("paper_id", "id")
+    return merge.field_merge(stored, source, protected).select("id", "readingRole", "excluded")
+
+
+@query(
+    f"WITH {V.ACTIONS}, n AS (SELECT user_id, k, max_by(event_type, (ts, event_id)) AS note FROM acts GROUP BY 1, 2) SELECT user_id, string_agg('## ' || k || chr(10) || chr(10) || note, chr(10) ORDER BY k) AS markdown FROM n GROUP BY 1"
+)
+def markdown_notes(spark, d):
+    notes = state.last_actions(V.actions(spark, d), ["user_id", "k"], ["ts", "event_id"], "event_type")
+    md = F.concat(F.lit("## "), F.col("k").cast("string"), F.lit("\n\n"), "event_type")
+    return notes.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", md.alias("md")))), lambda x: x["md"]), "\n").alias("markdown"))
+
+
+@query(
+    "WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '#edit:p' || page_id WHEN 1 THEN '#guide:p' || page_id WHEN 2 THEN '#paper=' || (page_id % 100) ELSE 'p' || page_id END AS h FROM pages) "
+    "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'edit' WHEN 1 THEN 'guide' WHEN 2 THEN 'guide' ELSE 'reader' END AS mode, CASE page_id % 4 WHEN 2 THEN 'paper-' || lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') ELSE 'p' || page_id END AS id FROM x"
+)
+def route_parse(spark, d):
+    p = F.col("page_id")
+    hashes = F.when(p % 4 == 0, F.concat(F.lit("#edit:p"), p)).when(p % 4 == 1, F.concat(F.lit("#guide:p"), p)).when(p % 4 == 2, F.concat(F.lit("#paper="), p % 100)).otherwise(F.concat(F.lit("p"), p))
+    return V.table(spark, d, "pages").select("page_id", text.route(hashes).alias("r")).select("page_id", "r.mode", "r.id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '/base' || '/p/' || p_partkey WHEN p_partkey % 3 = 1 THEN '//host/' || p_partkey ELSE 'rel/' || p_partkey END AS url, lpad(CAST(p_partkey AS VARCHAR), greatest(3, length(CAST(p_partkey AS VARCHAR))), '0') AS label FROM part")
+def deployed_urls(spark, d):
+    p = F.col("p_partkey")
+    url = F.when(p % 3 == 0, F.concat(F.lit("/p/"), p)).when(p % 3 == 1, F.concat(F.lit("//host/"), p)).otherwise(F.concat(F.lit("rel/"), p))
+    return V.table(spark, d, "part").select("p_partkey", text.deployed_url(url, "/base/").alias("url"), text.padded("p_partkey", 3).alias("label"))
+
+
+@query("SELECT s_suppkey, lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS previous, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS following, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN n_name END, 'local') AS version FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def guide_versions(spark, d):
+    rows = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("paper_id"), "s_nationkey")
+    audit = rows.filter("paper_id % 2 = 0").join(V.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("paper_id", F.col("n_name").alias("sha256"))
+    w = Window.partitionBy("s_nationkey").orderBy("paper_id")
+    return L.guide_versions(rows, audit).select(F.col("paper_id").alias("s_suppkey"), F.lag("paper_id").over(w).alias("previous"), F.lead("paper_id").over(w).alias("following"), "version")
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS body FROM conversations WHERE role = 'user' AND length(trim(text)) > 0 AND turn IN (SELECT max(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id AND role = 'user')")
+def restore_position(spark, d):
+    rows = V.turns(spark, d).filter("role = 'user'")
+    last = S.ends(rows, ["conv_id"], "turn", "turn").select("conv_id", F.col("last_id").alias("turn"))
+    return rows.join(last, ["conv_id", "turn"], "left_semi").filter(~text.is_blank("text")).select("conv_id", "turn", "role", F.md5("text").alias("body"))
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
