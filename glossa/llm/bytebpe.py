@@ -6,7 +6,8 @@ blocks meet in one shard, where each is encoded once (a shard remembers at most
 the blocks and replace the words by position. Frequent words cost one entry per block, never one per occurrence, so no
 shard is hot. Decoding looks every id up in the token-byte table (of fixed size), once for each distinct word of a block.
 
-The block table is written to the shared folder first: blocks must stay the same when a task runs again.
+Blocks are cut twice from the same scan, once for the words and once for the sequences, which costs less than storing
+both; either side carries a hash of the block's words, so an input that changed in between is refused.
 
 Defined results: a null or empty text has no ids, and its hashes are those of no bytes; repeated rows each give a row; an
 empty table gives no rows.
@@ -82,11 +83,11 @@ def _unpack_words(data: bytes) -> list[bytes]:
 class Block:
     """Documents of a task, their pre-tokens as numbers of the block's distinct words."""
 
-    def __init__(self, pattern):
-        self.pattern, self.coarse, self.words = pattern, {}, {}
+    def __init__(self, pattern, only_words: bool):
+        self.pattern, self.only_words, self.coarse, self.words = pattern, only_words, {}, {}
         self.docs: list[int | None] = []
         self.sequences: list[bytes] = []
-        self.tokens = 0
+        self.size = 0
 
     def _cut(self, chunk: str) -> bytes:
         words = self.words
@@ -96,6 +97,14 @@ class Block:
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         chunks = _COARSE.findall(text) if text else []
+        self.size += len(chunks)
+        if self.only_words:
+            for c in dict.fromkeys(chunks):
+                if c not in self.coarse:
+                    self.coarse[c] = b""
+                    for w in self.pattern.findall(c):
+                        self.words.setdefault(w, len(self.words))
+            return
         got = list(map(self.coarse.get, chunks))
         if None in got:
             for k, x in enumerate(got):
@@ -103,23 +112,25 @@ class Block:
                     got[k] = self.coarse.get(chunks[k]) or self._cut(chunks[k])
         self.docs.append(doc_id)
         self.sequences.append(b"".join(got))
-        self.tokens += len(self.sequences[-1]) // 4
 
     def rows(self, block: int, shards: int):
-        """(block, shard, data): the sequences under shard -1, and the distinct words of each shard."""
+        """(block, shard, data): the distinct words of each shard, or else the sequences under shard -1."""
         words = [w.encode("utf-8", "surrogatepass") for w in self.words]
         shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.uint32, len(words))
+        mark = struct.pack("<II", len(words), zlib.crc32(b"\n".join(words)))
+        if self.only_words:
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in range(shards):
+                own = order[cuts[s] : cuts[s + 1]]
+                if len(own):
+                    yield block, s, mark + _pack_words([words[k] for k in own.tolist()])
+            return
         ids = np.array([x or 0 for x in self.docs], "<i8").tobytes() + np.array([x is not None for x in self.docs], np.uint8).tobytes()
         sizes = _squeeze(np.array([len(s) // 4 for s in self.sequences]))
         flat = _squeeze(np.frombuffer(b"".join(self.sequences), "<u4"))
         where = _squeeze(shard)
-        yield block, -1, struct.pack("<IIII", len(self.docs), len(sizes), len(flat), len(where)) + ids + sizes + flat + where
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in range(shards):
-            own = order[cuts[s] : cuts[s + 1]]
-            if len(own):
-                yield block, s, _pack_words([words[k] for k in own.tolist()])
+        yield block, -1, mark + struct.pack("<IIII", len(self.docs), len(sizes), len(flat), len(where)) + ids + sizes + flat + where
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -140,18 +151,18 @@ def _parts(rows, most: int = 8 << 20):
         yield _batch(held)
 
 
-def blocks(docs: DataFrame, name: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, name: str, shards: int, only_words: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches):
         pattern, n = tools(name)[2], 0
         part = TaskContext.get().partitionId() << 24
-        block = Block(pattern)
+        block = Block(pattern, only_words)
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block.add(doc_id, text)
-                if block.tokens >= BLOCK_TOKENS:
+                if block.size >= BLOCK_TOKENS:
                     yield from _parts(block.rows(part + n, shards))
-                    block, n = Block(pattern), n + 1
-        if block.docs:
+                    block, n = Block(pattern, only_words), n + 1
+        if block.size or block.docs:
             yield from _parts(block.rows(part + n, shards))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -169,7 +180,7 @@ def encode_words(words: DataFrame, name: str, shards: int) -> DataFrame:
             for batch in batches:
                 for block, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     got = []
-                    for w in _unpack_words(data):
+                    for w in _unpack_words(data[8:]):
                         ids = known.get(w)
                         if ids is None:
                             if len(known) >= HELD:
@@ -178,7 +189,7 @@ def encode_words(words: DataFrame, name: str, shards: int) -> DataFrame:
                         got.append(ids)
                     a = _squeeze(np.fromiter(map(len, got), np.uint32, len(got)))
                     b = _squeeze(np.array([i for ids in got for i in ids], np.uint32))
-                    yield block, shard, struct.pack("<I", len(a)) + a + b
+                    yield block, shard, data[:8] + struct.pack("<I", len(a)) + a + b
 
         yield from _parts(rows())
 
@@ -217,8 +228,11 @@ def assemble(sequences: DataFrame, ids: DataFrame, name: str, each, schema: str)
         table = tools(name)[1]
         rows = left.column("data").to_pylist()
         shards = dict(zip(right.column("shard").to_pylist(), right.column("data").to_pylist(), strict=True))
-        doc_ids, sizes, flat, where = _sequence(rows[0])
-        return pa.Table.from_batches([each(doc_ids, sizes, flat, _word_ids(where, shards), table)])
+        mark = rows[0][:8] if rows else None
+        if len(rows) != 1 or any(d[:8] != mark for d in shards.values()):
+            raise RuntimeError("the input changed between the two scans of a block")
+        doc_ids, sizes, flat, where = _sequence(rows[0][8:])
+        return pa.Table.from_batches([each(doc_ids, sizes, flat, _word_ids(where, {s: d[8:] for s, d in shards.items()}), table)])
 
     return sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, schema)
 
@@ -249,13 +263,10 @@ def _lists(doc_ids, sizes, flat, word_ids, table):
 
 
 def _encoded(docs: DataFrame, name: str, each, schema: str, id_col: str, text_col: str) -> DataFrame:
-    spark, shards = docs.sparkSession, min(MOST_SHARDS, common.partitions_for(docs, 0.5))
-    path = common.shared_folder(spark)
-    cut = blocks(docs, name, shards, id_col, text_col)
-    cut.withColumn("words", F.col("shard") >= 0).write.partitionBy("words").parquet(path)
-    table = spark.read.schema("block long, shard int, data binary, words boolean").parquet(path)
-    ids = encode_words(table.filter("words").select("block", "shard", "data"), name, shards)
-    return assemble(table.filter("not words").select("block", "data"), ids, name, each, schema)
+    shards = min(MOST_SHARDS, common.partitions_for(docs, 0.5))
+    words = blocks(docs, name, shards, True, id_col, text_col)
+    sequences = blocks(docs, name, shards, False, id_col, text_col).select("block", "data")
+    return assemble(sequences, encode_words(words, name, shards), name, each, schema)
 
 
 def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
