@@ -9,6 +9,7 @@ from typing import TYPE_CHECKING
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 if TYPE_CHECKING:
     from pyspark.sql._typing import ColumnOrName
@@ -122,11 +123,12 @@ def route(x: ColumnOrName) -> Column:
     ).otherwise(F.struct(F.when(kind != "", kind).when(hashless == "", "library").otherwise("reader").alias("mode"), F.regexp_replace(hashless, r"^(edit|guide):", "").alias("id")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else t.casefold())
 
 
+_MENTION_TYPE = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()).add("number", T.StringType())
 _OUTSIDE = re.compile("[^a-zA-Z0-9一-鿿]+")
 
 
@@ -135,12 +137,12 @@ def slug_of(text: str | None) -> str:
     return name or "paper-notes"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(s: pd.Series) -> pd.Series:
     return s.map(slug_of)
 
 
-@F.pandas_udf("array<struct<start:int,end:int,kind:string,number:string>>")
+@F.pandas_udf(T.ArrayType(_MENTION_TYPE))
 def mention_offsets(s: pd.Series) -> pd.Series:
     """Mentions with their places in the text (code points)."""
     pattern = re.compile(MENTION)

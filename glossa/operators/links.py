@@ -164,3 +164,25 @@ def caption_remains(segments: DataFrame, captions: DataFrame, state: DataFrame)
     segment_id)."""
     rows = segments.join(captions.withColumnRenamed("caption", "mergedIntoSegmentId"), ["paper_id", "mergedIntoSegmentId"], "left_semi")
     return rows.join(state.withColumnRenamed("segment_id", "id"), ["paper_id", "id"], "left_semi")
+
+
+#: Quotes up to this stored size are sent to every task.
+SMALL_BYTES = 8 << 20
+HEAD = 24
+
+
+def containing(texts: DataFrame, text_col: str, quotes: DataFrame, quote_col: str) -> DataFrame:
+    """Texts joined with the quotes they contain. A list of quotes of proven small size goes to every task; a longer one is
+    joined by its first HEAD characters, which a containing text must hold somewhere, and quotes shorter than that (few
+    distinct ones exist in practice) are looked up among the short ones only."""
+    size = int(str(quotes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= SMALL_BYTES:
+        return texts.join(F.broadcast(quotes), F.contains(F.col(text_col), F.col(quote_col)))
+    long = quotes.filter(F.length(quote_col) >= HEAD).withColumn("__head", F.substring(quote_col, 1, HEAD))
+    keyed = texts.withColumn("__id", F.xxhash64(text_col))
+    places = F.transform(F.sequence(F.lit(1), F.length(text_col) - (HEAD - 1)), lambda k: F.col(text_col).substr(k, F.lit(HEAD)))
+    heads = keyed.filter(F.length(text_col) >= HEAD).select("__id", F.explode(F.array_distinct(places)).alias("__head"))
+    met = heads.join(long.select("__head").distinct(), "__head", "left_semi").distinct().join(long, "__head").drop("__head")
+    found = keyed.join(met, "__id").filter(F.contains(F.col(text_col), F.col(quote_col))).drop("__id")
+    short = quotes.filter(F.length(quote_col) < HEAD)
+    return found.unionByName(texts.join(short, F.contains(F.col(text_col), F.col(quote_col))))

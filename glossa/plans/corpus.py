@@ -59,17 +59,8 @@ def editor_counters(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def citation_containment(spark, d):
-    """The benchmark is a list of fixed passages; it is broadcast only below the session's threshold and streamed
-    against the documents otherwise, by their first 24 characters as an equality key."""
-    b = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.substring("text", 1, 24).alias("head"))
-    docs = V.table(spark, d, "documents").select("doc_id", "text")
-    # Documents that hold a passage hold its head; heads are found by exploding only places where one can start.
-    short = b.filter(F.length("head") < 24).select("item_id", "quote")
-    starts = F.filter(F.sequence(F.lit(1), F.length("text") - 23), lambda k: F.substring("text", 1, 1).isNotNull() & (k > 0))
-    heads = docs.filter(F.length("text") >= 24).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda k: F.col("text").substr(k, F.lit(24))))).alias("head"))
-    hits = heads.join(b.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
-    held = hits.join(b.select("item_id", "quote"), "item_id").join(docs, "doc_id").filter(F.contains("text", "quote")).select("doc_id", "item_id")
-    return held.unionByName(docs.join(short, F.contains("text", "quote")).select("doc_id", "item_id"))
+    b = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return L.containing(V.table(spark, d, "documents").select("doc_id", "text"), "text", b, "quote").select("doc_id", "item_id")
 
 
 @query("SELECT item_id, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_document FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
@@ -298,7 +289,7 @@ def merge_neighbours(spark, d):
 
 
 @query(
-    "WITH x AS (SELECT conv_id, turn, text, trim(substr(text, 1, 20)) AS a, trim(substr(text, 21)) AS b FROM conversations), y AS (SELECT *, a <> '' AND b <> '' AS cut FROM x) "
+    "WITH x AS (SELECT conv_id, turn, text, trim(substr(text, 1, 20), ' ' || chr(10)) AS a, trim(substr(text, 21), ' ' || chr(10)) AS b FROM conversations), y AS (SELECT *, a <> '' AND b <> '' AS cut FROM x) "
     "SELECT conv_id, turn, turn || '-a' AS id, md5(a) AS body, 0.45 AS confidence FROM y WHERE cut UNION ALL SELECT conv_id, turn, turn || '-b', md5(b), 0.45 FROM y WHERE cut UNION ALL SELECT conv_id, turn, CAST(turn AS VARCHAR), md5(text), 0.9 FROM y WHERE NOT cut"
 )
 def split_at(spark, d):
@@ -376,7 +367,7 @@ def route_parse(spark, d):
     return V.table(spark, d, "pages").select("page_id", text.route(hashes).alias("r")).select("page_id", "r.mode", "r.id")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '/base' || '/p/' || p_partkey WHEN p_partkey % 3 = 1 THEN '//host/' || p_partkey ELSE 'rel/' || p_partkey END AS url, lpad(CAST(p_partkey AS VARCHAR), greatest(3, length(CAST(p_partkey AS VARCHAR))), '0') AS label FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '/base' || '/p/' || p_partkey WHEN p_partkey % 3 = 1 THEN '//host/' || p_partkey ELSE 'rel/' || p_partkey END AS url, lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(3, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS label FROM part")
 def deployed_urls(spark, d):
     p = F.col("p_partkey")
     url = F.when(p % 3 == 0, F.concat(F.lit("/p/"), p)).when(p % 3 == 1, F.concat(F.lit("//host/"), p)).otherwise(F.concat(F.lit("rel/"), p))
