@@ -131,6 +131,8 @@ def _blobs(rows: list[tuple], names: list[str]) -> pa.Table:
 
 def _split(where: np.ndarray):
     """(value, positions) of each distinct value."""
+    if not len(where):
+        return
     order = np.argsort(where, kind="stable")
     values, first = np.unique(where[order], return_index=True)
     for v, part in zip(values.tolist(), np.split(order, first[1:]), strict=True):
