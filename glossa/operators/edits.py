@@ -14,7 +14,7 @@ def unique_ids(wanted: DataFrame, taken: DataFrame, base: str = "base") -> DataF
     first n + 1 candidates is free, so candidates are generated up to that."""
     rows = wanted.select("paper_id", F.col(base).alias("base")).distinct()
     pattern = F.concat(F.lit("^\\Q"), F.col("base"), F.lit("\\E(-[0-9]+)?$"))
-    near = rows.join(taken.select("paper_id", F.col("id").alias("t")), "paper_id").filter(F.col("t").rlike(pattern)).groupBy("paper_id", "base").agg(F.collect_set("t").alias("t"))
+    near = rows.join(taken.select("paper_id", F.col("id").alias("t")), "paper_id").filter(F.regexp_like("t", pattern)).groupBy("paper_id", "base").agg(F.collect_set("t").alias("t"))
     rows = rows.join(near, ["paper_id", "base"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
     tries = F.transform(F.sequence(F.lit(1), F.size("t") + 1), lambda k: F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), k.cast("string"))))
     return rows.select("paper_id", "base", F.filter(tries, lambda x: ~F.array_contains(F.col("t"), x))[0].alias("id"))
