@@ -151,3 +151,23 @@ def current_quality(rows: DataFrame, segments: DataFrame, id_col: str = "segment
         return kept
     alive = kept.select("paper_id", id_col, F.posexplode("relatedSegmentIds").alias("k", "id")).join(have, ["paper_id", "id"], "left_semi").groupBy("paper_id", id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("alive"))
     return kept.join(alive, ["paper_id", id_col], "left").withColumn("relatedSegmentIds", F.coalesce("alive", F.array().cast("array<string>"))).drop("alive")
+
+
+def reconcile(stored: DataFrame, source: DataFrame, *, broken: DataFrame | None = None, previous: DataFrame | None = None, repairs: DataFrame | None = None, explained: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """All steps in their order: reading order, unit repairs, fields, numbering. Papers without stored segments, and those
+    in broken (paper_id) whose stored document failed validation, come out as published."""
+    own = stored if broken is None else stored.join(broken.select("paper_id"), "paper_id", "left_anti")
+    protected = None
+    if previous is not None:
+        order = order_repair(own, source, previous)
+        names = own.columns
+        kept = own.drop("order").join(order.filter("origin = 'stored'").select("paper_id", "id", "order"), ["paper_id", "id"]).select(*names)
+        new = source.drop("order").join(order.filter("origin = 'source'").select("paper_id", "id", "order"), ["paper_id", "id"]).select(*names)
+        # A replaced order drops stored segments that the source no longer has.
+        own = kept.unionByName(new)
+    if repairs is not None:
+        own, marks = unit_repairs(own, source, repairs)
+        protected = marks.filter("status = 'protected'")
+    merged = field_merge(own, source, protected, explained, sections)
+    untouched = source.join(own.select("paper_id").distinct(), "paper_id", "left_anti").select(*own.columns)
+    return renumbered(merged.unionByName(untouched), ["paper_id"], "order")

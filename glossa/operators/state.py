@@ -96,3 +96,9 @@ def restored(state: DataFrame, shown: DataFrame, resolved: DataFrame) -> DataFra
 def backups_for(backups: DataFrame, papers: DataFrame) -> DataFrame:
     """Backups of version 1 whose paper and source hash are current."""
     return backups.filter("version = 1").join(papers.select(F.col("paper_id").alias("paperId"), F.col("source_sha256").alias("sourceSha256")), ["paperId", "sourceSha256"], "left_semi")
+
+
+def mark_understood(states: DataFrame) -> DataFrame:
+    """The current segment joins the understood ones, once."""
+    ids = F.coalesce("understood", F.array().cast("array<string>"))
+    return states.withColumn("understood", F.when(F.col("currentSegmentId").isNull(), ids).otherwise(add(ids, F.col("currentSegmentId"))))

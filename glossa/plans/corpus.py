@@ -389,6 +389,100 @@ def restore_position(spark, d):
     return rows.join(last, ["conv_id", "turn"], "left_semi").filter(~text.is_blank("text")).select("conv_id", "turn", "role", F.md5("text").alias("body"))
 
 
+_RESOLVE = f"""WITH {V.VISIBLE}, firsts AS (SELECT paper_id, arg_min(id, ord) AS f, arg_max(id, ord) AS l FROM vis GROUP BY 1),
+  papers AS (SELECT doc_id AS paper_id FROM documents), w AS (SELECT paper_id, id AS wanted, ord FROM segs UNION ALL SELECT paper_id, 'unknown', NULL FROM papers),
+  led AS (SELECT s.paper_id, s.id, CASE WHEN (s.paper_id || '-2') IN (SELECT id FROM vis) THEN s.paper_id || '-2' END AS target FROM segs s WHERE s.ord = 3 AND s.paper_id % 6 = 0)
+  SELECT w.paper_id, wanted, CASE WHEN w.ord IS NULL THEN f WHEN wanted IN (SELECT id FROM vis) THEN wanted
+  ELSE coalesce(led.target, (SELECT arg_min(v.id, v.ord) FROM vis v WHERE v.paper_id = w.paper_id AND v.ord >= w.ord), l) END AS resolved
+  FROM w LEFT JOIN firsts USING (paper_id) LEFT JOIN led ON led.paper_id = w.paper_id AND led.id = wanted"""
+
+
+@query(_RESOLVE)
+def resolve_any(spark, d):
+    papers, segs, exhibits = V.papers(spark, d), V.segments(spark, d), V.exhibits(spark, d)
+    links = exhibits.select("paper_id", F.col("id").alias("exhibitId"), F.concat("paper_id", F.lit("-2")).alias("segmentId"), F.lit("high").alias("confidence"), F.lit(0).alias("position"))
+    wanted = segs.select("paper_id", F.col("id").alias("wanted")).unionByName(papers.select("paper_id", F.lit("unknown").alias("wanted")))
+    plain = segs.withColumn("mergedIntoSegmentId", F.lit(None).cast("string"))
+    return S.resolve(wanted, plain, _visible(spark, d), exhibits, links, papers)
+
+
+@query("SELECT item_id, count(*) AS n_segments, min(doc_id) AS first_paper FROM (SELECT DISTINCT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(toxic, 0) <> 1) GROUP BY 1")
+def citing_segments(spark, d):
+    """Documents as segments, benchmark passages as references; toxic documents are excluded ones."""
+    got = citation_containment(spark, d)
+    cites = got.select(F.lit(0).alias("paper_id"), F.col("doc_id").alias("segmentId"), F.lit("matched").alias("matchStatus"), F.array("item_id").alias("referenceIds"))
+    docs = V.table(spark, d, "documents").join(V.table(spark, d, "labels"), "doc_id", "left")
+    segs = docs.select(F.lit(0).alias("paper_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("order"), (F.col("toxic") == 1).alias("excluded"))
+    rows = L.citing_segments(L.matched_citations(cites), segs)
+    return rows.groupBy(F.col("reference_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n_segments"), F.min("segment_id").alias("first_paper"))
+
+
+@query("SELECT p_partkey AS exhibit, o_orderkey AS segment, k AS position FROM (SELECT p_partkey, unnest([0, 1, 2]) AS k, unnest([p_partkey, p_partkey * 2, p_partkey * 7]) AS id FROM part) JOIN orders ON o_orderkey = id WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'")
+def exhibit_explanations(spark, d):
+    orders = V.table(spark, d, "orders").select(F.lit(0).alias("paper_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("excluded"), F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "fragment").otherwise("whole").alias("status")).alias("paragraphAssessment"))
+    p = F.col("p_partkey")
+    exhibits = V.table(spark, d, "part").select(F.lit(0).alias("paper_id"), p.alias("id"), F.array(p, p * 2, p * 7).alias("explanationSegmentIds"))
+    return L.explanations(exhibits, orders).select(F.col("exhibit_id").alias("exhibit"), F.col("segment_id").alias("segment"), "position")
+
+
+@query("SELECT s_nationkey AS paper, s_suppkey AS segment, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY k), '') AS related FROM (SELECT s_nationkey, s_suppkey, unnest([0, 1]) AS k, unnest([s_suppkey, s_suppkey + 1]) AS id FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0)) LEFT JOIN (SELECT * FROM customer WHERE c_nationkey % 2 = 0) ON c_custkey = id GROUP BY 1, 2")
+def current_appendices(spark, d):
+    segs = V.table(spark, d, "customer").filter("c_nationkey % 2 = 0").select(F.lit(0).alias("paper_id"), F.col("c_custkey").alias("id"))
+    rows = V.table(spark, d, "supplier").select(F.lit(0).alias("paper_id"), F.col("s_nationkey").alias("paper"), F.col("s_suppkey").alias("segmentId"), F.array(F.col("s_suppkey"), F.col("s_suppkey") + 1).alias("relatedSegmentIds"))
+    got = merge.current_quality(rows.withColumn("relatedSegmentIds", F.col("relatedSegmentIds").cast("array<string>")).withColumn("segmentId", F.col("segmentId").cast("string")), segs.withColumn("id", F.col("id").cast("string")))
+    return got.select("paper", F.col("segmentId").cast("long").alias("segment"), F.array_join("relatedSegmentIds", ",").alias("related"))
+
+
+@query(f"WITH {V.ACTIONS}, x AS (SELECT user_id, k, value, CASE WHEN k % 5 = 0 THEN 'top' WHEN k % 5 = 1 THEN 'source' ELSE 'floating' END AS dock, event_id FROM acts) SELECT event_id, CASE WHEN dock = 'top' THEN 'layout.dock' WHEN 200 + k * 10 NOT BETWEEN 280 AND 1600 THEN 'layout.size' WHEN k / 10.0 NOT BETWEEN 0.5 AND 4 THEN 'zooms' WHEN event_id % 3 = 0 THEN 'corrections.segment' WHEN event_id % 3 = 1 THEN 'corrections.action' END AS error FROM x")
+def dq_companion(spark, d):
+    a = V.actions(spark, d)
+    k = F.col("k").cast("double")
+    layout = F.struct(F.when(F.col("k") % 5 == 0, "top").when(F.col("k") % 5 == 1, "source").otherwise("floating").alias("dock"), (200 + k * 10).alias("width"), F.lit(200.0).alias("height"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(150.0).alias("mobileHeight"))
+    segment, action = F.when(F.col("event_id") % 3 == 0, "gone").otherwise("s"), F.when(F.col("event_id") % 3 == 1, "maybe").otherwise("include")
+    states = a.select("event_id", F.lit(1).alias("version"), F.lit("p").alias("paperId"), F.lit("h").alias("sourceSha256"), layout.alias("layout"), F.create_map(F.lit("e"), k / 10).alias("zooms"), F.create_map(segment, F.create_map(F.lit("e"), action)).alias("corrections"))
+    docs = spark.range(1).select(F.lit("p").alias("paper_id"), F.lit("h").alias("sourceSha256"), F.array(F.lit("s")).alias("segment_ids"), F.array(F.lit("e")).alias("exhibit_ids"))
+    return quality.companion_state(states, docs).select("event_id", "error")
+
+
+@query("SELECT o_orderpriority AS paper_id, count(*) AS total, count(*) FILTER (o_custkey % 10 <> 0) AS rendered, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'O') AS suspect, count(*) FILTER (o_orderkey % 2 = 0) AS figures, count(*) FILTER (o_orderkey % 2 = 1) AS tables FROM orders GROUP BY 1")
+def crop_counts(spark, d):
+    o = V.table(spark, d, "orders")
+    rows = o.select(F.col("o_orderpriority").alias("paper_id"), F.when(F.col("o_custkey") % 10 != 0, "x.png").alias("output"), F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "suspect").otherwise("failed").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, "figure").otherwise("table").alias("kind"))
+    return reports.crop_counts(rows).select("paper_id", "total", "rendered", "ok", "suspect", "figures", "tables")
+
+
+@query("SELECT p_partkey AS paper_id, CASE WHEN p_partkey < 10 THEN '0' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS label, p_name AS title, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, CASE WHEN p_size % 3 = 1 THEN p_size * 2 END, p_size * 3) AS segments FROM part")
+def library_cards(spark, d):
+    s = F.col("p_size")
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_partkey").alias("number"), F.col("p_name").alias("title"), s.alias("pageCount"), F.when(s % 3 == 0, s).alias("bodySegmentCount"), F.when(s % 3 == 1, s * 2).alias("includedSegmentCount"), (s * 3).alias("segmentCount"))
+    return reports.library_cards(rows).drop("pageCount")
+
+
+@query("WITH x AS (SELECT c_mktsegment AS base, c_custkey % 4 AS r FROM customer), t AS (SELECT DISTINCT base || CASE WHEN r = 0 THEN '' ELSE '-' || (r + 1) END AS id, base FROM x WHERE r <> 2) SELECT base, base || '-3' AS id FROM (SELECT DISTINCT base FROM x)")
+def unique_names(spark, d):
+    c = V.table(spark, d, "customer").select(F.lit("p").alias("paper_id"), F.col("c_mktsegment").alias("base"), (F.col("c_custkey") % 4).alias("r"))
+    taken = c.filter("r <> 2").select("paper_id", F.when(F.col("r") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), (F.col("r") + 1).cast("string"))).alias("id")).distinct()
+    return edits.unique_ids(c, taken).select("base", "id")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'term' WHEN turn % 2 = 1 AND role <> 'user' THEN 'stale' ELSE '' END AS warnings FROM conversations")
+def explanation_warnings(spark, d):
+    rows = V.turns(spark, d).select(F.lit("paper-01").alias("paper_id"), F.concat("conv_id", F.lit("/"), "turn").alias("id"), "conv_id", "turn", F.col("text").alias("sourceText"), F.struct(F.lit("ai-draft").alias("status"), F.when(F.col("role") == "user", "CT（認知訓練").otherwise("說明").alias("plainZh")).alias("translation"), "role")
+    repairs = rows.filter("turn % 2 = 1 and role <> 'user'").select("paper_id", "id", "sourceText", F.lit("other").alias("plainZh"))
+    got = quality.explanation_warnings(rows, repairs)
+    short = F.transform("warnings", lambda w: F.when(w == quality.STALE_WARNING, "stale").otherwise("term"))
+    return got.select("conv_id", "turn", F.array_join(short, ",").alias("warnings"))
+
+
+@query("WITH s AS (SELECT conv_id, turn AS id, turn AS o, CASE WHEN turn % 3 = 0 THEN true END AS e FROM conversations WHERE turn % 5 <> 4), n AS (SELECT conv_id, turn AS id, role = 'system' AS e FROM conversations) SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS position, coalesce(s.e, n.e) AS excluded FROM s JOIN n USING (conv_id, id)")
+def reconcile(spark, d):
+    t = V.turns(spark, d)
+    stored = t.filter("turn % 5 <> 4").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("id"), F.col("turn").alias("order"), F.col("text").alias("sourceText"), F.when(F.col("turn") % 3 == 0, F.lit(True)).alias("excluded"))
+    source = t.select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("id"), F.col("turn").alias("order"), F.col("text").alias("sourceText"), (F.col("role") == "system").alias("excluded"))
+    got = merge.reconcile(stored, source)
+    return got.select(F.col("paper_id").alias("conv_id"), "id", F.col("order").cast("long").alias("position"), "excluded")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in QUERIES.items()}
 
