@@ -240,3 +240,34 @@ def test_stream_fold(spark, tmp_path):
     q.awaitTermination(120)
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
     assert {r.user: r.state for r in spark.read.parquet(str(last)).collect()} == {"u": "y", "v": "w"}
+
+
+def test_reconcile_with_repairs(spark):
+    schema = "paper_id string, id string, `order` int, sourceText string, excluded boolean"
+    stored = spark.createDataFrame([("p", "a", 1, "A", None), ("p", "c", 2, "C", True), ("bad", "x", 1, "edited", None)], schema)
+    source = spark.createDataFrame([("p", "a", 1, "A", True), ("p", "b", 2, "B", None), ("p", "c", 3, "C", False), ("bad", "x", 1, "X", None), ("new", "n", 1, "N", None)], schema)
+    previous = spark.createDataFrame([("p", ["z"])], "paper_id string, previous_ids array<string>")
+    got = merge.reconcile(stored, source, broken=spark.createDataFrame([("bad",)], "paper_id string"), previous=previous)
+    assert sorted(tuple(r) for r in got.collect()) == [("bad", "x", 1, "X", None), ("new", "n", 1, "N", None), ("p", "a", 1, "A", True), ("p", "b", 2, "B", None), ("p", "c", 3, "C", True)]
+    same = merge.reconcile(stored.filter("paper_id = 'p'"), source.filter("paper_id = 'p'"), previous=spark.createDataFrame([("p", ["a", "c"])], "paper_id string, previous_ids array<string>"))
+    assert [r.id for r in same.orderBy("order").collect()] == ["a", "b", "c"]
+
+
+def test_mark_understood(spark):
+    df = spark.createDataFrame([("a", ["b"]), ("b", ["b"]), ("c", None)], "currentSegmentId string, understood array<string>")
+    assert sorted(r.understood for r in state.mark_understood(df).collect()) == [["b"], ["b", "a"], ["c"]]
+
+
+def test_command(spark, tmp_path, capsys):
+    import json
+
+    from glossa import cli
+
+    (tmp_path / "in.json").write_text(json.dumps(PAGE, ensure_ascii=False))
+    (tmp_path / "t.html").write_text("<!doctype html><html>" + " ".join(study.TOKENS) + "</html>")
+    assert cli.main([str(tmp_path / "in.json"), "--validate-only"]) == 0 and "valid: nodes=2; statistics=0; glossary=1; discussions=4; easy_sections=1" in capsys.readouterr().out
+    args = [str(tmp_path / "in.json"), str(tmp_path / "out.html"), "--template", str(tmp_path / "t.html")]
+    assert cli.main(args) == 0 and cli.main(args) == 2 and cli.main([*args, "--force"]) == 0
+    assert cli.main([str(tmp_path / "in.json"), str(tmp_path / "out.txt"), "--template", str(tmp_path / "t.html")]) == 2
+    (tmp_path / "bad.json").write_text(json.dumps(PAGE | {"title": ""}))
+    assert cli.main([str(tmp_path / "bad.json"), "--validate-only"]) == 2
