@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -49,6 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="glossa-shared-")
             spark._glossa_shared = base
+    # A full address, so that executors don't depend on their default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    base = re.sub("^file:/(?!/)", "file:///", base)
     return f"{base.rstrip('/')}/glossa-{uuid.uuid4().hex}"
 
 
@@ -77,6 +81,3 @@ def isolated(name: str) -> str:
     """A column name that user tables do not have."""
     return f"__glossa_{name}"
 
-
-def this_machine() -> str:
-    return os.uname().nodename

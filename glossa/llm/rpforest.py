@@ -135,13 +135,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
             by_id = np.argsort(ids, kind="stable")
             ids, x = ids[by_id], x[by_id]
             asked, q, most = right.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("most").to_numpy()
-            block = max(1, (1 << 20) // len(ids))
             for at in range(0, len(asked), 256):
                 own = q[at : at + 256]
                 best_d, best_i = np.full((len(own), 0), np.inf), np.zeros((len(own), 0), np.int64)
-                step = max(k + 1, block)
-                for j in range(0, len(ids), max(step, 4096)):
-                    part = slice(j, j + max(step, 4096))
+                for j in range(0, len(ids), 4096):
+                    part = slice(j, j + 4096)
                     d = np.sqrt(np.stack([((x[part] - y) ** 2).sum(axis=1) for y in own]))
                     d[asked[at : at + 256][:, None] == ids[part][None, :]] = np.inf
                     best_d = np.concatenate((best_d, d), axis=1)

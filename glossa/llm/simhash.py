@@ -13,7 +13,6 @@ fingerprint but take no part in linking (component null); repeated rows each giv
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa

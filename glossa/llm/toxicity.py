@@ -130,11 +130,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     """The model from documents and labels that may be learned from."""
-    n = common.partitions_for(docs)
     rows = labelled(docs, labels, label)
     counted = common.arrow_rows(rows, 1000).mapInArrow(_count, "shard int, codes binary, toxic binary, ordinary binary")
     merged = counted.repartition(SHARDS, "shard").mapInArrow(_merge, "codes binary, toxic binary, ordinary binary").collect()
-    del n
     code, t, o = (np.concatenate([np.frombuffer(r[k], np.int64) for r in merged] or [np.zeros(0, np.int64)]) for k in range(3))
     order = np.argsort(code)
     model = ratios(code[order], t[order], o[order])
