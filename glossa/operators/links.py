@@ -191,5 +191,5 @@ def containing(texts: DataFrame, text_col: str, quotes: DataFrame, quote_col: st
     out = held(quotes.filter(F.length(quote_col) >= HEAD), HEAD)
     for r in quotes.filter(F.length(quote_col) < HEAD).select(F.length(quote_col).alias("n")).distinct().collect():
         part = quotes.filter(F.length(quote_col) == r.n)
-        out = out.unionByName(held(part, r.n) if r.n else texts.crossJoin(part))
+        out = out.unionByName(held(part, r.n) if r.n else texts.filter(F.col(text_col).isNotNull()).crossJoin(part))
     return out
