@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of stored input that one partition of an exchange should get.
@@ -64,6 +64,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def chunk_of(id_col: str, text_col: str, n: int) -> Column:
+    """The chunk (0 to n - 1) of a row by its id; rows without id are spread by their text."""
+    known = F.col(id_col).cast("long")
+    return F.pmod(F.xxhash64(known, F.when(known.isNull(), F.col(text_col).cast("string"))), F.lit(n)).cast("int").alias("chunk")
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine; each worker asks for itself."""
     import public_tokenizers

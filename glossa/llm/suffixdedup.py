@@ -335,7 +335,7 @@ def _shard(routes: int):
             flat, at = p[9].tobytes(), np.concatenate(([0], np.cumsum(p[5].astype(np.int64) + LENGTH - 1))).tolist()
             strings += [flat[i:j] for i, j in zip(at, at[1:])]
         # Places in their defined order; equal strings of several chunks: the earliest stays.
-        order = np.lexsort((start, row, ids))
+        order = np.lexsort((start, row, chunk, ids))
         seen: dict[bytes, int] = {}
         kept = []
         drop = []
@@ -350,7 +350,7 @@ def _shard(routes: int):
         rows = []
         if len(kept):
             # Windows of one document that belong to several strings still compare by document and start.
-            _, doc = np.unique(np.stack((ids[kept], row[kept]), axis=1), axis=0, return_inverse=True)
+            _, doc = np.unique(np.stack((ids[kept], chunk[kept], row[kept]), axis=1), axis=0, return_inverse=True)
             place = doc.ravel().astype(np.int64) * np.int64(1 << 32) + start[kept]
             later, owner, offset, position, flat = _later([strings[k] for k in kept.tolist()], count[kept], place)
             at = np.flatnonzero(later)
@@ -392,7 +392,10 @@ def _merge(key, table):
                 same = np.flatnonzero(named[j][at] == named[i])
                 if len(same):
                     a, b = [c[same] for c in best[i]], [c[at[same]] for c in best[j]]
-                    sooner = (b[1] < a[1]) | ((b[1] == a[1]) & ((b[2] < a[2]) | ((b[2] == a[2]) & (b[3] < a[3]))))
+                    sooner, tied = np.zeros(len(same), bool), np.ones(len(same), bool)
+                    for c in (1, 0, 2, 3):  # id, chunk, row, start
+                        sooner |= tied & (b[c] < a[c])
+                        tied &= b[c] == a[c]
                     for c in range(4):
                         least = np.where(sooner, b[c], a[c])
                         best[i][c][same] = least
@@ -406,7 +409,7 @@ def _merge(key, table):
                     for c in range(4):
                         best[i][c][same] = best[j][c][at[same]]
         for x, b in zip(lists, best, strict=True):
-            out = np.flatnonzero((x[1] != b[1]) | (x[2] != b[2]) | (x[3] != b[3]))
+            out = np.flatnonzero((x[0] != b[0]) | (x[1] != b[1]) | (x[2] != b[2]) | (x[3] != b[3]))
             rows += [(c, d) for _, c, d in _spans(x[0][out].astype(np.int64), x[2][out], x[3][out], np.ones(len(out), np.int64))]
     return _blobs(rows, ["chunk", "data"])
 
@@ -443,7 +446,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, rest: list[str], finis
     """The whole plan; finish(chunk's table, Chunk, spans) makes the result of a chunk."""
     n = common.partitions_for(docs)
     frame = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int").alias("chunk"),
+        common.chunk_of(id_col, text_col, n),
         F.col(id_col).cast("long").alias("__id"),
         F.col(text_col).cast("string").cast("binary").alias("__text"),
         *(F.col(c).alias(f"__c{k}") for k, c in enumerate(rest)),
