@@ -212,6 +212,22 @@ def test_word_bpe_equals_library(rows):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == (tool.encode(t, add_special_tokens=False).ids if t else [])
 
 
+def test_word_bpe_forgets_without_harm(rows, monkeypatch):
+    own, few = wordbpe.encoder("word_bpe_49k.json"), wordbpe.Encoder(common.tokenizer_path("word_bpe_49k.json"))
+    monkeypatch.setattr(wordbpe, "HELD", 5)
+    for _, t in rows[:8]:
+        assert few.encode(t) == own.encode(t) and len(few.new) <= 5
+
+
+def test_rows_without_id_are_ordered(spark):
+    """Texts without id lie in several chunks; exactly one copy of what they share stays."""
+    rng = random.Random(6)
+    shared = prose(rng, 60)
+    df = spark.createDataFrame([(None, f"{prose(rng, 20)} {shared} {prose(rng, 20)}") for _ in range(9)], "doc_id long, text string")
+    got = suffixdedup.digests(df).collect()
+    assert sum(r.n_removed > 300 for r in got) == 8 and sum(r.n_removed == 0 for r in got) == 1
+
+
 def test_packing(docs, rows, empty):
     tool = hf()
     got = packing.pack(docs).collect()
