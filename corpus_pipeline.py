@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossa.llm import common, langid, packing, simhash, suffixdedup, toxicity
+from glossa.session import shipped
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("language_id", language_id), ("toxicity", ordinary), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
+STAGES = [(name, shipped(f)) for name, f in (("language_id", language_id), ("toxicity", ordinary), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack))]
 
 #: Compression, language models, tokenizers and packing are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
