@@ -272,7 +272,7 @@ def bbox_pixels(spark, d):
     return V.table(spark, d, "part").select("p_partkey", geometry.pixels(F.col("p_size"), F.col("p_retailprice")).alias("width"), geometry.preview(box)["width"].alias("preview"))
 
 
-@query("SELECT p_partkey, greatest(16, least(28, p_size)) AS font, greatest(0.5, least(4.0, p_retailprice / 500)) AS zoom FROM part")
+@query("SELECT p_partkey, greatest(16, least(28, p_size)) AS font, greatest(CAST(0.5 AS DOUBLE), least(4.0, p_retailprice / 500)) AS zoom FROM part")
 def clamp(spark, d):
     return V.table(spark, d, "part").select("p_partkey", geometry.clamp(F.col("p_size"), 16, 28).alias("font"), geometry.clamp(F.col("p_retailprice") / 500, 0.5, 4.0).alias("zoom"))
 
@@ -280,7 +280,7 @@ def clamp(spark, d):
 @query(
     "WITH x AS (SELECT conv_id, turn, text, lead(text) OVER w AS t2, lead(turn) OVER w AS n, lag(turn) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
     "SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND n IS NOT NULL THEN turn || '-merged' ELSE CAST(turn AS VARCHAR) END AS id, md5(CASE WHEN turn % 4 = 0 AND n IS NOT NULL THEN trim(text) || ' ' || trim(t2) ELSE text END) AS body, "
-    "CASE WHEN turn % 4 = 0 AND n IS NOT NULL THEN 0.5 ELSE 0.9 END AS confidence FROM x WHERE p IS NULL OR p % 4 <> 0"
+    "CASE WHEN turn % 4 = 0 AND n IS NOT NULL THEN CAST(0.5 AS DOUBLE) ELSE 0.9 END AS confidence FROM x WHERE p IS NULL OR p % 4 <> 0"
 )
 def merge_neighbours(spark, d):
     rows = V.turns(spark, d).select("conv_id", "turn", F.col("turn").cast("string").alias("id"), "text", F.lit(0.9).alias("confidence"))
@@ -290,7 +290,7 @@ def merge_neighbours(spark, d):
 
 @query(
     "WITH x AS (SELECT conv_id, turn, text, trim(substr(text, 1, 20), ' ' || chr(10)) AS a, trim(substr(text, 21), ' ' || chr(10)) AS b FROM conversations), y AS (SELECT *, a <> '' AND b <> '' AS cut FROM x) "
-    "SELECT conv_id, turn, turn || '-a' AS id, md5(a) AS body, 0.45 AS confidence FROM y WHERE cut UNION ALL SELECT conv_id, turn, turn || '-b', md5(b), 0.45 FROM y WHERE cut UNION ALL SELECT conv_id, turn, CAST(turn AS VARCHAR), md5(text), 0.9 FROM y WHERE NOT cut"
+    "SELECT conv_id, turn, turn || '-a' AS id, md5(a) AS body, CAST(0.45 AS DOUBLE) AS confidence FROM y WHERE cut UNION ALL SELECT conv_id, turn, turn || '-b', md5(b), 0.45 FROM y WHERE cut UNION ALL SELECT conv_id, turn, CAST(turn AS VARCHAR), md5(text), 0.9 FROM y WHERE NOT cut"
 )
 def split_at(spark, d):
     rows = V.turns(spark, d).select("conv_id", "turn", F.col("turn").cast("string").alias("id"), "text", F.lit(0.9).alias("confidence"))
