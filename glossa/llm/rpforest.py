@@ -98,10 +98,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
     """(query_id, rank, vec_id, score): the k nearest found of every query."""
     rows = usable(vectors, id_col, vector_col)
     order = F.xxhash64("vec_id")
-    drawn = rows.orderBy(order, "vec_id").limit(SAMPLE).collect()
-    sizes = np.array([len(r.v) for r in drawn])
-    size = int(np.bincount(sizes).argmax()) if len(drawn) else 1
-    sample = np.array([r.v for r in drawn if len(r.v) == size]).reshape(-1, size)
+    drawn = rows.orderBy(order, "vec_id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    sizes = np.diff(drawn.offsets.to_numpy()) if len(drawn) else np.ones(1, np.int64)
+    size = int(np.bincount(sizes).argmax())
+    sample = matrix(drawn.filter(pa.array(sizes == size))) if len(drawn) else np.zeros((0, size))
     rows = rows.filter(F.size("v") == size)
     alike = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("__n", F.row_number().over(alike)).filter(F.col("__n") <= k + 1).drop("__n")
