@@ -9,7 +9,7 @@ from glossa.llm import bytebpe, common, langid, mpegts, packing, passages, rpfor
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.digests(common.documents(spark, sf_dir))
+    return suffixdedup.digests(common.documents(spark, sf_dir)).drop("spans")
 
 
 def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +61,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
 
 
+#: Every 100-byte window, in hexadecimal; the later ones of equal windows, joined to spans; what is left between spans.
+_SUFFIX_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  w AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i FROM b)),
+  m AS (SELECT k, min(doc_id * 10000000 + i) AS first FROM w GROUP BY k HAVING count(*) > 1),
+  f AS (SELECT doc_id, i FROM w JOIN m ON m.k = w.k WHERE doc_id * 10000000 + i <> first),
+  g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS s FROM f),
+  p AS (SELECT doc_id, i, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g),
+  spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM p GROUP BY doc_id, n),
+  q AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM spans
+        UNION ALL SELECT b.doc_id, coalesce(max(s.z), 0), any_value(length(h) // 2) FROM b LEFT JOIN spans s ON s.doc_id = b.doc_id GROUP BY b.doc_id),
+  kept AS (SELECT q.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS t FROM q JOIN b ON b.doc_id = q.doc_id GROUP BY q.doc_id),
+  n AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+  SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(t)) AS kept_sha256
+  FROM b JOIN kept ON kept.doc_id = b.doc_id LEFT JOIN n ON n.doc_id = b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others are tested against plain versions."""
+    return {"op1_suffix_dedup": _SUFFIX_SQL}
