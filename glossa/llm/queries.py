@@ -63,7 +63,8 @@ def queries() -> dict:
 
 #: Every 100-byte window, in hexadecimal; the later ones of equal windows, joined to spans; what is left between spans.
 _SUFFIX_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-  w AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i FROM b)),
+  c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 598) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 200)) AS o FROM b)),
+  w AS MATERIALIZED (SELECT doc_id, o + j AS i, md5(substr(part, 2 * j + 1, 200)) AS k FROM (SELECT doc_id, o, part, unnest(range(0, least(200, greatest(length(part) // 2 - 99, 0)))) AS j FROM c)),
   m AS (SELECT k, min(doc_id * 10000000 + i) AS first FROM w GROUP BY k HAVING count(*) > 1),
   f AS (SELECT doc_id, i FROM w JOIN m ON m.k = w.k WHERE doc_id * 10000000 + i <> first),
   g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS s FROM f),
