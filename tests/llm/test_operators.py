@@ -420,3 +420,16 @@ def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_sql_of_queries(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, SF)
+        got = con.execute(sql)
+        at = [[c[0] for c in got.description].index(c) for c in df.columns]
+        assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in got.fetchall())
