@@ -15,7 +15,7 @@ import numpy as np
 
 from glossa.llm import common
 
-HELD = 500_000
+HELD = 250_000
 
 _CONTROL = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
