@@ -177,6 +177,10 @@ def containing(texts: DataFrame, text_col: str, quotes: DataFrame, quote_col: st
     hold somewhere, and for quotes shorter than that on the whole quote, one length (there are under HEAD) at a time."""
     size = int(str(quotes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= SMALL_BYTES:
+        # Every text is compared with every quote: an input of few splits is dealt out first.
+        cores = texts.sparkSession.sparkContext.defaultParallelism
+        if texts._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+            texts = texts.repartition(cores)
         return texts.join(F.broadcast(quotes), F.contains(F.col(text_col), F.col(quote_col)))
     keyed = texts.withColumn("__id", F.xxhash64(text_col))
 
