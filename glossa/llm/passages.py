@@ -6,12 +6,11 @@ to between c and r. Those are the nodes of the Cartesian tree over the hashes wh
 equally the runs of a sliding minimum over SPAN shingles, which is how numpy finds them. Two passages that agree in 80 %
 of their shingles share a given function's window with that probability; FUNCTIONS of them are used.
 
-Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature and
-are put in order; each is paired with its neighbour, and every FAN-th with the one FAN places before, so a signature with
-many windows gives about one pair for each and no member many. Pairs that share the text of a whole SPAN (by content hash)
-are links. Other pairs of two documents along one diagonal are one request per stretch of text; the shingles of the
-stretch go from one document to the other and are compared: a link needs SPAN-long passages there that share 80 %
-(Jaccard). Links are joined to classes.
+Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature.
+Windows of equal content are one class; each class is compared with every other of its signature, and two are linked if
+they hold SPAN-long passages that share 80 % (Jaccard of the sets of shingles, in whatever order). In a large group the
+pairs that can't are left out by their rarest shingles, and its comparisons are dealt over tasks by blocks of BLOCK classes.
+Links are kept as sets of documents for classes, not as pairs; sets are joined to classes.
 
 Defined results: one row per document with a link; null and short texts (under SPAN shingles) have none; repetition inside
 a document is no link; rows with equal doc_id are documents of their own and count as one in the result; rows without
@@ -22,21 +21,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm import common
 from glossa.llm.components import components
+from glossa.llm.simhash import Stars
 from glossa.llm.suffixdedup import _blobs, _bucket, _pack, _repeated, _short, _split, _unpack
 
-SHINGLE, SPAN, FUNCTIONS, FAN = 5, 46, 4, 64
-#: Shared shingles that make 0.8 of the union of two SPAN-long passages.
+SHINGLE, SPAN, FUNCTIONS = 5, 46, 4
+#: Shared shingles that make 0.8 of the union of two SPAN-long passages without repetition.
 ENOUGH = -(-8 * 2 * SPAN // 18)
-#: How far an insertion may shift a common shingle.
-SHIFT = 4
-#: Pairs of documents are compared in stretches of this many shingles, once per stretch and diagonal.
-STRETCH = 4 * SPAN
-WIDE = STRETCH + 2 * (SPAN - 1)
+#: Classes compared in one task, classes of a group that are all compared without looking at rare shingles, and named
+#: documents of a class that one task counts.
+BLOCK, FEW, DEALT = 512, 8, 1 << 18
 #: Bytes hashed at once; longer texts are a slice of their own.
 SLICE = 1 << 20
 
@@ -82,7 +81,7 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def windows(x: list[np.ndarray]):
-    """(document, centre, signature, sketch, first, last, steps) of every compact window of several documents, function by
+    """(document, centre, signature, first, last, steps) of every compact window of several documents, function by
     function: first and last are content hashes of its first and last SPAN-long subsequence, steps how far these start
     before the centre."""
     size = np.array([len(s) for s in x])
@@ -96,7 +95,6 @@ def windows(x: list[np.ndarray]):
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * power[: len(flat)])))
         content = _short(_mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92))
-    other = None
     for f in range(FUNCTIONS):
         v = _mix(flat, f)
         low, width = v, 1
@@ -112,16 +110,8 @@ def windows(x: list[np.ndarray]):
         s, e = begin[real], stop[real]
         # The centre: the first place of the minimum in the run's first subsequence.
         centre = _first_minimum(v, low[s], s)
-        if other is None:
-            other = _mix(flat, FUNCTIONS)
-            sketch, width = other, 1
-            while 2 * width <= SPAN:
-                sketch = np.minimum(sketch[:-width], sketch[width:])
-                width *= 2
-            sketch = np.minimum(sketch[: len(sketch) - (SPAN - width)], sketch[SPAN - width :])
-        middle = (s + e - 1) // 2
         steps = ((centre - s) << 8 | (centre - e + 1)).astype(np.uint16)
-        yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), _mix(low[s], 50 + f), sketch[middle], content[s], content[e - 1], steps
+        yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), _mix(low[s], 50 + f), content[s], content[e - 1], steps
 
 
 def _first_minimum(v: np.ndarray, low: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -183,11 +173,12 @@ def _met(buckets: int):
             return _blobs([], names)
         chunk = key[0].as_py()
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | _unpack(d)[0].astype(np.uint64) for b, d in zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True)]))
-        held = []
-        for doc, centre, keys, sketch, *more in Chunk(left).windows():
+        held, own = [], Chunk(left)
+        ids = np.array([0 if i is None else i for i in own.ids], np.int64)
+        for doc, centre, keys, *more in own.windows():
             name = (_bucket(keys, buckets).astype(np.uint64) << np.uint64(32)) | _short(keys).astype(np.uint64)
             hit = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
-            held.append((keys[hit], _short(sketch[hit]), doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), *(m[hit] for m in more)))
+            held.append((keys[hit], doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), *(m[hit] for m in more), ids[doc[hit]]))
         if not held:
             return _blobs([], names)
         keys, *rest = (np.concatenate([h[k] for h in held]) for k in range(7))
@@ -197,50 +188,66 @@ def _met(buckets: int):
     return run
 
 
-def _pairs(key, table):
-    """Pairs of neighbours under each signature, as requests to the first document's chunk. Pairs whose first or last
-    subsequence is the same text are marked: they need no comparison."""
-    chunks = table.column("chunk").to_pylist()
-    parts = [_unpack(d) for d in table.column("data").to_pylist()]
-    chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
-    keys, sketch, doc, centre, first, last, steps = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(7))
-    order = np.lexsort((centre, doc, chunk, first, sketch, keys))
-    keys, chunk, doc, centre, first, last, steps = (x[order] for x in (keys, chunk, doc, centre, first, last, steps))
-    n = len(keys)
-    lead = np.ones(n, bool)
-    lead[1:] = keys[1:] != keys[:-1]
-    nth = np.arange(n) - np.maximum.accumulate(np.where(lead, np.arange(n), 0))
-    far = np.flatnonzero((nth > 0) & (nth % FAN == 0))
-    a, b = np.concatenate((np.flatnonzero(~lead) - 1, far - FAN)), np.concatenate((np.flatnonzero(~lead), far))
-    swap = (chunk[a] > chunk[b]) | ((chunk[a] == chunk[b]) & (doc[a] > doc[b]))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    apart = (chunk[a] != chunk[b]) | (doc[a] != doc[b])
-    a, b = a[apart], b[apart]
-    rows = []
-    if len(a):
-        same = np.where(first[a] == first[b], 1, np.where(last[a] == last[b], 2, 0))
-        step = np.where(same == 1, 8, 0)
-        back = lambda x: np.where(same > 0, (steps[x] >> step) & 255, 0)
-        ask = np.stack((chunk[a], doc[a], centre[a] - back(a), chunk[b], doc[b], centre[b] - back(b), same > 0), axis=1)
-        # One marked pair of two documents tells all.
-        pair = np.lexsort((ask[:, 5], ask[:, 2], -ask[:, 6], ask[:, 4], ask[:, 3], ask[:, 1], ask[:, 0]))
-        ask = ask[pair]
-        head = np.ones(len(ask), bool)
-        head[1:] = (ask[1:, [0, 1, 3, 4]] != ask[:-1, [0, 1, 3, 4]]).any(axis=1)
-        told = ask[np.maximum.accumulate(np.where(head, np.arange(len(ask)), 0)), 6] > 0
-        ask = ask[head | ~told]
-        for c, p in _split(ask[:, 0]):
-            rows.append((c, _pack(*(ask[p, k].astype(np.uint32) for k in range(1, 6)), ask[p, 6].astype(np.uint8))))
-    return _blobs(rows, ["chunk", "data"])
-
-
-def region(x: np.ndarray, start: int, pad: int) -> np.ndarray:
-    """WIDE short shingle hashes from a place on; places outside the document get a value of the caller's."""
-    out = np.full(WIDE, pad, np.uint32)
-    a, b = max(0, start), min(len(x), start + WIDE)
-    if b > a:
-        out[a - start : b - start] = _short(x[a:b])
-    return out
+def _places(bucket: int, buckets: int, key: int, classes: int) -> list[tuple[int, int, int]]:
+    """(task, piece, piece) for each pair of BLOCK-long pieces of a signature's classes."""
+    pieces, name = -(-classes // BLOCK), (bucket << 32 | key) * 0x9E3779B97F4A7C15
+    mixed = lambda i, j: ((name + (i << 24 | j)) * 0xD6E8FEB86659FD93 & (2**64 - 1)) >> 3
+    return [(buckets + mixed(i, j), i, j) for i in range(pieces) for j in range(i, pieces)]
+
+
+def _groups(buckets: int):
+    """Windows of equal content become one class under their signature. For each class the first member's chunk is asked for
+    the text; the ids and places of all members go along, to every task that compares the class with others."""
+
+    def run(key, table):
+        bucket, names = key[0].as_py(), ["chunk", "task", "data"]
+        chunks = table.column("chunk").to_pylist()
+        parts = [_unpack(d) for d in table.column("data").to_pylist()]
+        chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
+        sig, doc, centre, first, last, steps, ids = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(7))
+        order = np.lexsort((centre, doc, chunk, steps, last, first, sig))
+        chunk, sig, doc, centre, first, last, steps, ids = (x[order] for x in (chunk, sig, doc, centre, first, last, steps, ids))
+        edge = np.ones(len(sig), bool)
+        group = np.ones(len(sig), bool)
+        group[1:] = sig[1:] != sig[:-1]
+        edge[1:] = group[1:] | (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (steps[1:] != steps[:-1])
+        at = np.flatnonzero(edge)
+        sizes = np.diff(np.append(at, len(sig)))
+        starts = np.searchsorted(at, np.flatnonzero(group))
+        stops = np.append(starts[1:], len(at))
+        back, front = steps >> 8, steps & 255
+        rows, single = [], np.zeros(len(at), bool)
+        wanted: list[tuple[int, np.ndarray, int]] = []
+        low, high = (f.reduceat(ids, at[starts]) if len(at) else ids for f in (np.minimum, np.maximum))
+        small = [[], []]
+        for g, (x, y) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+            if low[g] == high[g]:
+                continue
+            if y - x == 1:
+                single[x] = True
+            if y - x <= BLOCK:
+                small[0].append(np.arange(x, y))
+                continue
+            for task, i, j in _places(bucket, buckets, int(sig[at[x]]), y - x):
+                wanted += [(task, np.arange(x + k * BLOCK, min(y, x + (k + 1) * BLOCK)), side) for side, k in enumerate((i, j) if i < j else (i,))]
+        if small[0]:
+            wanted.append((bucket, np.concatenate(small[0]), 0))
+        for task, c, side in wanted:
+            for to, p in _split(chunk[at[c]]):
+                k = c[p]
+                n = sizes[k]
+                flat = np.repeat(at[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                length = np.where(single[k], 0, back[at[k]] - front[at[k]] + SPAN)
+                rows.append((to, task, _pack(sig[at[k]].astype(np.uint32), np.full(len(k), side, np.uint8), doc[at[k]].astype(np.uint32), (centre - back)[at[k]].astype(np.uint32), length.astype(np.uint8), back[at[k]].astype(np.uint8), n.astype(np.uint32), ids[flat], (centre - back)[flat].astype(np.uint32))))
+        return _tasks(rows, names)
+
+    return run
+
+
+def _tasks(rows: list[tuple], names: list[str]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    kinds = {"data": pa.binary(), "chunk": pa.int32(), "task": pa.int64()}
+    return pa.table([pa.array(c, kinds[n]) for c, n in zip(columns, names, strict=True)], names)
 
 
 def _sequences(own: Chunk, wanted: set[int]) -> dict[int, np.ndarray]:
@@ -251,77 +258,221 @@ def _sequences(own: Chunk, wanted: set[int]) -> dict[int, np.ndarray]:
     return held
 
 
-def _regions(key, left, right):
-    """Answers requests: pairs that share a text are passed on as they are; for the others what stands around a window is
-    sent to the other document's chunk, once per stretch and diagonal."""
+def _answers(key, left, right):
+    """Adds the short shingle hashes to each class that was asked for."""
     if not left.num_rows or not right.num_rows:
-        return _blobs([], ["chunk", "data"])
-    own = Chunk(left)
-    ask = np.concatenate([np.stack([c.astype(np.int64) for c in _unpack(d)], axis=1) for d in right.column("data").to_pylist()])
-    ask = ask[np.lexsort((ask[:, 4], ask[:, 1], -ask[:, 5], ask[:, 3], ask[:, 2], ask[:, 0]))]
-    head = np.ones(len(ask), bool)
-    head[1:] = (ask[1:, [0, 2, 3]] != ask[:-1, [0, 2, 3]]).any(axis=1)
-    told = ask[np.maximum.accumulate(np.where(head, np.arange(len(ask)), 0)), 5] > 0
-    sure, ask = ask[head & told], ask[~told]
-    _, first = np.unique(np.stack((ask[:, 0], ask[:, 2], ask[:, 3], ask[:, 1] - ask[:, 4], ask[:, 1] // STRETCH), axis=1), axis=0, return_index=True)
-    ask = ask[first]
-    x = _sequences(own, set(ask[:, 0].tolist()))
-    rows, named = [], lambda r: np.array([own.ids[k] for k in r.tolist()], np.int64)
-    for c, p in _split(sure[:, 2]):
-        rows.append((c, _pack(named(sure[p, 0]), sure[p, 1], sure[p, 3].astype(np.uint32), sure[p, 4])))
-    for c, p in _split(ask[:, 2]):
-        start = ask[p, 1] // STRETCH * STRETCH - (SPAN - 1)
-        around = np.concatenate([region(x[a], k, 1) for a, k in zip(ask[p, 0].tolist(), start.tolist(), strict=True)])
-        rows.append((c, _pack(named(ask[p, 0]), start, ask[p, 3].astype(np.uint32), start - ask[p, 1] + ask[p, 4], around)))
-    return _blobs(rows, ["chunk", "data"])
-
-
-def agree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of regions: the most shingles that SPAN-long passages at one place share, and where they start."""
-    same = a == b
-    for s in range(1, SHIFT + 1):
-        same[:, s:] |= a[:, s:] == b[:, :-s]
-        same[:, :-s] |= a[:, :-s] == b[:, s:]
-    total = np.concatenate((np.zeros((len(a), 1), np.int64), np.cumsum(same, axis=1)), axis=1)
-    count = total[:, SPAN:] - total[:, :-SPAN]
-    at = count.argmax(axis=1)
-    return count[np.arange(len(a)), at], at
-
-
-LINKS = "a long, b long, a_word long, b_word long, shared int"
-
-
-def _verified(key, left, right):
-    columns = [[] for _ in range(5)]
-
-    def out(*values):
-        for c, v in zip(columns, values, strict=True):
-            c.append(v)
-
-    if left.num_rows and right.num_rows:
-        own = Chunk(left)
-        named = lambda r: np.array([own.ids[k] for k in r.tolist()], np.int64)
-        parts = [_unpack(d) for d in right.column("data").to_pylist()]
-        for ids, a, row, b in (p for p in parts if len(p) == 4):
-            here = named(row)
-            keep = here != ids
-            out(ids[keep], here[keep], a[keep], b[keep], np.full(int(keep.sum()), SPAN))
-        for ids, sa, row, sb, flat in (p for p in parts if len(p) == 5):
-            x = _sequences(own, set(row.tolist()))
-            flat = flat.reshape(-1, WIDE)
-            for k in range(0, len(ids), 4096):
-                p = slice(k, k + 4096)
-                mine = np.stack([region(x[r], c, 2) for r, c in zip(row[p].tolist(), sb[p].tolist(), strict=True)])
-                count, at = agree(flat[p], mine)
-                here = named(row[p])
-                hit = np.flatnonzero((count >= ENOUGH) & (here != ids[p]))
-                out(ids[p][hit], here[hit], sa[p][hit] + at[hit], sb[p][hit] + at[hit], count[hit])
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
-    return pa.table([pa.array((np.concatenate(c) if c else np.zeros(0)).astype(t)) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "a_word", "b_word", "shared"])
-
-
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, a_word, b_word, shared): verified passages, as the word each starts at and the shingles of SPAN they share."""
+        return _tasks([], ["task", "data"])
+    own, asked = Chunk(left), [_unpack(d) for d in right.column("data").to_pylist()]
+    x = _sequences(own, {int(r) for q in asked for r in q[2][q[4] > 0]})
+    rows = []
+    for task, q in zip(right.column("task").to_pylist(), asked, strict=True):
+        texts = [_short(x[d][s : s + n]) for d, s, n in zip(q[2].tolist(), q[3].tolist(), q[4].tolist(), strict=True) if n]
+        rows.append((task, _pack(q[0], q[1], *q[4:], np.concatenate(texts) if texts else np.zeros(0, np.uint32))))
+    return _tasks(rows, ["task", "data"])
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles the SPAN-long passages from each place of a and from each place of b share, for rows of frames in
+    which no shingle comes twice."""
+    same = np.zeros((len(a), a.shape[1] + 1, b.shape[1] + 1), np.int16)
+    same[:, 1:, 1:] = a[:, :, None] == b[:, None, :]
+    same = same.cumsum(axis=1, dtype=np.int16).cumsum(axis=2, dtype=np.int16)
+    same = same[:, SPAN:] - same[:, :-SPAN]
+    return same[:, :, SPAN:] - same[:, :, :-SPAN]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, shared) of the SPAN-long passages that share 80 % (Jaccard of the sets), for any text."""
+    sets = [[frozenset(x[k : k + SPAN].tolist()) for k in range(len(x) - SPAN + 1)] for x in (a, b)]
+    return [(i, j, n) for i, p in enumerate(sets[0]) for j, q in enumerate(sets[1]) if 18 * (n := len(p & q)) >= 8 * (len(p) + len(q))]
+
+
+class Classes:
+    """The classes of one task: their texts in frames with the shared shingle at SPAN - 1, and their members."""
+
+    def __init__(self, parts: list[list[np.ndarray]]):
+        self.sig, self.side, length, back, count, self.ids, self.words, flat = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(8))
+        order = np.lexsort((self.side, self.sig))
+        self.stop = np.cumsum(count)[order]
+        self.start = self.stop - count[order]
+        begin = (np.cumsum(length) - length)[order]
+        self.sig, self.side, self.length, self.back = self.sig[order], self.side[order], length[order], back[order]
+        n = len(self.sig)
+        where = np.arange(2 * SPAN - 1)[None, :] - (SPAN - 1) + self.back[:, None]
+        inside = (where >= 0) & (where < self.length[:, None])
+        self.frame = np.full((n, 2 * SPAN - 1), -1, np.int64)
+        self.frame[inside] = flat[(begin[:, None] + where)[inside]]
+        #: Where in the frame a passage of the class may start.
+        at = np.arange(SPAN)[None, :] - (SPAN - 1) + self.back[:, None]
+        self.inside = (at >= 0) & (at + SPAN <= self.length[:, None])
+        kept = np.sort(self.frame, axis=1)
+        self.repeats = ((kept[:, 1:] == kept[:, :-1]) & (kept[:, 1:] >= 0)).any(axis=1)
+        #: The fewest different shingles of a passage of the class.
+        self.least = np.full(n, SPAN)
+        for k in np.flatnonzero(self.repeats).tolist():
+            x = self.text(k)
+            self.least[k] = min(len(set(x[j : j + SPAN].tolist())) for j in range(len(x) - SPAN + 1))
+        self.lowest = np.array([self.ids[a:b].min() for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)], np.int64)
+        self.highest = np.array([self.ids[a:b].max() for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)], np.int64)
+
+    def text(self, k: int) -> np.ndarray:
+        at = SPAN - 1 - int(self.back[k])
+        return self.frame[k, at : at + int(self.length[k])]
+
+    def members(self, k: int) -> np.ndarray:
+        return self.ids[self.start[k] : self.stop[k]]
+
+    def candidates(self):
+        """Pairs of classes under one signature, in blocks. In a large group only those that share one of the rarest shingles
+        of both; others can't share 80 %."""
+        edge = np.ones(len(self.sig), bool)
+        edge[1:] = self.sig[1:] != self.sig[:-1]
+        starts = np.flatnonzero(edge)
+        sizes = np.diff(np.append(starts, len(self.sig)))
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
+            i, j = np.triu_indices(n, 1)
+            own = starts[sizes == n]
+            yield (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
+        for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            frame = self.frame[s : s + n]
+            row, col = np.nonzero(frame >= 0)
+            cell = np.unique(np.stack((row, frame[row, col]), axis=1), axis=0)
+            _, inverse, df = np.unique(cell[:, 1], return_inverse=True, return_counts=True)
+            order = np.lexsort((inverse, df[inverse], cell[:, 0]))
+            row, word = cell[order, 0], inverse[order]
+            total = np.bincount(row, minlength=n)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+            need = -(-8 * self.least[s : s + n] // 10)
+            keep = (rank <= (total - need)[row]) & (df[word] > 1)
+            found = np.zeros((n, n), bool)
+            for _, p in _split(word[keep]):
+                own = row[keep][p]
+                if len(own) > 1:
+                    found[np.ix_(own, own)] = True
+            i, j = np.nonzero(np.triu(found, 1))
+            yield s + i, s + j
+
+    def pairs(self):
+        """(class, class, place and place after in each, shared) of the pairs that have passages that share 80 %; places
+        count from the start of the class's text."""
+        for a, b in self.candidates():
+            two = (self.side[a] == self.side[b]) & self.mixed(a)
+            keep = ~two & ~((self.lowest[a] == self.highest[b]) & (self.highest[a] == self.lowest[b]))
+            a, b = a[keep], b[keep]
+            for k in range(0, len(a), 2048):
+                yield from self._compare(a[k : k + 2048], b[k : k + 2048])
+
+    def mixed(self, a: np.ndarray) -> np.ndarray:
+        """Whether the group of a class has two pieces; then only classes of different pieces meet here."""
+        if not hasattr(self, "_mixed"):
+            _, inverse = np.unique(self.sig, return_inverse=True)
+            self._mixed = (np.bincount(inverse, weights=self.side) > 0)[inverse]
+        return self._mixed[a]
+
+    def _compare(self, a: np.ndarray, b: np.ndarray):
+        x, y = self.frame[a], np.where(self.frame[b] < 0, -2, self.frame[b])
+        odd = self.repeats[a] | self.repeats[b]
+        total = np.zeros((len(a), x.shape[1] + 1), np.int16)
+        np.cumsum(x == y, axis=1, out=total[:, 1:])
+        count = total[:, SPAN:] - total[:, :-SPAN]
+        inside = self.inside[a], self.inside[b]
+        hit = (count >= ENOUGH) & inside[0] & inside[1]
+        sure = hit.any(axis=1) & ~odd
+        first, end = hit.argmax(axis=1), hit.shape[1] - hit[:, ::-1].argmax(axis=1)
+        k = np.flatnonzero(sure)
+        u, v = self.back[a] - (SPAN - 1), self.back[b] - (SPAN - 1)
+        yield a[k], b[k], (first + u)[k], (end + u)[k] + SPAN - 1, (first + v)[k], (end + v)[k] + SPAN - 1, count.max(axis=1)[k]
+        k = np.flatnonzero(~sure & ~odd)
+        both = np.sort(np.concatenate((x[k], y[k]), axis=1), axis=1)
+        k = k[((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1) >= ENOUGH]
+        for p in (k[n : n + 128] for n in range(0, len(k), 128)):
+            shared = overlaps(x[p], y[p])
+            hit = (shared >= ENOUGH) & inside[0][p][:, :, None] & inside[1][p][:, None, :]
+            p, shared, hit = (z[hit.any(axis=(1, 2))] for z in (p, shared, hit))
+            i, j = hit.any(axis=2), hit.any(axis=1)
+            yield a[p], b[p], i.argmax(axis=1) + u[p], i.shape[1] - i[:, ::-1].argmax(axis=1) + u[p] + SPAN - 1, j.argmax(axis=1) + v[p], j.shape[1] - j[:, ::-1].argmax(axis=1) + v[p] + SPAN - 1, shared.max(axis=(1, 2))
+        for k in np.flatnonzero(odd).tolist():
+            if got := similar(self.text(a[k]), self.text(b[k])):
+                i, j, n = (np.array(z) for z in zip(*got, strict=True))
+                yield tuple(np.array([z]) for z in (a[k], b[k], i.min(), i.max() + SPAN, j.min(), j.max() + SPAN, n.max()))
+
+
+def _classes_of(left) -> Classes:
+    return Classes([_unpack(d) for d in left.column("data").to_pylist()])
+
+
+SETS = "set long, members array<long>, docs binary"
+
+
+def _sets(key, table):
+    """Sets of ids that all the named documents are linked with. Documents of one class have one set, equal sets are one
+    row, so a passage in many documents gives a row and not one for each pair."""
+    c = _classes_of(table)
+    n = len(c.sig)
+    word = np.where(c.lowest != c.highest, 0, 1 << 30)
+    ends = [[], []]
+    for a, b, a1, _, b1, _, _ in c.pairs():
+        np.minimum.at(word, a, a1)
+        np.minimum.at(word, b, b1)
+        ends[0] += [a, b]
+        ends[1] += [b, a]
+    src, dst = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
+    order = np.argsort(src, kind="stable")
+    joined = Stars(n)
+    joined.add(src, dst)
+    root = joined.flush()
+    low = np.full(n, 2**63 - 1)
+    np.minimum.at(low, root, c.lowest)
+    low = low[root]
+    dst, cut = dst[order], np.searchsorted(src[order], np.arange(n + 1))
+    held: dict[int, tuple[np.ndarray, list]] = {}
+    own = [np.unique(c.members(k)) for k in range(n)]
+    for k in np.flatnonzero(word < 1 << 30).tolist():
+        near = dst[cut[k] : cut[k + 1]]
+        ids = np.unique(np.concatenate([own[k], *(own[j] for j in near.tolist())])) if len(near) else own[k]
+        if len(ids) > 1:
+            name = int(np.array([xxhash.xxh64_intdigest(ids.tobytes(), 7)], np.uint64).view(np.int64)[0])
+            held.setdefault(name, (ids, []))[1].append(np.stack((c.members(k), np.full(len(c.members(k)), low[k]), c.words[c.start[k] : c.stop[k]] + word[k]), axis=1))
+    rows = []
+    for name, (ids, docs) in held.items():
+        x = np.concatenate(docs)
+        x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+        x = x[np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1))]
+        rows.append((name, ids, _pack(x[:, 0], x[:, 1], x[:, 2].astype(np.uint32))))
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["set", "members", "docs"])
+
+
+LINKS = "a long, b long, a_word long, b_word long, length long, shared int"
+
+
+def _spelled(key, table):
+    """A row for every two members of a class and of two classes that are linked."""
+    c = _classes_of(table)
+    out = [[] for _ in range(6)]
+
+    def add(p, q, a1, a2, b1, b2, shared):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(c.start[p], c.stop[p]), np.arange(c.start[q], c.stop[q]), indexing="ij"))
+        keep = c.ids[i] < c.ids[j] if p == q else c.ids[i] != c.ids[j]
+        i, j = i[keep], j[keep]
+        swap = c.ids[i] > c.ids[j]
+        values = [c.ids[i], c.ids[j], c.words[i] + a1, c.words[j] + b1]
+        values = [np.where(swap, values[k ^ 1], values[k]) for k in range(4)]
+        for o, v in zip(out, (*values, np.full(len(i), max(a2 - a1, b2 - b1)), np.full(len(i), shared)), strict=True):
+            o.append(v)
+
+    length = np.where(c.length > 0, c.length, SPAN)
+    for p in np.flatnonzero(c.lowest != c.highest).tolist():
+        add(p, p, 0, length[p], 0, length[p], SPAN)
+    for block in c.pairs():
+        for p, q, *x in zip(*(z.tolist() for z in block), strict=True):
+            add(p, q, *x)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32)
+    return pa.table([pa.array((np.concatenate(x) if x else np.zeros(0)).astype(t)) for x, t in zip(out, kinds, strict=True)], ["a", "b", "a_word", "b_word", "length", "shared"])
+
+
+def _compared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(task, data): the classes of windows that have to be compared."""
     n = common.partitions_for(docs)
     frame = docs.select(
         common.chunk_of(id_col, text_col, n), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("__text")
@@ -329,16 +480,65 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chunks = frame.groupBy("chunk")
     marks = chunks.applyInArrow(_keys(n), "bucket int, chunk int, data binary").groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
     met = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(_met(n), "bucket int, chunk int, data binary")
-    asked = met.groupBy("bucket").applyInArrow(_pairs, "chunk int, data binary")
-    sent = chunks.cogroup(asked.groupBy("chunk")).applyInArrow(_regions, "chunk int, data binary")
-    return chunks.cogroup(sent.groupBy("chunk")).applyInArrow(_verified, LINKS)
+    asked = met.groupBy("bucket").applyInArrow(_groups(n), "chunk int, task long, data binary")
+    return chunks.cogroup(asked.groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, a_word, b_word, length, shared): all verified passages of two documents (a < b), each over its whole extent: the
+    words where it starts, its length in shingles, and the most shingles that SPAN of it share. What overlaps along one
+    diagonal is one passage. A row for every pair, so many for a passage that many documents hold; classes() needs none."""
+    found = _compared(docs, id_col, text_col).groupBy("task").applyInArrow(_spelled, LINKS).withColumn("d", F.col("b_word") - F.col("a_word"))
+    before = Window.partitionBy("a", "b", "d").orderBy("a_word", "length").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("a", "b", "d").orderBy("a_word", "length").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce(F.col("a_word") > F.max(F.col("a_word") + F.col("length")).over(before), F.lit(True))
+    merged = found.withColumn("new", new.cast("int")).withColumn("k", F.sum("new").over(upto)).groupBy("a", "b", "d", "k")
+    return merged.agg(F.min("a_word").alias("a_word"), F.min("b_word").alias("b_word"), (F.max(F.col("a_word") + F.col("length")) - F.min("a_word")).alias("length"), F.max("shared").alias("shared")).drop("d", "k")
+
+
+def _opened(batches):
+    """(doc_id, set, low, word) of every document that a set names; low is in its class."""
+    for batch in batches:
+        for name, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, low, word = _unpack(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), name, np.int64)), pa.array(low), pa.array(word.astype(np.int64))], ["doc_id", "set", "low", "word"])
+
+
+def _union(key, left, right):
+    """The size of the union of each document's sets, without itself."""
+    names = left.column("set").to_pylist()
+    members = dict(zip(right.column("name").to_pylist(), (m.values.to_numpy() for m in right.column("own")), strict=True))
+    ids = np.unique(np.concatenate(list(members.values()))) if members else np.zeros(0, np.int64)
+    at = {k: np.searchsorted(ids, v) for k, v in members.items()}
+    doc, word = left.column("doc_id").to_numpy(), left.column("word").to_numpy()
+    root = left.column("root").to_numpy()
+    out, known = [], {}
+    for _, p in _split(doc):
+        own = tuple(sorted({names[k] for k in p.tolist()}))
+        if own not in known:
+            seen = np.zeros(len(ids), bool)
+            for k in own:
+                seen[at[k]] = True
+            known[own] = int(seen.sum()) - 1
+        out.append((doc[p[0]], root[p[0]], known[own], word[p].min()))
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.table([pa.array(c, pa.int64()) for c in columns], ["doc_id", "class_id", "n_links", "first_word"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, first_word): for every document that shares a passage, its class (smallest doc_id), the
     documents it was linked with directly and where the first shared passage starts."""
-    found = common.checkpointed(links(docs, id_col, text_col))
-    ends = found.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.col("a_word").alias("word")).unionByName(found.select(F.col("b").alias("doc_id"), F.col("a").alias("other"), F.col("b_word").alias("word")))
-    per = common.checkpointed(ends.groupBy("doc_id").agg(F.countDistinct("other").alias("n_links"), F.min("word").alias("first_word")))
-    roots = components(found.select("a", "b")).select(F.col("node").alias("doc_id"), "root")
-    return per.join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "n_links", "first_word")
+    n = common.partitions_for(docs)
+    found = common.checkpointed(_compared(docs, id_col, text_col).groupBy("task").applyInArrow(_sets, SETS))
+    named = found.select("set", "docs").mapInArrow(_opened, "doc_id long, set long, low long, word long")
+    named = common.checkpointed(named.groupBy("doc_id", "set", "low").agg(F.min("word").alias("word")))
+    roots = components(named.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("doc_id"), "root")
+    # A class of many documents is dealt over several tasks, its sets go to each.
+    rooted = named.groupBy("doc_id", "set").agg(F.min("word").alias("word")).join(roots, "doc_id", "left").select("doc_id", "set", "word", F.coalesce("root", "doc_id").alias("root"))
+    rooted = common.checkpointed(rooted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
+    wide = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).select(F.col("root").alias("r"), (F.floor(F.col("rows") / DEALT) + 1).alias("parts"))
+    part = lambda salt: F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(n))).otherwise(F.lit(n) + F.pmod(F.xxhash64("root", salt), F.lit(1 << 61))).alias("part")
+    left = rooted.join(wide, F.col("root") == F.col("r")).select(part((F.col("salt") % F.col("parts")).cast("long")), "doc_id", "set", "word", "root")
+    sets = found.select("set", "members").dropDuplicates(["set"])
+    ends = left.select(F.col("part").alias("to"), F.col("set").alias("named")).distinct().join(sets, F.col("named") == F.col("set")).select("to", F.col("named").alias("name"), F.col("members").alias("own"))
+    return left.groupBy("part").cogroup(ends.groupBy("to")).applyInArrow(_union, "doc_id long, class_id long, n_links long, first_word long")

@@ -416,6 +416,41 @@ def test_passages(docs, empty, spark):
     assert got[0] == got[12] == (0, 1) and 13 not in got and 1 not in got
 
 
+def alike(texts):
+    """Brute force: pairs of texts with passages of 46 five-word shingles that share 80 % (Jaccard)."""
+    spans = []
+    for t in texts:
+        w = t.lower().split()
+        x = [" ".join(w[k : k + 5]) for k in range(len(w) - 4)]
+        spans.append([frozenset(x[k : k + 46]) for k in range(len(x) - 45)])
+    return {(a, b) for b in range(len(texts)) for a in range(b) if any(len(p & q) >= 0.8 * len(p | q) for p in spans[a] for q in spans[b])}
+
+
+def linked(df):
+    return {(r.a, r.b) for r in passages.links(df).collect()}
+
+
+def test_passages_of_families(spark):
+    rng = random.Random(5)
+    base, phrase = prose(rng, 54).split(), prose(rng, 12)
+    texts = []
+    for k in range(620):
+        own = list(base)
+        for at in rng.sample(range(54), 2):
+            own[at] = f"x{k}y{at}"
+        texts.append(" ".join(own))
+    texts += [prose(rng, 40) + " " + phrase + " " + prose(rng, 40) for _ in range(100)]
+    texts += [texts[0] + " end", "start " + texts[0], texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = alike(texts)
+    found = linked(df)
+    assert len(want) > 1000 and found <= want and len(found) >= 0.99 * len(want)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in passages.classes(df).collect()}
+    root = roots(len(texts), found)
+    links = Counter(x for p in found for x in p)
+    assert got == {k: (root[k], n) for k, n in links.items()} and not any(k in got for k in range(620, 720))
+
+
 def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
