@@ -451,6 +451,18 @@ def test_passages_of_families(spark):
     assert got == {k: (root[k], n) for k, n in links.items()} and not any(k in got for k in range(620, 720))
 
 
+def test_passages_are_all_told(spark):
+    rng = random.Random(6)
+    p, q = prose(rng, 80), prose(rng, 60)
+    a = f"{prose(rng, 7)} {p} {prose(rng, 50)} {q} {prose(rng, 20)}"
+    b = f"{prose(rng, 30)} {q} {prose(rng, 33)} {p}"
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = {(r.a_word, r.b_word): (r.length, r.shared) for r in passages.links(df).collect()}
+    # Up to five shingles beyond what is equal still share 80 %.
+    assert got == {(2, 118): (81, 46), (132, 25): (66, 46)}
+    assert {r.doc_id: r.first_word for r in passages.classes(df).collect()} == {1: 2, 2: 25}
+
+
 def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
