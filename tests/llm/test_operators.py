@@ -463,6 +463,16 @@ def test_passages_are_all_told(spark):
     assert {r.doc_id: r.first_word for r in passages.classes(df).collect()} == {1: 2, 2: 25}
 
 
+def test_passages_of_swapped_sentences(spark):
+    rng = random.Random(7)
+    texts = []
+    for k in range(20):
+        one, two = ([f"w{rng.randrange(10**6)}" for _ in range(25)] for _ in range(2))
+        texts += [" ".join(one + two), " ".join(two + one)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert linked(df) == alike(texts) == {(k, k + 1) for k in range(0, 40, 2)}
+
+
 def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
