@@ -252,7 +252,7 @@ def date_part(spark, d):
 
 @query(None)
 def slug(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 200)).alias("slug"))
+    return V.table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query(

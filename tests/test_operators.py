@@ -280,3 +280,15 @@ def test_containing_by_equality(spark, monkeypatch):
     monkeypatch.setattr(links, "SMALL_BYTES", -1)
     assert sorted((r.t, r.q) for r in links.containing(texts, "text", quotes, "quote").collect()) == want
     assert want == [(1, 1), (1, 2), (1, 3), (2, 3), (2, 4), (3, 3), (5, 2), (5, 3), (5, 7)]
+
+
+def test_slug_of_whole_texts(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from glossa.plans import corpus
+
+    texts = ["! " * 150 + "The end, 標題 of 7", "я" * 300 + " Ünï", "word " * 60, "--", "", None, "。" * 250]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: re.sub("[^a-zA-Z0-9\u4e00-\u9fff]+", "-", unicodedata.normalize("NFKD", t or "")).strip("-")[:72] or "paper-notes" for k, t in enumerate(texts)}
+    assert want[0] == "The-end-標題-of-7" and {r.doc_id: r.slug for r in corpus.slug(spark, str(tmp_path)).collect()} == want
