@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import common, langid, packing, simhash, suffixdedup, toxicity
+from glossa.llm import common, langid, neardup, packing, suffixdedup, toxicity
 from glossa.session import shipped
 
 
@@ -24,8 +24,8 @@ def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of SimHash near-duplicates."""
-    return simhash.keep_first(docs)
+    """The first document of each group that shares 80 % of its five-word shingles."""
+    return neardup.keep_first(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
