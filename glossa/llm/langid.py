@@ -2,8 +2,8 @@
 dictionary of that language's text; the language of the smallest result wins, and narrow margins are rejected.
 
 Learning takes a bounded sample: per language at most DICTIONARY_BYTES of dictionary, made of pieces of at most
-PIECE_BYTES of the documents with the smallest hashes (an order that does not depend on the layout of the input), so the
-model has a fixed size per language. Every document is predicted over its whole text.
+PIECE_BYTES of the documents with the smallest hashes (an order that does not depend on the layout of the input). Every
+language value is learned; many of them share a fixed budget. Every document is predicted over its whole text.
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the language that sorts first;
 with no learned language everything is `und`. Labels, sources and ids never enter a prediction. One row per input row.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from glossa.llm import common
 
-#: Bounds of the learned sample.
-DICTIONARY_BYTES, PIECE_BYTES, SAMPLE_DOCS, MAX_LANGS = 192 << 10, 1 << 10, 400, 64
+#: Bounds of the learned sample; more than HELD_LANGS languages share what that many may take, and are scored in blocks.
+DICTIONARY_BYTES, PIECE_BYTES, SAMPLE_DOCS, HELD_LANGS = 192 << 10, 1 << 10, 400, 64
 #: A text is compressed in blocks of this size, each with the dictionary anew, so that long texts are judged by the
 #: language and not by their own repetitions.
 BLOCK_BYTES = 16 << 10
@@ -42,23 +42,25 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Language to dictionary bytes. The frame holds the documents that may be learned from; what reaches the driver
-    is at most SAMPLE_DOCS pieces of PIECE_BYTES characters for each of MAX_LANGS languages."""
+    is a count for each language and at most SAMPLE_DOCS pieces of PIECE_BYTES characters for each of HELD_LANGS languages,
+    or as many shared by all languages (one for each at least)."""
     usable = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(lang_col).cast("string") != UND))
     rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col).cast("string"), 1, PIECE_BYTES).alias("piece"))
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counted = rows.groupBy("lang").count().collect()
     if not counted:
         return {}
+    part = min(1.0, HELD_LANGS / len(counted))
+    docs_each, bytes_each = max(1, int(part * SAMPLE_DOCS)), max(PIECE_BYTES, int(part * DICTIONARY_BYTES))
     # A slice of the hashes that holds four times the sample, then exactly the smallest of each language.
-    bound = F.lit(None).cast("long")
-    for r in counted:
-        share = min(1.0, 4 * SAMPLE_DOCS / r["count"])
-        bound = F.when(F.col("lang") == r["lang"], F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).otherwise(bound)
+    share = {r["lang"]: min(1.0, 4 * SAMPLE_DOCS / r["count"]) for r in counted}
+    bounds = docs.sparkSession.createDataFrame([(k, min(2**63 - 1, int(-(2**63) + v * 2**64))) for k, v in share.items()], "__lang string, bound long")
     order = Window.partitionBy("lang").orderBy("h", "piece")
-    got = rows.filter(F.col("h") <= bound).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS).select("lang", "k", "piece").collect()
+    near = rows.join(F.broadcast(bounds), F.col("lang") == F.col("__lang")).filter(F.col("h") <= F.col("bound"))
+    got = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_each).select("lang", "k", "piece").collect()
     pieces: dict[str, dict[str, None]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["k"])):
         pieces.setdefault(r["lang"], {})[clean(r["piece"])] = None
-    return {name: " ".join(reversed(own)).encode()[-DICTIONARY_BYTES:] for name, own in pieces.items()}
+    return {name: " ".join(reversed(own)).encode()[-bytes_each:] for name, own in pieces.items()}
 
 
 def clean(text: str) -> str:
@@ -67,32 +69,50 @@ def clean(text: str) -> str:
 
 
 class Scorer:
-    """Worker side: one compressor for each language, made once."""
+    """Worker side: one compressor for each language, made once; those of more than HELD_LANGS languages are made for each
+    block of languages anew."""
 
     def __init__(self, model: dict[str, bytes]):
-        self.names = sorted(model)
-        self.tools = []
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=_SETTINGS)
-            self.tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=_SETTINGS))
+        self.names, self.model = sorted(model), model
+        self.tools = self._made(self.names) if len(self.names) <= HELD_LANGS else None
 
-    def sizes(self, data: bytes) -> list[int]:
-        blocks = [data[k : k + BLOCK_BYTES] for k in range(0, len(data), BLOCK_BYTES)]
-        return [sum(len(t.compress(b)) for b in blocks) for t in self.tools]
+    def _made(self, names: list[str]) -> list:
+        tools = []
+        for name in names:
+            d = zstandard.ZstdCompressionDict(self.model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=_SETTINGS)
+            tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=_SETTINGS))
+        return tools
+
+    def sizes(self, texts: list[bytes]) -> np.ndarray:
+        """The compressed size of each text for each language."""
+        blocks, out = [[t[k : k + BLOCK_BYTES] for k in range(0, len(t), BLOCK_BYTES)] for t in texts], []
+        for k in range(0, len(self.names), HELD_LANGS):
+            tools = self.tools or self._made(self.names[k : k + HELD_LANGS])
+            out.append(np.array([[sum(len(t.compress(b)) for b in own) for t in tools] for own in blocks], float).reshape(len(texts), len(tools)))
+        return np.concatenate(out, axis=1)
+
+    def predict_all(self, rows: list[bytes | None]) -> list[tuple[str, float, float]]:
+        """Language, score in 0 to 1 and relative margin of each text."""
+        out, at, texts = [(UND, 0.0, 0.0)] * len(rows), [], []
+        for k, data in enumerate(rows):
+            if data and self.names and _LETTER.search(text := data.decode("utf-8", "replace")):
+                at.append(k)
+                texts.append(clean(text).encode())
+        if not at:
+            return out
+        for row, sizes in zip(at, self.sizes(texts), strict=True):
+            k = int(sizes.argmin())
+            if len(sizes) == 1:
+                out[row] = self.names[0], 1.0, 1.0
+                continue
+            second = float(np.partition(sizes, 1)[1])
+            margin = (second - sizes[k]) / max(second, 1.0)
+            out[row] = self.names[k], float(1 / len(sizes) + (1 - 1 / len(sizes)) * (1 - np.exp(-20 * margin))), float(margin)
+        return out
 
     def predict(self, data: bytes | None) -> tuple[str, float, float]:
-        """Language, score in 0 to 1 and relative margin."""
-        if not data or not self.names or not _LETTER.search(text := data.decode("utf-8", "replace")):
-            return UND, 0.0, 0.0
-        data = clean(text).encode()
-        sizes = np.array(self.sizes(data), float)
-        k = int(sizes.argmin())
-        if len(sizes) == 1:
-            return self.names[0], 1.0, 1.0
-        second = float(np.partition(sizes, 1)[1])
-        margin = (second - sizes[k]) / max(second, 1.0)
-        return self.names[k], float(1 / len(sizes) + (1 - 1 / len(sizes)) * (1 - np.exp(-20 * margin))), float(margin)
+        return self.predict_all([data])[0]
 
 
 def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +122,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.predict(t) for t in batch.column(1).to_pylist()]
+            got = scorer.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
     return common.arrow_rows(common.id_and_bytes(docs, id_col, text_col), 1000).mapInArrow(run, "doc_id long, lang_pred string, score double, margin double")
@@ -116,10 +136,8 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            keep = []
-            for t in batch.column(at).to_pylist():
-                lang, _, margin = scorer.predict(None if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t)
-                keep.append(lang != UND and margin >= min_margin)
+            texts = [None if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in batch.column(at).to_pylist()]
+            keep = [lang != UND and margin >= min_margin for lang, _, margin in scorer.predict_all(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return common.arrow_rows(docs, 1000).mapInArrow(run, docs.schema)
