@@ -166,7 +166,7 @@ def blocks(docs: DataFrame, name: str, shards: int, only_words: bool, id_col: st
             yield from _parts(block.rows(part + n, shards))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.arrow_rows(rows, 500).mapInArrow(run, "block long, shard int, data binary")
+    return rows.mapInArrow(run, "block long, shard int, data binary")
 
 
 def encode_words(words: DataFrame, name: str, shards: int) -> DataFrame:

@@ -38,22 +38,36 @@ def partitions_for(df: DataFrame, factor: float = 1.0) -> int:
     return max(min(least, 12), int(factor * size / PARTITION_BYTES) + 1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Where the setting is absent (tests on
-    one machine) a folder of this machine is set and used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+def buckets_for(chunks: int) -> int:
+    """How many buckets the keys of so many chunks are dealt to. Each chunk sends each bucket one packed row, so there are
+    fewer buckets than chunks (a bucket gets the keys of eight, as many as a task holds), but enough for all cores."""
+    return max(min(chunks, 64), chunks // 8)
+
+
+def _base(spark: SparkSession) -> str:
+    """The folder of this application below spark.checkpoint.dir, which driver and executors share. Without that setting a
+    folder of this machine is used, which only a local session may do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_glossa_shared", None)
     if not base:
-        base = getattr(spark, "_glossa_shared", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="glossa-shared-")
-            spark._glossa_shared = base
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark._glossa_shared = "file://" + tempfile.mkdtemp(prefix="glossa-shared-")
     # A full address, so that executors don't depend on their default file system.
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     base = re.sub("^file:/(?!/)", "file:///", base)
-    return f"{base.rstrip('/')}/glossa-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/glossa-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -77,12 +91,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def arrow_rows(df: DataFrame, n: int) -> DataFrame:
-    """Sets how many rows an Arrow batch to Python holds; documents are long, so fewer than the default."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-    return df
-
-
 def isolated(name: str) -> str:
     """A column name that user tables do not have."""
     return f"__glossa_{name}"

@@ -125,7 +125,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
             got = scorer.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
-    return common.arrow_rows(common.id_and_bytes(docs, id_col, text_col), 1000).mapInArrow(run, "doc_id long, lang_pred string, score double, margin double")
+    return common.id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, margin double")
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN, text_col: str = "text") -> DataFrame:
@@ -140,4 +140,4 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float
             keep = [lang != UND and margin >= min_margin for lang, _, margin in scorer.predict_all(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return common.arrow_rows(docs, 1000).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

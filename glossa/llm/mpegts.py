@@ -211,7 +211,7 @@ def _digest(batches):
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text as a transport stream. A map over rows; nothing is shuffled."""
-    return common.arrow_rows(common.id_and_bytes(docs, id_col, text_col), 500).mapInArrow(_store, MEDIA_SCHEMA)
+    return common.id_and_bytes(docs, id_col, text_col).mapInArrow(_store, MEDIA_SCHEMA)
 
 
 def read(media: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def _verified(key, table):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row with an id: the smallest id of the documents that links join."""
     n = common.partitions_for(docs)
-    rows = common.arrow_rows(common.id_and_bytes(docs, id_col, text_col).filter("doc_id is not null"), 500)
+    rows = common.id_and_bytes(docs, id_col, text_col).filter("doc_id is not null")
     own = common.checkpointed(rows.mapInArrow(_described, "doc_id long, node long, bands array<long>, data binary"))
     met = own.select("node", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
     joined = common.checkpointed(components(met.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b"))))

@@ -132,4 +132,4 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = E
         yield from out(packer.round(True))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.arrow_rows(rows, 500).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)

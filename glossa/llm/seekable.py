@@ -147,7 +147,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bp
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange(common.partitions_for(docs, 0.5), "doc_id").sortWithinPartitions("doc_id", "text")
-    got = common.arrow_rows(ranged, 500).mapInArrow(run, "part int, file string, docs long, tokens long").collect()
+    got = ranged.mapInArrow(run, "part int, file string, docs long, tokens long").collect()
     return [(r.file, r.docs, r.tokens) for r in sorted(got, key=lambda r: r.part)]
 
 

@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["doc_id", "fp"])
 
-    return common.arrow_rows(common.id_and_bytes(docs, id_col, text_col), 500).mapInArrow(run, "doc_id long, fp long")
+    return common.id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:

@@ -131,7 +131,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     """The model from documents and labels that may be learned from."""
     rows = labelled(docs, labels, label)
-    counted = common.arrow_rows(rows, 1000).mapInArrow(_count, "shard int, codes binary, toxic binary, ordinary binary")
+    counted = rows.mapInArrow(_count, "shard int, codes binary, toxic binary, ordinary binary")
     merged = counted.repartition(SHARDS, "shard").mapInArrow(_merge, "codes binary, toxic binary, ordinary binary").collect()
     code, t, o = (np.concatenate([np.frombuffer(r[k], np.int64) for r in merged] or [np.zeros(0, np.int64)]) for k in range(3))
     order = np.argsort(code)
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(judge, batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.arrow_rows(rows, 1000).mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def keep_ordinary(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -276,7 +276,7 @@ def keep_ordinary(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(scores(judge, batch.column(at).to_pylist()) < threshold))
 
-    return common.arrow_rows(docs, 1000).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
