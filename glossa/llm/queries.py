@@ -14,7 +14,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rpforest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return rpforest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "ranked")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
