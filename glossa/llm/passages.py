@@ -3,14 +3,22 @@
 A document is its sequence of SHINGLE-word shingles. Under one hash function, all subsequences of at least SPAN shingles
 with the same smallest hash form a compact window (l, c, r): c holds the minimum of every subsequence from between l and c
 to between c and r. Those are the nodes of the Cartesian tree over the hashes whose subtree is at least SPAN long, and
-equally the runs of a sliding minimum over SPAN shingles, which is how numpy finds them. Two passages that agree in 80 %
-of their shingles share a given function's window with that probability; FUNCTIONS of them are used.
+equally the runs of a sliding minimum over SPAN shingles, which is how numpy finds them. The intervals of two functions are
+joined: where they meet, the pair of minima is one signature of all passages between their bounds. Two passages that agree
+in 80 % of their shingles share it with a probability of 0.64, one of BANDS pairs of functions with 0.994; passages that
+have little more than a common phrase hardly ever do.
 
-Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature.
-Windows of equal content are one class; each class is compared with every other of its signature, and two are linked if
-they hold SPAN-long passages that share 80 % (Jaccard of the sets of shingles, in whatever order). In a large group the
-pairs that can't are left out by their rarest shingles, and its comparisons are dealt over tasks by blocks of BLOCK classes.
-Links are kept as sets of documents for classes, not as pairs; sets are joined to classes.
+Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature, those
+of equal content as one class, of which a chunk sends one member (it links its own members itself). Classes of a signature
+are compared in blocks over tasks, except where both are known to be linked and in one component already. Two are linked if
+around their common shingle
+
+* they hold SPAN-long passages that share 80 % (Jaccard of the sets of shingles, in whatever order), or
+* they hold longer passages of any two lengths that do, shingles in one order (insertions and deletions); for this, REACH
+  shingles to either side of the class's first member are looked at. Of a longer pair of passages that share 80 %, a part
+  that reaches so far does too, because shared and unshared shingles add up over parts.
+
+In a large group pairs that share too few shingles are left out by their rarest ones; none are left out otherwise.
 
 Defined results: one row per document with a link; null and short texts (under SPAN shingles) have none; repetition inside
 a document is no link; rows with equal doc_id are documents of their own and count as one in the result; rows without
@@ -21,7 +29,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +37,12 @@ from glossa.llm.components import components
 from glossa.llm.simhash import Stars
 from glossa.llm.suffixdedup import _blobs, _bucket, _pack, _repeated, _short, _split, _unpack
 
-SHINGLE, SPAN, FUNCTIONS = 5, 46, 4
+SHINGLE, SPAN, BANDS, REACH = 5, 46, 5, 100
 #: Shared shingles that make 0.8 of the union of two SPAN-long passages without repetition.
 ENOUGH = -(-8 * 2 * SPAN // 18)
-#: Classes compared in one task, classes of a group that are all compared without looking at rare shingles, and named
-#: documents of a class that one task counts.
-BLOCK, FEW, DEALT = 512, 8, 1 << 18
+#: Classes of a group that one task compares with as many others, and of a group that are all compared without looking at
+#: rare shingles.
+BLOCK, FEW = 512, 8
 #: Bytes hashed at once; longer texts are a slice of their own.
 SLICE = 1 << 20
 
@@ -80,10 +87,19 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     return [h[a : max(a, b - SHINGLE + 1)] for a, b in zip(first.tolist(), stops.tolist(), strict=True)]
 
 
+def _minima(v: np.ndarray) -> np.ndarray:
+    """The smallest of every SPAN in a row."""
+    low, width = v, 1
+    while 2 * width <= SPAN:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
+
+
 def windows(x: list[np.ndarray]):
-    """(document, centre, signature, first, last, steps) of every compact window of several documents, function by
-    function: first and last are content hashes of its first and last SPAN-long subsequence, steps how far these start
-    before the centre."""
+    """(document, centre, signature, first, last, steps) of every joint window of several documents, band by band: the
+    centre holds the first function's minimum, first and last are content hashes of the first and last SPAN-long
+    subsequence, steps how far these start before the centre."""
     size = np.array([len(s) for s in x])
     ends = np.cumsum(size)
     flat = np.concatenate(x) if len(x) else np.zeros(0, np.uint64)
@@ -91,27 +107,30 @@ def windows(x: list[np.ndarray]):
     if n <= 0:
         return
     doc = np.searchsorted(ends, np.arange(n), side="right")
+    border = np.ones(n, bool)
+    border[1:] = doc[1:] != doc[:-1]
     power, inverse = _powers(len(flat) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * power[: len(flat)])))
         content = _short(_mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92))
-    for f in range(FUNCTIONS):
-        v = _mix(flat, f)
-        low, width = v, 1
-        while 2 * width <= SPAN:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-        begin = np.ones(n, bool)
-        begin[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (v[: n - 1] == low[: n - 1])
+    for f in range(BANDS):
+        begin, both = border.copy(), []
+        for v in (_mix(flat, 2 * f), _mix(flat, 2 * f + 1)):
+            low = _minima(v)
+            # A run ends where the minimum changes or its place leaves the window.
+            begin[1:] |= (low[1:] != low[:-1]) | (v[: n - 1] == low[: n - 1])
+            both.append((v, low))
         begin = np.flatnonzero(begin)
         stop = np.minimum(np.append(begin[1:], n), ends[doc[begin]] - SPAN + 1)
         real = stop > begin
         s, e = begin[real], stop[real]
-        # The centre: the first place of the minimum in the run's first subsequence.
+        (v, low), (_, other) = both
+        # The centre: the first place of the first function's minimum in the run's first subsequence.
         centre = _first_minimum(v, low[s], s)
         steps = ((centre - s) << 8 | (centre - e + 1)).astype(np.uint16)
-        yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), _mix(low[s], 50 + f), content[s], content[e - 1], steps
+        with np.errstate(over="ignore"):
+            sig = _mix(low[s] + _mix(other[s], 200) * np.uint64(3), 50 + f)
+        yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, content[s], content[e - 1], steps
 
 
 def _first_minimum(v: np.ndarray, low: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -164,8 +183,9 @@ def _keys(buckets: int):
     return run
 
 
-def _met(buckets: int):
-    """The windows of a chunk whose signature occurs again, per bucket."""
+def _met(buckets: int, spelled: bool):
+    """The windows of a chunk whose signature occurs again, per bucket: one member (that of the smallest id) of those with
+    equal content, and whether there are others, whose links are a row of bucket -1; or all members (spelled)."""
 
     def run(key, left, right):
         names = ["bucket", "chunk", "data"]
@@ -174,20 +194,43 @@ def _met(buckets: int):
         chunk = key[0].as_py()
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | _unpack(d)[0].astype(np.uint64) for b, d in zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True)]))
         held, own = [], Chunk(left)
-        ids = np.array([0 if i is None else i for i in own.ids], np.int64)
+        all_ids = np.array([0 if i is None else i for i in own.ids], np.int64)
         for doc, centre, keys, *more in own.windows():
             name = (_bucket(keys, buckets).astype(np.uint64) << np.uint64(32)) | _short(keys).astype(np.uint64)
             hit = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
-            held.append((keys[hit], doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), *(m[hit] for m in more), ids[doc[hit]]))
+            held.append((keys[hit], doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), *(m[hit] for m in more)))
         if not held:
             return _blobs([], names)
-        keys, *rest = (np.concatenate([h[k] for h in held]) for k in range(7))
-        rows = [(b, chunk, _pack(_short(keys[p]), *(r[p] for r in rest))) for b, p in _split(_bucket(keys, buckets))]
+        keys, doc, centre, first, last, steps = (np.concatenate([h[k] for h in held]) for k in range(6))
+        ids, linked, rows = all_ids[doc], np.zeros(len(keys), np.uint8), []
+        if len(keys) and not spelled:
+            order = np.lexsort((centre, doc, ids, steps, last, first, keys))
+            keys, doc, centre, first, last, steps, ids = (x[order] for x in (keys, doc, centre, first, last, steps, ids))
+            edge = np.ones(len(keys), bool)
+            edge[1:] = (keys[1:] != keys[:-1]) | (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (steps[1:] != steps[:-1])
+            at = np.flatnonzero(edge)
+            size = np.diff(np.append(at, len(keys)))
+            linked = (ids[at] != ids[at + size - 1]).astype(np.uint8)
+            member = np.repeat(linked > 0, size)
+            if member.any():
+                rows.append((-1, chunk, _told(ids[member], np.repeat(ids[at], size)[member], centre[member].astype(np.int64) - (steps[member] >> 8))))
+            keys, doc, centre, first, last, steps, ids = (x[at] for x in (keys, doc, centre, first, last, steps, ids))
+        columns = (doc, centre, first, last, steps, linked, ids)
+        rows += [(b, chunk, _pack(_short(keys[p]), *(c[p] for c in columns))) for b, p in _split(_bucket(keys, buckets))]
         return _blobs(rows, names)
 
     return run
 
 
+def _told(ids: np.ndarray, low: np.ndarray, word: np.ndarray) -> bytes:
+    """Links of documents to one of their component, packed, with each one's smallest word."""
+    order = np.lexsort((word, low, ids))
+    ids, low, word = ids[order], low[order], word[order]
+    keep = np.ones(len(ids), bool)
+    keep[1:] = (ids[1:] != ids[:-1]) | (low[1:] != low[:-1])
+    return _pack(ids[keep], low[keep], word[keep].astype(np.uint32))
+
+
 def _places(bucket: int, buckets: int, key: int, classes: int) -> list[tuple[int, int, int]]:
     """(task, piece, piece) for each pair of BLOCK-long pieces of a signature's classes."""
     pieces, name = -(-classes // BLOCK), (bucket << 32 | key) * 0x9E3779B97F4A7C15
@@ -196,17 +239,18 @@ def _places(bucket: int, buckets: int, key: int, classes: int) -> list[tuple[int
 
 
 def _groups(buckets: int):
-    """Windows of equal content become one class under their signature. For each class the first member's chunk is asked for
-    the text; the ids and places of all members go along, to every task that compares the class with others."""
+    """Windows of equal content become one class under their signature. For each class of a group of several the first
+    member's chunk is asked for the text around its centre; the members of all chunks go along, to every task that compares
+    the class with others. Groups of one document are left out; classes alone with their signature need no text."""
 
     def run(key, table):
         bucket, names = key[0].as_py(), ["chunk", "task", "data"]
         chunks = table.column("chunk").to_pylist()
         parts = [_unpack(d) for d in table.column("data").to_pylist()]
         chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
-        sig, doc, centre, first, last, steps, ids = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(7))
+        sig, doc, centre, first, last, steps, linked, ids = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(8))
         order = np.lexsort((centre, doc, chunk, steps, last, first, sig))
-        chunk, sig, doc, centre, first, last, steps, ids = (x[order] for x in (chunk, sig, doc, centre, first, last, steps, ids))
+        chunk, sig, doc, centre, first, last, steps, linked, ids = (x[order] for x in (chunk, sig, doc, centre, first, last, steps, linked, ids))
         edge = np.ones(len(sig), bool)
         group = np.ones(len(sig), bool)
         group[1:] = sig[1:] != sig[:-1]
@@ -214,31 +258,26 @@ def _groups(buckets: int):
         at = np.flatnonzero(edge)
         sizes = np.diff(np.append(at, len(sig)))
         starts = np.searchsorted(at, np.flatnonzero(group))
-        stops = np.append(starts[1:], len(at))
-        back, front = steps >> 8, steps & 255
-        rows, single = [], np.zeros(len(at), bool)
-        wanted: list[tuple[int, np.ndarray, int]] = []
-        low, high = (f.reduceat(ids, at[starts]) if len(at) else ids for f in (np.minimum, np.maximum))
-        small = [[], []]
-        for g, (x, y) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
-            if low[g] == high[g]:
-                continue
-            if y - x == 1:
-                single[x] = True
-            if y - x <= BLOCK:
-                small[0].append(np.arange(x, y))
-                continue
-            for task, i, j in _places(bucket, buckets, int(sig[at[x]]), y - x):
-                wanted += [(task, np.arange(x + k * BLOCK, min(y, x + (k + 1) * BLOCK)), side) for side, k in enumerate((i, j) if i < j else (i,))]
-        if small[0]:
-            wanted.append((bucket, np.concatenate(small[0]), 0))
-        for task, c, side in wanted:
-            for to, p in _split(chunk[at[c]]):
-                k = c[p]
-                n = sizes[k]
-                flat = np.repeat(at[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                length = np.where(single[k], 0, back[at[k]] - front[at[k]] + SPAN)
-                rows.append((to, task, _pack(sig[at[k]].astype(np.uint32), np.full(len(k), side, np.uint8), doc[at[k]].astype(np.uint32), (centre - back)[at[k]].astype(np.uint32), length.astype(np.uint8), back[at[k]].astype(np.uint8), n.astype(np.uint32), ids[flat], (centre - back)[flat].astype(np.uint32))))
+        width = np.diff(np.append(starts, len(at)))
+        rows = []
+        if len(at):
+            begin = at[starts]
+            several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
+            several |= (width > 1) & (np.maximum.reduceat(linked, begin) > 0)
+            small = np.flatnonzero(np.repeat(several & (width <= BLOCK), width))
+            wanted = [(bucket, small, 0)] if len(small) else []
+            for g in np.flatnonzero(several & (width > BLOCK)).tolist():
+                x, y = int(starts[g]), int(starts[g] + width[g])
+                for task, i, j in _places(bucket, buckets, int(sig[at[x]]), y - x):
+                    wanted += [(task, np.arange(x + k * BLOCK, min(y, x + (k + 1) * BLOCK)), side) for side, k in enumerate((i, j) if i < j else (i,))]
+            alone = np.repeat(width == 1, width)
+            back, front = steps >> 8, steps & 255
+            for task, c, side in wanted:
+                for to, p in _split(chunk[at[c]]):
+                    k = c[p]
+                    n = sizes[k]
+                    flat = np.repeat(at[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    rows.append((to, task, _pack(sig[at[k]].astype(np.uint32), np.full(len(k), side, np.uint8), doc[at[k]].astype(np.uint32), centre[at[k]].astype(np.uint32), (~alone[k]).astype(np.uint8), back[at[k]].astype(np.uint8), front[at[k]].astype(np.uint8), n.astype(np.uint32), linked[flat].astype(np.uint8), ids[flat], (centre - back)[flat].astype(np.uint32))))
         return _tasks(rows, names)
 
     return run
@@ -259,15 +298,20 @@ def _sequences(own: Chunk, wanted: set[int]) -> dict[int, np.ndarray]:
 
 
 def _answers(key, left, right):
-    """Adds the short shingle hashes to each class that was asked for."""
+    """Adds the short hashes of the shingles around the centre to each class that was asked for."""
     if not left.num_rows or not right.num_rows:
         return _tasks([], ["task", "data"])
     own, asked = Chunk(left), [_unpack(d) for d in right.column("data").to_pylist()]
     x = _sequences(own, {int(r) for q in asked for r in q[2][q[4] > 0]})
     rows = []
     for task, q in zip(right.column("task").to_pylist(), asked, strict=True):
-        texts = [_short(x[d][s : s + n]) for d, s, n in zip(q[2].tolist(), q[3].tolist(), q[4].tolist(), strict=True) if n]
-        rows.append((task, _pack(q[0], q[1], *q[4:], np.concatenate(texts) if texts else np.zeros(0, np.uint32))))
+        texts, left_ = [], np.minimum(q[3], REACH).astype(np.uint8)
+        length = np.zeros(len(q[0]), np.uint8)
+        for k, (d, c, yes) in enumerate(zip(q[2].tolist(), q[3].tolist(), q[4].tolist(), strict=True)):
+            if yes:
+                texts.append(_short(x[d][max(0, c - REACH) : c + REACH + 1]))
+                length[k] = len(texts[-1])
+        rows.append((task, _pack(q[0], q[1], length, left_, *q[5:], np.concatenate(texts) if texts else np.zeros(0, np.uint32))))
     return _tasks(rows, ["task", "data"])
 
 
@@ -287,160 +331,212 @@ def similar(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return [(i, j, n) for i, p in enumerate(sets[0]) for j, q in enumerate(sets[1]) if 18 * (n := len(p & q)) >= 8 * (len(p) + len(q))]
 
 
+def stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int] | None:
+    """(start, end, start, end, shared) of the longest passages of a and b, at least SPAN long, that share 80 %, as told by
+    shingles that both have in one order. Counting nine for each shared shingle and minus four for each shingle of either
+    passage, the sum of such a pair isn't negative."""
+    values, at = np.unique(b, return_index=True)
+    k = np.minimum(np.searchsorted(values, a), len(values) - 1)
+    i = np.flatnonzero(values[k] == a)
+    _, first = np.unique(a[i], return_index=True)
+    i = i[np.sort(first)]
+    j = at[k[i]]
+    if len(i) < ENOUGH or len(a) < SPAN or len(b) < SPAN:
+        return None
+    n = np.arange(len(i))
+    wide = [np.maximum(p[None, :] - p[:, None] + 1, SPAN) for p in (i, j)]
+    score = 9 * (n[None, :] - n[:, None] + 1) - 4 * wide[0] - 4 * wide[1]
+    good = (score >= 0) & (n[None, :] >= n[:, None]) & (j[None, :] >= j[:, None])
+    for p, q in zip(*np.unravel_index(np.argsort(np.where(good, -wide[0], 1), axis=None, kind="stable")[:8], good.shape), strict=True):
+        if not good[p, q]:
+            break
+        bounds = []
+        for x, text in ((i, a), (j, b)):
+            start, end = int(x[p]), int(x[q]) + 1
+            if end - start < SPAN:
+                end = min(len(text), start + SPAN)
+                start = end - SPAN
+            bounds += [start, end]
+        s, t = set(a[bounds[0] : bounds[1]].tolist()), set(b[bounds[2] : bounds[3]].tolist())
+        if 18 * (shared := len(s & t)) >= 8 * (len(s) + len(t)):
+            return (*bounds, shared)
+    return None
+
+
 class Classes:
-    """The classes of one task: their texts in frames with the shared shingle at SPAN - 1, and their members."""
+    """The classes of one task: the texts around their centres, and their members of all chunks."""
 
     def __init__(self, parts: list[list[np.ndarray]]):
-        self.sig, self.side, length, back, count, self.ids, self.words, flat = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(8))
+        self.sig, self.side, length, left, back, front, count, linked, self.ids, self.words, self.flat = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(11))
         order = np.lexsort((self.side, self.sig))
         self.stop = np.cumsum(count)[order]
         self.start = self.stop - count[order]
-        begin = (np.cumsum(length) - length)[order]
-        self.sig, self.side, self.length, self.back = self.sig[order], self.side[order], length[order], back[order]
-        n = len(self.sig)
-        where = np.arange(2 * SPAN - 1)[None, :] - (SPAN - 1) + self.back[:, None]
-        inside = (where >= 0) & (where < self.length[:, None])
-        self.frame = np.full((n, 2 * SPAN - 1), -1, np.int64)
-        self.frame[inside] = flat[(begin[:, None] + where)[inside]]
-        #: Where in the frame a passage of the class may start.
-        at = np.arange(SPAN)[None, :] - (SPAN - 1) + self.back[:, None]
-        self.inside = (at >= 0) & (at + SPAN <= self.length[:, None])
-        kept = np.sort(self.frame, axis=1)
-        self.repeats = ((kept[:, 1:] == kept[:, :-1]) & (kept[:, 1:] >= 0)).any(axis=1)
-        #: The fewest different shingles of a passage of the class.
-        self.least = np.full(n, SPAN)
-        for k in np.flatnonzero(self.repeats).tolist():
-            x = self.text(k)
-            self.least[k] = min(len(set(x[j : j + SPAN].tolist())) for j in range(len(x) - SPAN + 1))
+        self.begin = (np.cumsum(length) - length)[order]
+        self.sig, self.side, self.length, self.left, self.back, self.front = (x[order] for x in (self.sig, self.side, length, left, back, front))
+        sums = np.concatenate(([0], np.cumsum(linked)))
         self.lowest = np.array([self.ids[a:b].min() for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)], np.int64)
         self.highest = np.array([self.ids[a:b].max() for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)], np.int64)
+        #: Whether the class has members in several documents.
+        self.several = (self.lowest != self.highest) | (sums[self.stop] > sums[self.start])
+        _, inverse = np.unique(self.sig, return_inverse=True)
+        self.mixed = (np.bincount(inverse, weights=self.side) > 0)[inverse] if len(inverse) else np.zeros(0, bool)
+
+    def frame(self, k: np.ndarray, reach: int, gap: int = -1) -> np.ndarray:
+        """The text up to reach to either side of the centres, gap where there is none."""
+        where = np.arange(-reach, reach + 1)[None, :] + self.left[k][:, None]
+        inside = (where >= 0) & (where < self.length[k][:, None])
+        out = np.full(where.shape, gap, np.int64)
+        out[inside] = self.flat[(self.begin[k][:, None] + where)[inside]]
+        return out
+
+    def narrow(self, k: int) -> np.ndarray:
+        """The text of the class's own SPAN-long passages."""
+        at = int(self.begin[k] + self.left[k] - self.back[k])
+        return self.flat[at : at + int(self.back[k] - self.front[k]) + SPAN]
 
     def text(self, k: int) -> np.ndarray:
-        at = SPAN - 1 - int(self.back[k])
-        return self.frame[k, at : at + int(self.length[k])]
+        return self.flat[self.begin[k] : self.begin[k] + self.length[k]]
 
     def members(self, k: int) -> np.ndarray:
         return self.ids[self.start[k] : self.stop[k]]
 
-    def candidates(self):
-        """Pairs of classes under one signature, in blocks. In a large group only those that share one of the rarest shingles
-        of both; others can't share 80 %."""
+    def _rare(self, s: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a large group that share one of the rarest shingles of both; others can't share 80 %."""
+        frame = self.frame(np.arange(s, s + n), REACH)
+        row, col = np.nonzero(frame >= 0)
+        cell = np.unique(np.stack((row, frame[row, col]), axis=1), axis=0)
+        _, inverse, df = np.unique(cell[:, 1], return_inverse=True, return_counts=True)
+        total = np.bincount(cell[:, 0], minlength=n)
+        need = np.full(n, ENOUGH)
+        for k in np.flatnonzero(total < self.length[s : s + n]).tolist():
+            x = self.narrow(s + k)
+            need[k] = min(ENOUGH, *(-(-8 * len(set(x[j : j + SPAN].tolist())) // 10) for j in range(len(x) - SPAN + 1)))
+        order = np.lexsort((inverse, df[inverse], cell[:, 0]))
+        row, word = cell[order, 0], inverse[order]
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+        keep = (rank <= (total - need)[row]) & (df[word] > 1)
+        found = np.zeros((n, n), bool)
+        for _, p in _split(word[keep]):
+            own = row[keep][p]
+            if len(own) > 1:
+                found[np.ix_(own, own)] = True
+        i, j = np.nonzero(np.triu(found, 1))
+        return s + i, s + j
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of classes under one signature and the first one's place in its group."""
         edge = np.ones(len(self.sig), bool)
         edge[1:] = self.sig[1:] != self.sig[:-1]
         starts = np.flatnonzero(edge)
         sizes = np.diff(np.append(starts, len(self.sig)))
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
             i, j = np.triu_indices(n, 1)
             own = starts[sizes == n]
-            yield (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
+            first.append((own[:, None] + i).ravel())
+            second.append((own[:, None] + j).ravel())
         for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            frame = self.frame[s : s + n]
-            row, col = np.nonzero(frame >= 0)
-            cell = np.unique(np.stack((row, frame[row, col]), axis=1), axis=0)
-            _, inverse, df = np.unique(cell[:, 1], return_inverse=True, return_counts=True)
-            order = np.lexsort((inverse, df[inverse], cell[:, 0]))
-            row, word = cell[order, 0], inverse[order]
-            total = np.bincount(row, minlength=n)
-            rank = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
-            need = -(-8 * self.least[s : s + n] // 10)
-            keep = (rank <= (total - need)[row]) & (df[word] > 1)
-            found = np.zeros((n, n), bool)
-            for _, p in _split(word[keep]):
-                own = row[keep][p]
-                if len(own) > 1:
-                    found[np.ix_(own, own)] = True
-            i, j = np.nonzero(np.triu(found, 1))
-            yield s + i, s + j
+            i, j = self._rare(s, n)
+            first.append(i)
+            second.append(j)
+        a, b = np.concatenate(first), np.concatenate(second)
+        two = (self.side[a] == self.side[b]) & self.mixed[a]
+        keep = ~two & ~((self.lowest[a] == self.highest[b]) & (self.highest[a] == self.lowest[b]) & ~self.several[a] & ~self.several[b])
+        a, b = a[keep], b[keep]
+        return a, b, a - np.repeat(starts, sizes)[a]
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first class of each class's component, and whether the class is linked with another document. A class is
+        compared with all others of its signature but those it is known to be joined with."""
+        a, b, turn = self.candidates()
+        stars, linked = Stars(len(self.sig)), self.several.copy()
+        order = np.argsort(turn, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.flatnonzero(np.diff(turn[order])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)], strict=True):
+            p, q = a[i:j], b[i:j]
+            root = stars.flush()
+            open_ = (root[p] != root[q]) | ~linked[p] | ~linked[q]
+            p, q = p[open_], q[open_]
+            for k in range(0, len(p), 1024):
+                x, y, *_ = self._compare(p[k : k + 1024], q[k : k + 1024])
+                stars.add(x, y)
+                linked[x] = linked[y] = True
+        return stars.flush(), linked
 
     def pairs(self):
-        """(class, class, place and place after in each, shared) of the pairs that have passages that share 80 %; places
-        count from the start of the class's text."""
-        for a, b in self.candidates():
-            two = (self.side[a] == self.side[b]) & self.mixed(a)
-            keep = ~two & ~((self.lowest[a] == self.highest[b]) & (self.highest[a] == self.lowest[b]))
-            a, b = a[keep], b[keep]
-            for k in range(0, len(a), 2048):
-                yield from self._compare(a[k : k + 2048], b[k : k + 2048])
-
-    def mixed(self, a: np.ndarray) -> np.ndarray:
-        """Whether the group of a class has two pieces; then only classes of different pieces meet here."""
-        if not hasattr(self, "_mixed"):
-            _, inverse = np.unique(self.sig, return_inverse=True)
-            self._mixed = (np.bincount(inverse, weights=self.side) > 0)[inverse]
-        return self._mixed[a]
-
-    def _compare(self, a: np.ndarray, b: np.ndarray):
-        x, y = self.frame[a], np.where(self.frame[b] < 0, -2, self.frame[b])
-        odd = self.repeats[a] | self.repeats[b]
+        """(class, class, start and end in each, shared) of the pairs that have passages that share 80 %; places count from
+        the centres."""
+        a, b, _ = self.candidates()
+        for k in range(0, len(a), 1024):
+            yield self._compare(a[k : k + 1024], b[k : k + 1024], True)
+
+    def _inside(self, k: np.ndarray) -> np.ndarray:
+        """Where in a narrow frame a passage of the class may start."""
+        at = np.arange(SPAN)[None, :] - (SPAN - 1)
+        return (at >= -self.back[k][:, None]) & (at <= -self.front[k][:, None])
+
+    def _compare(self, a: np.ndarray, b: np.ndarray, extents: bool = False):
+        x, y = self.frame(a, SPAN - 1), self.frame(b, SPAN - 1, -2)
+        own = [np.sort(f, axis=1) for f in (x, y)]
+        odd = np.zeros(len(a), bool)
+        for f in own:
+            odd |= ((f[:, 1:] == f[:, :-1]) & (f[:, 1:] >= 0)).any(axis=1)
         total = np.zeros((len(a), x.shape[1] + 1), np.int16)
         np.cumsum(x == y, axis=1, out=total[:, 1:])
         count = total[:, SPAN:] - total[:, :-SPAN]
-        inside = self.inside[a], self.inside[b]
-        hit = (count >= ENOUGH) & inside[0] & inside[1]
-        sure = hit.any(axis=1) & ~odd
-        first, end = hit.argmax(axis=1), hit.shape[1] - hit[:, ::-1].argmax(axis=1)
+        inside = self._inside(a), self._inside(b)
+        hit = (count >= ENOUGH) & inside[0] & inside[1] & ~odd[:, None]
+        sure = hit.any(axis=1)
+        out = []
+
+        def put(p, i, j, k, n, shared):
+            out.append(np.stack((a[p], b[p], i, j, k, n, shared), axis=1).astype(np.int64))
+
         k = np.flatnonzero(sure)
-        u, v = self.back[a] - (SPAN - 1), self.back[b] - (SPAN - 1)
-        yield a[k], b[k], (first + u)[k], (end + u)[k] + SPAN - 1, (first + v)[k], (end + v)[k] + SPAN - 1, count.max(axis=1)[k]
+        first, end = hit[k].argmax(axis=1) - (SPAN - 1), hit.shape[1] - hit[k][:, ::-1].argmax(axis=1)
+        put(k, first, end, first, end, count[k].max(axis=1))
         k = np.flatnonzero(~sure & ~odd)
         both = np.sort(np.concatenate((x[k], y[k]), axis=1), axis=1)
         k = k[((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1) >= ENOUGH]
-        for p in (k[n : n + 128] for n in range(0, len(k), 128)):
+        for p in (k[n : n + 64] for n in range(0, len(k), 64)):
             shared = overlaps(x[p], y[p])
             hit = (shared >= ENOUGH) & inside[0][p][:, :, None] & inside[1][p][:, None, :]
             p, shared, hit = (z[hit.any(axis=(1, 2))] for z in (p, shared, hit))
             i, j = hit.any(axis=2), hit.any(axis=1)
-            yield a[p], b[p], i.argmax(axis=1) + u[p], i.shape[1] - i[:, ::-1].argmax(axis=1) + u[p] + SPAN - 1, j.argmax(axis=1) + v[p], j.shape[1] - j[:, ::-1].argmax(axis=1) + v[p] + SPAN - 1, shared.max(axis=(1, 2))
+            sure[p] = True
+            put(p, i.argmax(axis=1) - (SPAN - 1), SPAN - i[:, ::-1].argmax(axis=1), j.argmax(axis=1) - (SPAN - 1), SPAN - j[:, ::-1].argmax(axis=1), shared.max(axis=(1, 2)))
         for k in np.flatnonzero(odd).tolist():
-            if got := similar(self.text(a[k]), self.text(b[k])):
+            if got := similar(self.narrow(a[k]), self.narrow(b[k])):
                 i, j, n = (np.array(z) for z in zip(*got, strict=True))
-                yield tuple(np.array([z]) for z in (a[k], b[k], i.min(), i.max() + SPAN, j.min(), j.max() + SPAN, n.max()))
+                sure[k] = True
+                u, v = int(self.back[a[k]]), int(self.back[b[k]])
+                put(np.array([k]), *(np.array([z]) for z in (i.min() - u, i.max() + SPAN - u, j.min() - v, j.max() + SPAN - v, n.max())))
+        # Longer passages of different lengths, where enough is shared.
+        k = np.flatnonzero(~sure) if not extents else np.arange(len(a))
+        both = np.sort(np.concatenate((self.frame(a[k], REACH), self.frame(b[k], REACH, -2)), axis=1), axis=1)
+        k = k[((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1) >= ENOUGH]
+        for k in k.tolist():
+            if got := stretch(self.text(a[k]), self.text(b[k])):
+                u, v = int(self.left[a[k]]), int(self.left[b[k]])
+                put(np.array([k]), *(np.array([z]) for z in (got[0] - u, got[1] - u, got[2] - v, got[3] - v, got[4])))
+        return tuple(np.concatenate(out).T)
 
 
 def _classes_of(left) -> Classes:
     return Classes([_unpack(d) for d in left.column("data").to_pylist()])
 
 
-SETS = "set long, members array<long>, docs binary"
-
-
-def _sets(key, table):
-    """Sets of ids that all the named documents are linked with. Documents of one class have one set, equal sets are one
-    row, so a passage in many documents gives a row and not one for each pair."""
+def _linked(key, table):
+    """Links of documents, packed: each with the smallest id of its component here and where its first window starts."""
     c = _classes_of(table)
-    n = len(c.sig)
-    word = np.where(c.lowest != c.highest, 0, 1 << 30)
-    ends = [[], []]
-    for a, b, a1, _, b1, _, _ in c.pairs():
-        np.minimum.at(word, a, a1)
-        np.minimum.at(word, b, b1)
-        ends[0] += [a, b]
-        ends[1] += [b, a]
-    src, dst = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
-    order = np.argsort(src, kind="stable")
-    joined = Stars(n)
-    joined.add(src, dst)
-    root = joined.flush()
-    low = np.full(n, 2**63 - 1)
+    root, linked = c.joined()
+    low = np.full(len(c.sig), 2**63 - 1)
     np.minimum.at(low, root, c.lowest)
-    low = low[root]
-    dst, cut = dst[order], np.searchsorted(src[order], np.arange(n + 1))
-    held: dict[int, tuple[np.ndarray, list]] = {}
-    own = [np.unique(c.members(k)) for k in range(n)]
-    for k in np.flatnonzero(word < 1 << 30).tolist():
-        near = dst[cut[k] : cut[k + 1]]
-        ids = np.unique(np.concatenate([own[k], *(own[j] for j in near.tolist())])) if len(near) else own[k]
-        if len(ids) > 1:
-            name = int(np.array([xxhash.xxh64_intdigest(ids.tobytes(), 7)], np.uint64).view(np.int64)[0])
-            held.setdefault(name, (ids, []))[1].append(np.stack((c.members(k), np.full(len(c.members(k)), low[k]), c.words[c.start[k] : c.stop[k]] + word[k]), axis=1))
-    rows = []
-    for name, (ids, docs) in held.items():
-        x = np.concatenate(docs)
-        x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
-        x = x[np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1))]
-        rows.append((name, ids, _pack(x[:, 0], x[:, 1], x[:, 2].astype(np.uint32))))
-    columns = list(zip(*rows, strict=True)) or [[]] * 3
-    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["set", "members", "docs"])
+    k = np.flatnonzero(linked)
+    n = (c.stop - c.start)[k]
+    at = np.repeat(c.start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return pa.table({"data": pa.array([_told(c.ids[at], np.repeat(low[root[k]], n), c.words[at])] if len(at) else [], pa.binary())})
 
 
 LINKS = "a long, b long, a_word long, b_word long, length long, shared int"
@@ -456,14 +552,14 @@ def _spelled(key, table):
         keep = c.ids[i] < c.ids[j] if p == q else c.ids[i] != c.ids[j]
         i, j = i[keep], j[keep]
         swap = c.ids[i] > c.ids[j]
-        values = [c.ids[i], c.ids[j], c.words[i] + a1, c.words[j] + b1]
+        values = [c.ids[i], c.ids[j], c.words[i] + c.back[p] + a1, c.words[j] + c.back[q] + b1]
         values = [np.where(swap, values[k ^ 1], values[k]) for k in range(4)]
         for o, v in zip(out, (*values, np.full(len(i), max(a2 - a1, b2 - b1)), np.full(len(i), shared)), strict=True):
             o.append(v)
 
-    length = np.where(c.length > 0, c.length, SPAN)
     for p in np.flatnonzero(c.lowest != c.highest).tolist():
-        add(p, p, 0, length[p], 0, length[p], SPAN)
+        first, end = -int(c.back[p]), SPAN - int(c.front[p])
+        add(p, p, first, end, first, end, SPAN)
     for block in c.pairs():
         for p, q, *x in zip(*(z.tolist() for z in block), strict=True):
             add(p, q, *x)
@@ -471,24 +567,27 @@ def _spelled(key, table):
     return pa.table([pa.array((np.concatenate(x) if x else np.zeros(0)).astype(t)) for x, t in zip(out, kinds, strict=True)], ["a", "b", "a_word", "b_word", "length", "shared"])
 
 
-def _compared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(task, data): the classes of windows that have to be compared."""
+def _compared(docs: DataFrame, id_col: str, text_col: str, spelled: bool) -> tuple[DataFrame, DataFrame]:
+    """(task, data): the classes of windows that have to be compared; (data): the links inside chunks."""
     n = common.partitions_for(docs)
+    buckets = common.buckets_for(n)
     frame = docs.select(
         common.chunk_of(id_col, text_col, n), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("__text")
     )
-    chunks = frame.groupBy("chunk")
-    marks = chunks.applyInArrow(_keys(n), "bucket int, chunk int, data binary").groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
-    met = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(_met(n), "bucket int, chunk int, data binary")
-    asked = met.groupBy("bucket").applyInArrow(_groups(n), "chunk int, task long, data binary")
-    return chunks.cogroup(asked.groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
+    chunks = frame.repartition(n, "chunk").groupBy("chunk")
+    marks = chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
+    met = common.checkpointed(chunks.cogroup(marks.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_met(buckets, spelled), "bucket int, chunk int, data binary"))
+    asked = met.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_groups(buckets), "chunk int, task long, data binary")
+    answers = chunks.cogroup(asked.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
+    return answers.repartition(n, "task"), met.filter("bucket < 0").select("data")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, a_word, b_word, length, shared): all verified passages of two documents (a < b), each over its whole extent: the
-    words where it starts, its length in shingles, and the most shingles that SPAN of it share. What overlaps along one
-    diagonal is one passage. A row for every pair, so many for a passage that many documents hold; classes() needs none."""
-    found = _compared(docs, id_col, text_col).groupBy("task").applyInArrow(_spelled, LINKS).withColumn("d", F.col("b_word") - F.col("a_word"))
+    words where it starts, its length in shingles, and the most shingles that a pair of passages in it shares. What overlaps
+    along one diagonal is one passage. A row for every pair, so many for a passage that many documents hold; classes()
+    needs none."""
+    found = _compared(docs, id_col, text_col, True)[0].groupBy("task").applyInArrow(_spelled, LINKS).withColumn("d", F.col("b_word") - F.col("a_word"))
     before = Window.partitionBy("a", "b", "d").orderBy("a_word", "length").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("a", "b", "d").orderBy("a_word", "length").rowsBetween(Window.unboundedPreceding, 0)
     new = F.coalesce(F.col("a_word") > F.max(F.col("a_word") + F.col("length")).over(before), F.lit(True))
@@ -497,48 +596,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _opened(batches):
-    """(doc_id, set, low, word) of every document that a set names; low is in its class."""
     for batch in batches:
-        for name, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, low, word = _unpack(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), name, np.int64)), pa.array(low), pa.array(word.astype(np.int64))], ["doc_id", "set", "low", "word"])
-
-
-def _union(key, left, right):
-    """The size of the union of each document's sets, without itself."""
-    names = left.column("set").to_pylist()
-    members = dict(zip(right.column("name").to_pylist(), (m.values.to_numpy() for m in right.column("own")), strict=True))
-    ids = np.unique(np.concatenate(list(members.values()))) if members else np.zeros(0, np.int64)
-    at = {k: np.searchsorted(ids, v) for k, v in members.items()}
-    doc, word = left.column("doc_id").to_numpy(), left.column("word").to_numpy()
-    root = left.column("root").to_numpy()
-    out, known = [], {}
-    for _, p in _split(doc):
-        own = tuple(sorted({names[k] for k in p.tolist()}))
-        if own not in known:
-            seen = np.zeros(len(ids), bool)
-            for k in own:
-                seen[at[k]] = True
-            known[own] = int(seen.sum()) - 1
-        out.append((doc[p[0]], root[p[0]], known[own], word[p].min()))
-    columns = list(zip(*out, strict=True)) or [[]] * 4
-    return pa.table([pa.array(c, pa.int64()) for c in columns], ["doc_id", "class_id", "n_links", "first_word"])
+        for data in batch.column(0).to_pylist():
+            ids, low, word = _unpack(data)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low), pa.array(word.astype(np.int64))], ["doc_id", "low", "word"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, first_word): for every document that shares a passage, its class (smallest doc_id), the
-    documents it was linked with directly and where the first shared passage starts."""
-    n = common.partitions_for(docs)
-    found = common.checkpointed(_compared(docs, id_col, text_col).groupBy("task").applyInArrow(_sets, SETS))
-    named = found.select("set", "docs").mapInArrow(_opened, "doc_id long, set long, low long, word long")
-    named = common.checkpointed(named.groupBy("doc_id", "set", "low").agg(F.min("word").alias("word")))
+    """(doc_id, class_id, first_word): for every document that shares a passage, the smallest doc_id reachable over links and
+    the word where the first compact window starts that a linked passage lies in."""
+    asked, told = _compared(docs, id_col, text_col, False)
+    found = asked.groupBy("task").applyInArrow(_linked, "data binary").unionByName(told)
+    named = common.checkpointed(found.mapInArrow(_opened, "doc_id long, low long, word long").groupBy("doc_id", "low").agg(F.min("word").alias("word")))
     roots = components(named.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("doc_id"), "root")
-    # A class of many documents is dealt over several tasks, its sets go to each.
-    rooted = named.groupBy("doc_id", "set").agg(F.min("word").alias("word")).join(roots, "doc_id", "left").select("doc_id", "set", "word", F.coalesce("root", "doc_id").alias("root"))
-    rooted = common.checkpointed(rooted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
-    wide = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).select(F.col("root").alias("r"), (F.floor(F.col("rows") / DEALT) + 1).alias("parts"))
-    part = lambda salt: F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(n))).otherwise(F.lit(n) + F.pmod(F.xxhash64("root", salt), F.lit(1 << 61))).alias("part")
-    left = rooted.join(wide, F.col("root") == F.col("r")).select(part((F.col("salt") % F.col("parts")).cast("long")), "doc_id", "set", "word", "root")
-    sets = found.select("set", "members").dropDuplicates(["set"])
-    ends = left.select(F.col("part").alias("to"), F.col("set").alias("named")).distinct().join(sets, F.col("named") == F.col("set")).select("to", F.col("named").alias("name"), F.col("members").alias("own"))
-    return left.groupBy("part").cogroup(ends.groupBy("to")).applyInArrow(_union, "doc_id long, class_id long, n_links long, first_word long")
+    first = named.groupBy("doc_id").agg(F.min("word").alias("first_word"))
+    return first.join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "first_word")
