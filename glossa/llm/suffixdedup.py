@@ -3,32 +3,34 @@
 Equal strings have to meet although no machine can hold all suffixes. Each LENGTH-byte window is keyed by the smallest
 hash of its GRAM-byte grams, which depends on the window's bytes alone, so equal windows share a key; consecutive windows
 that take their key from one gram form a run, and a run's bytes are a short string. Keys that occur once in the whole corpus can hold no
-repeated window, and those runs are never moved. The remaining distinct strings are dealt to shards by key. A shard
+repeated window, and those runs are never moved. All other strings, with every place where they stand, are dealt to shards
+by key, and nothing but the shards' suffix arrays decides what goes. A shard takes its strings in parts of whole keys, and
 
-* builds the suffix array of its strings by Larsson-Sadakane refinement (prefix doubling, sorting only groups that are
-  still tied, vectorised in numpy),
+* builds the suffix array of a part by Larsson-Sadakane refinement (prefix doubling, sorting only groups that are
+  still tied, vectorised in numpy) as far as windows reach,
 * takes common prefixes by Kasai's algorithm, in many lanes side by side,
 * reads groups of equal windows off the common prefixes and removes all but the earliest window.
 
-Keys with very many strings are split over several shards; the shards' sorted lists of distinct windows are then cut into
-merging tasks by content and merged by binary search, so the earliest window of all shards stays.
+Keys with more than SPLIT strings are split over several shards, whatever the strings; the shards' sorted lists of distinct
+windows are then cut into merging tasks by content and merged two by two by binary search, so the earliest window of all
+shards stays.
 
-A chunk of documents sends a repeated string once, with its other places attached (they are later, so they go whole).
 Decisions are judged on the input. All exchanges carry keys, candidate strings or places; the text itself is exchanged
 once, by chunk of doc_id.
 
 Defined results: a null text is an empty one (nothing to remove); strings never cross documents; rows with equal doc_id
-count in the order of their texts; rows without doc_id come after all others; an empty table gives no rows.
+count in the order of their texts; rows without doc_id come after all others, in the order of a hash of their texts; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,9 @@ from glossa.llm import common
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: A key with more occurrences is split over shards, one for each so many.
-SPLIT = 2048
+SPLIT = 256
+#: Bytes of strings that one suffix array takes, but for a key that has more.
+PART = 2 << 20
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -114,13 +118,15 @@ def runs(texts: list[bytes]):
 
 
 class Chunk:
-    """The rows of a chunk in their defined order."""
+    """The rows of a chunk in their defined order. tie orders rows without id."""
 
     def __init__(self, table: pa.Table):
         ids, texts = table.column("__id").to_pylist(), [t or b"" for t in table.column("__text").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
+        tie = [xxhash.xxh64_intdigest(t) >> 1 if i is None else 0 for i, t in zip(ids, texts, strict=True)]
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, tie[k], texts[k]))
         self.order, self.texts = order, [texts[k] for k in order]
         self.ids = np.array([LAST if ids[k] is None else ids[k] for k in order], np.int64)
+        self.tie = np.array([tie[k] for k in order], np.int64)
 
 
 def _blobs(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -181,7 +187,7 @@ def _repeated(key, table):
 
 
 def _strings(buckets: int, shards: int):
-    """The distinct strings of a chunk's runs whose key is repeated, with all their places, per shard."""
+    """The strings of a chunk's runs whose key is repeated, with their places, per shard."""
 
     def run(key, left, right):
         names = ["shard", "chunk", "data"]
@@ -193,67 +199,59 @@ def _strings(buckets: int, shards: int):
         often = np.concatenate([c for _, _, c in marks])
         order = np.argsort(known)
         known, often = known[order], often[order]
-        first: dict[bytes, int] = {}
-        reps, others = [], []  # places (key, occurrences, row, start, windows); (representative, row, start)
-        strings = []
+        held = []
         for doc, start, count, keys in runs(own.texts):
             name = (_bucket(keys, buckets).astype(np.uint64) << np.uint64(32)) | _short(keys).astype(np.uint64)
             at = np.minimum(np.searchsorted(known, name), len(known) - 1)
             hit = np.flatnonzero(known[at] == name)
-            for d, s, n, h, o in zip(doc[hit].tolist(), start[hit].tolist(), count[hit].tolist(), keys[hit].tolist(), often[at[hit]].tolist(), strict=True):
-                string = own.texts[d][s : s + n + LENGTH - 1]
-                k = first.setdefault(string, len(strings))
-                if k == len(strings):
-                    strings.append(string)
-                    reps.append((h, o, d, s, n))
-                else:
-                    others.append((k, d, s))
-        if not strings:
+            held.append((keys[hit], often[at[hit]].astype(np.int64), doc[hit], start[hit], count[hit]))
+        if not held:
             return _blobs([], names)
-        h, o, d, s, n = (np.array(c, t) for c, t in zip(zip(*reps, strict=True), (np.uint64, np.int64, np.int64, np.int64, np.int64), strict=True))
-        ways = -(-o // SPLIT)
-        salt = np.fromiter((zlib.crc32(x) for x in strings), np.int64, len(strings)) % np.maximum(ways, 1)
+        h, o, d, s, n = (np.concatenate([x[k] for x in held]) for k in range(5))
+        ways = np.maximum(-(-o // SPLIT), 1)
+        salt = (np.arange(len(h)) + chunk) % ways
         with np.errstate(over="ignore"):
             shard = (((h ^ salt.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(33)) % np.uint64(shards)
-        x = np.array(others, np.int64).reshape(-1, 3)
-        x = x[np.argsort(x[:, 0], kind="stable")]
         rows = []
-        for v, part in _split(shard.astype(np.int64)):
-            a, b = np.searchsorted(x[:, 0], part), np.searchsorted(x[:, 0], part, side="right")
-            more = np.concatenate([np.arange(i, j) for i, j in zip(a, b, strict=True)]) if (b > a).any() else np.zeros(0, np.int64)
-            flat = np.frombuffer(b"".join([strings[k] for k in part.tolist()]), np.uint8)
-            rows.append((v, chunk, _pack(h[part], (ways[part] > 1).astype(np.uint8), own.ids[d[part]], d[part].astype(np.uint32), s[part].astype(np.uint32), n[part].astype(np.uint8), (b - a).astype(np.uint32), x[more, 1].astype(np.uint32), x[more, 2].astype(np.uint32), flat)))
+        for v, p in _split(shard.astype(np.int64)):
+            # Equal strings side by side compress well.
+            p = p[np.lexsort((s[p], d[p], salt[p], h[p]))]
+            flat = b"".join([own.texts[i][j : j + k] for i, j, k in zip(d[p].tolist(), s[p].tolist(), (n[p] + LENGTH - 1).tolist(), strict=True)])
+            rows.append((v, chunk, _pack(h[p], salt[p].astype(np.uint32), (ways[p] > 1).astype(np.uint8), own.ids[d[p]], own.tie[d[p]], d[p].astype(np.uint32), s[p].astype(np.uint32), n[p].astype(np.uint8), np.frombuffer(flat, np.uint8))))
         return _blobs(rows, names)
 
     return run
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of the bytes and the rank of every suffix, by Larsson-Sadakane refinement: groups of suffixes
-    tied at a depth are sorted by the rank of the suffix that many bytes on, and only groups still tied are sorted again."""
+    tied at a depth are sorted by the rank of the suffix that many bytes on, and only groups still tied are sorted again.
+    The bytes may be several strings (ends: for each byte the end of its own), each closed by a sign of its own that is
+    lower than any byte, those of earlier strings lower than later ones'."""
     n = len(text)
-    key = np.zeros(n + 8, np.uint64)
-    key[:n] = text
-    for width in (1, 2, 4):
-        key[: n + 8 - width] = (key[: n + 8 - width] << np.uint64(8 * width)) | key[width:]
-    # Suffixes shorter than the depth come before those that continue with zero bytes.
-    short = np.minimum(n - np.arange(n), 8).astype(np.uint8)
-    order = np.lexsort((short, key[:n])) if n < 8 or (text[-8:] == 0).any() else np.argsort(key[:n], kind="stable")
+    at = np.arange(n)
+    ends = np.full(n, n) if ends is None else ends
+    left = ends - at
+    string = np.cumsum(np.append(np.zeros(1, np.int64), ends[1:] != ends[:-1])) if n else at
+    strings = int(string[-1]) + 1 if n else 0
+    depth = 7
+    key = np.zeros(n + depth, np.uint64)
+    for k in range(depth):
+        key[:n] = key[:n] << np.uint64(8) | np.where(k < left, np.append(text[k:], np.zeros(min(k, n), np.uint8)), 0).astype(np.uint64)
+    key = key[:n] << np.uint64(8) | np.minimum(left, depth).astype(np.uint64)
+    order = np.argsort(key)
     lead = np.ones(n, bool)
-    lead[1:] = (key[order[1:]] != key[order[:-1]]) | (short[order[1:]] != short[order[:-1]])
+    lead[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.zeros(n, np.int64)
-    group = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
-    rank[order] = group
-    depth = 8
+    rank[order] = np.maximum.accumulate(np.where(lead, at, 0))
     while True:
         tied = ~lead | np.append(~lead[1:], False)
         slots = np.flatnonzero(tied)
-        if not len(slots) or depth >= n:
+        if not len(slots):
             return order, rank
         own = order[slots]
-        ahead = own + depth
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        sub = np.argsort(rank[own] * np.int64(n + 1) + second, kind="stable")
+        second = np.where(left[own] > depth, strings + rank[np.minimum(own + depth, n - 1)], string[own])
+        sub = np.argsort(rank[own] * np.int64(n + strings + 1) + second)
         own, second = own[sub], second[sub]
         first = rank[own]
         order[slots] = own
@@ -264,23 +262,24 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         depth *= 2
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 128, lane: int = 256) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray | None = None, most: int = 128, lane: int = 256) -> np.ndarray:
     """Kasai's common prefixes of each suffix with the one before it in the array, up to most bytes. The text is walked in
     lanes side by side; a lane begins without a known prefix and then loses at most one byte from place to place."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    ends = np.full(n, n) if ends is None else ends
+    # How far a common prefix can reach: to the end of either string.
+    reach = np.where(before >= 0, np.minimum(np.minimum(ends - np.arange(n), ends[before] - before), most), 0)
     out = np.zeros(n, np.int64)
     at = np.arange(0, n, lane)
     stop = np.minimum(at + lane, n)
     have = np.zeros(len(at), np.int64)
-    padded = np.concatenate((text.astype(np.int16), np.full(most + 1, -1, np.int16)))
     while len(at):
-        other = before[at]
-        i, j = at + have, np.maximum(other, 0) + have
-        more = (other >= 0) & (have < most) & (np.maximum(i, j) < n) & (padded[np.minimum(i, n)] == padded[np.minimum(j, n)])
+        more = have < reach[at]
+        more[more] = text[at[more] + have[more]] == text[before[at[more]] + have[more]]
         done = ~more
-        out[at[done]] = np.where(other[done] >= 0, have[done], 0)
+        out[at[done]] = have[done]
         have = np.where(more, have + 1, np.maximum(have - 1, 0))
         at = at + done
         live = at < stop
@@ -289,29 +288,25 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 128, lane:
     return out
 
 
-def _later(strings: list[bytes], count: np.ndarray, place: np.ndarray):
-    """Windows of distinct strings that have an earlier equal. place: order of each string's first window; windows of a
-    string follow it. Gives flags over all windows, their offsets by string, and the first window of each equal group."""
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    begin = np.cumsum(size) - size
-    base = np.cumsum(count) - count
+def _later(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, place: np.ndarray):
+    """Windows of strings (of count windows each, from begin on) that have an earlier equal. place: order of each string's
+    first window; windows of a string follow it. Gives flags over all windows, their strings and offsets, and their ranks."""
     total = int(count.sum())
-    owner = np.repeat(np.arange(len(strings)), count)
-    offset = np.arange(total) - base[owner]
+    owner = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(total) - (np.cumsum(count) - count)[owner]
     position = begin[owner] + offset
-    order, _ = suffix_array(flat)
-    prefix = common_prefixes(flat, order)
+    ends = np.repeat(begin + count + LENGTH - 1, count + LENGTH - 1)
+    order, rank = suffix_array(flat, ends)
+    prefix = common_prefixes(flat, order, ends)
     group = np.zeros(len(flat), np.int64)
     group[order] = np.cumsum(prefix[order] < LENGTH)
     mine = group[position]
-    rank = place[owner] + offset
-    by = np.lexsort((rank, mine))
+    by = np.lexsort((place[owner] + offset, mine))
     head = np.ones(total, bool)
     head[1:] = mine[by][1:] != mine[by][:-1]
     later = np.zeros(total, bool)
     later[by[~head]] = True
-    return later, owner, offset, position, flat
+    return later, owner, offset, position, rank[position]
 
 
 def _spans(chunk: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray):
@@ -320,97 +315,131 @@ def _spans(chunk: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndar
         yield c, c, _pack(row[part].astype(np.uint32), start[part].astype(np.uint32), count[part].astype(np.uint32))
 
 
+def _content(windows: np.ndarray) -> np.ndarray:
+    """A hash of each row of LENGTH bytes."""
+    h = np.zeros(len(windows), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, LENGTH - LENGTH % 8, 8):
+            h = (h ^ np.ascontiguousarray(windows[:, k : k + 8]).view("<u8").ravel()) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        for k in range(LENGTH - LENGTH % 8, LENGTH):
+            h = (h ^ windows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    return h >> np.uint64(20)
+
+
 def _shard(routes: int):
     def run(key, table):
         chunks = table.column("chunk").to_pylist()
         parts = [_unpack(d) for d in table.column("data").to_pylist()]
         chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
-        h, hot, ids, row, start, count, copies = (np.concatenate([p[k] for p in parts]) for k in range(7))
-        row, start, count, copies = row.astype(np.int64), start.astype(np.int64), count.astype(np.int64), copies.astype(np.int64)
-        # Further places of a string in its chunk are later than the one that was sent: they go whole.
-        there = np.repeat(np.arange(len(h)), copies)
-        gone = [(chunk[there], np.concatenate([p[7] for p in parts]).astype(np.int64), np.concatenate([p[8] for p in parts]).astype(np.int64), count[there])]
-        strings: list[bytes] = []
-        for p in parts:
-            flat, at = p[9].tobytes(), np.concatenate(([0], np.cumsum(p[5].astype(np.int64) + LENGTH - 1))).tolist()
-            strings += [flat[i:j] for i, j in zip(at, at[1:])]
-        # Places in their defined order; equal strings of several chunks: the earliest stays.
-        order = np.lexsort((start, row, chunk, ids))
-        seen: dict[bytes, int] = {}
-        kept = []
-        drop = []
-        for k in order.tolist():
-            (kept if seen.setdefault(strings[k], k) == k else drop).append(k)
-        drop = np.array(drop, np.int64)
-        gone.append((chunk[drop], row[drop], start[drop], count[drop]))
-        kept = np.array(kept, np.int64)
-        # Strings alone with their key hold no repeated window, unless other shards have the key too.
-        _, inverse, alike = np.unique(h[kept], return_inverse=True, return_counts=True)
-        kept = kept[(alike[inverse] > 1) | (hot[kept] > 0)]
-        rows = []
-        if len(kept):
-            # Windows of one document that belong to several strings still compare by document and start.
-            _, doc = np.unique(np.stack((ids[kept], chunk[kept], row[kept]), axis=1), axis=0, return_inverse=True)
-            place = doc.ravel().astype(np.int64) * np.int64(1 << 32) + start[kept]
-            later, owner, offset, position, flat = _later([strings[k] for k in kept.tolist()], count[kept], place)
+        h, salt, hot, ids, tie, row, start, count = (np.concatenate([p[k] for p in parts]) for k in range(8))
+        row, start, count = row.astype(np.int64), start.astype(np.int64), count.astype(np.int64)
+        flat = np.concatenate([p[8] for p in parts])
+        del parts
+        size = count + LENGTH - 1
+        begin = np.cumsum(size) - size
+        # Windows of one document that belong to several strings still compare by document and start.
+        by = np.lexsort((row, chunk, tie, ids))
+        new = np.ones(len(by), np.int64)
+        new[1:] = (row[by[1:]] != row[by[:-1]]) | (chunk[by[1:]] != chunk[by[:-1]]) | (ids[by[1:]] != ids[by[:-1]])
+        place = np.zeros(len(by), np.int64)
+        place[by] = np.cumsum(new) << 32
+        place += start
+        # Parts of whole keys.
+        order = np.lexsort((salt, h))
+        edge = np.ones(len(order), bool)
+        edge[1:] = (h[order[1:]] != h[order[:-1]]) | (salt[order[1:]] != salt[order[:-1]])
+        first = np.flatnonzero(edge)
+        group_of = np.cumsum(edge) - 1
+        alone = np.diff(np.append(first, len(order))) == 1
+        reach = np.concatenate(([0], np.cumsum(size[order])))
+        gone, alive, cut = [], [], 0
+        while cut < len(first):
+            end = max(cut + 1, int(np.searchsorted(reach[first], reach[first[cut]] + PART, side="right")) - 1)
+            own = order[first[cut] : first[end] if end < len(first) else len(order)]
+            # A string alone with its key holds no repeated window, unless other shards have the key too.
+            own = own[~alone[group_of[first[cut] : first[cut] + len(own)]] | (hot[own] > 0)]
+            cut = end
+            if not len(own):
+                continue
+            n = size[own]
+            text = flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            later, owner, offset, position, rank = _later(text, np.cumsum(n) - n, count[own], place[own])
             at = np.flatnonzero(later)
-            w = kept[owner[at]]
-            gone.append((chunk[w], row[w], start[w] + offset[at], np.ones(len(at), np.int64)))
-            alive = np.flatnonzero(~later & (hot[kept][owner] > 0))
-            if len(alive):  # to be merged with other shards' windows, by content
-                windows = flat[position[alive][:, None] + np.arange(LENGTH)[None, :]]
-                w = kept[owner[alive]]
-                route = np.fromiter((zlib.crc32(x.tobytes()) for x in windows), np.int64, len(windows)) % routes
-                for r, part in _split(route):
-                    own = np.sort(part)
-                    text = windows[own]
-                    text = text[np.lexsort(text.T[::-1])] if len(own) > 1 else text
-                    own = own[np.lexsort(windows[own].T[::-1])] if len(own) > 1 else own
-                    rows.append((r, -1, _pack(chunk[w[own]], ids[w[own]], row[w[own]], start[w[own]] + offset[alive[own]], text.ravel())))
-        c, r, s, n = (np.concatenate([g[k] for g in gone]) for k in range(4))
-        rows += list(_spans(c, r, s, n))
-        return _blobs([(int(a) % routes, int(b), d) for a, b, d in rows], ["route", "chunk", "data"])
+            if len(at):
+                head = np.ones(len(at), bool)
+                head[1:] = (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])
+                at, length = at[head], np.diff(np.append(np.flatnonzero(head), len(at)))
+                w = own[owner[at]]
+                gone.append((chunk[w], row[w], start[w] + offset[at], length))
+            left = np.flatnonzero(~later & (hot[own][owner] > 0))
+            if len(left):  # to be merged with other shards' windows, by content
+                windows = text[position[left][:, None] + np.arange(LENGTH)[None, :]]
+                w = own[owner[left]]
+                alive.append((chunk[w], ids[w], tie[w], row[w], start[w] + offset[left], rank[left], windows))
+        rows = []
+        for c, i, t, r, s, rank, windows in alive:
+            for route, p in _split((_content(windows) % np.uint64(routes)).astype(np.int64)):
+                p = p[np.argsort(rank[p])]
+                rows.append((route, -1, _pack(c[p], i[p], t[p], r[p], s[p], windows[p].ravel())))
+        if gone:
+            c, r, s, n = (np.concatenate([g[k] for g in gone]) for k in range(4))
+            rows += [(a % routes, b, d) for a, b, d in _spans(c, r, s, n)]
+        return _blobs([(int(a), int(b), d) for a, b, d in rows], ["route", "chunk", "data"])
 
     return run
 
 
+class Sorted:
+    """A sorted list of distinct windows, each with its earliest known place (chunk, id, tie, row, start)."""
+
+    def __init__(self, names: np.ndarray, place: list[np.ndarray]):
+        self.names, self.place = names, place
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows stand or would be put, and which are there."""
+        at = np.searchsorted(self.names, names)
+        return at, self.names[np.minimum(at, len(self.names) - 1)] == names
+
+    def merged(self, other: Sorted) -> Sorted:
+        """Both lists' windows, by binary search of the other's in this one."""
+        at, same = self.find(other.names)
+        mine, theirs = at[same], np.flatnonzero(same)
+        sooner, tied = np.zeros(len(mine), bool), np.ones(len(mine), bool)
+        for c in (1, 2, 0, 3, 4):  # id, tie, chunk, row, start
+            a, b = self.place[c][mine], other.place[c][theirs]
+            sooner |= tied & (b < a)
+            tied &= a == b
+        place = []
+        for a, b in zip(self.place, other.place, strict=True):
+            best = a.copy()
+            best[mine[sooner]] = b[theirs[sooner]]
+            place.append(np.insert(best, at[~same], b[~same]))
+        return Sorted(np.insert(self.names, at[~same], other.names[~same]), place)
+
+
 def _merge(key, table):
-    """Merges sorted lists of windows by binary search; all but the earliest of equal ones go. Other rows pass."""
+    """Merges sorted lists of windows two by two; all but the earliest of equal ones go. Other rows pass."""
     rows, lists = [], []
     for chunk, data in zip(table.column("chunk").to_pylist(), table.column("data").to_pylist(), strict=True):
         if chunk >= 0:
             rows.append((chunk, data))
-        else:
-            lists.append(_unpack(data))
-    if lists:
+            continue
+        *place, text = _unpack(data)
         # A closing byte keeps zero bytes at the end of a window significant.
-        named = [np.concatenate((x[4].reshape(-1, LENGTH), np.ones((len(x[0]), 1), np.uint8)), axis=1).view(f"S{LENGTH + 1}").ravel() for x in lists]
-        best = [[x[k].copy() for k in range(4)] for x in lists]  # the earliest known place of each window
-        for i in range(len(lists)):
-            for j in range(i):
-                at = np.minimum(np.searchsorted(named[j], named[i]), len(named[j]) - 1)
-                same = np.flatnonzero(named[j][at] == named[i])
-                if len(same):
-                    a, b = [c[same] for c in best[i]], [c[at[same]] for c in best[j]]
-                    sooner, tied = np.zeros(len(same), bool), np.ones(len(same), bool)
-                    for c in (1, 0, 2, 3):  # id, chunk, row, start
-                        sooner |= tied & (b[c] < a[c])
-                        tied &= b[c] == a[c]
-                    for c in range(4):
-                        least = np.where(sooner, b[c], a[c])
-                        best[i][c][same] = least
-                        best[j][c][at[same]] = least
-        # Earliest places travel from list to list; a second turn brings the last ones back to the first lists.
-        for i in range(len(lists)):
-            for j in range(i + 1, len(lists)):
-                at = np.minimum(np.searchsorted(named[j], named[i]), len(named[j]) - 1)
-                same = np.flatnonzero(named[j][at] == named[i])
-                if len(same):
-                    for c in range(4):
-                        best[i][c][same] = best[j][c][at[same]]
-        for x, b in zip(lists, best, strict=True):
-            out = np.flatnonzero((x[0] != b[0]) | (x[1] != b[1]) | (x[2] != b[2]) | (x[3] != b[3]))
-            rows += [(c, d) for _, c, d in _spans(x[0][out].astype(np.int64), x[2][out], x[3][out], np.ones(len(out), np.int64))]
+        names = np.concatenate((text.reshape(-1, LENGTH), np.ones((len(place[0]), 1), np.uint8)), axis=1).view(f"S{LENGTH + 1}").ravel()
+        lists.append(Sorted(names, [p.astype(np.int64) for p in place]))
+    if lists:
+        level = lists
+        while len(level) > 1:
+            level = sorted(level, key=lambda x: len(x.names))
+            level = [b.merged(a) for a, b in zip(level[::2], level[1::2], strict=False)] + level[len(level) - len(level) % 2 :]
+        for x in lists:
+            at, _ = level[0].find(x.names)
+            out = np.zeros(len(at), bool)
+            for a, b in zip(x.place, level[0].place, strict=True):
+                out |= a != b[at]
+            rows += [(c, d) for _, c, d in _spans(*(x.place[c][out] for c in (0, 3, 4)), np.ones(int(out.sum()), np.int64))]
     return _blobs(rows, ["chunk", "data"])
 
 
@@ -445,18 +474,19 @@ def keep(text: bytes, spans: np.ndarray) -> bytes:
 def _applied(docs: DataFrame, id_col: str, text_col: str, rest: list[str], finish, schema):
     """The whole plan; finish(chunk's table, Chunk, spans) makes the result of a chunk."""
     n = common.partitions_for(docs)
+    buckets = common.buckets_for(n)
     frame = docs.select(
         common.chunk_of(id_col, text_col, n),
         F.col(id_col).cast("long").alias("__id"),
         F.col(text_col).cast("string").cast("binary").alias("__text"),
         *(F.col(c).alias(f"__c{k}") for k, c in enumerate(rest)),
     )
-    chunks = frame.groupBy("chunk")
-    keys = chunks.applyInArrow(_keys(n), "bucket int, chunk int, data binary")
-    marks = keys.groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
-    strings = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(_strings(n, 2 * n), "shard int, chunk int, data binary")
-    routed = strings.groupBy("shard").applyInArrow(_shard(n), "route int, chunk int, data binary")
-    spans = routed.groupBy("route").applyInArrow(_merge, "chunk int, data binary")
+    chunks = frame.repartition(n, "chunk").groupBy("chunk")
+    keys = chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket")
+    marks = keys.groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary").repartition(n, "chunk")
+    strings = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(_strings(buckets, 2 * buckets), "shard int, chunk int, data binary").repartition(2 * buckets, "shard")
+    routed = strings.groupBy("shard").applyInArrow(_shard(buckets), "route int, chunk int, data binary").repartition(buckets, "route")
+    spans = routed.groupBy("route").applyInArrow(_merge, "chunk int, data binary").repartition(n, "chunk")
 
     def end(key, left, right):
         own = Chunk(left)
