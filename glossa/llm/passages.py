@@ -8,15 +8,15 @@ joined: where they meet, the pair of minima is one signature of all passages bet
 in 80 % of their shingles share it with a probability of 0.64, one of BANDS pairs of functions with 0.994; passages that
 have little more than a common phrase hardly ever do.
 
-Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature, those
-of equal content as one class, of which a chunk sends one member (it links its own members itself). Classes of a signature
-are compared in blocks over tasks, except where both are known to be linked and in one component already. Two are linked if
-around their common shingle
+Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature, first
+inside the chunk, then over all chunks: those that hold an equal SPAN-long passage (told by hashes of some of their passages,
+chosen by the passages' own hashes) are joined without a comparison, and one window of a chunk's joined ones goes on. What
+isn't joined yet is compared in blocks over tasks. Two windows are linked if around their common shingle
 
 * they hold SPAN-long passages that share 80 % (Jaccard of the sets of shingles, in whatever order), or
 * they hold longer passages of any two lengths that do, shingles in one order (insertions and deletions); for this, REACH
-  shingles to either side of the class's first member are looked at. Of a longer pair of passages that share 80 %, a part
-  that reaches so far does too, because shared and unshared shingles add up over parts.
+  shingles to either side are looked at. Of a longer pair of passages that share 80 %, a part that reaches so far does too,
+  because shared and unshared shingles add up over parts.
 
 In a large group pairs that share too few shingles are left out by their rarest ones; none are left out otherwise.
 
@@ -38,6 +38,8 @@ from glossa.llm.simhash import Stars
 from glossa.llm.suffixdedup import _blobs, _bucket, _pack, _repeated, _short, _split, _unpack
 
 SHINGLE, SPAN, BANDS, REACH = 5, 46, 5, 100
+#: Of so many neighbouring passages one is chosen at least.
+CHOICE = 8
 #: Shared shingles that make 0.8 of the union of two SPAN-long passages without repetition.
 ENOUGH = -(-8 * 2 * SPAN // 18)
 #: Classes of a group that one task compares with as many others, and of a group that are all compared without looking at
@@ -50,6 +52,10 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
 
+#: An odd factor for each function.
+_ODD = [(_BASE * (2 * k + 1) ^ (k * 0x632BE59BD9B4E019)) & (2**64 - 1) | 1 for k in range(2 * BANDS)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
@@ -87,19 +93,19 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     return [h[a : max(a, b - SHINGLE + 1)] for a, b in zip(first.tolist(), stops.tolist(), strict=True)]
 
 
-def _minima(v: np.ndarray) -> np.ndarray:
-    """The smallest of every SPAN in a row."""
+def _minima(v: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """The smallest of every span in a row."""
     low, width = v, 1
-    while 2 * width <= SPAN:
+    while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    return np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
+    return np.minimum(low[: len(low) - (span - width)], low[span - width :]) if width < span else low
 
 
 def windows(x: list[np.ndarray]):
-    """(document, centre, signature, first, last, steps) of every joint window of several documents, band by band: the
-    centre holds the first function's minimum, first and last are content hashes of the first and last SPAN-long
-    subsequence, steps how far these start before the centre."""
+    """(document, centre, signature, steps, first choice, end of choices, choices) of every joint window of several
+    documents, band by band: the centre holds the first function's minimum; steps say how far before the centre the first
+    and the last of its SPAN-long passages start; choices are hashes of some of the passages of all windows."""
     size = np.array([len(s) for s in x])
     ends = np.cumsum(size)
     flat = np.concatenate(x) if len(x) else np.zeros(0, np.uint64)
@@ -112,10 +118,19 @@ def windows(x: list[np.ndarray]):
     power, inverse = _powers(len(flat) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * power[: len(flat)])))
-        content = _short(_mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92))
+        content = _mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92)
+    chosen = np.zeros(n, bool)
+    if n >= CHOICE:
+        least = _minima(content, CHOICE)
+        for k in range(CHOICE):
+            chosen[k : k + len(least)] |= content[k : k + len(least)] == least
+    upto = np.concatenate(([0], np.cumsum(chosen)))
+    choices = _short(content[chosen])
     for f in range(BANDS):
         begin, both = border.copy(), []
-        for v in (_mix(flat, 2 * f), _mix(flat, 2 * f + 1)):
+        for k in (2 * f, 2 * f + 1):
+            with np.errstate(over="ignore"):
+                v = (flat * np.uint64(_ODD[k]) >> np.uint64(32)).astype(np.uint32)
             low = _minima(v)
             # A run ends where the minimum changes or its place leaves the window.
             begin[1:] |= (low[1:] != low[:-1]) | (v[: n - 1] == low[: n - 1])
@@ -129,8 +144,8 @@ def windows(x: list[np.ndarray]):
         centre = _first_minimum(v, low[s], s)
         steps = ((centre - s) << 8 | (centre - e + 1)).astype(np.uint16)
         with np.errstate(over="ignore"):
-            sig = _mix(low[s] + _mix(other[s], 200) * np.uint64(3), 50 + f)
-        yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, content[s], content[e - 1], steps
+            sig = _mix(flat[centre] + other[s] * np.uint64(_BASE), 50 + f)
+        yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, steps, upto[s], upto[e], choices
 
 
 def _first_minimum(v: np.ndarray, low: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -183,9 +198,28 @@ def _keys(buckets: int):
     return run
 
 
+def _ragged(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each first to its end."""
+    n = end - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _joined(sig: np.ndarray, count: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """The first window of each window's component: windows of one signature that share a choice are joined. sig must be
+    ascending."""
+    owner = np.repeat(np.arange(len(sig)), count)
+    group = np.cumsum(np.append(np.zeros(1, np.int64), sig[1:] != sig[:-1])) if len(sig) else sig
+    order = np.lexsort((owner, choice, group[owner]))
+    o, c = owner[order], choice[order]
+    same = np.flatnonzero((c[1:] == c[:-1]) & (group[o[1:]] == group[o[:-1]]))
+    stars = Stars(len(sig))
+    stars.add(o[same + 1], o[same])
+    return stars.flush()
+
+
 def _met(buckets: int, spelled: bool):
-    """The windows of a chunk whose signature occurs again, per bucket: one member (that of the smallest id) of those with
-    equal content, and whether there are others, whose links are a row of bucket -1; or all members (spelled)."""
+    """The windows of a chunk whose signature occurs again, per bucket: of joined ones that of the smallest id, with its own
+    choices and those that several share; links among them are a row of bucket -1. Or all windows (spelled)."""
 
     def run(key, left, right):
         names = ["bucket", "chunk", "data"]
@@ -195,28 +229,42 @@ def _met(buckets: int, spelled: bool):
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | _unpack(d)[0].astype(np.uint64) for b, d in zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True)]))
         held, own = [], Chunk(left)
         all_ids = np.array([0 if i is None else i for i in own.ids], np.int64)
-        for doc, centre, keys, *more in own.windows():
+        for doc, centre, keys, steps, a, b, choices in own.windows():
             name = (_bucket(keys, buckets).astype(np.uint64) << np.uint64(32)) | _short(keys).astype(np.uint64)
-            hit = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
-            held.append((keys[hit], doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), *(m[hit] for m in more)))
+            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name)
+            if len(hit):
+                held.append((keys[hit], doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), steps[hit], (b - a)[hit], choices[_ragged(a[hit], b[hit])]))
         if not held:
             return _blobs([], names)
-        keys, doc, centre, first, last, steps = (np.concatenate([h[k] for h in held]) for k in range(6))
-        ids, linked, rows = all_ids[doc], np.zeros(len(keys), np.uint8), []
-        if len(keys) and not spelled:
-            order = np.lexsort((centre, doc, ids, steps, last, first, keys))
-            keys, doc, centre, first, last, steps, ids = (x[order] for x in (keys, doc, centre, first, last, steps, ids))
-            edge = np.ones(len(keys), bool)
-            edge[1:] = (keys[1:] != keys[:-1]) | (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (steps[1:] != steps[:-1])
-            at = np.flatnonzero(edge)
-            size = np.diff(np.append(at, len(keys)))
-            linked = (ids[at] != ids[at + size - 1]).astype(np.uint8)
-            member = np.repeat(linked > 0, size)
+        keys, doc, centre, steps, count, choice = (np.concatenate([h[k] for h in held]) for k in range(6))
+        ids = all_ids[doc]
+        order = np.lexsort((centre, doc, ids, keys))
+        first = np.cumsum(count) - count
+        choice = choice[_ragged(first[order], (first + count)[order])]
+        keys, doc, centre, steps, count, ids = (x[order] for x in (keys, doc, centre, steps, count, ids))
+        linked, rows = np.zeros(len(keys), np.uint8), []
+        if not spelled:
+            # The first of a component has its smallest id.
+            root = _joined(keys, count, choice)
+            high = ids.copy()
+            np.maximum.at(high, root, ids)
+            linked = (high[root] != ids[root]).astype(np.uint8)
+            member = linked > 0
             if member.any():
-                rows.append((-1, chunk, _told(ids[member], np.repeat(ids[at], size)[member], centre[member].astype(np.int64) - (steps[member] >> 8))))
-            keys, doc, centre, first, last, steps, ids = (x[at] for x in (keys, doc, centre, first, last, steps, ids))
-        columns = (doc, centre, first, last, steps, linked, ids)
-        rows += [(b, chunk, _pack(_short(keys[p]), *(c[p] for c in columns))) for b, p in _split(_bucket(keys, buckets))]
+                rows.append((-1, chunk, _told(ids[member], ids[root[member]], centre[member])))
+            owner = np.repeat(np.arange(len(keys)), count)
+            kept = root[owner] == owner
+            by = np.lexsort((choice, root[owner]))
+            twice = np.zeros(len(owner), bool)
+            twice[by[1:]] = (choice[by[1:]] == choice[by[:-1]]) & (root[owner[by[1:]]] == root[owner[by[:-1]]])
+            pair = np.unique(np.stack((root[owner], choice), axis=1)[kept | twice], axis=0) if len(owner) else np.zeros((0, 2), np.int64)
+            at = np.flatnonzero(root == np.arange(len(root)))
+            count = np.bincount(pair[:, 0], minlength=len(keys))[at]
+            choice = pair[:, 1].astype(np.uint32)
+            keys, doc, centre, steps, linked, ids = (x[at] for x in (keys, doc, centre, steps, linked, ids))
+        first = np.cumsum(count) - count
+        for b, p in _split(_bucket(keys, buckets)):
+            rows.append((b, chunk, _pack(_short(keys[p]), doc[p], centre[p], steps[p], linked[p], ids[p], count[p].astype(np.uint32), choice[_ragged(first[p], (first + count)[p])])))
         return _blobs(rows, names)
 
     return run
@@ -231,58 +279,70 @@ def _told(ids: np.ndarray, low: np.ndarray, word: np.ndarray) -> bytes:
     return _pack(ids[keep], low[keep], word[keep].astype(np.uint32))
 
 
-def _places(bucket: int, buckets: int, key: int, classes: int) -> list[tuple[int, int, int]]:
-    """(task, piece, piece) for each pair of BLOCK-long pieces of a signature's classes."""
-    pieces, name = -(-classes // BLOCK), (bucket << 32 | key) * 0x9E3779B97F4A7C15
+def _places(bucket: int, buckets: int, key: int, part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(task, piece, piece) for each pair of BLOCK-long pieces of a signature's windows, but for those of one component
+    (part, ascending)."""
+    pieces, name = -(-len(part) // BLOCK), (bucket << 32 | key) * 0x9E3779B97F4A7C15
     mixed = lambda i, j: ((name + (i << 24 | j)) * 0xD6E8FEB86659FD93 & (2**64 - 1)) >> 3
-    return [(buckets + mixed(i, j), i, j) for i in range(pieces) for j in range(i, pieces)]
+    low, high = part[::BLOCK], part[np.minimum(np.arange(pieces) * BLOCK + BLOCK, len(part)) - 1]
+    return [(buckets + mixed(i, j), i, j) for i in range(pieces) for j in range(i, pieces) if not low[i] == high[i] == low[j] == high[j]]
 
 
-def _groups(buckets: int):
-    """Windows of equal content become one class under their signature. For each class of a group of several the first
-    member's chunk is asked for the text around its centre; the members of all chunks go along, to every task that compares
-    the class with others. Groups of one document are left out; classes alone with their signature need no text."""
+def _groups(buckets: int, spelled: bool):
+    """Joins the windows of all chunks; links of joined ones are a row of chunk -1. For each window of a group that isn't
+    all joined its chunk is asked for the text around its centre, to every task that compares it with others. Groups of one
+    document are left out."""
 
     def run(key, table):
         bucket, names = key[0].as_py(), ["chunk", "task", "data"]
-        chunks = table.column("chunk").to_pylist()
         parts = [_unpack(d) for d in table.column("data").to_pylist()]
-        chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
-        sig, doc, centre, first, last, steps, linked, ids = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(8))
-        order = np.lexsort((centre, doc, chunk, steps, last, first, sig))
-        chunk, sig, doc, centre, first, last, steps, linked, ids = (x[order] for x in (chunk, sig, doc, centre, first, last, steps, linked, ids))
+        chunk = np.repeat(np.array(table.column("chunk").to_pylist(), np.int64), [len(p[0]) for p in parts])
+        sig, doc, centre, steps, linked, ids, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(7))
+        choice = np.concatenate([p[7] for p in parts])
+        order = np.lexsort((centre, doc, chunk, ids, sig))
+        first = np.cumsum(count) - count
+        choice = choice[_ragged(first[order], (first + count)[order])]
+        chunk, sig, doc, centre, steps, linked, ids, count = (x[order] for x in (chunk, sig, doc, centre, steps, linked, ids, count))
+        back, front = steps >> 8, steps & 255
+        root, rows = np.arange(len(sig)) if spelled else _joined(sig, count, choice), []
+        high, any_ = ids.copy(), linked.copy()
+        np.maximum.at(high, root, ids)
+        np.maximum.at(any_, root, linked)
+        linked = ((high[root] != ids[root]) | (any_[root] > 0)).astype(np.uint8)
+        if linked.any():
+            k = np.flatnonzero(linked)
+            rows.append((-1, 0, _told(ids[k], ids[root[k]], centre[k])))
+        # Windows by group and component, the largest component first.
+        size = np.bincount(root, minlength=len(sig))[root]
+        order = np.lexsort((root, -size, sig))
+        chunk, sig, doc, centre, back, front, linked, ids, root = (x[order] for x in (chunk, sig, doc, centre, back, front, linked, ids, root))
         edge = np.ones(len(sig), bool)
-        group = np.ones(len(sig), bool)
-        group[1:] = sig[1:] != sig[:-1]
-        edge[1:] = group[1:] | (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (steps[1:] != steps[:-1])
-        at = np.flatnonzero(edge)
-        sizes = np.diff(np.append(at, len(sig)))
-        starts = np.searchsorted(at, np.flatnonzero(group))
-        width = np.diff(np.append(starts, len(at)))
-        rows = []
-        if len(at):
-            begin = at[starts]
-            several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
-            several |= (width > 1) & (np.maximum.reduceat(linked, begin) > 0)
+        edge[1:] = sig[1:] != sig[:-1]
+        starts = np.flatnonzero(edge)
+        width = np.diff(np.append(starts, len(sig)))
+        if len(sig):
+            low, high = (f.reduceat(x, starts) for f, x in ((np.minimum, root), (np.maximum, root)))
+            several = (low != high) & ((np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)) | (np.maximum.reduceat(linked, starts) > 0))
             small = np.flatnonzero(np.repeat(several & (width <= BLOCK), width))
             wanted = [(bucket, small, 0)] if len(small) else []
             for g in np.flatnonzero(several & (width > BLOCK)).tolist():
                 x, y = int(starts[g]), int(starts[g] + width[g])
-                for task, i, j in _places(bucket, buckets, int(sig[at[x]]), y - x):
+                for task, i, j in _places(bucket, buckets, int(sig[x]), _ranked(root[x:y])):
                     wanted += [(task, np.arange(x + k * BLOCK, min(y, x + (k + 1) * BLOCK)), side) for side, k in enumerate((i, j) if i < j else (i,))]
-            alone = np.repeat(width == 1, width)
-            back, front = steps >> 8, steps & 255
             for task, c, side in wanted:
-                for to, p in _split(chunk[at[c]]):
+                for to, p in _split(chunk[c]):
                     k = c[p]
-                    n = sizes[k]
-                    flat = np.repeat(at[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    rows.append((to, task, _pack(sig[at[k]].astype(np.uint32), np.full(len(k), side, np.uint8), doc[at[k]].astype(np.uint32), centre[at[k]].astype(np.uint32), (~alone[k]).astype(np.uint8), back[at[k]].astype(np.uint8), front[at[k]].astype(np.uint8), n.astype(np.uint32), linked[flat].astype(np.uint8), ids[flat], (centre - back)[flat].astype(np.uint32))))
+                    rows.append((to, task, _pack(sig[k].astype(np.uint32), np.full(len(k), side, np.uint8), doc[k].astype(np.uint32), centre[k].astype(np.uint32), back[k].astype(np.uint8), front[k].astype(np.uint8), linked[k].astype(np.uint8), root[k].astype(np.uint32), ids[k])))
         return _tasks(rows, names)
 
     return run
 
 
+def _ranked(root: np.ndarray) -> np.ndarray:
+    """Numbers of components in the order in which they come."""
+    return np.cumsum(np.append(np.zeros(1, np.int64), root[1:] != root[:-1]))
+
+
 def _tasks(rows: list[tuple], names: list[str]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[]] * len(names)
     kinds = {"data": pa.binary(), "chunk": pa.int32(), "task": pa.int64()}
@@ -298,20 +358,16 @@ def _sequences(own: Chunk, wanted: set[int]) -> dict[int, np.ndarray]:
 
 
 def _answers(key, left, right):
-    """Adds the short hashes of the shingles around the centre to each class that was asked for."""
+    """Adds the short hashes of the shingles around the centre to each window that was asked for."""
     if not left.num_rows or not right.num_rows:
         return _tasks([], ["task", "data"])
     own, asked = Chunk(left), [_unpack(d) for d in right.column("data").to_pylist()]
-    x = _sequences(own, {int(r) for q in asked for r in q[2][q[4] > 0]})
+    x = _sequences(own, {int(r) for q in asked for r in q[2]})
     rows = []
     for task, q in zip(right.column("task").to_pylist(), asked, strict=True):
-        texts, left_ = [], np.minimum(q[3], REACH).astype(np.uint8)
-        length = np.zeros(len(q[0]), np.uint8)
-        for k, (d, c, yes) in enumerate(zip(q[2].tolist(), q[3].tolist(), q[4].tolist(), strict=True)):
-            if yes:
-                texts.append(_short(x[d][max(0, c - REACH) : c + REACH + 1]))
-                length[k] = len(texts[-1])
-        rows.append((task, _pack(q[0], q[1], length, left_, *q[5:], np.concatenate(texts) if texts else np.zeros(0, np.uint32))))
+        texts = [_short(x[d][max(0, c - REACH) : c + REACH + 1]) for d, c in zip(q[2].tolist(), q[3].tolist(), strict=True)]
+        length = np.fromiter(map(len, texts), np.uint8, len(texts))
+        rows.append((task, _pack(q[0], q[1], length, np.minimum(q[3], REACH).astype(np.uint8), *q[4:], q[3], np.concatenate(texts))))
     return _tasks(rows, ["task", "data"])
 
 
@@ -364,20 +420,15 @@ def stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int] | No
 
 
 class Classes:
-    """The classes of one task: the texts around their centres, and their members of all chunks."""
+    """The windows of one task with the texts around their centres."""
 
     def __init__(self, parts: list[list[np.ndarray]]):
-        self.sig, self.side, length, left, back, front, count, linked, self.ids, self.words, self.flat = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(11))
-        order = np.lexsort((self.side, self.sig))
-        self.stop = np.cumsum(count)[order]
-        self.start = self.stop - count[order]
+        sig, side, length, left, back, front, linked, root, ids, words, self.flat = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(11))
+        order = np.lexsort((ids, root, side, sig))
         self.begin = (np.cumsum(length) - length)[order]
-        self.sig, self.side, self.length, self.left, self.back, self.front = (x[order] for x in (self.sig, self.side, length, left, back, front))
-        sums = np.concatenate(([0], np.cumsum(linked)))
-        self.lowest = np.array([self.ids[a:b].min() for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)], np.int64)
-        self.highest = np.array([self.ids[a:b].max() for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)], np.int64)
-        #: Whether the class has members in several documents.
-        self.several = (self.lowest != self.highest) | (sums[self.stop] > sums[self.start])
+        self.sig, self.side, self.length, self.left, self.back, self.front, self.root, self.ids, self.words = (x[order] for x in (sig, side, length, left, back, front, root, ids, words))
+        #: Whether the window is known to be linked with another document.
+        self.several = linked[order] > 0
         _, inverse = np.unique(self.sig, return_inverse=True)
         self.mixed = (np.bincount(inverse, weights=self.side) > 0)[inverse] if len(inverse) else np.zeros(0, bool)
 
@@ -397,9 +448,6 @@ class Classes:
     def text(self, k: int) -> np.ndarray:
         return self.flat[self.begin[k] : self.begin[k] + self.length[k]]
 
-    def members(self, k: int) -> np.ndarray:
-        return self.ids[self.start[k] : self.stop[k]]
-
     def _rare(self, s: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a large group that share one of the rarest shingles of both; others can't share 80 %."""
         frame = self.frame(np.arange(s, s + n), REACH)
@@ -441,15 +489,18 @@ class Classes:
             second.append(j)
         a, b = np.concatenate(first), np.concatenate(second)
         two = (self.side[a] == self.side[b]) & self.mixed[a]
-        keep = ~two & ~((self.lowest[a] == self.highest[b]) & (self.highest[a] == self.lowest[b]) & ~self.several[a] & ~self.several[b])
+        keep = ~two & ~((self.ids[a] == self.ids[b]) & ~self.several[a] & ~self.several[b])
         a, b = a[keep], b[keep]
         return a, b, a - np.repeat(starts, sizes)[a]
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first class of each class's component, and whether the class is linked with another document. A class is
-        compared with all others of its signature but those it is known to be joined with."""
+        """The first window of each one's component, and whether it is linked with another document. A window is compared with
+        all others of its signature but those it is known to be joined with."""
         a, b, turn = self.candidates()
         stars, linked = Stars(len(self.sig)), self.several.copy()
+        known = np.lexsort((self.root, self.sig))
+        same = np.flatnonzero((self.root[known[1:]] == self.root[known[:-1]]) & (self.sig[known[1:]] == self.sig[known[:-1]]))
+        stars.add(known[same + 1], known[same])
         order = np.argsort(turn, kind="stable")
         a, b = a[order], b[order]
         cuts = np.flatnonzero(np.diff(turn[order])) + 1
@@ -528,47 +579,35 @@ def _classes_of(left) -> Classes:
 
 
 def _linked(key, table):
-    """Links of documents, packed: each with the smallest id of its component here and where its first window starts."""
+    """Links of documents, packed: each with the smallest id of its component here and its first centre."""
     c = _classes_of(table)
     root, linked = c.joined()
     low = np.full(len(c.sig), 2**63 - 1)
-    np.minimum.at(low, root, c.lowest)
+    np.minimum.at(low, root, c.ids)
     k = np.flatnonzero(linked)
-    n = (c.stop - c.start)[k]
-    at = np.repeat(c.start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return pa.table({"data": pa.array([_told(c.ids[at], np.repeat(low[root[k]], n), c.words[at])] if len(at) else [], pa.binary())})
+    return pa.table({"data": pa.array([_told(c.ids[k], low[root[k]], c.words[k])] if len(k) else [], pa.binary())})
 
 
 LINKS = "a long, b long, a_word long, b_word long, length long, shared int"
 
 
 def _spelled(key, table):
-    """A row for every two members of a class and of two classes that are linked."""
+    """A row for every two windows that are linked."""
     c = _classes_of(table)
-    out = [[] for _ in range(6)]
-
-    def add(p, q, a1, a2, b1, b2, shared):
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(c.start[p], c.stop[p]), np.arange(c.start[q], c.stop[q]), indexing="ij"))
-        keep = c.ids[i] < c.ids[j] if p == q else c.ids[i] != c.ids[j]
-        i, j = i[keep], j[keep]
-        swap = c.ids[i] > c.ids[j]
-        values = [c.ids[i], c.ids[j], c.words[i] + c.back[p] + a1, c.words[j] + c.back[q] + b1]
-        values = [np.where(swap, values[k ^ 1], values[k]) for k in range(4)]
-        for o, v in zip(out, (*values, np.full(len(i), max(a2 - a1, b2 - b1)), np.full(len(i), shared)), strict=True):
-            o.append(v)
-
-    for p in np.flatnonzero(c.lowest != c.highest).tolist():
-        first, end = -int(c.back[p]), SPAN - int(c.front[p])
-        add(p, p, first, end, first, end, SPAN)
+    found = [np.zeros((7, 0), np.int64)]
     for block in c.pairs():
-        for p, q, *x in zip(*(z.tolist() for z in block), strict=True):
-            add(p, q, *x)
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32)
-    return pa.table([pa.array((np.concatenate(x) if x else np.zeros(0)).astype(t)) for x, t in zip(out, kinds, strict=True)], ["a", "b", "a_word", "b_word", "length", "shared"])
+        x = np.stack(block)
+        found.append(x[:, c.ids[x[0]] != c.ids[x[1]]])
+    p, q, a1, a2, b1, b2, shared = np.concatenate(found, axis=1)
+    swap = c.ids[p] > c.ids[q]
+    ids, at = (c.ids[p], c.ids[q]), (c.words[p] + a1, c.words[q] + b1)
+    pick = lambda x, k: np.where(swap, x[1 - k], x[k])
+    columns = (pick(ids, 0), pick(ids, 1), pick(at, 0), pick(at, 1), np.maximum(a2 - a1, b2 - b1), shared.astype(np.int32))
+    return pa.table([pa.array(x) for x in columns], ["a", "b", "a_word", "b_word", "length", "shared"])
 
 
 def _compared(docs: DataFrame, id_col: str, text_col: str, spelled: bool) -> tuple[DataFrame, DataFrame]:
-    """(task, data): the classes of windows that have to be compared; (data): the links inside chunks."""
+    """(task, data): the windows that have to be compared; (data): the links that are known without."""
     n = common.partitions_for(docs)
     buckets = common.buckets_for(n)
     frame = docs.select(
@@ -577,9 +616,9 @@ def _compared(docs: DataFrame, id_col: str, text_col: str, spelled: bool) -> tup
     chunks = frame.repartition(n, "chunk").groupBy("chunk")
     marks = chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
     met = common.checkpointed(chunks.cogroup(marks.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_met(buckets, spelled), "bucket int, chunk int, data binary"))
-    asked = met.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_groups(buckets), "chunk int, task long, data binary")
-    answers = chunks.cogroup(asked.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
-    return answers.repartition(n, "task"), met.filter("bucket < 0").select("data")
+    asked = common.checkpointed(met.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_groups(buckets, spelled), "chunk int, task long, data binary"))
+    answers = chunks.cogroup(asked.filter("chunk >= 0").repartition(n, "chunk").groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
+    return answers.repartition(n, "task"), met.filter("bucket < 0").select("data").unionByName(asked.filter("chunk < 0").select("data"))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -604,7 +643,8 @@ def _opened(batches):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, first_word): for every document that shares a passage, the smallest doc_id reachable over links and
-    the word where the first compact window starts that a linked passage lies in."""
+    the first word of the first of its shared shingles that a passage was found by (the centre of a linked window, so it
+    lies inside the passage and depends on no other document than that there is one)."""
     asked, told = _compared(docs, id_col, text_col, False)
     found = asked.groupBy("task").applyInArrow(_linked, "data binary").unionByName(told)
     named = common.checkpointed(found.mapInArrow(_opened, "doc_id long, low long, word long").groupBy("doc_id", "low").agg(F.min("word").alias("word")))
