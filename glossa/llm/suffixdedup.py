@@ -43,7 +43,7 @@ WINDOW = LENGTH - GRAM + 1
 #: A key with more occurrences is split over shards, one for each so many.
 SPLIT = 256
 #: Bytes of strings that one suffix array takes, but for a key that has more.
-PART = 2 << 20
+PART = 1 << 20
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -228,37 +228,53 @@ def suffix_array(text: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.n
     tied at a depth are sorted by the rank of the suffix that many bytes on, and only groups still tied are sorted again.
     The bytes may be several strings (ends: for each byte the end of its own), each closed by a sign of its own that is
     lower than any byte, those of earlier strings lower than later ones'."""
-    n = len(text)
-    at = np.arange(n)
-    ends = np.full(n, n) if ends is None else ends
+    n, depth = len(text), 7
+    kind = np.int32 if n < 1 << 30 else np.int64
+    at = np.arange(n, dtype=kind)
+    ends = np.full(n, n, kind) if ends is None else ends.astype(kind)
     left = ends - at
-    string = np.cumsum(np.append(np.zeros(1, np.int64), ends[1:] != ends[:-1])) if n else at
+    string = np.zeros(n, kind)
+    np.cumsum(ends[1:] != ends[:-1], out=string[1:])
     strings = int(string[-1]) + 1 if n else 0
-    depth = 7
-    key = np.zeros(n + depth, np.uint64)
-    for k in range(depth):
-        key[:n] = key[:n] << np.uint64(8) | np.where(k < left, np.append(text[k:], np.zeros(min(k, n), np.uint8)), 0).astype(np.uint64)
-    key = key[:n] << np.uint64(8) | np.minimum(left, depth).astype(np.uint64)
-    order = np.argsort(key)
+    key = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+    for width in (1, 2, 4):
+        key[:-width] = key[:-width] << np.uint64(8 * width) | key[width:]
+    size = np.minimum(left, depth).astype(np.uint64)
+    key = key[:n] >> np.uint64(8 * (8 - depth)) & ~np.uint64(0) << np.uint64(8) * (np.uint64(depth) - size)
+    key = key << np.uint64(8) | size
+    order = np.argsort(key).astype(kind)
+    key = key[order]
     lead = np.ones(n, bool)
-    lead[1:] = key[order[1:]] != key[order[:-1]]
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(lead, at, 0))
+    lead[1:] = key[1:] != key[:-1]
+    group = np.maximum.accumulate(np.where(lead, at, 0)).astype(kind)
+    rank = np.zeros(n, kind)
+    rank[order] = group
+    bits = max(1, int(n - 1).bit_length()) if n else 1
+    wide = int(n + strings).bit_length()
     while True:
-        tied = ~lead | np.append(~lead[1:], False)
+        tied = ~lead
+        tied[:-1] |= ~lead[1:]
         slots = np.flatnonzero(tied)
         if not len(slots):
             return order, rank
-        own = order[slots]
-        second = np.where(left[own] > depth, strings + rank[np.minimum(own + depth, n - 1)], string[own])
-        sub = np.argsort(rank[own] * np.int64(n + strings + 1) + second)
-        own, second = own[sub], second[sub]
-        first = rank[own]
-        order[slots] = own
+        own, first = order[slots], group[slots]
+        second = rank[np.minimum(own + kind(depth), n - 1)] + kind(strings)
+        over = np.flatnonzero(left[own] <= depth)
+        second[over] = string[own[over]]
+        if 2 * bits + wide <= 64:  # one sort of group, second key and place in one number
+            packed = (first.astype(np.uint64) << np.uint64(wide) | second.astype(np.uint64)) << np.uint64(bits) | own.astype(np.uint64)
+            packed.sort()
+            own = (packed & np.uint64((1 << bits) - 1)).astype(kind)
+            packed >>= np.uint64(bits)
+        else:
+            packed = first.astype(np.int64) * (n + strings + 1) + second
+            sub = np.argsort(packed)
+            own, packed = own[sub], packed[sub]
         fresh = np.ones(len(slots), bool)
-        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        lead[slots] = fresh
-        rank[own] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        fresh[1:] = packed[1:] != packed[:-1]
+        order[slots], lead[slots] = own, fresh
+        first = np.maximum.accumulate(np.where(fresh, slots, 0)).astype(kind)
+        group[slots], rank[own] = first, first
         depth *= 2
 
 
@@ -266,21 +282,23 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray | None
     """Kasai's common prefixes of each suffix with the one before it in the array, up to most bytes. The text is walked in
     lanes side by side; a lane begins without a known prefix and then loses at most one byte from place to place."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    kind = np.int32 if n < 1 << 30 else np.int64
+    before = np.full(n, -1, kind)
     before[order[1:]] = order[:-1]
-    ends = np.full(n, n) if ends is None else ends
+    ends = np.full(n, n, kind) if ends is None else ends.astype(kind)
     # How far a common prefix can reach: to the end of either string.
-    reach = np.where(before >= 0, np.minimum(np.minimum(ends - np.arange(n), ends[before] - before), most), 0)
-    out = np.zeros(n, np.int64)
-    at = np.arange(0, n, lane)
-    stop = np.minimum(at + lane, n)
-    have = np.zeros(len(at), np.int64)
+    reach = np.where(before >= 0, np.minimum(np.minimum(ends - np.arange(n, dtype=kind), ends[before] - before), most), 0).astype(kind)
+    out = np.zeros(n, kind)
+    at = np.arange(0, n, lane, dtype=kind)
+    stop = np.minimum(at + lane, n).astype(kind)
+    have = np.zeros(len(at), kind)
     while len(at):
-        more = have < reach[at]
-        more[more] = text[at[more] + have[more]] == text[before[at[more]] + have[more]]
+        far = reach[at]
+        i, j = np.minimum(at + have, n - 1), np.minimum(before[at] + have, n - 1)
+        more = (have < far) & (text[i] == text[j])
         done = ~more
         out[at[done]] = have[done]
-        have = np.where(more, have + 1, np.maximum(have - 1, 0))
+        have = np.where(more, have + 1, np.maximum(have - 1, 0)).astype(kind)
         at = at + done
         live = at < stop
         if not live.all():
