@@ -4,7 +4,8 @@ Equal strings have to meet although no machine can hold all suffixes. Each LENGT
 hash of its GRAM-byte grams, which depends on the window's bytes alone, so equal windows share a key; consecutive windows
 that take their key from one gram form a run, and a run's bytes are a short string. Keys that occur once in the whole corpus can hold no
 repeated window, and those runs are never moved. All other strings, with every place where they stand, are dealt to shards
-by key, and nothing but the shards' suffix arrays decides what goes. A shard takes its strings in parts of whole keys, and
+by key, and nothing but the shards' suffix arrays decides what goes. A shard takes its strings in parts of whole keys (equal
+strings stand in the array once, with all their places), and
 
 * builds the suffix array of a part by Larsson-Sadakane refinement (prefix doubling, sorting only groups that are
   still tied, vectorised in numpy) as far as windows reach,
@@ -306,25 +307,18 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray | None
     return out
 
 
-def _later(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, place: np.ndarray):
-    """Windows of strings (of count windows each, from begin on) that have an earlier equal. place: order of each string's
-    first window; windows of a string follow it. Gives flags over all windows, their strings and offsets, and their ranks."""
+def _equal(flat: np.ndarray, begin: np.ndarray, count: np.ndarray):
+    """Windows of strings (of count windows each, from begin on): their strings, offsets and positions, the number of the
+    group of equal windows that each is in, and its rank."""
     total = int(count.sum())
     owner = np.repeat(np.arange(len(count)), count)
     offset = np.arange(total) - (np.cumsum(count) - count)[owner]
     position = begin[owner] + offset
     ends = np.repeat(begin + count + LENGTH - 1, count + LENGTH - 1)
     order, rank = suffix_array(flat, ends)
-    prefix = common_prefixes(flat, order, ends)
     group = np.zeros(len(flat), np.int64)
-    group[order] = np.cumsum(prefix[order] < LENGTH)
-    mine = group[position]
-    by = np.lexsort((place[owner] + offset, mine))
-    head = np.ones(total, bool)
-    head[1:] = mine[by][1:] != mine[by][:-1]
-    later = np.zeros(total, bool)
-    later[by[~head]] = True
-    return later, owner, offset, position, rank[position]
+    group[order] = np.cumsum(common_prefixes(flat, order, ends)[order] < LENGTH)
+    return owner, offset, position, group[position], rank[position]
 
 
 def _spans(chunk: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray):
@@ -363,38 +357,58 @@ def _shard(routes: int):
         place = np.zeros(len(by), np.int64)
         place[by] = np.cumsum(new) << 32
         place += start
-        # Parts of whole keys.
-        order = np.lexsort((salt, h))
-        edge = np.ones(len(order), bool)
+        # Strings by key, equal ones side by side.
+        buffer = flat.tobytes()
+        strings = [buffer[i:j] for i, j in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+        digest = np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
+        order = np.lexsort((digest, salt, h))
+        edge, fresh = np.ones(len(order), bool), np.ones(len(order), bool)
         edge[1:] = (h[order[1:]] != h[order[:-1]]) | (salt[order[1:]] != salt[order[:-1]])
+        for k in np.flatnonzero(~edge[1:] & (digest[order[1:]] == digest[order[:-1]])).tolist():
+            fresh[k + 1] = strings[order[k + 1]] != strings[order[k]]
+        del strings, buffer
+        # Parts of whole keys. A string alone with its key holds no repeated window, unless other shards have the key too.
         first = np.flatnonzero(edge)
-        group_of = np.cumsum(edge) - 1
-        alone = np.diff(np.append(first, len(order))) == 1
-        reach = np.concatenate(([0], np.cumsum(size[order])))
+        reach = np.concatenate(([0], np.cumsum(np.where(fresh, size[order], 0))))
+        alone = (np.diff(np.append(first, len(order))) == 1) & (hot[order[first]] == 0)
         gone, alive, cut = [], [], 0
         while cut < len(first):
             end = max(cut + 1, int(np.searchsorted(reach[first], reach[first[cut]] + PART, side="right")) - 1)
-            own = order[first[cut] : first[end] if end < len(first) else len(order)]
-            # A string alone with its key holds no repeated window, unless other shards have the key too.
-            own = own[~alone[group_of[first[cut] : first[cut] + len(own)]] | (hot[own] > 0)]
+            part = slice(first[cut], first[end] if end < len(first) else len(order))
+            keep = ~np.repeat(alone[cut:end], np.diff(np.append(first[cut:end], part.stop)))
+            own, new = order[part][keep], fresh[part][keep]
             cut = end
             if not len(own):
                 continue
-            n = size[own]
-            text = flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            later, owner, offset, position, rank = _later(text, np.cumsum(n) - n, count[own], place[own])
+            kind, lead = np.cumsum(new) - 1, own[new]
+            n = size[lead]
+            text = flat[np.repeat(begin[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            owner, offset, position, group, rank = _equal(text, np.cumsum(n) - n, count[lead])
+            # The earliest place of each group, over all places of its strings.
+            soonest = np.minimum.reduceat(place[own], np.flatnonzero(new))
+            here = soonest[owner] + offset
+            by = np.lexsort((here, group))
+            earliest = np.zeros(int(group.max()) + 1, np.int64)
+            head = by[np.append(True, group[by[1:]] != group[by[:-1]])]
+            earliest[group[head]] = here[head]
+            # All windows of all places.
+            m = count[own]
+            copy = np.repeat(np.arange(len(own)), m)
+            step = np.arange(len(copy)) - (np.cumsum(m) - m)[copy]
+            window = (np.cumsum(count[lead]) - count[lead])[kind][copy] + step
+            later = place[own][copy] + step != earliest[group[window]]
             at = np.flatnonzero(later)
             if len(at):
                 head = np.ones(len(at), bool)
-                head[1:] = (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])
+                head[1:] = (np.diff(at) != 1) | (copy[at[1:]] != copy[at[:-1]])
                 at, length = at[head], np.diff(np.append(np.flatnonzero(head), len(at)))
-                w = own[owner[at]]
-                gone.append((chunk[w], row[w], start[w] + offset[at], length))
-            left = np.flatnonzero(~later & (hot[own][owner] > 0))
+                w = own[copy[at]]
+                gone.append((chunk[w], row[w], start[w] + step[at], length))
+            left = np.flatnonzero(~later & (hot[own][copy] > 0))
             if len(left):  # to be merged with other shards' windows, by content
-                windows = text[position[left][:, None] + np.arange(LENGTH)[None, :]]
-                w = own[owner[left]]
-                alive.append((chunk[w], ids[w], tie[w], row[w], start[w] + offset[left], rank[left], windows))
+                windows = text[position[window[left]][:, None] + np.arange(LENGTH)[None, :]]
+                w = own[copy[left]]
+                alive.append((chunk[w], ids[w], tie[w], row[w], start[w] + step[left], rank[window[left]], windows))
         rows = []
         for c, i, t, r, s, rank, windows in alive:
             for route, p in _split((_content(windows) % np.uint64(routes)).astype(np.int64)):
