@@ -3,15 +3,16 @@
 A document is its sequence of SHINGLE-word shingles. Under one hash function, all subsequences of at least SPAN shingles
 with the same smallest hash form a compact window (l, c, r): c holds the minimum of every subsequence from between l and c
 to between c and r. Those are the nodes of the Cartesian tree over the hashes whose subtree is at least SPAN long, and
-equally the runs of a sliding minimum over SPAN shingles, which is how numpy finds them. The intervals of two functions are
-joined: where they meet, the pair of minima is one signature of all passages between their bounds. Two passages that agree
-in 80 % of their shingles share it with a probability of 0.64, one of BANDS pairs of functions with 0.994; passages that
-have little more than a common phrase hardly ever do.
+equally the runs of a sliding minimum over SPAN shingles, which is how numpy finds them. The intervals of every two of
+FUNCTIONS functions are joined: where they meet, the pair of minima is one signature of all passages between their bounds,
+if the two stand APART shingles or more from each other (or the text repeats itself there). Two passages that agree in 80 % of their shingles share one of the
+fifteen with a probability of 0.95 and more, while a common line can't hold both minima.
 
 Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature, first
 inside the chunk, then over all chunks: those that hold an equal SPAN-long passage (told by hashes of some of their passages,
-chosen by the passages' own hashes) are joined without a comparison, and one window of a chunk's joined ones goes on. What
-isn't joined yet is compared in blocks over tasks. Two windows are linked if around their common shingle
+chosen by the passages' own hashes) are joined without a comparison, and one window of a chunk's joined ones goes on. That
+gives components of documents; then windows of documents of different components that still share a signature are compared,
+in blocks over tasks. Two windows are linked if around their common shingle
 
 * they hold SPAN-long passages that share 80 % (Jaccard of the sets of shingles, in whatever order), or
 * they hold longer passages of any two lengths that do, shingles in one order (insertions and deletions); for this, REACH
@@ -37,7 +38,7 @@ from glossa.llm.components import components
 from glossa.llm.simhash import Stars
 from glossa.llm.suffixdedup import _blobs, _bucket, _pack, _repeated, _short, _split, _unpack
 
-SHINGLE, SPAN, BANDS, REACH = 5, 46, 5, 100
+SHINGLE, SPAN, FUNCTIONS, APART, REACH = 5, 46, 6, 12, 80
 #: Of so many neighbouring passages one is chosen at least.
 CHOICE = 8
 #: Shared shingles that make 0.8 of the union of two SPAN-long passages without repetition.
@@ -53,7 +54,7 @@ _POWERS: list[np.ndarray] = []
 
 
 #: An odd factor for each function.
-_ODD = [(_BASE * (2 * k + 1) ^ (k * 0x632BE59BD9B4E019)) & (2**64 - 1) | 1 for k in range(2 * BANDS)]
+_ODD = [(_BASE * (2 * k + 1) ^ (k * 0x632BE59BD9B4E019)) & (2**64 - 1) | 1 for k in range(16)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,26 +127,33 @@ def windows(x: list[np.ndarray]):
             chosen[k : k + len(least)] |= content[k : k + len(least)] == least
     upto = np.concatenate(([0], np.cumsum(chosen)))
     choices = _short(content[chosen])
-    for f in range(BANDS):
-        begin, both = border.copy(), []
-        for k in (2 * f, 2 * f + 1):
-            with np.errstate(over="ignore"):
-                v = (flat * np.uint64(_ODD[k]) >> np.uint64(32)).astype(np.uint32)
-            low = _minima(v)
-            # A run ends where the minimum changes or its place leaves the window.
-            begin[1:] |= (low[1:] != low[:-1]) | (v[: n - 1] == low[: n - 1])
-            both.append((v, low))
-        begin = np.flatnonzero(begin)
-        stop = np.minimum(np.append(begin[1:], n), ends[doc[begin]] - SPAN + 1)
-        real = stop > begin
-        s, e = begin[real], stop[real]
-        (v, low), (_, other) = both
-        # The centre: the first place of the first function's minimum in the run's first subsequence.
-        centre = _first_minimum(v, low[s], s)
-        steps = ((centre - s) << 8 | (centre - e + 1)).astype(np.uint16)
+    minima = []
+    for f in range(FUNCTIONS):
         with np.errstate(over="ignore"):
-            sig = _mix(flat[centre] + other[s] * np.uint64(_BASE), 50 + f)
-        yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, steps, upto[s], upto[e], choices
+            v = (flat * np.uint64(_ODD[f]) >> np.uint64(32)).astype(np.uint32)
+        low = _minima(v)
+        # A run ends where the minimum changes or its place leaves the window.
+        begin = border.copy()
+        begin[1:] |= (low[1:] != low[:-1]) | (v[: n - 1] == low[: n - 1])
+        run = np.flatnonzero(begin)
+        # The centre: the first place of the minimum in the run's first subsequence.
+        minima.append((begin, np.cumsum(begin, dtype=np.int32) - 1, _first_minimum(v, low[run], run)))
+    last = np.minimum(ends - SPAN + 1, n)
+    # Where text repeats itself within APART shingles, minima can't stand further from each other.
+    again = np.zeros(len(flat), bool)
+    for k in range(1, APART):
+        again[:-k] |= flat[:-k] == flat[k:]
+    for f in range(FUNCTIONS):
+        for g in range(f):
+            begin = np.flatnonzero(minima[f][0] | minima[g][0])
+            stop = np.minimum(np.append(begin[1:], n), last[doc[begin]])
+            centre, other = (m[2][m[1][begin]] for m in (minima[f], minima[g]))
+            real = (stop > begin) & ((np.abs(centre - other) >= APART) | (again[centre] & again[other]))
+            s, e, centre, other = begin[real], stop[real], centre[real], other[real]
+            steps = ((centre - s) << 8 | (centre - e + 1)).astype(np.uint16)
+            with np.errstate(over="ignore"):
+                sig = _mix(flat[centre] + flat[other] * np.uint64(_BASE), 50 + f * FUNCTIONS + g)
+            yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, steps, upto[s], upto[e], choices
 
 
 def _first_minimum(v: np.ndarray, low: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -242,29 +250,29 @@ def _met(buckets: int, spelled: bool):
         first = np.cumsum(count) - count
         choice = choice[_ragged(first[order], (first + count)[order])]
         keys, doc, centre, steps, count, ids = (x[order] for x in (keys, doc, centre, steps, count, ids))
-        linked, rows = np.zeros(len(keys), np.uint8), []
+        rows = []
         if not spelled:
             # The first of a component has its smallest id.
             root = _joined(keys, count, choice)
             high = ids.copy()
             np.maximum.at(high, root, ids)
-            linked = (high[root] != ids[root]).astype(np.uint8)
-            member = linked > 0
-            if member.any():
-                rows.append((-1, chunk, _told(ids[member], ids[root[member]], centre[member])))
+            member = np.flatnonzero(high[root] != ids[root])
+            if len(member):
+                rows.append((chunk % buckets, -1, _told(ids[member], ids[root[member]], centre[member])))
             owner = np.repeat(np.arange(len(keys)), count)
             kept = root[owner] == owner
-            by = np.lexsort((choice, root[owner]))
+            name = root[owner].astype(np.uint64) << np.uint64(32) | choice.astype(np.uint64)
+            by = np.argsort(name)
             twice = np.zeros(len(owner), bool)
-            twice[by[1:]] = (choice[by[1:]] == choice[by[:-1]]) & (root[owner[by[1:]]] == root[owner[by[:-1]]])
-            pair = np.unique(np.stack((root[owner], choice), axis=1)[kept | twice], axis=0) if len(owner) else np.zeros((0, 2), np.int64)
+            twice[by[1:]] = name[by[1:]] == name[by[:-1]]
+            name = np.unique(name[kept | twice])
             at = np.flatnonzero(root == np.arange(len(root)))
-            count = np.bincount(pair[:, 0], minlength=len(keys))[at]
-            choice = pair[:, 1].astype(np.uint32)
-            keys, doc, centre, steps, linked, ids = (x[at] for x in (keys, doc, centre, steps, linked, ids))
+            count = np.bincount((name >> np.uint64(32)).astype(np.int64), minlength=len(keys))[at]
+            choice = name.astype(np.uint32)
+            keys, doc, centre, steps, ids = (x[at] for x in (keys, doc, centre, steps, ids))
         first = np.cumsum(count) - count
         for b, p in _split(_bucket(keys, buckets)):
-            rows.append((b, chunk, _pack(_short(keys[p]), doc[p], centre[p], steps[p], linked[p], ids[p], count[p].astype(np.uint32), choice[_ragged(first[p], (first + count)[p])])))
+            rows.append((b, chunk, _pack(_short(keys[p]), doc[p], centre[p], steps[p], ids[p], count[p].astype(np.uint32), choice[_ragged(first[p], (first + count)[p])])))
         return _blobs(rows, names)
 
     return run
@@ -279,76 +287,49 @@ def _told(ids: np.ndarray, low: np.ndarray, word: np.ndarray) -> bytes:
     return _pack(ids[keep], low[keep], word[keep].astype(np.uint32))
 
 
-def _places(bucket: int, buckets: int, key: int, part: np.ndarray) -> list[tuple[int, int, int]]:
-    """(task, piece, piece) for each pair of BLOCK-long pieces of a signature's windows, but for those of one component
-    (part, ascending)."""
-    pieces, name = -(-len(part) // BLOCK), (bucket << 32 | key) * 0x9E3779B97F4A7C15
-    mixed = lambda i, j: ((name + (i << 24 | j)) * 0xD6E8FEB86659FD93 & (2**64 - 1)) >> 3
-    low, high = part[::BLOCK], part[np.minimum(np.arange(pieces) * BLOCK + BLOCK, len(part)) - 1]
-    return [(buckets + mixed(i, j), i, j) for i in range(pieces) for j in range(i, pieces) if not low[i] == high[i] == low[j] == high[j]]
+LEFT = "data binary, sig long, chunk int, doc int, centre int, steps int, doc_id long"
 
 
-def _groups(buckets: int, spelled: bool):
-    """Joins the windows of all chunks; links of joined ones are a row of chunk -1. For each window of a group that isn't
-    all joined its chunk is asked for the text around its centre, to every task that compares it with others. Groups of one
-    document are left out."""
+def _groups(spelled: bool):
+    """Joins the windows of all chunks. Rows with data are links; the others are one window of each joined set, where a
+    signature has several sets and they are not all of one document."""
 
     def run(key, table):
-        bucket, names = key[0].as_py(), ["chunk", "task", "data"]
-        parts = [_unpack(d) for d in table.column("data").to_pylist()]
-        chunk = np.repeat(np.array(table.column("chunk").to_pylist(), np.int64), [len(p[0]) for p in parts])
-        sig, doc, centre, steps, linked, ids, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(7))
-        choice = np.concatenate([p[7] for p in parts])
-        order = np.lexsort((centre, doc, chunk, ids, sig))
-        first = np.cumsum(count) - count
-        choice = choice[_ragged(first[order], (first + count)[order])]
-        chunk, sig, doc, centre, steps, linked, ids, count = (x[order] for x in (chunk, sig, doc, centre, steps, linked, ids, count))
-        back, front = steps >> 8, steps & 255
-        root, rows = np.arange(len(sig)) if spelled else _joined(sig, count, choice), []
-        high, any_ = ids.copy(), linked.copy()
-        np.maximum.at(high, root, ids)
-        np.maximum.at(any_, root, linked)
-        linked = ((high[root] != ids[root]) | (any_[root] > 0)).astype(np.uint8)
-        if linked.any():
-            k = np.flatnonzero(linked)
-            rows.append((-1, 0, _told(ids[k], ids[root[k]], centre[k])))
-        # Windows by group and component, the largest component first.
-        size = np.bincount(root, minlength=len(sig))[root]
-        order = np.lexsort((root, -size, sig))
-        chunk, sig, doc, centre, back, front, linked, ids, root = (x[order] for x in (chunk, sig, doc, centre, back, front, linked, ids, root))
-        edge = np.ones(len(sig), bool)
-        edge[1:] = sig[1:] != sig[:-1]
-        starts = np.flatnonzero(edge)
-        width = np.diff(np.append(starts, len(sig)))
-        if len(sig):
-            low, high = (f.reduceat(x, starts) for f, x in ((np.minimum, root), (np.maximum, root)))
-            several = (low != high) & ((np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)) | (np.maximum.reduceat(linked, starts) > 0))
-            small = np.flatnonzero(np.repeat(several & (width <= BLOCK), width))
-            wanted = [(bucket, small, 0)] if len(small) else []
-            for g in np.flatnonzero(several & (width > BLOCK)).tolist():
-                x, y = int(starts[g]), int(starts[g] + width[g])
-                for task, i, j in _places(bucket, buckets, int(sig[x]), _ranked(root[x:y])):
-                    wanted += [(task, np.arange(x + k * BLOCK, min(y, x + (k + 1) * BLOCK)), side) for side, k in enumerate((i, j) if i < j else (i,))]
-            for task, c, side in wanted:
-                for to, p in _split(chunk[c]):
-                    k = c[p]
-                    rows.append((to, task, _pack(sig[k].astype(np.uint32), np.full(len(k), side, np.uint8), doc[k].astype(np.uint32), centre[k].astype(np.uint32), back[k].astype(np.uint8), front[k].astype(np.uint8), linked[k].astype(np.uint8), root[k].astype(np.uint32), ids[k])))
-        return _tasks(rows, names)
+        bucket, data = key[0].as_py(), table.column("data").to_pylist()
+        where = table.column("chunk").to_pylist()
+        told = [d for c, d in zip(where, data, strict=True) if c < 0]
+        parts = [_unpack(d) for c, d in zip(where, data, strict=True) if c >= 0]
+        columns = [np.zeros(0, np.int64)] * 6
+        if parts:
+            chunk = np.repeat(np.array([c for c in where if c >= 0], np.int64), [len(p[0]) for p in parts])
+            sig, doc, centre, steps, ids, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(6))
+            choice = np.concatenate([p[6] for p in parts])
+            order = np.lexsort((centre, doc, chunk, ids, sig))
+            first = np.cumsum(count) - count
+            choice = choice[_ragged(first[order], (first + count)[order])]
+            chunk, sig, doc, centre, steps, ids, count = (x[order] for x in (chunk, sig, doc, centre, steps, ids, count))
+            root = np.arange(len(sig))
+            if not spelled:
+                root = _joined(sig, count, choice)
+                high = ids.copy()
+                np.maximum.at(high, root, ids)
+                k = np.flatnonzero(high[root] != ids[root])
+                if len(k):
+                    told.append(_told(ids[k], ids[root[k]], centre[k]))
+            k = np.flatnonzero(root == np.arange(len(root)))
+            edge = np.ones(len(k), bool)
+            edge[1:] = sig[k[1:]] != sig[k[:-1]]
+            starts = np.flatnonzero(edge)
+            several = np.minimum.reduceat(ids[k], starts) != np.maximum.reduceat(ids[k], starts)
+            k = k[np.repeat(several, np.diff(np.append(starts, len(k))))]
+            columns = [np.int64(bucket) << np.int64(32) | sig[k], *(x[k] for x in (chunk, doc, centre, steps, ids))]
+        n = len(columns[0])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.table([pa.array(told + [None] * n, pa.binary()), *(pa.array(np.concatenate((np.zeros(len(told), np.int64), c)), t) for c, t in zip(columns, kinds, strict=True))], ["data", "sig", "chunk", "doc", "centre", "steps", "doc_id"])
 
     return run
 
 
-def _ranked(root: np.ndarray) -> np.ndarray:
-    """Numbers of components in the order in which they come."""
-    return np.cumsum(np.append(np.zeros(1, np.int64), root[1:] != root[:-1]))
-
-
-def _tasks(rows: list[tuple], names: list[str]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-    kinds = {"data": pa.binary(), "chunk": pa.int32(), "task": pa.int64()}
-    return pa.table([pa.array(c, kinds[n]) for c, n in zip(columns, names, strict=True)], names)
-
-
 def _sequences(own: Chunk, wanted: set[int]) -> dict[int, np.ndarray]:
     held = {}
     rows = sorted(wanted)
@@ -358,17 +339,18 @@ def _sequences(own: Chunk, wanted: set[int]) -> dict[int, np.ndarray]:
 
 
 def _answers(key, left, right):
-    """Adds the short hashes of the shingles around the centre to each window that was asked for."""
+    """Adds the short hashes of the shingles around the centre to each window that was asked for, packed per task."""
     if not left.num_rows or not right.num_rows:
-        return _tasks([], ["task", "data"])
-    own, asked = Chunk(left), [_unpack(d) for d in right.column("data").to_pylist()]
-    x = _sequences(own, {int(r) for q in asked for r in q[2]})
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["task", "data"])
+    own = Chunk(left)
+    task, sig, side, doc, centre, steps, ids, part = (right.column(c).to_numpy() for c in ("task", "sig", "side", "doc", "centre", "steps", "doc_id", "part"))
+    x = _sequences(own, set(np.unique(doc).tolist()))
     rows = []
-    for task, q in zip(right.column("task").to_pylist(), asked, strict=True):
-        texts = [_short(x[d][max(0, c - REACH) : c + REACH + 1]) for d, c in zip(q[2].tolist(), q[3].tolist(), strict=True)]
+    for name, p in _split(task):
+        texts = [_short(x[d][max(0, c - REACH) : c + REACH + 1]) for d, c in zip(doc[p].tolist(), centre[p].tolist(), strict=True)]
         length = np.fromiter(map(len, texts), np.uint8, len(texts))
-        rows.append((task, _pack(q[0], q[1], length, np.minimum(q[3], REACH).astype(np.uint8), *q[4:], q[3], np.concatenate(texts))))
-    return _tasks(rows, ["task", "data"])
+        rows.append((name, _pack(sig[p], side[p].astype(np.uint8), length, np.minimum(centre[p], REACH).astype(np.uint8), (steps[p] >> 8).astype(np.uint8), (steps[p] & 255).astype(np.uint8), part[p], ids[p], centre[p].astype(np.uint32), np.concatenate(texts))))
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["task", "data"])
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -420,15 +402,13 @@ def stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int] | No
 
 
 class Classes:
-    """The windows of one task with the texts around their centres."""
+    """The windows of one task with the texts around their centres. part: the component of the window's document."""
 
     def __init__(self, parts: list[list[np.ndarray]]):
-        sig, side, length, left, back, front, linked, root, ids, words, self.flat = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(11))
-        order = np.lexsort((ids, root, side, sig))
+        sig, side, length, left, back, front, part, ids, words, self.flat = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(10))
+        order = np.lexsort((words, ids, part, side, sig))
         self.begin = (np.cumsum(length) - length)[order]
-        self.sig, self.side, self.length, self.left, self.back, self.front, self.root, self.ids, self.words = (x[order] for x in (sig, side, length, left, back, front, root, ids, words))
-        #: Whether the window is known to be linked with another document.
-        self.several = linked[order] > 0
+        self.sig, self.side, self.length, self.left, self.back, self.front, self.part, self.ids, self.words = (x[order] for x in (sig, side, length, left, back, front, part, ids, words))
         _, inverse = np.unique(self.sig, return_inverse=True)
         self.mixed = (np.bincount(inverse, weights=self.side) > 0)[inverse] if len(inverse) else np.zeros(0, bool)
 
@@ -452,15 +432,16 @@ class Classes:
         """Pairs of a large group that share one of the rarest shingles of both; others can't share 80 %."""
         frame = self.frame(np.arange(s, s + n), REACH)
         row, col = np.nonzero(frame >= 0)
-        cell = np.unique(np.stack((row, frame[row, col]), axis=1), axis=0)
-        _, inverse, df = np.unique(cell[:, 1], return_inverse=True, return_counts=True)
-        total = np.bincount(cell[:, 0], minlength=n)
+        cell = np.unique(row.astype(np.uint64) << np.uint64(32) | frame[row, col].astype(np.uint64))
+        row = (cell >> np.uint64(32)).astype(np.int64)
+        _, inverse, df = np.unique(cell.astype(np.uint32), return_inverse=True, return_counts=True)
+        total = np.bincount(row, minlength=n)
         need = np.full(n, ENOUGH)
         for k in np.flatnonzero(total < self.length[s : s + n]).tolist():
             x = self.narrow(s + k)
             need[k] = min(ENOUGH, *(-(-8 * len(set(x[j : j + SPAN].tolist())) // 10) for j in range(len(x) - SPAN + 1)))
-        order = np.lexsort((inverse, df[inverse], cell[:, 0]))
-        row, word = cell[order, 0], inverse[order]
+        order = np.lexsort((inverse, df[inverse], row))
+        row, word = row[order], inverse[order]
         rank = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
         keep = (rank <= (total - need)[row]) & (df[word] > 1)
         found = np.zeros((n, n), bool)
@@ -489,31 +470,29 @@ class Classes:
             second.append(j)
         a, b = np.concatenate(first), np.concatenate(second)
         two = (self.side[a] == self.side[b]) & self.mixed[a]
-        keep = ~two & ~((self.ids[a] == self.ids[b]) & ~self.several[a] & ~self.several[b])
+        keep = ~two & (self.part[a] != self.part[b])
         a, b = a[keep], b[keep]
         return a, b, a - np.repeat(starts, sizes)[a]
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first window of each one's component, and whether it is linked with another document. A window is compared with
-        all others of its signature but those it is known to be joined with."""
+        """Linked windows: enough pairs to join the components of documents that belong together."""
         a, b, turn = self.candidates()
-        stars, linked = Stars(len(self.sig)), self.several.copy()
-        known = np.lexsort((self.root, self.sig))
-        same = np.flatnonzero((self.root[known[1:]] == self.root[known[:-1]]) & (self.sig[known[1:]] == self.sig[known[:-1]]))
-        stars.add(known[same + 1], known[same])
+        _, node = np.unique(self.part, return_inverse=True)
+        stars, found = Stars(int(node.max()) + 1 if len(node) else 0), [np.zeros((2, 0), np.int64)]
         order = np.argsort(turn, kind="stable")
         a, b = a[order], b[order]
         cuts = np.flatnonzero(np.diff(turn[order])) + 1
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)], strict=True):
             p, q = a[i:j], b[i:j]
-            root = stars.flush()
-            open_ = (root[p] != root[q]) | ~linked[p] | ~linked[q]
-            p, q = p[open_], q[open_]
             for k in range(0, len(p), 1024):
-                x, y, *_ = self._compare(p[k : k + 1024], q[k : k + 1024])
-                stars.add(x, y)
-                linked[x] = linked[y] = True
-        return stars.flush(), linked
+                root = stars.flush()
+                x, y = p[k : k + 1024], q[k : k + 1024]
+                open_ = root[node[x]] != root[node[y]]
+                x, y, *_ = self._compare(x[open_], y[open_])
+                stars.add(node[x], node[y])
+                found.append(np.stack((x, y)))
+        x, y = np.concatenate(found, axis=1)
+        return x, y
 
     def pairs(self):
         """(class, class, start and end in each, shared) of the pairs that have passages that share 80 %; places count from
@@ -579,13 +558,11 @@ def _classes_of(left) -> Classes:
 
 
 def _linked(key, table):
-    """Links of documents, packed: each with the smallest id of its component here and its first centre."""
+    """Links of documents, packed: each with the smaller id and its own centre."""
     c = _classes_of(table)
-    root, linked = c.joined()
-    low = np.full(len(c.sig), 2**63 - 1)
-    np.minimum.at(low, root, c.ids)
-    k = np.flatnonzero(linked)
-    return pa.table({"data": pa.array([_told(c.ids[k], low[root[k]], c.words[k])] if len(k) else [], pa.binary())})
+    x, y = c.joined()
+    low = np.minimum(c.ids[x], c.ids[y])
+    return pa.table({"data": pa.array([_told(np.concatenate((c.ids[x], c.ids[y])), np.concatenate((low, low)), np.concatenate((c.words[x], c.words[y])))] if len(x) else [], pa.binary())})
 
 
 LINKS = "a long, b long, a_word long, b_word long, length long, shared int"
@@ -606,19 +583,35 @@ def _spelled(key, table):
     return pa.table([pa.array(x) for x in columns], ["a", "b", "a_word", "b_word", "length", "shared"])
 
 
-def _compared(docs: DataFrame, id_col: str, text_col: str, spelled: bool) -> tuple[DataFrame, DataFrame]:
-    """(task, data): the windows that have to be compared; (data): the links that are known without."""
-    n = common.partitions_for(docs)
-    buckets = common.buckets_for(n)
-    frame = docs.select(
-        common.chunk_of(id_col, text_col, n), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("__text")
-    )
-    chunks = frame.repartition(n, "chunk").groupBy("chunk")
-    marks = chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
-    met = common.checkpointed(chunks.cogroup(marks.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_met(buckets, spelled), "bucket int, chunk int, data binary"))
-    asked = common.checkpointed(met.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_groups(buckets, spelled), "chunk int, task long, data binary"))
-    answers = chunks.cogroup(asked.filter("chunk >= 0").repartition(n, "chunk").groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
-    return answers.repartition(n, "task"), met.filter("bucket < 0").select("data").unionByName(asked.filter("chunk < 0").select("data"))
+class Search:
+    """The steps that links and classes have in common."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, spelled: bool):
+        self.n = n = common.partitions_for(docs)
+        buckets = common.buckets_for(n)
+        frame = docs.select(
+            common.chunk_of(id_col, text_col, n), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("__text")
+        )
+        self.chunks = frame.repartition(n, "chunk").groupBy("chunk")
+        marks = self.chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
+        met = self.chunks.cogroup(marks.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_met(buckets, spelled), "bucket int, chunk int, data binary")
+        self.found = common.checkpointed(met.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_groups(spelled), LEFT))
+
+    def told(self) -> DataFrame:
+        return self.found.filter("data is not null").select("data")
+
+    def compared(self, parts: DataFrame, schema: str, run) -> DataFrame:
+        """run over the windows that have to be compared, by task. parts: (node, root) of documents."""
+        left = self.found.filter("data is null").drop("data").join(parts.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root")
+        wide = left.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("k")).filter("low <> high")
+        wide = wide.select(F.col("sig").alias("s"), F.floor((F.col("k") + (BLOCK - 1)) / BLOCK).cast("int").alias("pieces"))
+        dealt = left.join(wide, F.col("sig") == F.col("s")).withColumn("own", F.pmod(F.xxhash64("doc_id", "centre"), F.col("pieces")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        task = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("sig"), F.lit(self.n))).otherwise(self.n + F.pmod(F.xxhash64("sig", i, j), F.lit(1 << 61)))
+        asked = dealt.select("chunk", task.alias("task"), "sig", (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "centre", "steps", "doc_id", "part")
+        answers = self.chunks.cogroup(asked.repartition(self.n, "chunk").groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
+        return answers.repartition(self.n, "task").groupBy("task").applyInArrow(run, schema)
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -626,7 +619,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     words where it starts, its length in shingles, and the most shingles that a pair of passages in it shares. What overlaps
     along one diagonal is one passage. A row for every pair, so many for a passage that many documents hold; classes()
     needs none."""
-    found = _compared(docs, id_col, text_col, True)[0].groupBy("task").applyInArrow(_spelled, LINKS).withColumn("d", F.col("b_word") - F.col("a_word"))
+    search = Search(docs, id_col, text_col, True)
+    alone = docs.sparkSession.createDataFrame([], "node long, root long")
+    found = search.compared(alone, LINKS, _spelled).withColumn("d", F.col("b_word") - F.col("a_word"))
     before = Window.partitionBy("a", "b", "d").orderBy("a_word", "length").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("a", "b", "d").orderBy("a_word", "length").rowsBetween(Window.unboundedPreceding, 0)
     new = F.coalesce(F.col("a_word") > F.max(F.col("a_word") + F.col("length")).over(before), F.lit(True))
@@ -643,11 +638,18 @@ def _opened(batches):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, first_word): for every document that shares a passage, the smallest doc_id reachable over links and
-    the first word of the first of its shared shingles that a passage was found by (the centre of a linked window, so it
-    lies inside the passage and depends on no other document than that there is one)."""
-    asked, told = _compared(docs, id_col, text_col, False)
-    found = asked.groupBy("task").applyInArrow(_linked, "data binary").unionByName(told)
-    named = common.checkpointed(found.mapInArrow(_opened, "doc_id long, low long, word long").groupBy("doc_id", "low").agg(F.min("word").alias("word")))
-    roots = components(named.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("doc_id"), "root")
-    first = named.groupBy("doc_id").agg(F.min("word").alias("first_word"))
+    the first word of the first of its shared shingles that a link was found by; it lies inside a shared passage."""
+    search = Search(docs, id_col, text_col, False)
+
+    def named(packed: DataFrame) -> DataFrame:
+        return common.checkpointed(packed.mapInArrow(_opened, "doc_id long, low long, word long").groupBy("doc_id", "low").agg(F.min("word").alias("word")))
+
+    def edges(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+
+    equal = named(search.told())
+    parts = common.checkpointed(components(edges(equal)))
+    near = named(search.compared(parts, "data binary", _linked))
+    roots = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges(near))).select(F.col("node").alias("doc_id"), "root")
+    first = equal.unionByName(near).groupBy("doc_id").agg(F.min("word").alias("first_word"))
     return first.join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "first_word")
