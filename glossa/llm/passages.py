@@ -45,7 +45,9 @@ CHOICE = 8
 ENOUGH = -(-8 * 2 * SPAN // 18)
 #: Classes of a group that one task compares with as many others, and of a group that are all compared without looking at
 #: rare shingles.
-BLOCK, FEW = 512, 8
+BLOCK, FEW = 512, 64
+#: Windows of two components that one task takes.
+TASK = 8192
 #: Bytes hashed at once; longer texts are a slice of their own.
 SLICE = 1 << 20
 
@@ -461,9 +463,11 @@ class Classes:
         first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
             i, j = np.triu_indices(n, 1)
-            own = starts[sizes == n]
-            first.append((own[:, None] + i).ravel())
-            second.append((own[:, None] + j).ravel())
+            for own in np.array_split(starts[sizes == n], -(-int((sizes == n).sum()) * len(i) // (1 << 20))):
+                p, q = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
+                keep = self.part[p] != self.part[q]
+                first.append(p[keep])
+                second.append(q[keep])
         for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
             i, j = self._rare(s, n)
             first.append(i)
@@ -476,18 +480,23 @@ class Classes:
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """Linked windows: enough pairs to join the components of documents that belong together."""
-        a, b, turn = self.candidates()
+        a, b, _ = self.candidates()
         _, node = np.unique(self.part, return_inverse=True)
         stars, found = Stars(int(node.max()) + 1 if len(node) else 0), [np.zeros((2, 0), np.int64)]
-        order = np.argsort(turn, kind="stable")
-        a, b = a[order], b[order]
-        cuts = np.flatnonzero(np.diff(turn[order])) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)], strict=True):
-            p, q = a[i:j], b[i:j]
-            for k in range(0, len(p), 1024):
+        # One pair of windows for each pair of components, then one more, then two, four and so on, while they aren't joined.
+        both = np.minimum(node[a], node[b]) * np.int64(len(node) + 1) + np.maximum(node[a], node[b])
+        order = np.argsort(both, kind="stable")
+        a, b, both = a[order], b[order], both[order]
+        nth = np.arange(len(a)) - np.searchsorted(both, both)
+        turn = np.frexp(nth + 1)[1]
+        for k in np.unique(turn).tolist():
+            p, q = a[turn == k], b[turn == k]
+            for at in range(0, len(p), 1024):
                 root = stars.flush()
-                x, y = p[k : k + 1024], q[k : k + 1024]
+                x, y = p[at : at + 1024], q[at : at + 1024]
                 open_ = root[node[x]] != root[node[y]]
+                if not open_.any():
+                    continue
                 x, y, *_ = self._compare(x[open_], y[open_])
                 stars.add(node[x], node[y])
                 found.append(np.stack((x, y)))
@@ -544,8 +553,7 @@ class Classes:
                 put(np.array([k]), *(np.array([z]) for z in (i.min() - u, i.max() + SPAN - u, j.min() - v, j.max() + SPAN - v, n.max())))
         # Longer passages of different lengths, where enough is shared.
         k = np.flatnonzero(~sure) if not extents else np.arange(len(a))
-        both = np.sort(np.concatenate((self.frame(a[k], REACH), self.frame(b[k], REACH, -2)), axis=1), axis=1)
-        k = k[((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1) >= ENOUGH]
+        k = np.concatenate([p[self._dense(a[p], b[p])] for p in np.array_split(k, -(-len(k) // 256))]) if len(k) else k
         for k in k.tolist():
             if got := stretch(self.text(a[k]), self.text(b[k])):
                 u, v = int(self.left[a[k]]), int(self.left[b[k]])
@@ -553,6 +561,23 @@ class Classes:
         return tuple(np.concatenate(out).T)
 
 
+    def _dense(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether SPAN shingles in a row of each text hold so many of the other's that longer passages may share 80 %: a pair
+        of passages that does holds 80 % of either, and so does some part of them that is SPAN long, nearly."""
+        x, y = self.frame(a, REACH), self.frame(b, REACH)
+        row = np.arange(len(a), dtype=np.int64)[:, None] << 33
+        out = np.ones(len(a), bool)
+        for own, other in ((x, y), (y, x)):
+            known = np.sort((row + 1 + other)[other >= 0])
+            key = row + 1 + own
+            at = np.minimum(np.searchsorted(known, key.ravel()), max(len(known) - 1, 0)).reshape(key.shape)
+            shared = (known[at] == key) & (own >= 0) if len(known) else np.zeros(key.shape, bool)
+            total = np.zeros((len(a), own.shape[1] + 1), np.int16)
+            np.cumsum(shared, axis=1, out=total[:, 1:])
+            out &= (total[:, -1] >= ENOUGH) & ((total[:, SPAN:] - total[:, :-SPAN]).max(axis=1) >= ENOUGH - 9)
+        return out
+
+
 def _classes_of(left) -> Classes:
     return Classes([_unpack(d) for d in left.column("data").to_pylist()])
 
@@ -603,12 +628,17 @@ class Search:
     def compared(self, parts: DataFrame, schema: str, run) -> DataFrame:
         """run over the windows that have to be compared, by task. parts: (node, root) of documents."""
         left = self.found.filter("data is null").drop("data").join(parts.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root")
-        wide = left.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("k")).filter("low <> high")
-        wide = wide.select(F.col("sig").alias("s"), F.floor((F.col("k") + (BLOCK - 1)) / BLOCK).cast("int").alias("pieces"))
+        left = left.select("sig", "chunk", "doc", "centre", "steps", "doc_id", "part")
+        wide = left.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k")).filter("parts > 1")
+        # All that two components share under signatures of their own goes to one task, or several where it is much.
+        met = wide.filter("parts = 2").groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg((F.floor(F.sum("k") / TASK) + 1).alias("ways"))
+        wide = wide.join(met, (F.col("parts") == 2) & (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")), "left")
+        name = F.when(F.col("parts") == 2, F.xxhash64("low", "high", F.pmod(F.xxhash64("sig"), "ways"))).otherwise(F.xxhash64("sig"))
+        wide = wide.select(F.col("sig").alias("s"), name.alias("name"), F.floor((F.col("k") + (BLOCK - 1)) / BLOCK).cast("int").alias("pieces"))
         dealt = left.join(wide, F.col("sig") == F.col("s")).withColumn("own", F.pmod(F.xxhash64("doc_id", "centre"), F.col("pieces")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         i, j = F.least("own", "other"), F.greatest("own", "other")
-        task = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("sig"), F.lit(self.n))).otherwise(self.n + F.pmod(F.xxhash64("sig", i, j), F.lit(1 << 61)))
+        task = F.when(F.col("pieces") == 1, F.pmod("name", F.lit(self.n))).otherwise(self.n + F.pmod(F.xxhash64("sig", i, j), F.lit(1 << 61)))
         asked = dealt.select("chunk", task.alias("task"), "sig", (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "centre", "steps", "doc_id", "part")
         answers = self.chunks.cogroup(asked.repartition(self.n, "chunk").groupBy("chunk")).applyInArrow(_answers, "task long, data binary")
         return answers.repartition(self.n, "task").groupBy("task").applyInArrow(run, schema)
