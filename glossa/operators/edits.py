@@ -10,14 +10,25 @@ from glossa.functions.text import filled, is_blank, trim_script
 
 
 def unique_ids(wanted: DataFrame, taken: DataFrame, base: str = "base") -> DataFrame:
-    """(paper_id, base, id): base itself if free, else the first free of base-2, base-3, ... Among n taken names one of the
-    first n + 1 candidates is free, so candidates are generated up to that."""
+    """(paper_id, base, id): base itself if free, else the first free of base-2, base-3, ... A taken name counts for itself as
+    base and, where it ends in a number, for what stands before; the two meet by equality, and the first gap in the
+    numbers is one window pass."""
     rows = wanted.select("paper_id", F.col(base).alias("base")).distinct()
-    pattern = F.concat(F.lit("^\\Q"), F.col("base"), F.lit("\\E(-[0-9]+)?$"))
-    near = rows.join(taken.select("paper_id", F.col("id").alias("t")), "paper_id").filter(F.regexp_like("t", pattern)).groupBy("paper_id", "base").agg(F.collect_set("t").alias("t"))
-    rows = rows.join(near, ["paper_id", "base"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
-    tries = F.transform(F.sequence(F.lit(1), F.size("t") + 1), lambda k: F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), k.cast("string"))))
-    return rows.select("paper_id", "base", F.filter(tries, lambda x: ~F.array_contains(F.col("t"), x))[0].alias("id"))
+    number = F.regexp_extract("id", "-([1-9][0-9]{0,17})$", 1).try_cast("long")
+    ways = F.array(F.struct(F.col("id").alias("base"), F.lit(1).cast("long").alias("n")), F.struct(F.regexp_replace("id", "-[0-9]+$", "").alias("base"), F.when(number >= 2, number).alias("n")))
+    near = taken.select("paper_id", F.explode(ways).alias("w")).select("paper_id", "w.base", "w.n").filter("n is not null").join(rows, ["paper_id", "base"], "left_semi").distinct()
+    after = F.lead("n").over(Window.partitionBy("paper_id", "base").orderBy("n"))
+    gaps = near.withColumn("gap", F.when(~after.eqNullSafe(F.col("n") + 1), F.col("n") + 1)).groupBy("paper_id", "base").agg(F.min("n").alias("least"), F.min("gap").alias("gap"))
+    free = F.when(F.col("least") == 1, F.concat("base", F.lit("-"), F.col("gap").cast("string"))).otherwise(F.col("base"))
+    return rows.join(gaps, ["paper_id", "base"], "left").select("paper_id", "base", free.alias("id"))
+
+
+def named(rows: DataFrame, new: Column, others: DataFrame) -> DataFrame:
+    """Rows whose id is new (a flag) get a free one; others: (paper_id, id) of the paper before the edit."""
+    names = unique_ids(rows.filter(new).select("paper_id", F.col("id").alias("base")), others).select("paper_id", F.col("base").alias("id"), F.col("id").alias("__free"))
+    marked = rows.withColumn("__new", new)
+    fresh = marked.filter("__new").join(names, ["paper_id", "id"], "left").withColumn("id", F.coalesce("__free", "id")).drop("__free")
+    return marked.filter("not __new").unionByName(fresh).drop("__new").select(*rows.columns)
 
 
 def merge_with_next(rows: DataFrame, key: list[str], order: str, at: Column, *, id_col: str = "id", text: str = "text", confidence: str = "confidence") -> DataFrame:
@@ -39,15 +50,33 @@ def merge_with_next(rows: DataFrame, key: list[str], order: str, at: Column, *,
     )
 
 
-def merged_struct(a: Column, b: Column, new_id: Column) -> Column:
-    """The whole segment that two neighbours become."""
-    both = lambda f: F.concat_ws("\n\n", filled(trim_script(a["translation"][f])), filled(trim_script(b["translation"][f])))
-    translation = F.struct(both("faithfulZh").alias("faithfulZh"), both("plainZh").alias("plainZh"), F.lit("ai-draft").alias("status"), F.lit(None).cast("string").alias("reviewedAt"))
-    return F.struct(
-        new_id.alias("id"), a["section"].alias("section"), a["kind"].alias("kind"), F.concat_ws(" ", trim_script(a["sourceText"]), trim_script(b["sourceText"])).alias("sourceText"),
-        F.concat(a["fragments"], b["fragments"]).alias("fragments"), F.least(a["confidence"], b["confidence"], F.lit(0.5)).alias("confidence"),
-        (F.coalesce(a["excluded"], F.lit(False)) & F.coalesce(b["excluded"], F.lit(False))).alias("excluded"), F.lit("needs-review").alias("reviewStatus"), translation.alias("translation"),
-    )
+def _translation(rows: DataFrame, **fields: Column) -> Column:
+    """The translation column with those of these fields that it has."""
+    out = F.col("translation")
+    for name, value in fields.items():
+        if name in rows.schema["translation"].dataType.fieldNames():
+            out = out.withField(name, value)
+    return out
+
+
+def merge_segments(rows: DataFrame, order: str, at: Column) -> DataFrame:
+    """Whole segments (paper_id, id, sourceText, fragments, confidence, excluded, reviewStatus, translation, ...) where `at`
+    holds become one with their successor: free id `{id}-merged`, trimmed texts with one space between, both's boxes, the
+    least confidence and at most .5, excluded only if both are, translations in paragraphs, to be reviewed again. What else
+    a segment has is the first one's."""
+    w = Window.partitionBy("paper_id").orderBy(order)
+    nxt = lambda c: F.lead(c).over(w)
+    more = {"__fragments": nxt("fragments"), "__excluded": nxt("excluded"), "__translation": nxt("translation")}
+    got = merge_with_next(rows.withColumns(more), ["paper_id"], order, at, text="sourceText")
+    hit = F.col("was_merged")
+    both = lambda f: F.concat_ws("\n\n", filled(f"translation.{f}"), filled(f"__translation.{f}"))
+    joined = _translation(rows, faithfulZh=both("faithfulZh"), plainZh=both("plainZh"), status=F.lit("ai-draft"), reviewedAt=F.lit(None).cast("string"), generatedBy=F.lit("local-curator"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    got = got.withColumns({
+        "fragments": F.when(hit, F.concat("fragments", "__fragments")).otherwise(F.col("fragments")), "excluded": F.when(hit, yes("excluded") & yes("__excluded")).otherwise(F.col("excluded")),
+        "reviewStatus": F.when(hit, "needs-review").otherwise(F.col("reviewStatus")), "translation": F.when(hit, joined).otherwise(F.col("translation")),
+    })
+    return named(got.select(*rows.columns, "was_merged"), hit, rows.select("paper_id", "id")).drop("was_merged")
 
 
 def utf16_prefix(text: Column, units: Column) -> Column:
@@ -72,6 +101,19 @@ def split_at(rows: DataFrame, key: list[str], order: str, at: Column, *, id_col:
     return out.select(*(c for c in rows.columns if c not in (id_col, text, confidence)), F.col("__p.i").alias(id_col), F.col("__p.t").alias(text), F.col("__p.c").alias(confidence), F.col("__p.piece").alias("piece"))
 
 
+def split_segments(rows: DataFrame, order: str, at: Column) -> DataFrame:
+    """Whole segments are cut after `at` UTF-16 units (null, none or all of them: not cut) into two of the same boxes, where both
+    sides have text: free ids `{id}-a` and `{id}-b`, confidence at most .45, untranslated, to be reviewed. `piece` numbers
+    them (0: not cut)."""
+    units = F.length("sourceText") + F.size(F.filter(F.split("sourceText", ""), lambda c: F.octet_length(c) == 4))
+    points = F.when((at > 0) & (at < units), utf16_prefix(F.col("sourceText"), at))
+    got = split_at(rows, ["paper_id"], order, points, text="sourceText")
+    hit = F.col("piece") > 0
+    blank = _translation(rows, faithfulZh=F.lit(""), plainZh=F.lit(""), status=F.lit("untranslated"), reviewedAt=F.lit(None).cast("string"), generatedBy=F.lit("local-curator"))
+    got = got.withColumns({"translation": F.when(hit, blank).otherwise(F.col("translation")), "reviewStatus": F.when(hit, "needs-review").otherwise(F.col("reviewStatus"))})
+    return named(got.select(*rows.columns, "piece"), hit, rows.select("paper_id", "id"))
+
+
 def toggled_exclusion(segments: DataFrame, at: Column) -> DataFrame:
     hit = F.coalesce(at, F.lit(False))
     return segments.withColumns({"excluded": F.when(hit, ~F.coalesce("excluded", F.lit(False))).otherwise(F.col("excluded")), "reviewStatus": F.when(hit, "needs-review").otherwise(F.col("reviewStatus"))})

@@ -74,6 +74,12 @@ def segment_exhibits(segments: DataFrame, exhibits: DataFrame, key: str = "paper
     return rows.join(exhibits.withColumnRenamed("id", "exhibitId"), [key, "exhibitId"])
 
 
+def exhibit_by_id(rows: DataFrame, id_col: str, exhibits: DataFrame) -> DataFrame:
+    """Rows with the exhibit that a column names, as a struct; null if there is none."""
+    own = exhibits.select("paper_id", F.col("id").alias(id_col), F.struct(*(c for c in exhibits.columns if c != "paper_id")).alias("exhibit"))
+    return rows.join(own, ["paper_id", id_col], "left")
+
+
 def linked_flags(exhibits: DataFrame, links: DataFrame) -> DataFrame:
     """Exhibits with whether any high-confidence link points at them."""
     high = links.filter("confidence = 'high'").select("paper_id", F.col("exhibitId").alias("id"), F.lit(True).alias("__linked")).distinct()

@@ -36,59 +36,41 @@ def order_repair(stored: DataFrame, source: DataFrame, previous: DataFrame) -> D
 
 def unit_repairs(stored: DataFrame, source: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Applies repairs (paper_id, position, targetId, previousSegments, absorbedIds) in list order; returns the segments
-    and (paper_id, id, status pending | protected). Repairs of a paper see each other's effects, so each paper is one
-    group (a paper has some hundred segments); papers are independent and run side by side."""
-    import pandas as pd
-
-    schema = stored.schema
-    names = schema.fieldNames()
-    packed = lambda df, name: df.groupBy("paper_id").agg(F.collect_list(F.struct(*df.columns)).alias(name))
-    rows = packed(stored, "s").join(packed(source, "n"), "paper_id", "left").join(packed(repairs, "r"), "paper_id", "left")
-
-    def alike(a, b, fields) -> bool:
-        return all(a.get(f) == b.get(f) for f in fields)
-
-    def plain(x):
-        """Arrow rows as dicts and lists, so that they compare by value."""
-        if hasattr(x, "asDict"):
-            x = x.asDict()
-        if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
-        if isinstance(x, (list, tuple)) or hasattr(x, "tolist") and not isinstance(x, str):
-            return [plain(v) for v in (x.tolist() if hasattr(x, "tolist") else x)]
-        return x
-
-    def run(batches):
-        for pdf in batches:
-            out, marks = [], []
-            for _, row in pdf.iterrows():
-                own = [plain(x) for x in row["s"]]
-                new = {x["id"]: x for x in (plain(y) for y in (row["n"] if row["n"] is not None else []))}
-                for repair in sorted((plain(x) for x in (row["r"] if row["r"] is not None else [])), key=lambda x: x["position"]):
-                    here = {x["id"]: x for x in own}
-                    target, fresh = here.get(repair["targetId"]), new.get(repair["targetId"])
-                    if target is None or fresh is None:
-                        continue
-                    already = alike(target, fresh, ("sourceText", "fragments"))
-                    before = [(p, here.get(p["id"])) for p in repair["previousSegments"] or []]
-                    untouched = all(x is not None and alike(p, x, ("sourceText", "fragments", "translation")) and x.get("reviewStatus") not in _DONE for p, x in before)
-                    if not already and not untouched:
-                        marks.append((row["paper_id"], repair["targetId"], "pending"))
-                        marks += [(row["paper_id"], i, "protected") for i in repair["absorbedIds"] or []]
-                        continue
-                    for k, x in enumerate(own):
-                        if x["id"] == fresh["id"] and untouched and not already:
-                            own[k] = fresh | ({"excluded": x["excluded"]} if x.get("excluded") is not None else {})
-                        elif x["id"] in (repair["absorbedIds"] or []):
-                            own[k] = x | {"mergedIntoSegmentId": fresh["id"], "excluded": True if x.get("excluded") is None else x["excluded"]}
-                out += [{"seg": {c: x.get(c) for c in names}, "paper_id": row["paper_id"], "id": None, "status": None} for x in own]
-                out += [{"seg": None, "paper_id": p, "id": i, "status": s} for p, i, s in marks]
-            yield pd.DataFrame(out, columns=["seg", "paper_id", "id", "status"])
-
-    from pyspark.sql import types as T
-
-    result = rows.mapInPandas(run, T.StructType().add("seg", schema).add("paper_id", "string").add("id", "string").add("status", "string"))
-    return result.filter("seg is not null").select("seg.*"), result.filter("status is not null").select("paper_id", "id", "status")
+    and (paper_id, id, status pending | protected). Repairs of a paper see each other's effects, so a paper with repairs is
+    one row, folded over them as column expressions (a paper has some hundred segments); other papers are left alone."""
+    names = stored.columns
+    same = source.select(*(F.col(c) if c in source.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in names))
+    packed = lambda df, name: df.groupBy("paper_id").agg(F.collect_list(F.struct(*names)).alias(name))
+    listed = repairs.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("position", *(c for c in repairs.columns if c not in ("paper_id", "position"))))).alias("r"))
+    busy = repairs.select("paper_id").distinct()
+    rows = packed(stored.join(busy, "paper_id", "left_semi"), "s").join(packed(same.join(busy, "paper_id", "left_semi"), "n"), "paper_id", "left").join(listed, "paper_id")
+    none, empty = F.array().cast("array<string>"), F.filter("s", lambda x: F.lit(False))
+
+    def step(acc: Column, r: Column) -> Column:
+        target = F.try_element_at(F.filter(acc["own"], lambda x: x["id"] == r["targetId"]), F.lit(1))
+        fresh = F.try_element_at(F.filter(F.coalesce("n", empty), lambda x: x["id"] == r["targetId"]), F.lit(1))
+        alike = lambda a, b, fields: F.array_min(F.array(*(a[f].eqNullSafe(b[f]) for f in fields)))
+        already = alike(target, fresh, ("sourceText", "fragments"))
+        open_ = lambda x: ~F.coalesce(x["reviewStatus"].isin(*_DONE), F.lit(False))
+        untouched = F.forall(r["previousSegments"], lambda p: F.exists(acc["own"], lambda x: (x["id"] == p["id"]) & alike(x, p, ("sourceText", "fragments", "translation")) & open_(x)))
+        untouched, absorbed = F.coalesce(untouched, F.lit(True)), F.coalesce(r["absorbedIds"], none)
+        known, blocked = target.isNotNull() & fresh.isNotNull(), ~already & ~untouched
+        mended = F.transform(
+            acc["own"],
+            lambda x: F.when((x["id"] == fresh["id"]) & untouched & ~already, fresh.withField("excluded", F.coalesce(x["excluded"], fresh["excluded"])))
+            .when(F.array_contains(absorbed, x["id"]), x.withField("mergedIntoSegmentId", fresh["id"]).withField("excluded", F.coalesce(x["excluded"], F.lit(True))))
+            .otherwise(x),
+        )
+        return F.struct(
+            F.when(known & ~blocked, mended).otherwise(acc["own"]).alias("own"), F.when(known & blocked, F.array_append(acc["pending"], r["targetId"])).otherwise(acc["pending"]).alias("pending"),
+            F.when(known & blocked, F.concat(acc["protected"], absorbed)).otherwise(acc["protected"]).alias("protected"),
+        )
+
+    start = F.struct(F.col("s").alias("own"), none.alias("pending"), none.alias("protected"))
+    done = rows.select("paper_id", F.aggregate("r", start, step).alias("a"))
+    segments = done.select(F.explode("a.own").alias("x")).select("x.*").select(*names).unionByName(stored.join(busy, "paper_id", "left_anti"))
+    mark = lambda c: F.transform(f"a.{c}", lambda i: F.struct(i.alias("id"), F.lit(c).alias("status")))
+    return segments, done.select("paper_id", F.explode(F.concat(mark("pending"), mark("protected"))).alias("m")).select("paper_id", "m.*")
 
 
 def field_merge(stored: DataFrame, source: DataFrame, protected: DataFrame | None = None, explained: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
@@ -130,13 +112,17 @@ def field_merge(stored: DataFrame, source: DataFrame, protected: DataFrame | Non
     if "exhibitMentions" in stored.columns:
         new["exhibitMentions"] = F.when(same & boxes, F.col("n_exhibitMentions"))
     if "kind" in stored.columns:
-        moved = same & (F.col("kind") == "caption") & (F.col("n_kind") == "body") & is_caption_sentence("sourceText")
+        moved = same & (F.col("kind") == "caption") & (F.col("n_kind") == "body") & is_caption_sentence("sourceText") & draft
         new["kind"] = F.when(F.coalesce(moved, F.lit(False)), "body").otherwise(F.col("kind"))
     if "paragraphAssessment" in stored.columns:
-        new["paragraphAssessment"] = F.when(same, F.col("n_paragraphAssessment")).otherwise(F.col("paragraphAssessment"))
+        new["paragraphAssessment"] = F.when(same, F.col("n_paragraphAssessment"))
     return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in stored.columns))
 
 
+#: Fields of a document that are the published ones whatever was stored.
+SOURCE_FIELDS = ["exhibits", "references", "citations", "readingOrderRepair", "inlineExhibitsEnabled", "exhibitCompanion", "readingUnitRepairs", "sectionRepairs"]
+
+
 def owned_by_source(stored: DataFrame, source: DataFrame, fields: list[str]) -> DataFrame:
     """Documents with the source's version of these fields, whatever was stored."""
     own = source.select("paper_id", *(F.col(f).alias(f"n_{f}") for f in fields))
@@ -171,3 +157,13 @@ def reconcile(stored: DataFrame, source: DataFrame, *, broken: DataFrame | None
     merged = field_merge(own, source, protected, explained, sections)
     untouched = source.join(own.select("paper_id").distinct(), "paper_id", "left_anti").select(*own.columns)
     return renumbered(merged.unionByName(untouched), ["paper_id"], "order")
+
+
+def reconcile_documents(stored: DataFrame, source: DataFrame, stored_segments: DataFrame, source_segments: DataFrame, **steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with the fields that the published version owns, and their reconciled segments (steps as for reconcile).
+    Papers in broken come out as published, as do those that were never stored."""
+    fields = [f for f in SOURCE_FIELDS if f in source.columns and f in stored.columns]
+    own = stored if steps.get("broken") is None else stored.join(steps["broken"].select("paper_id"), "paper_id", "left_anti")
+    kept = owned_by_source(own, source, fields).select(*stored.columns)
+    documents = kept.unionByName(source.join(own.select("paper_id"), "paper_id", "left_anti").select(*stored.columns))
+    return documents, reconcile(stored_segments, source_segments, **steps)

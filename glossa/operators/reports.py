@@ -41,9 +41,17 @@ def library_cards(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", padded("number", 2).alias("label"), "title", "pageCount", segment_count(F.col("bodySegmentCount"), F.col("includedSegmentCount"), F.col("segmentCount")).alias("segments"))
 
 
-def merged_confidence(a, b):
-    return F.least(a, b, F.lit(0.5))
-
-
-def split_confidence(a):
-    return F.least(a, F.lit(0.45))
+def view_counts(segments: DataFrame, citations: DataFrame, explanations: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(paper_id, id, citations, accepted, candidates, explains): what a segment's view counts, and how many exhibits it
+    explains."""
+    counted = lambda rows, name: rows.groupBy("paper_id", F.col("segmentId").alias("id")).agg(F.count(F.lit(1)).alias(name))
+    out = segments.select("paper_id", "id")
+    for rows, name in ((citations, "citations"), (resolved.filter("status = 'accepted'"), "accepted"), (resolved.filter("status = 'candidate'"), "candidates"), (explanations.withColumnRenamed("segment_id", "segmentId"), "explains")):
+        out = out.join(counted(rows, name), ["paper_id", "id"], "left")
+    return out.select("paper_id", "id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("citations", "accepted", "candidates", "explains")))
+
+
+def exhibit_counts(exhibits: DataFrame, explanations: DataFrame) -> DataFrame:
+    """(paper_id, id, explanations) of every exhibit. explanations: as links.explanations gives them."""
+    n = explanations.groupBy("paper_id", F.col("exhibit_id").alias("id")).agg(F.count(F.lit(1)).alias("explanations"))
+    return exhibits.select("paper_id", "id").join(n, ["paper_id", "id"], "left").withColumn("explanations", F.coalesce("explanations", F.lit(0)))

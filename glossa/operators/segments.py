@@ -43,9 +43,15 @@ def neighbours(rows: DataFrame, key: list[str], order: str, id_col: str) -> Data
     })
 
 
-def siblings(rows: DataFrame, order: str, id_col: str) -> DataFrame:
-    """Previous and next over a whole small table (papers of a catalogue); null at the ends."""
-    w = Window.orderBy(order)
+def in_order(rows: DataFrame, key: list[str], order: str, id_col: str) -> DataFrame:
+    """(key, ids): the ids of each key in ascending order, ties by id."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_col).alias("i"))))
+    return rows.groupBy(*key).agg(F.transform(listed, lambda x: x["i"]).alias("ids"))
+
+
+def siblings(rows: DataFrame, order: str, id_col: str, key: list[str]) -> DataFrame:
+    """Previous and next paper within a catalogue (key); null at the ends."""
+    w = Window.partitionBy(*key).orderBy(order)
     return rows.withColumns({"previous": F.lag(id_col).over(w), "next": F.lead(id_col).over(w)})
 
 
@@ -119,6 +125,13 @@ def reading_list(shown: DataFrame) -> DataFrame:
     return numbered.select("paper_id", padded("position", 3).alias("label"), F.coalesce(F.col("paragraphAssessment.status") == "fragment", F.lit(False)).alias("is_fragment"), "sourceText")
 
 
+def navigated(shown: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(paperId, order, segmentId) for each (paper_id, position) that is wanted and exists."""
+    own = renumbered(shown, ["paper_id"], "order", to="position").withColumn("position", F.col("position").cast("long"))
+    asked = wanted.select("paper_id", F.col("position").cast("long").alias("position"))
+    return own.join(asked, ["paper_id", "position"]).select(F.col("paper_id").alias("paperId"), F.col("position").alias("order"), F.col("id").alias("segmentId"))
+
+
 def navigate(shown: DataFrame, paper_id: str, order: int) -> DataFrame:
     """(paperId, order, segmentId) of the order-th visible segment; no row where it doesn't exist."""
     if order < 1:

@@ -59,8 +59,12 @@ def pruned(state: DataFrame, segments: DataFrame, shown: DataFrame) -> DataFrame
     }).drop("__all", "__shown")
 
 
-def with_defaults(stored: Column, default: Column, fields: list[str]) -> Column:
-    return F.struct(*(F.coalesce(stored[f], default[f]).alias(f) for f in fields))
+def with_defaults(stored_json: Column, default: Column, fields: dict[str, str]) -> Column:
+    """Fields (name to type) of stored JSON over defaults (a struct): what the text has wins, an explicit null too; what it
+    lacks, or all where it isn't an object, is the default."""
+    kind = ", ".join(f"{k}: {t}" for k, t in fields.items())
+    own, keys = F.from_json(stored_json, f"struct<{kind}>"), F.json_object_keys(stored_json)
+    return F.struct(*(F.when(F.coalesce(F.array_contains(keys, f), F.lit(False)), own[f]).otherwise(default[f]).alias(f) for f in fields))
 
 
 def progress(seen: DataFrame, shown: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -93,6 +97,29 @@ def restored(state: DataFrame, shown: DataFrame, resolved: DataFrame) -> DataFra
     return state.join(at, ["paper_id", "currentSegmentId"], "left").join(first, "paper_id", "left").withColumn("currentSegmentId", F.coalesce("resolved", "__first")).drop("resolved", "__first")
 
 
+def sanitised(states: DataFrame, segments: DataFrame, shown: DataFrame, resolved: DataFrame) -> DataFrame:
+    """States as a reader continues with them: ids that are gone are dropped, the position is one that can be shown, and it
+    counts as seen. resolved: (paper_id, wanted, resolved)."""
+    own = restored(pruned(states, segments, shown), shown, resolved)
+    seen = F.when(F.col("currentSegmentId").isNotNull(), F.array_distinct(F.array_append("seen", F.col("currentSegmentId")))).otherwise(F.array().cast("array<string>"))
+    return own.withColumn("seen", seen)
+
+
+def imported(backups: DataFrame, papers: DataFrame, segments: DataFrame, shown: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Backups that belong to a paper as it is now (version, paper, source hash), sanitised. backups: (reader_id, version,
+    paperId, sourceSha256, currentSegmentId, seen, understood, bookmarks, notes)."""
+    own = backups_for(backups, papers).withColumn("paper_id", F.col("paperId"))
+    return sanitised(own, segments, shown, resolved)
+
+
+def back_stack(visits: DataFrame, reader: str, order: list[str], target: str) -> DataFrame:
+    """(reader, stack): the positions to go back to, folded from visits in order; a null target takes the last one off."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(target).alias("__t"))))
+    step = lambda acc, v: F.when(v["__t"].isNotNull(), F.array_append(acc, v["__t"])).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+    kind = visits.schema[target].dataType.simpleString()
+    return visits.groupBy(reader).agg(F.aggregate(listed, F.array().cast(f"array<{kind}>"), step).alias("stack"))
+
+
 def backups_for(backups: DataFrame, papers: DataFrame) -> DataFrame:
     """Backups of version 1 whose paper and source hash are current."""
     return backups.filter("version = 1").join(papers.select(F.col("paper_id").alias("paperId"), F.col("source_sha256").alias("sourceSha256")), ["paperId", "sourceSha256"], "left_semi")

@@ -5,7 +5,7 @@ QUERIES maps a name to (function of (spark, sf_dir), SQL or None). Queries run o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import geometry, labels, text
@@ -86,21 +86,30 @@ def merged_children(spark, d):
     return got.select(F.col("paper_id").alias("conv_id"), "target", "child")
 
 
-_KEPT = f"""WITH {V.PAIRS}, {V.CORRECTIONS}, j AS (SELECT p.*, c.action FROM pairs p LEFT JOIN corr c USING (segment, exhibit)),
+#: Orders are segments, parts (but every tenth) exhibits; an order whose key ends in 3 was merged into the one after it. A
+#: link quotes its order's priority; every ninth quotes what is no longer there.
+_KEPT = f"""WITH {V.PAIRS}, {V.CORRECTIONS},
+  l AS (SELECT p.* FROM pairs p JOIN orders ON o_orderkey = segment WHERE (segment + exhibit) % 9 <> 0),
+  e AS (SELECT c.segment AS segment, exhibit, action, 1 AS own, c.segment AS ord FROM corr c JOIN orders ON o_orderkey = c.segment
+        UNION ALL SELECT c.segment + 1, exhibit, action, 0, c.segment FROM corr c JOIN orders ON o_orderkey = c.segment WHERE c.segment % 10 = 3),
+  f AS (SELECT segment, exhibit, arg_max(action, (own, ord)) AS action FROM e GROUP BY 1, 2),
+  j AS (SELECT l.*, f.action FROM l LEFT JOIN f USING (segment, exhibit)),
   a AS (SELECT segment, exhibit, method, 'high' AS confidence, 'accepted' AS status FROM j WHERE coalesce(action, '') <> 'exclude' AND (confidence = 'high' OR coalesce(action, '') = 'include')),
   c AS (SELECT segment, exhibit, method, confidence, 'candidate' AS status FROM j WHERE confidence = 'candidate' AND action IS NULL),
-  s AS (SELECT c.segment, c.exhibit, 'semantic' AS method, 'high' AS confidence, 'accepted' AS status FROM corr c WHERE action = 'include'
-        AND c.segment IN (SELECT o_orderkey FROM orders) AND c.exhibit IN (SELECT p_partkey FROM part WHERE p_partkey < 90) AND NOT EXISTS (SELECT 1 FROM a WHERE a.segment = c.segment AND a.exhibit = c.exhibit)),
+  s AS (SELECT f.segment, f.exhibit, 'semantic' AS method, 'high' AS confidence, 'accepted' AS status FROM f WHERE action = 'include'
+        AND f.segment IN (SELECT o_orderkey FROM orders) AND f.exhibit IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0) AND NOT EXISTS (SELECT 1 FROM a WHERE a.segment = f.segment AND a.exhibit = f.exhibit)),
   r AS (SELECT * FROM a UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s)"""
 
 
 def _links(spark, d):
-    orders = V.table(spark, d, "orders").select(F.lit(0).alias("paper_id"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("order"), F.lit("").alias("sourceText"), F.lit(None).cast("long").alias("mergedIntoSegmentId"))
-    exhibits = V.table(spark, d, "part").filter("p_partkey < 90").select(F.lit(0).alias("paper_id"), F.col("p_partkey").alias("id"))
-    links = V.pairs(spark, d).select(F.lit(0).alias("paper_id"), F.col("segment").alias("segmentId"), F.col("exhibit").alias("exhibitId"), "method", "confidence", F.lit("").alias("relationshipZh"), F.lit("").alias("evidenceQuote"))
-    own = V.corrections(spark, d).select(F.lit(0).alias("paper_id"), F.col("segment").alias("segment_id"), F.col("exhibit").alias("exhibit_id"), "action")
-    known = orders.unionByName(links.select("paper_id", F.col("segmentId").alias("id"), F.col("segmentId").alias("order"), F.lit("").alias("sourceText"), F.lit(None).cast("long").alias("mergedIntoSegmentId"))).distinct()
-    return L.resolve_links(links, L.effective_corrections(own, known), known, exhibits), own, orders
+    one, key = F.lit(0).alias("paper_id"), F.col("o_orderkey")
+    orders = V.table(spark, d, "orders").select(one, key.alias("id"), key.alias("order"), F.col("o_orderpriority").alias("sourceText"), F.when(key % 10 == 3, key + 1).alias("mergedIntoSegmentId"), "o_orderstatus")
+    exhibits = V.table(spark, d, "part").filter("p_partkey % 10 <> 0").select(one, F.col("p_partkey").alias("id"))
+    quote = F.when((F.col("segment") + F.col("exhibit")) % 9 == 0, "gone").otherwise(F.col("sourceText"))
+    pairs = V.pairs(spark, d).join(orders.select(F.col("id").alias("segment"), "sourceText"), "segment")
+    links = pairs.select(one, F.col("segment").alias("segmentId"), F.col("exhibit").alias("exhibitId"), "method", "confidence", F.lit("").alias("relationshipZh"), quote.alias("evidenceQuote"))
+    own = V.corrections(spark, d).select(one, F.col("segment").alias("segment_id"), F.col("exhibit").alias("exhibit_id"), "action")
+    return L.resolve_links(links, L.effective_corrections(own, orders), orders, exhibits), own, orders
 
 
 @query(_KEPT + " SELECT segment, exhibit, method, confidence, status FROM r")
@@ -114,8 +123,7 @@ def link_corrections(spark, d):
 )
 def exhibit_overview(spark, d):
     resolved, own, orders = _links(spark, d)
-    open_ = V.table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"))
-    return L.exhibit_overview(resolved, orders.join(open_, "id", "left_semi"), own).select(F.col("exhibit_id").alias("exhibit"), F.col("segment_id").alias("segment"), "label")
+    return L.exhibit_overview(resolved, orders.filter("o_orderstatus <> 'F'"), own).select(F.col("exhibit_id").alias("exhibit"), F.col("segment_id").alias("segment"), "label")
 
 
 @query(f"WITH {V.PAIRS} SELECT p_partkey AS part, p_partkey IN (SELECT exhibit FROM pairs WHERE confidence = 'high') AS is_linked FROM part")
@@ -200,13 +208,13 @@ _SAID = "'See Table ' || (l_partkey % 120) || ' and Fig. ' || l_linenumber || ',
 
 
 @query(
-    f"WITH t AS (SELECT DISTINCT {_SAID} AS said, l_partkey % 120 AS a, l_linenumber AS b, l_suppkey % 7 AS c FROM lineitem), e AS (SELECT p_partkey AS n, CASE WHEN p_size % 2 = 0 THEN 'table' ELSE 'figure' END AS kind FROM part WHERE p_partkey < 90), "
+    f"WITH t AS (SELECT DISTINCT {_SAID} AS said, l_partkey % 120 AS a, l_linenumber AS b, l_suppkey % 7 AS c FROM lineitem), e AS (SELECT p_partkey AS n, CASE WHEN p_size % 2 = 0 THEN 'table' ELSE 'figure' END AS kind FROM part WHERE p_partkey % 10 <> 0), "
     "m AS (SELECT said, 'table' AS kind, a AS n FROM t UNION SELECT said, 'figure', b FROM t UNION SELECT said, 'figure', c FROM t) SELECT said, m.kind, CAST(m.n AS VARCHAR) AS number, e.n AS exhibit_id FROM m JOIN e ON e.n = m.n AND e.kind = m.kind"
 )
 def mention_extract(spark, d):
     said = F.concat(F.lit("See Table "), F.col("l_partkey") % 120, F.lit(" and Fig. "), "l_linenumber", F.lit(", 圖"), F.col("l_suppkey") % 7)
     texts = V.table(spark, d, "lineitem").select(said.alias("said")).distinct().withColumn("paper_id", F.lit(0))
-    parts = V.table(spark, d, "part").filter("p_partkey < 90")
+    parts = V.table(spark, d, "part").filter("p_partkey % 10 <> 0")
     exhibits = parts.select(F.lit(0).alias("paper_id"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("position"), F.when(F.col("p_size") % 2 == 0, "table").otherwise("figure").alias("kind"), F.col("p_partkey").cast("string").alias("number"))
     return L.mentioned_exhibits(texts, "said", exhibits).select("said", "kind", "number", "exhibit_id").distinct()
 
@@ -221,10 +229,13 @@ def html_escape(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.md5(text.html_escape("html")).alias("escaped"))
 
 
-@query("""SELECT page_id, '{"url":"' || replace(replace(replace(url, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') || '","note":null}' AS json FROM pages WHERE url NOT LIKE '%"%' AND url NOT LIKE '%\\%'""")
+@query(
+    """WITH x AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '"q"' ELSE '\\p' END || chr(10) AS u FROM pages) SELECT page_id, '{"url":"' || replace(replace(replace(replace(replace(replace(u, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') || '","note":null}' AS json FROM x"""
+)
 def script_json(spark, d):
-    rows = V.table(spark, d, "pages").filter(~F.contains("url", F.lit('"')) & ~F.contains("url", F.lit("\\")))
-    return rows.select("page_id", text.script_json(F.struct("url", F.lit(None).cast("string").alias("note"))).alias("json"))
+    """Every address with a quote or a backslash and a line end, which JSON escapes."""
+    url = F.concat("url", F.when(F.col("page_id") % 2 == 0, '"q"').otherwise("\\p"), F.lit("\n"))
+    return V.table(spark, d, "pages").select("page_id", text.script_json(F.struct(url.alias("url"), F.lit(None).cast("string").alias("note"))).alias("json"))
 
 
 @query("SELECT doc_id, md5(regexp_replace('ABSTRACT  ' || text, '^Abstract\\s+', '', 'i')) AS stripped FROM documents")
@@ -378,21 +389,15 @@ def deployed_urls(spark, d):
 def guide_versions(spark, d):
     rows = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("paper_id"), "s_nationkey")
     audit = rows.filter("paper_id % 2 = 0").join(V.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("paper_id", F.col("n_name").alias("sha256"))
-    w = Window.partitionBy("s_nationkey").orderBy("paper_id")
-    return L.guide_versions(rows, audit).select(F.col("paper_id").alias("s_suppkey"), F.lag("paper_id").over(w).alias("previous"), F.lead("paper_id").over(w).alias("following"), "version")
-
-
-@query("SELECT conv_id, turn, role, md5(text) AS body FROM conversations WHERE role = 'user' AND length(trim(text)) > 0 AND turn IN (SELECT max(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id AND role = 'user')")
-def restore_position(spark, d):
-    rows = V.turns(spark, d).filter("role = 'user'")
-    last = S.ends(rows, ["conv_id"], "turn", "turn").select("conv_id", F.col("last_id").alias("turn"))
-    return rows.join(last, ["conv_id", "turn"], "left_semi").filter(~text.is_blank("text")).select("conv_id", "turn", "role", F.md5("text").alias("body"))
+    got = S.siblings(L.guide_versions(rows, audit), "paper_id", "paper_id", ["s_nationkey"])
+    return got.select(F.col("paper_id").alias("s_suppkey"), "previous", F.col("next").alias("following"), "version")
 
 
 _RESOLVE = f"""WITH {V.VISIBLE}, firsts AS (SELECT paper_id, arg_min(id, ord) AS f, arg_max(id, ord) AS l FROM vis GROUP BY 1),
   papers AS (SELECT doc_id AS paper_id FROM documents), w AS (SELECT paper_id, id AS wanted, ord FROM segs UNION ALL SELECT paper_id, 'unknown', NULL FROM papers),
   led AS (SELECT s.paper_id, s.id, CASE WHEN (s.paper_id || '-2') IN (SELECT id FROM vis) THEN s.paper_id || '-2' END AS target FROM segs s WHERE s.ord = 3 AND s.paper_id % 6 = 0)
   SELECT w.paper_id, wanted, CASE WHEN w.ord IS NULL THEN f WHEN wanted IN (SELECT id FROM vis) THEN wanted
+  WHEN w.ord % 5 = 4 AND w.ord % 7 <> 0 AND (w.paper_id || '-' || (w.ord + 1)) IN (SELECT id FROM vis) THEN w.paper_id || '-' || (w.ord + 1)
   ELSE coalesce(led.target, (SELECT arg_min(v.id, v.ord) FROM vis v WHERE v.paper_id = w.paper_id AND v.ord >= w.ord), l) END AS resolved
   FROM w LEFT JOIN firsts USING (paper_id) LEFT JOIN led ON led.paper_id = w.paper_id AND led.id = wanted"""
 
@@ -402,7 +407,7 @@ def resolve_any(spark, d):
     papers, segs, exhibits = V.papers(spark, d), V.segments(spark, d), V.exhibits(spark, d)
     links = exhibits.select("paper_id", F.col("id").alias("exhibitId"), F.concat("paper_id", F.lit("-2")).alias("segmentId"), F.lit("high").alias("confidence"), F.lit(0).alias("position"))
     wanted = segs.select("paper_id", F.col("id").alias("wanted")).unionByName(papers.select("paper_id", F.lit("unknown").alias("wanted")))
-    plain = segs.withColumn("mergedIntoSegmentId", F.lit(None).cast("string"))
+    plain = segs.withColumn("mergedIntoSegmentId", F.when((F.col("order") % 5 == 4) & (F.col("order") % 7 != 0), F.concat("paper_id", F.lit("-"), F.col("order") + 1)))
     return S.resolve(wanted, plain, _visible(spark, d), exhibits, links, papers)
 
 
@@ -483,9 +488,15 @@ def reconcile(spark, d):
     return got.select(F.col("paper_id").alias("conv_id"), "id", F.col("order").cast("long").alias("position"), "excluded")
 
 
+def _all() -> dict:
+    from glossa.plans import readers  # noqa: F401  puts its queries into QUERIES
+
+    return QUERIES
+
+
 def queries() -> dict:
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -28,6 +30,26 @@ def ship(spark: SparkSession) -> None:
     context._glossa_shipped = True
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder of this application below spark.checkpoint.dir, which driver and executors share. Without that setting a
+    folder of this machine is used, which only a local session may do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_glossa_shared", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark._glossa_shared = "file://" + tempfile.mkdtemp(prefix="glossa-shared-")
+    # A full address, so that executors don't depend on their default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    base = re.sub("^file:/(?!/)", "file:///", base)
+    return f"{base.rstrip('/')}/glossa-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+
+
 def shipped(f: Callable) -> Callable:
     """f, whose first argument is a session, with the package shipped first."""
 

@@ -27,6 +27,14 @@ def export_curated(stored: DataFrame, source: DataFrame, path: str, force: bool
     named.write.mode("overwrite" if force else "errorifexists").option("ignoreNullFields", "false").partitionBy("name").json(path)
 
 
+def imported_curated(store: DataFrame, incoming: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store with the incoming documents that pass validation in place of its own of the same id, and (id, error) of those
+    that don't."""
+    judged = curated_document(incoming, source)
+    good = judged.filter("error is null").drop("error")
+    return store.join(good.select("id"), "id", "left_anti").unionByName(good), judged.filter("error is not null").select("id", "error")
+
+
 def export_states(states: DataFrame, path: str, force: bool = False) -> None:
     states.write.mode("overwrite" if force else "errorifexists").option("ignoreNullFields", "false").json(path)
 
