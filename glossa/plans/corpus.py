@@ -261,7 +261,9 @@ def date_part(spark, d):
     return V.table(spark, d, "events").select("event_id", text.date_part(F.col("ts").cast("string")).alias("day"))
 
 
-@query(None)
+@query(
+    r"SELECT doc_id, coalesce(nullif(substr(trim(regexp_replace(strip_accents(regexp_replace(text, '([À-ÖØ-öø-ÿ])', '\1-', 'g')), '[^a-zA-Z0-9一-鿿]+', '-', 'g'), '-'), 1, 72), ''), 'paper-notes') AS slug FROM documents"
+)
 def slug(spark, d):
     return V.table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
@@ -359,15 +361,6 @@ def field_merge(spark, d):
     return merge.field_merge(stored, source, protected).select("id", "readingRole", "excluded")
 
 
-@query(
-    f"WITH {V.ACTIONS}, n AS (SELECT user_id, k, max_by(event_type, (ts, event_id)) AS note FROM acts GROUP BY 1, 2) SELECT user_id, string_agg('## ' || k || chr(10) || chr(10) || note, chr(10) ORDER BY k) AS markdown FROM n GROUP BY 1"
-)
-def markdown_notes(spark, d):
-    notes = state.last_actions(V.actions(spark, d), ["user_id", "k"], ["ts", "event_id"], "event_type")
-    md = F.concat(F.lit("## "), F.col("k").cast("string"), F.lit("\n\n"), "event_type")
-    return notes.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", md.alias("md")))), lambda x: x["md"]), "\n").alias("markdown"))
-
-
 @query(
     "WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '#edit:p' || page_id WHEN 1 THEN '#guide:p' || page_id WHEN 2 THEN '#paper=' || (page_id % 100) ELSE 'p' || page_id END AS h FROM pages) "
     "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'edit' WHEN 1 THEN 'guide' WHEN 2 THEN 'guide' ELSE 'reader' END AS mode, CASE page_id % 4 WHEN 2 THEN 'paper-' || lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') ELSE 'p' || page_id END AS id FROM x"
@@ -489,7 +482,7 @@ def reconcile(spark, d):
 
 
 def _all() -> dict:
-    from glossa.plans import readers  # noqa: F401  puts its queries into QUERIES
+    from glossa.plans import pages, readers  # noqa: F401  they put their queries into QUERIES
 
     return QUERIES
 

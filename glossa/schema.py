@@ -58,7 +58,7 @@ def paper_document() -> T.StructType:
     strings, out = T.ArrayType(T.StringType()), T.StructType()
     for name in ("id", "title", "schemaVersion", "sourceSha256", "sourceFileName", "pdfUrl", "publicationStatus", "generatedAt"):
         out = out.add(name, "string")
-    out = out.add("pageCount", "int").add("inlineExhibitsEnabled", "boolean")
+    out = out.add("pageCount", T.IntegerType()).add("inlineExhibitsEnabled", "boolean")
     out = out.add("segments", T.ArrayType(segment())).add("exhibits", T.ArrayType(exhibit())).add("citations", T.ArrayType(citation())).add("references", T.ArrayType(reference()))
     study = T.StructType().add("summaryZh", "string").add("guideZh", strings).add("limitsZh", strings)
     out = out.add("exhibitCompanion", T.StructType().add("links", T.ArrayType(link())).add("studies", T.MapType(T.StringType(), study)))
