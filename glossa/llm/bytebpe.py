@@ -7,7 +7,8 @@ the blocks and replace the words by position. Frequent words cost one entry per
 shard is hot. Decoding looks every id up in the token-byte table (of fixed size), once for each distinct word of a block.
 
 Blocks are cut twice from the same scan, once for the words and once for the sequences, which costs less than storing
-both; either side carries a hash of the block's words, so an input that changed in between is refused.
+both; an input that comes out of a shuffle, whose rows have no order, is written first. Either side carries a hash of the
+block's words, so a table that changed in between is refused.
 
 Defined results: a null or empty text has no ids, and its hashes are those of no bytes; repeated rows each give a row; an
 empty table gives no rows.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm import common
 
-BLOCK_TOKENS, HELD, MOST_SHARDS = 2_000_000, 600_000, 1024
+BLOCK_TOKENS, HELD = 2_000_000, 600_000
 
 # The white space of the tokenizers' pattern language.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -263,7 +264,8 @@ def _lists(doc_ids, sizes, flat, word_ids, table):
 
 
 def _encoded(docs: DataFrame, name: str, each, schema: str, id_col: str, text_col: str) -> DataFrame:
-    shards = min(MOST_SHARDS, common.partitions_for(docs, 0.5))
+    shards = common.partitions_for(docs, 0.5)
+    docs = common.stable(docs.select(id_col, text_col))
     words = blocks(docs, name, shards, True, id_col, text_col)
     sequences = blocks(docs, name, shards, False, id_col, text_col).select("block", "data")
     return assemble(sequences, encode_words(words, name, shards), name, each, schema)

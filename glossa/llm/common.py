@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.session import shared_base, shared_folder
+
 #: Bytes of stored input that one partition of an exchange should get.
 PARTITION_BYTES = 4 << 20
 
@@ -44,40 +42,26 @@ def buckets_for(chunks: int) -> int:
     return max(min(chunks, 64), chunks // 8)
 
 
-def _base(spark: SparkSession) -> str:
-    """The folder of this application below spark.checkpoint.dir, which driver and executors share. Without that setting a
-    folder of this machine is used, which only a local session may do."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_glossa_shared", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = spark._glossa_shared = "file://" + tempfile.mkdtemp(prefix="glossa-shared-")
-    # A full address, so that executors don't depend on their default file system.
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    base = re.sub("^file:/(?!/)", "file:///", base)
-    return f"{base.rstrip('/')}/glossa-{spark.sparkContext.applicationId}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    return f"{_base(spark)}/{uuid.uuid4().hex}"
-
-
 def discard(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; results that read them must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_base(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written to the shared folder and read back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, if every scan of it gives the same rows in the same partitions and order, else written first: what comes out of
+    a shuffle has no order."""
+    return checkpointed(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def chunk_of(id_col: str, text_col: str, n: int) -> Column:
     """The chunk (0 to n - 1) of a row by its id; rows without id are spread by their text."""
     known = F.col(id_col).cast("long")

@@ -1,7 +1,7 @@
 """Connected components of a graph that is only ever a distributed table.
 
 Edges are (child, parent) with parent < child. A round first gives each child its smallest parent and hangs its other
-parents under that one (keyed by child, which has few parents), then lets every child skip to its parent's parent. Edges
+parents under that one (a join on the child), then lets every child skip to its parent's parent. Edges
 stay connected in both steps and every step lowers parents, so the rounds end with each node under the smallest node of
 its component; the number of rounds grows with the logarithm of the longest chain. Every round is written to the shared
 folder, so lineage stays short; only two counts reach the driver.
@@ -20,9 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     pair = edges.filter("a is not null and b is not null and a <> b")
     held = checkpointed(pair.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")))
     while True:
-        met = checkpointed(held.groupBy("child").agg(F.min("parent").alias("m"), F.collect_set("parent").alias("all")))
-        others = met.select(F.explode(F.filter("all", lambda p: p > F.col("m"))).alias("child"), F.col("m").alias("parent"))
-        joined = met.select("child", F.col("m").alias("parent")).unionByName(others)
+        least = held.groupBy("child").agg(F.min("parent").alias("m"))
+        # A node may have any number of parents: they are joined with the smallest, never listed in a row.
+        met = held.join(least, "child").filter("parent <> m").select(F.col("parent").alias("child"), F.col("m").alias("parent"))
+        joined = checkpointed(met.unionByName(least.select("child", F.col("m").alias("parent"))).distinct())
         lowest = checkpointed(joined.groupBy("child").agg(F.min("parent").alias("m")))
         up = lowest.select(F.col("child").alias("parent"), F.col("m").alias("above"))
         step = checkpointed(joined.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))

@@ -198,14 +198,23 @@ def _store(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+def _row(doc_id, n: int, media: bytes | None) -> tuple:
+    """The digest of one stream; a damaged one has none, and its feature says why."""
+    try:
+        if media is None:
+            raise BrokenStream("no stream")
+        payload, seen = demux(media)
+        said = features(payload, seen)
+    except (BrokenStream, IndexError, struct.error) as e:
+        return (doc_id, n, None, None, None, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), f"damaged: {e}", None, None)
+    return (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), said, seen["pts"], seen["random_access"])
+
+
 def _digest(batches):
     names = [f.strip().split()[0] for f in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for batch in batches:
-        rows = []
-        for doc_id, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            payload, seen = demux(media)
-            rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, seen), seen["pts"], seen["random_access"]))
+        rows = [_row(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 
 
@@ -214,6 +223,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return common.id_and_bytes(docs, id_col, text_col).mapInArrow(_store, MEDIA_SCHEMA)
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The streams, written to the shared folder and read from there."""
+    return common.checkpointed(store(docs, id_col, text_col), "zstd")
+
+
 def read(media: DataFrame) -> DataFrame:
-    """Digest columns of stored streams, computed from the bytes read back."""
+    """Digest columns of stored streams, computed from the bytes read back. A damaged or missing stream gives a row without
+    payload, and its feature says what is wrong."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, SCHEMA)

@@ -1,12 +1,15 @@
 """Near-duplicate documents: sets of five-word shingles that share 80 % (Jaccard).
 
-Documents with equal sets are one node. Candidates agree in one of BANDS keys, each of ROWS smallest hashes: a pair at 0.8
-is missed with a probability of 5e-6. Candidates are joined to components first, then the sets of each component meet in a
-task (those of large ones in blocks of pieces, one task for each pair of pieces) and are compared exactly, wherever the
-two are not yet known to be in one component of links.
+Documents with equal sets are one node with a SimHash fingerprint. Candidates come from two searches. Vantage-point trees find
+the fingerprints that differ in at most three bits. Those are the closest pairs only: at 0.8 two fingerprints differ in
+about ten bits of 64, while a tree that must find that much can leave out nothing (unrelated ones differ in 32). The rest
+agree in one of BANDS keys, each of ROWS smallest hashes; a pair at 0.8 is missed with a probability of 5e-6. Candidates are
+joined to components first, then the sets of each component meet in a task (those of large ones in blocks of pieces, one
+task for each pair of pieces) and are compared exactly, wherever the two are not yet known to be in one component of links.
 
 Defined results: words are runs without ASCII blanks, A-Z lower-cased; a shorter text is one shingle; null and wordless
-texts are alike; rows without doc_id take no part.
+texts are alike; rows without doc_id take no part and are kept; rows that repeat a doc_id are judged each by its own text;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm import common
+from glossa.llm import common, simhash
 from glossa.llm.components import components
 from glossa.llm.passages import _mix, slices
 
@@ -44,11 +47,22 @@ def bands(x: np.ndarray) -> np.ndarray:
 
 def _described(batches):
     for batch in batches:
-        rows = [[], [], []]
+        rows = [[], [], [], []]
         for x in sets(batch.column(1).to_pylist()):
-            for column, v in zip(rows, (xxhash.xxh64_intdigest(x.tobytes(), 11), bands(x).view(np.int64), (x >> np.uint64(32)).astype(np.uint32).tobytes()), strict=True):
+            for column, v in zip(rows, (xxhash.xxh64_intdigest(x.tobytes(), 11), simhash.majority(x), bands(x).view(np.int64), (x >> np.uint64(32)).astype(np.uint32).tobytes()), strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(rows[0], np.uint64).view(np.int64)), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.binary())], ["doc_id", "node", "bands", "data"])
+        long = lambda c: pa.array(np.array(c, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), long(rows[0]), long(rows[1]), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.binary())], ["doc_id", "mark", "node", "fp", "bands", "data"])
+
+
+def candidates(own: DataFrame) -> DataFrame:
+    """(a, b) of nodes that may be alike, enough to join those that are. own: (node, fp, bands)."""
+    banded = own.select("node", F.explode("bands").alias("band"))
+    first = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c")
+    met = banded.join(first.select("band", "b"), "band").select(F.col("node").alias("a"), "b")
+    prints = common.checkpointed(own.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"))
+    equal = own.select("fp", F.col("node").alias("a")).join(prints.select("fp", F.col("node").alias("b")), "fp").select("a", "b")
+    return met.unionByName(equal).filter("a <> b").distinct().unionByName(simhash.linked(prints))
 
 
 def compare(x: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -90,12 +104,12 @@ def _verified(key, table):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row with an id: the smallest id of the documents that links join."""
+    """(doc_id, mark, component_id) for every row with an id: the smallest id of the documents that links join. mark is
+    xxhash64 of the text, for rows that repeat an id."""
     n = common.partitions_for(docs)
-    rows = common.id_and_bytes(docs, id_col, text_col).filter("doc_id is not null")
-    own = common.checkpointed(rows.mapInArrow(_described, "doc_id long, node long, bands array<long>, data binary"))
-    met = own.select("node", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
-    joined = common.checkpointed(components(met.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b"))))
+    rows = common.id_and_bytes(docs, id_col, text_col).filter("doc_id is not null").withColumn("mark", F.xxhash64("text"))
+    own = common.checkpointed(rows.mapInArrow(_described, "doc_id long, mark long, node long, fp long, bands array<long>, data binary"))
+    joined = common.checkpointed(components(candidates(own)))
     named = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
     sizes = joined.groupBy("root").agg(F.count(F.lit(1)).alias("k")).select(F.col("root").alias("r"), (F.floor((F.col("k")) / PIECE) + 1).cast("int").alias("pieces"))
     dealt = named.join(sizes, F.col("root") == F.col("r")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
@@ -106,12 +120,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = own.select("node", "data").join(dealt.select("name").distinct(), F.col("node") == F.col("name"), "left_semi").dropDuplicates(["node"])
     links = texts.join(dealt, F.col("node") == F.col("name")).select("task", "node", "root", "side", "data").groupBy("task").applyInArrow(_verified, "a long, b long")
     roots = components(links).select(F.col("node").alias("name"), F.col("root").alias("head"))
-    placed = common.checkpointed(own.select("doc_id", "node").join(roots, F.col("node") == F.col("name"), "left").select("doc_id", F.coalesce("head", "node").alias("head")))
+    placed = common.checkpointed(own.select("doc_id", "mark", "node").join(roots, F.col("node") == F.col("name"), "left").select("doc_id", "mark", F.coalesce("head", "node").alias("head")))
     first = placed.groupBy("head").agg(F.min("doc_id").alias("component_id")).select(F.col("head").alias("h"), "component_id")
-    return placed.join(first, F.col("head") == F.col("h")).select("doc_id", "component_id")
+    return placed.join(first, F.col("head") == F.col("h")).select("doc_id", "mark", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document (the smallest doc_id) of every component, with all their columns. Rows without doc_id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(common.isolated("id"))).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(common.isolated("id")), "left_anti")
+    """The rows of one document (the smallest doc_id) of every component, with all their columns."""
+    name, mark = common.isolated("id"), common.isolated("mark")
+    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(name), F.col("mark").alias(mark)).distinct()
+    own = F.xxhash64(F.col(text_col).cast("string").cast("binary"))
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col(name)) & (own == F.col(mark)), "left_anti")

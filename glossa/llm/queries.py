@@ -25,7 +25,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.read(mpegts.store(common.documents(spark, sf_dir)))
+    return mpegts.read(mpegts.stored(common.documents(spark, sf_dir)))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ plain bytes. A reader takes the table from the file's end and decompresses only
 can decompress the whole file.
 
 Files are ranges of doc_id in ascending order (ties by text), each written to a temporary name in the shared folder and
-then renamed, so a task that runs again writes the same file. Only (file, documents, tokens) rows reach the driver, one
+then renamed, so a task that runs again writes the same file in the old one's place. Rows without id are spread over files
+by a hash of their text. Only (file, documents, tokens) rows reach the driver, one
 per task.
 
-Defined results: a null text is the end id alone; rows without doc_id come first; repeated rows are all written; an empty
+Defined results: a null text is the end id alone; rows without doc_id come first, in the order of that hash; repeated rows are all written; an empty
 table gives no rows.
 """
 
@@ -52,6 +53,8 @@ def write_file(docs, item: int = 2):
 
     for doc_id, tokens in docs:
         values = np.frombuffer(tokens, "<u4")
+        if item == 2 and len(values) and values.max() > 0xFFFF:
+            raise ValueError("an id is too large for two bytes")
         ids.append(doc_id)
         sizes.append(len(values))
         yield frame((values.astype("<u2") if item == 2 else values).tobytes())
@@ -109,6 +112,15 @@ def _opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def replace(store, held: str, target: str) -> None:
+    """Renames a file; one that an earlier run of the task left there goes first (some file systems don't rename onto it)."""
+    from pyarrow import fs
+
+    if store.get_file_info(target).type != fs.FileType.NotFound:
+        store.delete_file(target)
+    store.move(held, target)
+
+
 def write(docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
     """Writes the files and returns (address, documents, tokens) of each in order of doc_id."""
     folder = folder or common.shared_folder(docs.sparkSession)
@@ -140,13 +152,14 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bp
             yield from own
 
         with store.open_output_stream(held, compression=None) as out:
-            for piece in write_file(again()):
+            for piece in write_file(again(), 4 if max(tool.size, end_id + 1) > 1 << 16 else 2):
                 out.write(piece)
-        store.move(held, target)
+        replace(store, held, target)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([count], pa.int64()), pa.array([tokens], pa.int64())], ["part", "file", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(common.partitions_for(docs, 0.5), "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie")
+    ranged = rows.select("doc_id", tie, "text").repartitionByRange(common.partitions_for(docs, 0.5), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     got = ranged.mapInArrow(run, "part int, file string, docs long, tokens long").collect()
     return [(r.file, r.docs, r.tokens) for r in sorted(got, key=lambda r: r.part)]
 

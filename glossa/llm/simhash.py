@@ -45,6 +45,11 @@ def fingerprint(data: bytes | None, words: int = WORDS) -> int:
         shingles = [flat[i:j] for i, j in zip(start.tolist(), end)]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     count = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 15):
         count += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -203,9 +208,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(linked(nodes))
     named = common.checkpointed(nodes.join(roots, "node", "left").select(F.col("fp").alias("fp2"), F.coalesce("root", "node").alias("component")))
     return own.join(named, F.col("fp") == F.col("fp2"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document (the smallest doc_id) of every component, with all their columns. Rows without doc_id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(common.isolated("id"))).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(common.isolated("id")), "left_anti")

@@ -39,6 +39,7 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.model = self.tool.model
+        self.size = self.tool.get_vocab_size()
         self.letters = byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

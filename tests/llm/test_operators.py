@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, components, langid, mpegts, packing, passages, queries, rpforest, seekable, simhash, suffixdedup, toxicity, wordbpe
+from glossa.llm import bytebpe, common, components, langid, mpegts, neardup, packing, passages, queries, rpforest, seekable, simhash, suffixdedup, toxicity, wordbpe
 from tests.conftest import SF
 
 WORDS = "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people mister how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
@@ -365,7 +365,7 @@ def test_simhash(docs, rows, empty):
     want = Counter((i, fps[k], least[root[k]] if i is not None else None) for k, (i, _) in enumerate(rows))
     assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got) == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_first(docs)
+    kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id = 2").count() == 0 and kept.filter("doc_id is null").count() == 2
 
 
