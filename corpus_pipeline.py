@@ -13,28 +13,34 @@ from glossa.session import shipped
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language compression tells clearly."""
+    """Documents whose language compression tells clearly. Null texts and those without a letter go, as do narrow margins;
+    rows without id or language are judged like any other, but nothing is learned from them; repeated rows fare alike."""
     return langid.keep_identified(docs, langid.learn(docs.filter(~langid.held_out())))
 
 
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models don't reject."""
+    """Documents that the toxicity models don't reject. Null and empty texts are scored as texts without evidence, so they stay
+    unless most labelled documents are toxic; repeated rows fare alike; without labels of both classes all get one score."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_ordinary(docs, toxicity.learn(docs.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out())))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that shares 80 % of its five-word shingles."""
+    """The first document of each group that shares 80 % of its five-word shingles: SimHash fingerprints through
+    vantage-point trees, and bands of smallest hashes for pairs beyond their radius, compared exactly. Rows without id stay,
+    rows that repeat an id are judged each by its own text, null and wordless texts are alike."""
     return neardup.keep_first(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what was said before, to the byte."""
+    """Texts without what was said before (in documents of smaller doc_id, then in rows without id), to the byte. Null texts
+    stay null; a text that is wholly repeated stays as an empty one; rows that repeat an id count in the order of their texts."""
     return suffixdedup.deduplicated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences."""
+    """Training sequences: every id of every row in one piece exactly; null texts are the end id alone, repeated rows are all
+    packed."""
     return packing.pack(docs)
 
 
