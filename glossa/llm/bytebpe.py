@@ -157,7 +157,7 @@ def blocks(docs: DataFrame, name: str, shards: int, only_words: bool, id_col: st
         pattern, n = tools(name)[2], 0
         part = TaskContext.get().partitionId() << 24
         block = Block(pattern, only_words)
-        for batch in batches:
+        for batch in common.parts(batches, 500):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block.add(doc_id, text)
                 if block.size >= BLOCK_TOKENS:
@@ -178,7 +178,7 @@ def encode_words(words: DataFrame, name: str, shards: int) -> DataFrame:
         known: dict[bytes, tuple] = {}
 
         def rows():
-            for batch in batches:
+            for batch in common.parts(batches, 500):
                 for block, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     got = []
                     for w in _unpack_words(data[8:]):
@@ -281,7 +281,7 @@ def decode(ids: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFra
 
     def run(batches):
         table = tools(name)[1]
-        for batch in batches:
+        for batch in common.parts(batches, 500):
             data = [b"".join([table[i] for i in x or []]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 

@@ -62,6 +62,13 @@ def stable(df: DataFrame) -> DataFrame:
     return checkpointed(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
+def parts(batches, rows: int = 1000):
+    """Arrow batches cut to so many rows, so that few of them are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def chunk_of(id_col: str, text_col: str, n: int) -> Column:
     """The chunk (0 to n - 1) of a row by its id; rows without id are spread by their text."""
     known = F.col(id_col).cast("long")

@@ -121,7 +121,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in common.parts(batches, 1000):
             got = scorer.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
@@ -135,7 +135,7 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in common.parts(batches, 1000):
             texts = [None if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in batch.column(at).to_pylist()]
             keep = [lang != UND and margin >= min_margin for lang, _, margin in scorer.predict_all(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))

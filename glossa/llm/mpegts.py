@@ -192,7 +192,7 @@ MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 
 
 def _store(batches):
-    for batch in batches:
+    for batch in common.parts(batches, 500):
         texts = batch.column(1).to_pylist()
         media = [mux(padded(t)) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -213,7 +213,7 @@ def _row(doc_id, n: int, media: bytes | None) -> tuple:
 def _digest(batches):
     names = [f.strip().split()[0] for f in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    for batch in batches:
+    for batch in common.parts(batches, 500):
         rows = [_row(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 

@@ -25,6 +25,7 @@ from glossa.llm.components import components
 from glossa.llm.passages import _mix, slices
 
 BANDS, ROWS, PIECE = 40, 6, 512
+_FACTORS = _mix(np.arange(BANDS * ROWS, dtype=np.uint64), 1000) | np.uint64(1)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -37,16 +38,17 @@ def sets(texts: list[bytes | None]):
 
 
 def bands(x: np.ndarray) -> np.ndarray:
-    key = np.zeros(BANDS, np.uint64)
+    """The BANDS keys of a set; each of the smallest hashes is that of a product with an odd number of its own."""
     with np.errstate(over="ignore"):
+        low = np.concatenate([(x[None, :] * odd[:, None]).min(axis=1) for odd in _FACTORS.reshape(-1, ROWS)]).reshape(BANDS, ROWS)
+        key = np.zeros(BANDS, np.uint64)
         for r in range(ROWS):
-            low = np.array([_mix(x, 1000 + r * BANDS + b).min() for b in range(BANDS)], np.uint64)
-            key = key * np.uint64(0x9E3779B97F4A7C15) + low
+            key = key * np.uint64(0x9E3779B97F4A7C15) + low[:, r]
         return _mix(key + np.arange(BANDS, dtype=np.uint64), 999)
 
 
 def _described(batches):
-    for batch in batches:
+    for batch in common.parts(batches, 500):
         rows = [[], [], [], []]
         for x in sets(batch.column(1).to_pylist()):
             for column, v in zip(rows, (xxhash.xxh64_intdigest(x.tobytes(), 11), simhash.majority(x), bands(x).view(np.int64), (x >> np.uint64(32)).astype(np.uint32).tobytes()), strict=True):

@@ -119,7 +119,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = E
             names = [f.strip().split()[0] for f in SCHEMA.split(",")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in common.parts(batches, 500):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = tool.encode(text) + end
                 held[key] = [doc_id, ids, len(ids) // 4]

@@ -9,8 +9,8 @@ if the two stand APART shingles or more from each other (or the text repeats its
 fifteen with a probability of 0.95 and more, while a common line can't hold both minima.
 
 Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature, first
-inside the chunk, then over all chunks: those that hold an equal SPAN-long passage (told by hashes of some of their passages,
-chosen by the passages' own hashes) are joined without a comparison, and one window of a chunk's joined ones goes on. That
+inside the chunk, then over all chunks: those that hold an equal SPAN-long passage (told by hashes of every CHOICE-th of
+their passages, counted from the centre) are joined without a comparison, and one window of a chunk's joined ones goes on. That
 gives components of documents; then windows of documents of different components that still share a signature are compared,
 in blocks over tasks. Two windows are linked if around their common shingle
 
@@ -39,13 +39,15 @@ from glossa.llm.simhash import Stars
 from glossa.llm.suffixdedup import _blobs, _bucket, _pack, _repeated, _short, _split, _unpack
 
 SHINGLE, SPAN, FUNCTIONS, APART, REACH = 5, 46, 6, 12, 80
-#: Of so many neighbouring passages one is chosen at least.
-CHOICE = 8
+#: Of so many neighbouring passages of a window one is compared for equality, by how far before the centre it starts.
+CHOICE = 3
 #: Shared shingles that make 0.8 of the union of two SPAN-long passages without repetition.
 ENOUGH = -(-8 * 2 * SPAN // 18)
 #: Classes of a group that one task compares with as many others, and of a group that are all compared without looking at
 #: rare shingles.
 BLOCK, FEW = 512, 64
+#: Windows of the same two documents on one diagonal whose centres are that near are compared once, over NEAR shingles.
+STEP, NEAR = 16, SPAN - 1 + 16
 #: Windows of two components that one task takes.
 TASK = 8192
 #: Bytes hashed at once; longer texts are a slice of their own.
@@ -106,9 +108,10 @@ def _minima(v: np.ndarray, span: int = SPAN) -> np.ndarray:
 
 
 def windows(x: list[np.ndarray]):
-    """(document, centre, signature, steps, first choice, end of choices, choices) of every joint window of several
-    documents, band by band: the centre holds the first function's minimum; steps say how far before the centre the first
-    and the last of its SPAN-long passages start; choices are hashes of some of the passages of all windows."""
+    """(document, centre, signature, steps, place, content) of every joint window of several documents, two functions by
+    two: the centre holds the first function's minimum; steps say how far before the centre the first and the last of its
+    SPAN-long passages start; content has a hash of the passage that starts at each place of all documents, and the centre
+    is at place there."""
     size = np.array([len(s) for s in x])
     ends = np.cumsum(size)
     flat = np.concatenate(x) if len(x) else np.zeros(0, np.uint64)
@@ -121,14 +124,7 @@ def windows(x: list[np.ndarray]):
     power, inverse = _powers(len(flat) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * power[: len(flat)])))
-        content = _mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92)
-    chosen = np.zeros(n, bool)
-    if n >= CHOICE:
-        least = _minima(content, CHOICE)
-        for k in range(CHOICE):
-            chosen[k : k + len(least)] |= content[k : k + len(least)] == least
-    upto = np.concatenate(([0], np.cumsum(chosen)))
-    choices = _short(content[chosen])
+        content = _short(_mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92))
     minima = []
     for f in range(FUNCTIONS):
         with np.errstate(over="ignore"):
@@ -155,7 +151,7 @@ def windows(x: list[np.ndarray]):
             steps = ((centre - s) << 8 | (centre - e + 1)).astype(np.uint16)
             with np.errstate(over="ignore"):
                 sig = _mix(flat[centre] + flat[other] * np.uint64(_BASE), 50 + f * FUNCTIONS + g)
-            yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, steps, upto[s], upto[e], choices
+            yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, steps, centre, content
 
 
 def _first_minimum(v: np.ndarray, low: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -239,11 +235,15 @@ def _met(buckets: int, spelled: bool):
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | _unpack(d)[0].astype(np.uint64) for b, d in zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True)]))
         held, own = [], Chunk(left)
         all_ids = np.array([0 if i is None else i for i in own.ids], np.int64)
-        for doc, centre, keys, steps, a, b, choices in own.windows():
+        for doc, centre, keys, steps, place, content in own.windows():
             name = (_bucket(keys, buckets).astype(np.uint64) << np.uint64(32)) | _short(keys).astype(np.uint64)
             hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name)
             if len(hit):
-                held.append((keys[hit], doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), steps[hit], (b - a)[hit], choices[_ragged(a[hit], b[hit])]))
+                # Choices: how many CHOICEs before the centre a passage starts, from front to back.
+                near, far = -(-(steps[hit] & 255).astype(np.int64) // CHOICE), (steps[hit] >> 8).astype(np.int64) // CHOICE + 1
+                count = np.maximum(far - near, 0)
+                at = np.repeat(place[hit], count) - CHOICE * _ragged(near, near + count)
+                held.append((keys[hit], doc[hit].astype(np.uint32), centre[hit].astype(np.uint32), steps[hit], count, content[at]))
         if not held:
             return _blobs([], names)
         keys, doc, centre, steps, count, choice = (np.concatenate([h[k] for h in held]) for k in range(6))
@@ -474,7 +474,13 @@ class Classes:
             second.append(j)
         a, b = np.concatenate(first), np.concatenate(second)
         two = (self.side[a] == self.side[b]) & self.mixed[a]
-        keep = ~two & (self.part[a] != self.part[b])
+        keep = np.flatnonzero(~two & (self.part[a] != self.part[b]))
+        place = np.stack((self.ids[a[keep]], self.ids[b[keep]], self.words[a[keep]] - self.words[b[keep]], self.words[a[keep]] // STEP))
+        with np.errstate(over="ignore"):
+            name = np.zeros(len(keep), np.uint64)
+            for x in place:
+                name = _mix(name * np.uint64(3) + x.astype(np.uint64), 300)
+        keep = keep[np.sort(np.unique(name, return_index=True)[1])]
         a, b = a[keep], b[keep]
         return a, b, a - np.repeat(starts, sizes)[a]
 
@@ -511,29 +517,33 @@ class Classes:
             yield self._compare(a[k : k + 1024], b[k : k + 1024], True)
 
     def _inside(self, k: np.ndarray) -> np.ndarray:
-        """Where in a narrow frame a passage of the class may start."""
-        at = np.arange(SPAN)[None, :] - (SPAN - 1)
-        return (at >= -self.back[k][:, None]) & (at <= -self.front[k][:, None])
+        """Where in a frame of NEAR shingles to either side a passage of the text may start."""
+        at = np.arange(2 * NEAR + 2 - SPAN)[None, :] - NEAR
+        return (at >= -self.left[k][:, None]) & (at + SPAN <= (self.length - self.left)[k][:, None])
 
     def _compare(self, a: np.ndarray, b: np.ndarray, extents: bool = False):
-        x, y = self.frame(a, SPAN - 1), self.frame(b, SPAN - 1, -2)
-        own = [np.sort(f, axis=1) for f in (x, y)]
+        x, y = self.frame(a, NEAR), self.frame(b, NEAR, -2)
         odd = np.zeros(len(a), bool)
-        for f in own:
+        for f in (np.sort(x, axis=1), np.sort(y, axis=1)):
             odd |= ((f[:, 1:] == f[:, :-1]) & (f[:, 1:] >= 0)).any(axis=1)
+        keep = odd.copy()
+        plain = np.flatnonzero(~odd)
+        for k in (plain[n : n + 256] for n in range(0, len(plain), 256)):
+            keep[k] = self._dense(a[k], b[k])
+        a, b, x, y, odd = (z[keep] for z in (a, b, x, y, odd))
         total = np.zeros((len(a), x.shape[1] + 1), np.int16)
         np.cumsum(x == y, axis=1, out=total[:, 1:])
         count = total[:, SPAN:] - total[:, :-SPAN]
         inside = self._inside(a), self._inside(b)
         hit = (count >= ENOUGH) & inside[0] & inside[1] & ~odd[:, None]
         sure = hit.any(axis=1)
-        out = []
+        out = [np.zeros((0, 7), np.int64)]
 
         def put(p, i, j, k, n, shared):
             out.append(np.stack((a[p], b[p], i, j, k, n, shared), axis=1).astype(np.int64))
 
         k = np.flatnonzero(sure)
-        first, end = hit[k].argmax(axis=1) - (SPAN - 1), hit.shape[1] - hit[k][:, ::-1].argmax(axis=1)
+        first, end = hit[k].argmax(axis=1) - NEAR, hit.shape[1] - NEAR + SPAN - 1 - hit[k][:, ::-1].argmax(axis=1)
         put(k, first, end, first, end, count[k].max(axis=1))
         k = np.flatnonzero(~sure & ~odd)
         both = np.sort(np.concatenate((x[k], y[k]), axis=1), axis=1)
@@ -544,38 +554,40 @@ class Classes:
             p, shared, hit = (z[hit.any(axis=(1, 2))] for z in (p, shared, hit))
             i, j = hit.any(axis=2), hit.any(axis=1)
             sure[p] = True
-            put(p, i.argmax(axis=1) - (SPAN - 1), SPAN - i[:, ::-1].argmax(axis=1), j.argmax(axis=1) - (SPAN - 1), SPAN - j[:, ::-1].argmax(axis=1), shared.max(axis=(1, 2)))
+            stop = i.shape[1] - NEAR + SPAN - 1
+            put(p, i.argmax(axis=1) - NEAR, stop - i[:, ::-1].argmax(axis=1), j.argmax(axis=1) - NEAR, stop - j[:, ::-1].argmax(axis=1), shared.max(axis=(1, 2)))
         for k in np.flatnonzero(odd).tolist():
             if got := similar(self.narrow(a[k]), self.narrow(b[k])):
                 i, j, n = (np.array(z) for z in zip(*got, strict=True))
                 sure[k] = True
                 u, v = int(self.back[a[k]]), int(self.back[b[k]])
                 put(np.array([k]), *(np.array([z]) for z in (i.min() - u, i.max() + SPAN - u, j.min() - v, j.max() + SPAN - v, n.max())))
-        # Longer passages of different lengths, where enough is shared.
-        k = np.flatnonzero(~sure) if not extents else np.arange(len(a))
-        k = np.concatenate([p[self._dense(a[p], b[p])] for p in np.array_split(k, -(-len(k) // 256))]) if len(k) else k
-        for k in k.tolist():
+        # Longer passages of different lengths.
+        for k in (np.flatnonzero(~sure) if not extents else np.arange(len(a))).tolist():
             if got := stretch(self.text(a[k]), self.text(b[k])):
                 u, v = int(self.left[a[k]]), int(self.left[b[k]])
                 put(np.array([k]), *(np.array([z]) for z in (got[0] - u, got[1] - u, got[2] - v, got[3] - v, got[4])))
         return tuple(np.concatenate(out).T)
 
-
     def _dense(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether SPAN shingles in a row of each text hold so many of the other's that longer passages may share 80 %: a pair
-        of passages that does holds 80 % of either, and so does some part of them that is SPAN long, nearly."""
-        x, y = self.frame(a, REACH), self.frame(b, REACH)
-        row = np.arange(len(a), dtype=np.int64)[:, None] << 33
-        out = np.ones(len(a), bool)
-        for own, other in ((x, y), (y, x)):
-            known = np.sort((row + 1 + other)[other >= 0])
-            key = row + 1 + own
-            at = np.minimum(np.searchsorted(known, key.ravel()), max(len(known) - 1, 0)).reshape(key.shape)
-            shared = (known[at] == key) & (own >= 0) if len(known) else np.zeros(key.shape, bool)
-            total = np.zeros((len(a), own.shape[1] + 1), np.int16)
-            np.cumsum(shared, axis=1, out=total[:, 1:])
-            out &= (total[:, -1] >= ENOUGH) & ((total[:, SPAN:] - total[:, :-SPAN]).max(axis=1) >= ENOUGH - 9)
-        return out
+        """Whether each text has SPAN or more shingles in a row of which the other has 80 % somewhere; no two passages can share
+        80 % otherwise (for texts without repetition). Counting one for a shared shingle and minus four for another, the sum isn't negative."""
+        x = np.stack((self.frame(a, REACH), self.frame(b, REACH)), axis=1)
+        width = x.shape[2]
+        row, side, at = np.nonzero(x >= 0)
+        packed = ((row.astype(np.uint64) << np.uint64(32) | x[row, side, at].astype(np.uint64)) << np.uint64(1) | side.astype(np.uint64)) << np.uint64(8) | at.astype(np.uint64)
+        packed.sort()
+        name, side = packed >> np.uint64(9), (packed >> np.uint64(8) & np.uint64(1)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(name)))
+        both = np.repeat((side[first] == 0) & (side[first + size - 1] == 1), size)
+        score = np.full(x.shape, -4, np.int16)
+        score[x < 0] = -1000
+        score[(name >> np.uint64(32)).astype(np.int64)[both], side[both], (packed & np.uint64(255)).astype(np.int64)[both]] = 1
+        total = np.zeros((*x.shape[:2], width + 1), np.int32)
+        np.cumsum(score, axis=2, out=total[:, :, 1:])
+        least = np.minimum.accumulate(total[:, :, : width + 1 - SPAN], axis=2)
+        return ((total[:, :, SPAN:] - least).max(axis=2) >= 0).all(axis=1)
 
 
 def _classes_of(left) -> Classes:

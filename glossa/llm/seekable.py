@@ -132,7 +132,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bp
 
         def rows():
             nonlocal tokens, count
-            for batch in batches:
+            for batch in common.parts(batches, 500):
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     ids = tool.encode(text) + end
                     tokens += len(ids) // 4
@@ -175,7 +175,7 @@ def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
         start += tokens
 
     def run(batches):
-        for batch in batches:
+        for batch in common.parts(batches, 500):
             for name, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, path = _opened(name)
                 with store.open_input_file(path) as f:

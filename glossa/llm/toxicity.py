@@ -96,7 +96,7 @@ def shard_of(code: np.ndarray) -> np.ndarray:
 
 def _count(batches):
     held = {0: Counter(), 1: Counter()}
-    for batch in batches:
+    for batch in common.parts(batches, 1000):
         for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held[1 if label == 1 else 0].update(words_of(text))
             if len(held[0]) + len(held[1]) > WORDS_HELD:
@@ -108,7 +108,7 @@ def _count(batches):
 def _merge(batches):
     """Adds the counts of the shards in this task; rows stream through."""
     held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for batch in batches:
+    for batch in common.parts(batches, 1000):
         for shard, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             code, t, o = (np.frombuffer(b, np.uint32).astype(np.int64) for b in x)
             if shard in held:
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
 
     def figures(batches):
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in common.parts(batches, 1000):
             x = judge.figures(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k], pa.float64()) for k in range(x.shape[1])), batch.column(1)], ["a", "b", "c", "label"])
 
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in common.parts(batches, 1000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(judge, batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -273,7 +273,7 @@ def keep_ordinary(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataF
 
     def run(batches):
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in common.parts(batches, 1000):
             yield batch.filter(pa.array(scores(judge, batch.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
