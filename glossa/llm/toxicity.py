@@ -34,7 +34,8 @@ _TOP = 1 << (ORDER * BITS)
 
 
 def _symbols() -> np.ndarray:
-    """Symbol of each character below 2**16: letters without their accents are 1 to 26, others share five symbols."""
+    """Symbol of each character below 2**16: Latin letters without their accents are 1 to 26, others begin with one of five
+    further symbols and have a second one."""
     out = np.zeros(1 << 16, np.uint32)
     for k in range(1 << 16):
         base = unicodedata.normalize("NFKD", chr(k))[:1].lower()
@@ -49,16 +50,22 @@ def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Highest-order codes of every symbol and end of the words, the index of the word of each, and symbols per word."""
     if not _TABLE:
         _TABLE.append(_symbols())
-    gap = "\0" * (ORDER - 1)
-    flat = np.frombuffer((gap + gap.join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = _TABLE[0][flat & 0xFFFF]
-    symbols[flat == 0] = 0
-    size = np.fromiter(map(len, words), np.int64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    one = np.where(flat < 1 << 16, _TABLE[0][flat & 0xFFFF], 27 + flat % 5).astype(np.uint32)
+    wide = one >= 27
+    width = 1 + wide
+    owner = np.repeat(np.arange(len(words)), sizes)
+    count = np.bincount(owner, weights=width, minlength=len(words)).astype(np.int64)
+    first = (ORDER - 1) + np.cumsum(count + ORDER - 1) - (count + ORDER - 1) if len(words) else count
+    at = np.cumsum(width) - width + (first - (np.cumsum(count) - count))[owner] if len(words) else owner
+    symbols = np.zeros(int((count + ORDER - 1).sum()) + ORDER, np.uint32)
+    symbols[at] = one
+    symbols[at[wide] + 1] = 27 + flat[wide] // 5 % 5
     code = np.zeros(len(symbols), np.uint32)
     for k in range(ORDER):
         code[k:] |= symbols[: len(symbols) - k] << np.uint32(BITS * k)
-    first = (ORDER - 1) + np.concatenate(([0], np.cumsum(size + ORDER - 1)[:-1])) if len(words) else np.zeros(0, np.int64)
-    count = size + 1
+    count += 1  # the end
     owner = np.repeat(np.arange(len(words)), count)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
     return code[at], owner, count

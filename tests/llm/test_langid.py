@@ -17,3 +17,36 @@ def test_every_language_is_learned(spark):
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
     assert got == {i: lang for i, _, lang in rows}
     assert langid.keep_identified(docs, model).count() == len(rows)
+
+
+def test_plain_compression(spark):
+    """Predictions equal those of one compressor per language, used text by text."""
+    import zstandard
+
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    rows = docs.select("doc_id", "text").collect()[:60]
+
+    def size(text, dictionary):
+        data, n = text.encode(), 0
+        for k in range(0, len(data), 16 << 10):
+            tool = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=langid._SETTINGS)
+            n += len(tool.compress(data[k : k + (16 << 10)]))
+        return n
+
+    want = {}
+    for r in rows:
+        text = "".join(c.lower() if c.isalpha() else " " for c in r.text)
+        while "  " in text:
+            text = text.replace("  ", " ")
+        sizes = {name: size(text, own) for name, own in model.items()}
+        want[r.doc_id] = min(sorted(sizes), key=sizes.get)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert all(got[k] == v for k, v in want.items())
+
+
+def test_ties_go_to_the_first_language():
+    scorer = langid.Scorer({"b": b"same words in a row", "a": b"same words in a row"})
+    assert scorer.predict(b"same words")[0] == "a" and scorer.predict(b"same words")[2] == 0

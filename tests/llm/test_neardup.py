@@ -30,3 +30,25 @@ def test_similarity_of_near_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(want))
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, SF).collect()} == set(want)
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, a)]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "a"), (1, "a"), (5, "b")]
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with one word in twenty-five put in or left out share about 80 %."""
+    import random
+
+    rng, texts = random.Random(2), []
+    for k in range(120):
+        own = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        edited = [w for w in own if rng.random() > 0.012]
+        texts += [" ".join(own), " ".join(x for w in edited for x in ((w, "new") if rng.random() < 0.012 else (w,)))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    want = {k for k in range(0, 240, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want) > 20 and {k for k in range(0, 240, 2) if got[k] == got[k + 1]} == want

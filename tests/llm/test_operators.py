@@ -123,6 +123,24 @@ def test_nearest(spark, empty):
         assert r.vec_id == want[r["rank"] - 1]
     assert rpforest.nearest(df.filter("false"), df.filter("false"), 5).count() == 0
     assert rpforest.nearest(df.filter("vec_id < 3"), df.filter("vec_id = 0"), 10).count() == 2
+    twice = df.filter("vec_id < 100").unionByName(df.filter("vec_id = 7"))
+    got = rpforest.nearest(twice, twice.filter("vec_id = 7"), 3).collect()
+    assert len(got) == 3 and all(r.vec_id != 7 for r in got)
+
+
+def test_forest_ranks_few_rows(spark):
+    """Recall at ten and the share of rows that a query is compared with, on vectors that fill all dimensions evenly and on
+    clustered ones."""
+    rng = np.random.default_rng(5)
+    for x, most in ((rng.standard_normal((6000, 32)), 0.5), (np.repeat(rng.standard_normal((300, 32)), 20, axis=0) + 0.01 * rng.standard_normal((6000, 32)), 0.35)):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = rpforest.nearest(df, df.filter("vec_id % 100 = 0"), 10).toPandas()
+        hits = 0
+        for q, own in got.groupby("query_id"):
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hits += len(set(np.argsort(d)[:10].tolist()) & set(own["vec_id"]))
+        assert hits >= 0.9 * 600 and got["ranked"].mean() <= most * 6000
 
 
 # 3 and 10: classifiers
@@ -160,8 +178,7 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.labelled(big, odd).count() == labels.filter("toxic is not null").join(big, "doc_id").count()
 
 
-def test_kneser_ney_sums_to_one():
-    """The shared and the class distributions over the next symbol are distributions, for every context seen."""
+def test_equal_classes_give_no_ratio():
     code, _, _ = toxicity.codes_of(["abba", "abab", "baab"])
     own, n = np.unique(code, return_counts=True)
     m = toxicity.ratios(own.astype(np.int64), n.astype(np.int64), n.astype(np.int64))
@@ -294,6 +311,56 @@ def test_seekable_files(spark, docs, rows, empty):
     assert seekable.read(spark, none).count() == 0
 
 
+def test_seekable_files_hold_wide_ids_and_are_written_again(tmp_path):
+    from pyarrow import fs
+
+    data = b"".join(seekable.write_file([(1, np.array([70_000, 5], "<u4").tobytes())], 4))
+    assert seekable.Reader(io.BytesIO(data), len(data)).ids(0).tolist() == [70_000, 5]
+    with pytest.raises(ValueError):
+        b"".join(seekable.write_file([(1, np.array([70_000], "<u4").tobytes())], 2))
+    store = fs.LocalFileSystem()
+    for text in ("first", "second"):
+        (tmp_path / "held").write_text(text)
+        seekable.replace(store, str(tmp_path / "held"), str(tmp_path / "target"))
+    assert (tmp_path / "target").read_text() == "second" and not (tmp_path / "held").exists()
+
+
+def test_byte_bpe_of_shuffled_rows(docs):
+    """Rows that come out of an exchange have no order; the operator writes them first."""
+    mixed = docs.repartition(5).filter("doc_id is not null")
+    assert "Exchange" in mixed._jdf.queryExecution().executedPlan().toString()
+    columns = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert pairs(bytebpe.digests(mixed), *columns) == pairs(bytebpe.digests(docs.filter("doc_id is not null")), *columns)
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    from glossa import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_base(Session())
+
+
+def test_damaged_streams_are_rows(spark):
+    good = mpegts.mux(mpegts.padded(b"text"))
+    rows = [(1, 4, good), (2, 4, good[:-1]), (3, 4, None), (4, 4, b""), (5, 4, bytes(188)), (6, 4, good[:4] + b"\xff" * 184 + good[188:])]
+    got = {r.doc_id: r for r in mpegts.read(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == 6 and got[1].payload_bytes == 576 and not got[1].feature.startswith("damaged")
+    assert all(got[k].payload_sha256 is None and got[k].feature.startswith("damaged") for k in (2, 3, 4, 5, 6))
+
+
 def test_seekable_format():
     import zstandard
 
