@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import filled, html_escape, regex_quoted, script_json, script_safe, trim_plain
+from glossa.functions.text import filled, html_escape, script_json, script_safe, trim_plain
 from glossa.operators.quality import InvalidInput, colour, require, trimmed
 from glossa.operators.quality import study_page as checked
 
@@ -135,8 +135,12 @@ def discussion_cards(pages: DataFrame, key: str = "title") -> DataFrame:
 
 def node_of_element(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """(element_id, node_id): the longest node id that stands in an element id between dashes or ends, else the element's
-    data id if it is a node. elements: (element_id, data_id); nodes: (node_id), a diagram's few."""
-    whole = F.concat(F.lit("(^|-)"), regex_quoted("node_id"), F.lit("(-|$)"))
-    hit = elements.join(F.broadcast(nodes), F.regexp_like(F.col("element_id"), whole) | (F.col("data_id") == F.col("node_id")), "left")
-    rank = F.struct(F.regexp_like(F.col("element_id"), whole).alias("in_id"), F.length("node_id").alias("size"), "node_id")
-    return hit.groupBy("element_id").agg(F.max_by("node_id", rank).alias("node_id"))
+    data id if it is a node. elements: (element_id, data_id); nodes: (node_id). What stands between dashes is taken apart, so
+    nodes are found by equality."""
+    tokens = F.split("element_id", "-")
+    n = F.size(tokens)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(tokens, i, j - i + 1), "-"))))
+    named = elements.select("element_id", F.explode(F.array_distinct(runs)).alias("node_id"), F.lit(1).alias("in_id"))
+    named = named.unionByName(elements.filter("data_id is not null").select("element_id", F.col("data_id").alias("node_id"), F.lit(0).alias("in_id")))
+    best = named.join(nodes.select("node_id").distinct(), "node_id").groupBy("element_id").agg(F.max_by("node_id", F.struct("in_id", F.length("node_id").alias("size"), "node_id")).alias("node_id"))
+    return elements.select("element_id").distinct().join(best, "element_id", "left")

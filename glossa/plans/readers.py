@@ -315,6 +315,14 @@ def casefold_terms(spark, d):
     return V.table(spark, d, "part").select("p_partkey", text.casefold(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "Straße").otherwise(""))).alias("folded"))
 
 
+@query("SELECT p_partkey, p_partkey % 3 <> 0 AS is_found FROM part")
+def quoted_patterns(spark, d):
+    """Names with pattern signs, searched as they are in texts that hold them or nearly do."""
+    name = F.concat(F.lit("(a.b)\\E+"), "p_name")
+    said = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("x "), name, F.lit("!"))).otherwise(F.concat(F.lit("(aXb)\\E+"), "p_name"))
+    return V.table(spark, d, "part").select("p_partkey", F.regexp_like(said, text.regex_quoted(name)).alias("is_found"))
+
+
 @query("SELECT p_partkey, p_size AS first_at, p_size + 6 + length(CAST(p_partkey AS VARCHAR)) AS ends_at, 'table' AS kind, CAST(p_partkey AS VARCHAR) AS number FROM part")
 def mention_places(spark, d):
     said = F.concat(F.repeat(F.lit("a"), F.col("p_size") - 1), F.lit(" Table "), "p_partkey", F.lit(", end"))
