@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from glossa.llm import common
 from glossa.llm.components import components
 from glossa.llm.simhash import Stars
-from glossa.llm.suffixdedup import _blobs, _bucket, _pack, _repeated, _short, _split, _unpack
+from glossa.llm.suffixdedup import LAST, _blobs, _bucket, _pack, _repeated, _short, _split, _unpack
 
 SHINGLE, SPAN, FUNCTIONS, APART, REACH = 5, 46, 6, 12, 80
 #: Of so many neighbouring passages of a window one is compared for equality, by how far before the centre it starts.
@@ -215,9 +215,10 @@ def _joined(sig: np.ndarray, count: np.ndarray, choice: np.ndarray) -> np.ndarra
     ascending."""
     owner = np.repeat(np.arange(len(sig)), count)
     group = np.cumsum(np.append(np.zeros(1, np.int64), sig[1:] != sig[:-1])) if len(sig) else sig
-    order = np.lexsort((owner, choice, group[owner]))
-    o, c = owner[order], choice[order]
-    same = np.flatnonzero((c[1:] == c[:-1]) & (group[o[1:]] == group[o[:-1]]))
+    name = group[owner].astype(np.uint64) << np.uint64(32) | choice.astype(np.uint64)
+    order = np.argsort(name)
+    name, o = name[order], owner[order]
+    same = np.flatnonzero(name[1:] == name[:-1])
     stars = Stars(len(sig))
     stars.add(o[same + 1], o[same])
     return stars.flush()
@@ -237,7 +238,9 @@ def _met(buckets: int, spelled: bool):
         all_ids = np.array([0 if i is None else i for i in own.ids], np.int64)
         for doc, centre, keys, steps, place, content in own.windows():
             name = (_bucket(keys, buckets).astype(np.uint64) << np.uint64(32)) | _short(keys).astype(np.uint64)
-            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name)
+            by = np.argsort(name)  # looked up in order, which is faster
+            name = name[by]
+            hit = by[known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name]
             if len(hit):
                 # Choices: how many CHOICEs before the centre a passage starts, from front to back.
                 near, far = -(-(steps[hit] & 255).astype(np.int64) // CHOICE), (steps[hit] >> 8).astype(np.int64) // CHOICE + 1
@@ -248,7 +251,8 @@ def _met(buckets: int, spelled: bool):
             return _blobs([], names)
         keys, doc, centre, steps, count, choice = (np.concatenate([h[k] for h in held]) for k in range(6))
         ids = all_ids[doc]
-        order = np.lexsort((centre, doc, ids, keys))
+        # By signature, then by document, which is by id.
+        order = np.lexsort((doc.astype(np.int64) << 32 | centre, keys))
         first = np.cumsum(count) - count
         choice = choice[_ragged(first[order], (first + count)[order])]
         keys, doc, centre, steps, count, ids = (x[order] for x in (keys, doc, centre, steps, count, ids))
@@ -281,12 +285,16 @@ def _met(buckets: int, spelled: bool):
 
 
 def _told(ids: np.ndarray, low: np.ndarray, word: np.ndarray) -> bytes:
-    """Links of documents to one of their component, packed, with each one's smallest word."""
-    order = np.lexsort((word, low, ids))
-    ids, low, word = ids[order], low[order], word[order]
-    keep = np.ones(len(ids), bool)
-    keep[1:] = (ids[1:] != ids[:-1]) | (low[1:] != low[:-1])
-    return _pack(ids[keep], low[keep], word[keep].astype(np.uint32))
+    """Links of documents, packed: for each document the smallest id of its component among these links, and its smallest
+    word."""
+    name, at = np.unique(np.concatenate((ids, low)), return_inverse=True)
+    stars = Stars(len(name))
+    stars.add(at[: len(ids)], at[len(ids) :])
+    root = stars.flush()
+    least = np.full(len(name), LAST)
+    np.minimum.at(least, at[: len(ids)], np.asarray(word, np.int64))
+    k = np.flatnonzero(least < LAST)
+    return _pack(name[k], name[root[k]], least[k].astype(np.uint32))
 
 
 LEFT = "data binary, sig long, chunk int, doc int, centre int, steps int, doc_id long"
@@ -306,7 +314,7 @@ def _groups(spelled: bool):
             chunk = np.repeat(np.array([c for c in where if c >= 0], np.int64), [len(p[0]) for p in parts])
             sig, doc, centre, steps, ids, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(6))
             choice = np.concatenate([p[6] for p in parts])
-            order = np.lexsort((centre, doc, chunk, ids, sig))
+            order = np.lexsort((chunk << 44 ^ doc << 24 ^ centre, ids, sig))
             first = np.cumsum(count) - count
             choice = choice[_ragged(first[order], (first + count)[order])]
             chunk, sig, doc, centre, steps, ids, count = (x[order] for x in (chunk, sig, doc, centre, steps, ids, count))
@@ -692,6 +700,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal = named(search.told())
     parts = common.checkpointed(components(edges(equal)))
     near = named(search.compared(parts, "data binary", _linked))
-    roots = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges(near))).select(F.col("node").alias("doc_id"), "root")
-    first = equal.unionByName(near).groupBy("doc_id").agg(F.min("word").alias("first_word"))
-    return first.join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "first_word")
+    # What was compared joins components, which are few beside the documents.
+    headed = lambda rows, c: rows.join(parts.select(F.col("node").alias(c), F.col("root").alias(f"{c}_head")), c, "left").withColumn(c, F.coalesce(f"{c}_head", c)).drop(f"{c}_head")
+    above = components(headed(headed(edges(near), "a"), "b")).select(F.col("node").alias("head"), "root")
+    first = equal.unionByName(near).groupBy("doc_id").agg(F.min("word").alias("first_word")).withColumn("head", F.col("doc_id"))
+    return headed(first, "head").join(above, "head", "left").select("doc_id", F.coalesce("root", "head").alias("class_id"), "first_word")
