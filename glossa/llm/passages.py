@@ -48,8 +48,8 @@ ENOUGH = -(-8 * 2 * SPAN // 18)
 BLOCK, FEW = 512, 64
 #: Windows of the same two documents on one diagonal whose centres are that near are compared once, over NEAR shingles.
 STEP, NEAR = 16, SPAN - 1 + 16
-#: Windows of two components that one task takes.
-TASK = 8192
+#: Windows that a component shares with others and that one task takes.
+TASK = 32_768
 #: Bytes hashed at once; longer texts are a slice of their own.
 SLICE = 1 << 20
 
@@ -650,10 +650,13 @@ class Search:
         left = self.found.filter("data is null").drop("data").join(parts.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root")
         left = left.select("sig", "chunk", "doc", "centre", "steps", "doc_id", "part")
         wide = left.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k")).filter("parts > 1")
-        # All that two components share under signatures of their own goes to one task, or several where it is much.
-        met = wide.filter("parts = 2").groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg((F.floor(F.sum("k") / TASK) + 1).alias("ways"))
-        wide = wide.join(met, (F.col("parts") == 2) & (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")), "left")
-        name = F.when(F.col("parts") == 2, F.xxhash64("low", "high", F.pmod(F.xxhash64("sig"), "ways"))).otherwise(F.xxhash64("sig"))
+        # All that a component shares with others goes to one task, where it isn't too much, or else what two components share
+        # under signatures of their own (in several tasks where that is much); so what is joined once isn't compared again.
+        ways = (F.floor(F.sum("k") / TASK) + 1).alias
+        own = wide.groupBy(F.col("low").alias("first")).agg(ways("all_ways"))
+        met = wide.filter("parts = 2").groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg(ways("ways"))
+        wide = wide.join(own, F.col("low") == F.col("first")).join(met, (F.col("parts") == 2) & (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")), "left")
+        name = F.when(F.col("all_ways") == 1, F.xxhash64("low")).when(F.col("parts") == 2, F.xxhash64("low", "high", F.pmod(F.xxhash64("sig"), "ways"))).otherwise(F.xxhash64("sig"))
         wide = wide.select(F.col("sig").alias("s"), name.alias("name"), F.floor((F.col("k") + (BLOCK - 1)) / BLOCK).cast("int").alias("pieces"))
         dealt = left.join(wide, F.col("sig") == F.col("s")).withColumn("own", F.pmod(F.xxhash64("doc_id", "centre"), F.col("pieces")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
