@@ -125,17 +125,15 @@ def windows(x: list[np.ndarray]):
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * power[: len(flat)])))
         content = _short(_mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92))
-    minima = []
+    minima, places = [], np.arange(len(flat), dtype=np.uint64)
     for f in range(FUNCTIONS):
         with np.errstate(over="ignore"):
-            v = (flat * np.uint64(_ODD[f]) >> np.uint64(32)).astype(np.uint32)
-        low = _minima(v)
-        # A run ends where the minimum changes or its place leaves the window.
+            # Hashes with their places, so that the smallest is the first of equal ones.
+            low = _minima(flat * np.uint64(_ODD[f]) & np.uint64(0xFFFFFFFF00000000) | places)
+        # A run ends where the minimum changes or its place leaves the window; the centre is that place.
         begin = border.copy()
-        begin[1:] |= (low[1:] != low[:-1]) | (v[: n - 1] == low[: n - 1])
-        run = np.flatnonzero(begin)
-        # The centre: the first place of the minimum in the run's first subsequence.
-        minima.append((begin, np.cumsum(begin, dtype=np.int32) - 1, _first_minimum(v, low[run], run)))
+        begin[1:] |= low[1:] != low[:-1]
+        minima.append((begin, np.cumsum(begin, dtype=np.int32) - 1, (low[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)))
     last = np.minimum(ends - SPAN + 1, n)
     # Where text repeats itself within APART shingles, minima can't stand further from each other.
     again = np.zeros(len(flat), bool)
@@ -154,18 +152,6 @@ def windows(x: list[np.ndarray]):
             yield doc[s], centre - (ends[doc[s]] - size[doc[s]]), sig, steps, centre, content
 
 
-def _first_minimum(v: np.ndarray, low: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """The first place from s on where v equals low (it is within SPAN)."""
-    out, open_ = s.copy(), np.arange(len(s))
-    for k in range(SPAN):
-        hit = v[s[open_] + k] == low[open_]
-        out[open_[hit]] = s[open_[hit]] + k
-        open_ = open_[~hit]
-        if not len(open_):
-            break
-    return out
-
-
 def slices(texts: list[bytes]):
     """(first document, shingle hashes of the documents) in slices of bounded size."""
     k = 0
