@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, langid, mpegts, packing, passages, rpforest, seekable, simhash, suffixdedup, toxicity
+from glossa.llm import bytebpe, common, filteraudit, langid, mpegts, packing, passages, rpforest, seekable, simhash, suffixdedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filteraudit.audit(filteraudit.counters(filteraudit.failures(common.documents(spark, sf_dir)), labels))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity, op11_filter_audit)}
 
 
 #: Every 100-byte window, in hexadecimal; the later ones of equal windows, joined to spans; what is left between spans.
@@ -77,7 +82,25 @@ _SUFFIX_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h
   SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(t)) AS kept_sha256
   FROM b JOIN kept ON kept.doc_id = b.doc_id LEFT JOIN n ON n.doc_id = b.doc_id"""
 
+#: The mask of each document's failures, counted by part; every order as a string of letters, every step's earlier letters.
+_AUDIT_SQL = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+  f AS (SELECT doc_id, part, (len(w) < 50) AS a, (100 * len(list_distinct(w)) < 65 * len(w)) AS b,
+          (100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 5 * length(x)) AS c, regexp_matches(x, '[#$%&*|]') AS d,
+          coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) AS e FROM t),
+  m AS (SELECT part, a, b, c, d, e, concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+        FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY ALL),
+  s(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+  o AS (SELECT concat(s1.x, s2.x, s3.x, s4.x, s5.x) AS filter_order FROM s s1 JOIN s s2 ON s2.x <> s1.x JOIN s s3 ON s3.x NOT IN (s1.x, s2.x) JOIN s s4 ON s4.x NOT IN (s1.x, s2.x, s3.x) JOIN s s5 ON s5.x NOT IN (s1.x, s2.x, s3.x, s4.x)),
+  k AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+  r AS (SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS own, len(fails) AS size, len(translate(fails, before, '')) < len(fails) AS gone FROM m, k),
+  v AS (SELECT part, x, sum(n) AS shapley FROM r WHERE own AND NOT gone GROUP BY part, x)
+  SELECT r.part, filter_order, step, CAST(sum(if(gone OR own, 0, n)) AS BIGINT) AS kept, CAST(sum(if(own AND NOT gone, n, 0)) AS BIGINT) AS removed, CAST(sum(if(own AND gone, n, 0)) AS BIGINT) AS redundant,
+    CAST(sum(if(own AND size = 1, n, 0)) AS BIGINT) AS unique_fails, CAST(sum(if(own AND NOT gone, good, 0)) AS BIGINT) AS good_lost, CAST(sum(if(own AND NOT gone, toxic, 0)) AS BIGINT) AS toxic_lost,
+    CAST(any_value(coalesce(shapley, 0)) AS BIGINT) AS shapley
+  FROM r LEFT JOIN v ON v.part = r.part AND v.x = r.x GROUP BY r.part, filter_order, step"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against plain versions."""
-    return {"op1_suffix_dedup": _SUFFIX_SQL}
+    return {"op1_suffix_dedup": _SUFFIX_SQL, "op11_filter_audit": _AUDIT_SQL}
