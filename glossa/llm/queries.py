@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, filteraudit, langid, mpegts, packing, passages, rpforest, seekable, simhash, suffixdedup, toxicity
+from glossa.llm import bytebpe, common, filteraudit, langid, merkle, mpegts, packing, passages, rpforest, seekable, simhash, suffixdedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(filteraudit.counters(filteraudit.failures(common.documents(spark, sf_dir)), labels))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = {"text": F.translate("text", upper, upper.lower())}
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(common.documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], tampered, picked)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity, op11_filter_audit, op13_merkle_manifest)}
 
 
 #: Every 100-byte window, in hexadecimal; the later ones of equal windows, joined to spans; what is left between spans.
@@ -101,6 +108,34 @@ _AUDIT_SQL = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesc
   FROM r LEFT JOIN v ON v.part = r.part AND v.x = r.x GROUP BY r.part, filter_order, step"""
 
 
+def _merkle_sql(levels: int = 7) -> str:
+    """Each level of both trees as a table of the rows' runs, siblings and folded digests, 16^7 leaves at most."""
+    told = ", ".join(f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1))))"
+    steps = [f"""d AS (SELECT doc_id, source, {crc} AS crc, text, sha256(concat({told}, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+    sha256(concat({told}, coalesce(concat(strlen(text), ':', translate(text, '{upper}', '{upper.lower()}')), '-'))) AS other FROM documents)""",
+        "a0 AS MATERIALIZED (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, leaf AS h FROM d)"]
+    for tree in "ab":
+        if tree == "b":
+            steps.append(f"b0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, h, g AS source FROM a{levels})")
+        for k in range(levels):
+            t = f"{tree}{k}"
+            steps.append(f"{t}n AS (SELECT g, p, h, count(*) OVER (PARTITION BY g) AS n FROM {t})")
+            steps.append(f"{tree}{k + 1} AS MATERIALIZED (SELECT g, p // 16 AS p, if(max(n) = 1, max(h), sha256(string_agg(h, '' ORDER BY p))) AS h FROM {t}n GROUP BY g, p // 16)")
+            frame = "PARTITION BY g, p // 16 ORDER BY p ROWS BETWEEN"
+            steps.append(f"{t}s AS MATERIALIZED (SELECT g, p, n, coalesce(string_agg(h, '') OVER ({frame} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({frame} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {t}n)")
+    steps.append("f0 AS (SELECT doc_id, source, leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, '' AS path, if(crc IS NOT NULL AND xor(crc, 4294967295) % 5 = 0, other, leaf) AS v FROM d)")
+    fold = "f.path || s.l || s.r AS path, if(s.n = 1, f.v, sha256(concat(s.l, f.v, s.r))) AS v"
+    for k in range(levels):
+        steps.append(f"f{k + 1} AS MATERIALIZED (SELECT doc_id, source, leaf, f.p // 16 AS p, {fold} FROM f{k} f JOIN a{k}s s ON s.g IS NOT DISTINCT FROM f.source AND s.p = f.p)")
+    steps.append(f"e0 AS (SELECT doc_id, leaf, b.h AS subroot, b.p, path, v FROM f{levels} f JOIN b0 b ON b.source IS NOT DISTINCT FROM f.source)")
+    for k in range(levels):
+        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT doc_id, leaf, subroot, f.p // 16 AS p, {fold} FROM e{k} f JOIN b{k}s s ON s.p = f.p)")
+    joined = ",\n  ".join(steps)
+    return f"WITH {joined}\n  SELECT doc_id, leaf, subroot, b.h AS root, sha256(path) AS proof_sha256, v AS folded_root, v = b.h AS verified FROM e{levels}, b{levels} b"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against plain versions."""
-    return {"op1_suffix_dedup": _SUFFIX_SQL, "op11_filter_audit": _AUDIT_SQL}
+    return {"op1_suffix_dedup": _SUFFIX_SQL, "op11_filter_audit": _AUDIT_SQL, "op13_merkle_manifest": _merkle_sql()}
