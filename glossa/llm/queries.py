@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bytebpe, common, filteraudit, langid, merkle, mpegts, packing, passages, rpforest, seekable, simhash, suffixdedup, toxicity
+from glossa.llm import bytebpe, common, filteraudit, langid, mainhtml, merkle, mpegts, packing, passages, rpforest, seekable, simhash, suffixdedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(filteraudit.counters(filteraudit.failures(common.documents(spark, sf_dir)), labels))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     tampered = {"text": F.translate("text", upper, upper.lower())}
@@ -70,7 +74,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity, op11_filter_audit, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_rp_forest, op3_language_id, op4_transport_streams, op5_packing, op6_passages, op7_seekable_tokens, op8_byte_bpe, op9_simhash, op10_toxicity, op11_filter_audit, op12_main_text, op13_merkle_manifest)}
 
 
 #: Every 100-byte window, in hexadecimal; the later ones of equal windows, joined to spans; what is left between spans.
