@@ -170,36 +170,3 @@ def caption_remains(segments: DataFrame, captions: DataFrame, state: DataFrame)
     segment_id)."""
     rows = segments.join(captions.withColumnRenamed("caption", "mergedIntoSegmentId"), ["paper_id", "mergedIntoSegmentId"], "left_semi")
     return rows.join(state.withColumnRenamed("segment_id", "id"), ["paper_id", "id"], "left_semi")
-
-
-#: Quotes up to this stored size are sent to every task.
-SMALL_BYTES = 8 << 20
-HEAD = 24
-
-
-def containing(texts: DataFrame, text_col: str, quotes: DataFrame, quote_col: str) -> DataFrame:
-    """Texts joined with the quotes they contain (an empty quote stands in every text). A list of quotes of proven small
-    size goes to every task. A longer one is joined by equality: on the first HEAD characters, which a containing text must
-    hold somewhere, and for quotes shorter than that on the whole quote, one length (there are under HEAD) at a time."""
-    size = int(str(quotes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= SMALL_BYTES:
-        # Every text is compared with every quote: an input of few splits is dealt out first.
-        cores = texts.sparkSession.sparkContext.defaultParallelism
-        if texts._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-            texts = texts.repartition(cores)
-        return texts.join(F.broadcast(quotes), F.contains(F.col(text_col), F.col(quote_col)))
-    keyed = texts.withColumn("__id", F.xxhash64(text_col))
-
-    def held(part: DataFrame, n: int) -> DataFrame:
-        """Texts whose substrings of n characters hold the part's keys."""
-        places = F.transform(F.sequence(F.lit(1), F.length(text_col) - (n - 1)), lambda k: F.col(text_col).substr(k, F.lit(n)))
-        keys = part.withColumn("__key", F.substring(quote_col, 1, n))
-        own = keyed.filter(F.length(text_col) >= n).select("__id", F.explode(F.array_distinct(places)).alias("__key"))
-        met = own.join(keys.select("__key").distinct(), "__key", "left_semi").distinct().join(keys, "__key").drop("__key")
-        return keyed.join(met, "__id").filter(F.contains(F.col(text_col), F.col(quote_col))).drop("__id")
-
-    out = held(quotes.filter(F.length(quote_col) >= HEAD), HEAD)
-    for r in quotes.filter(F.length(quote_col) < HEAD).select(F.length(quote_col).alias("n")).distinct().collect():
-        part = quotes.filter(F.length(quote_col) == r.n)
-        out = out.unionByName(held(part, r.n) if r.n else texts.filter(F.col(text_col).isNotNull()).crossJoin(part))
-    return out

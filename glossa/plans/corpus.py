@@ -12,6 +12,7 @@ from glossa.functions import geometry, labels, text
 from glossa.operators import edits, merge, quality, reports, state
 from glossa.operators import links as L
 from glossa.operators import segments as S
+from glossa.operators.containment import containing
 from glossa.plans import views as V
 
 QUERIES: dict = {}
@@ -60,7 +61,22 @@ def editor_counters(spark, d):
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def citation_containment(spark, d):
     b = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return L.containing(V.table(spark, d, "documents").select("doc_id", "text"), "text", b, "quote").select("doc_id", "item_id")
+    return containing(V.table(spark, d, "documents"), "doc_id", "text", b, "quote").select("doc_id", "item_id")
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def citation_containment_exchanged(spark, d):
+    """The same rows by the way that lists of quotes of any size take."""
+    b = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return containing(V.table(spark, d, "documents"), "doc_id", "text", b, "quote", small_bytes=0).select("doc_id", "item_id")
+
+
+@query("WITH n AS (SELECT DISTINCT n_name AS word FROM nation UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT substr(text, 1, 40) FROM documents UNION SELECT '' UNION SELECT lang FROM documents) SELECT word, count(*) AS n_documents FROM documents d JOIN n ON contains(d.text, n.word) GROUP BY word")
+def quoted_beginnings(spark, d):
+    """Quotes of all lengths: names of parts, languages, an empty one, and what each document begins with."""
+    docs = V.table(spark, d, "documents")
+    words = V.table(spark, d, "nation").select(F.col("n_name").alias("word")).union(V.table(spark, d, "part").select("p_name")).union(docs.select(F.substring("text", 1, 40))).union(docs.select("lang")).union(docs.select(F.lit("")))
+    return containing(docs, "doc_id", "text", words.distinct(), "word", small_bytes=0).groupBy("word").agg(F.count("*").alias("n_documents"))
 
 
 @query("SELECT item_id, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_document FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")

@@ -273,15 +273,6 @@ def test_command(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "bad.json"), "--validate-only"]) == 2
 
 
-def test_containing_by_equality(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again"), (2, "short"), (3, ""), (4, None), (5, "the quick brown fox jumps over the lazy cat")], "t int, text string")
-    quotes = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, "fox"), (3, ""), (4, "short"), (5, "absent"), (6, None), (7, "the quick brown fox jumps over the lazy c")], "q int, quote string")
-    want = sorted((r.t, r.q) for r in links.containing(texts, "text", quotes, "quote").collect())
-    monkeypatch.setattr(links, "SMALL_BYTES", -1)
-    assert sorted((r.t, r.q) for r in links.containing(texts, "text", quotes, "quote").collect()) == want
-    assert want == [(1, 1), (1, 2), (1, 3), (2, 3), (2, 4), (3, 3), (5, 2), (5, 3), (5, 7)]
-
-
 def test_slug_of_whole_texts(spark, tmp_path):
     import re
     import unicodedata
