@@ -24,14 +24,19 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# White space as browsers and as Python see it (the space separators, and what else each of them trims).
+_SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\t\n\v\f\r"
+SCRIPT_SPACES, PLAIN_SPACES = _SEPARATORS + "\ufeff", _SEPARATORS + "\x1c\x1d\x1e\x1f\x85"
+
+
 def trim_script(x: ColumnOrName) -> Column:
-    """Trims what a browser trims: Unicode white space and the byte-order mark."""
-    return F.regexp_replace(_c(x), r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    """Trims what a browser trims: Unicode white space and the byte-order mark. Only the ends of a text are looked at."""
+    return F.btrim(_c(x), F.lit(SCRIPT_SPACES))
 
 
 def trim_plain(x: ColumnOrName) -> Column:
-    """Trims what Python trims: Unicode white space and the separators U+001C to U+001F."""
-    return F.regexp_replace(_c(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Trims what Python trims: Unicode white space, the next-line sign and the separators U+001C to U+001F."""
+    return F.btrim(_c(x), F.lit(PLAIN_SPACES))
 
 
 def is_blank(x: ColumnOrName) -> Column:

@@ -80,24 +80,30 @@ def merge_segments(rows: DataFrame, order: str, at: Column) -> DataFrame:
 
 
 def utf16_prefix(text: Column, units: Column) -> Column:
-    """How many code points the first `units` UTF-16 units of a text are."""
-    points = F.split(text, "")
-    size = F.transform(points, lambda c: F.when(F.octet_length(c) == 4, 2).otherwise(1))
-    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("points"))
-    return F.aggregate(size, start, lambda acc, s: F.struct((acc["units"] + s).alias("units"), F.when(acc["units"] + s <= units, acc["points"] + 1).otherwise(acc["points"]).alias("points")))["points"]
+    """How many code points the first `units` UTF-16 units of a text are; a pair that would be parted is left out."""
+    code = F.encode(text, "UTF-16BE")
+    # The first byte of a pair's first half lies between D8 and DB.
+    parted = F.hex(F.substring(code, 2 * units - 1, F.lit(1))).between("D8", "DB")
+    whole = units - F.when(parted, 1).otherwise(0)
+    return F.length(F.decode(F.substring(code, F.lit(1), 2 * whole), "UTF-16BE"))
+
+
+def utf16_length(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def split_at(rows: DataFrame, key: list[str], order: str, at: Column, *, id_col: str = "id", text: str = "text", confidence: str = "confidence") -> DataFrame:
     """Rows are cut after `at` characters (null: not cut) into `{id}-a` and `{id}-b`, where both sides have text; pieces are
     numbered by `piece`."""
-    left, right = trim_script(F.substring(F.col(text), F.lit(1), F.coalesce(at, F.lit(0)))), trim_script(F.substring(F.col(text), F.coalesce(at, F.lit(0)) + 1, F.length(text)))
-    cut = at.isNotNull() & ~is_blank(left) & ~is_blank(right)
-    name = F.col(id_col).cast("string")
-    low = F.least(confidence, F.lit(0.45))
+    name, low = F.col(id_col).cast("string"), F.least(confidence, F.lit(0.45))
     piece = lambda k, i, t, c: F.struct(F.lit(k).alias("piece"), i.alias("i"), t.alias("t"), c.alias("c"))
     whole = F.array(piece(0, name, F.col(text), F.col(confidence)))
-    parts = F.array(piece(1, F.concat(name, F.lit("-a")), left, low), piece(2, F.concat(name, F.lit("-b")), right, low))
-    out = rows.withColumn("__p", F.explode(F.when(cut, parts).otherwise(whole)))
+    parts = lambda h: F.array(piece(1, F.concat(name, F.lit("-a")), h["a"], low), piece(2, F.concat(name, F.lit("-b")), h["b"], low))
+    # Elements of arrays, so that the cut and both trimmed sides are made once each.
+    side = lambda start, size: trim_script(F.substring(F.col(text), start, size))
+    sides = F.transform(F.array(at), lambda n: F.when(n.isNotNull(), F.struct(side(F.lit(1), n).alias("a"), side(n + 1, F.length(text)).alias("b"))))
+    pieces = F.transform(sides, lambda h: F.when((F.length(h["a"]) > 0) & (F.length(h["b"]) > 0), parts(h)).otherwise(whole))
+    out = rows.withColumn("__p", F.explode(F.element_at(pieces, 1)))
     return out.select(*(c for c in rows.columns if c not in (id_col, text, confidence)), F.col("__p.i").alias(id_col), F.col("__p.t").alias(text), F.col("__p.c").alias(confidence), F.col("__p.piece").alias("piece"))
 
 
@@ -105,8 +111,7 @@ def split_segments(rows: DataFrame, order: str, at: Column) -> DataFrame:
     """Whole segments are cut after `at` UTF-16 units (null, none or all of them: not cut) into two of the same boxes, where both
     sides have text: free ids `{id}-a` and `{id}-b`, confidence at most .45, untranslated, to be reviewed. `piece` numbers
     them (0: not cut)."""
-    units = F.length("sourceText") + F.size(F.filter(F.split("sourceText", ""), lambda c: F.octet_length(c) == 4))
-    points = F.when((at > 0) & (at < units), utf16_prefix(F.col("sourceText"), at))
+    points = F.when((at > 0) & (at < utf16_length(F.col("sourceText"))), utf16_prefix(F.col("sourceText"), at))
     got = split_at(rows, ["paper_id"], order, points, text="sourceText")
     hit = F.col("piece") > 0
     blank = _translation(rows, faithfulZh=F.lit(""), plainZh=F.lit(""), status=F.lit("untranslated"), reviewedAt=F.lit(None).cast("string"), generatedBy=F.lit("local-curator"))

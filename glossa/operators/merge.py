@@ -23,7 +23,7 @@ def order_repair(stored: DataFrame, source: DataFrame, previous: DataFrame) -> D
     flags = previous.join(ids, "paper_id").select("paper_id", "previous_ids", F.col("stored_ids").eqNullSafe(F.col("previous_ids")).alias("same"))
     place = stored.select("paper_id", "id", F.col("order").alias("at"))
     joined = source.select("paper_id", "id", F.col("order").alias("source_order")).join(place, ["paper_id", "id"], "left").join(flags, "paper_id", "left")
-    later = Window.partitionBy("paper_id").orderBy("source_order").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("paper_id").orderBy(F.desc("source_order")).rowsBetween(Window.unboundedPreceding, -1)
     joined = joined.withColumn("anchor", F.min("at").over(later))
     same, repaired = F.coalesce("same", F.lit(False)), F.col("previous_ids").isNotNull()
     replaced = joined.filter(same).select("paper_id", "id", F.struct(F.col("source_order").cast("double").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("k"), F.when(F.col("at").isNull(), "source").otherwise("stored").alias("origin"))

@@ -67,9 +67,10 @@ def merged_children(segments: DataFrame) -> DataFrame:
 
 def forward(segments: DataFrame, shown: Column, key: list[str], order: str, id_col: str) -> DataFrame:
     """For each row the first shown id at or after it, else the last shown one: an as-of lookup as one window pass."""
-    w = Window.partitionBy(*key).orderBy(order)
-    after = F.first(F.when(shown, F.col(id_col)), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    last = F.last(F.when(shown, F.col(id_col)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # From the end, so that the frame grows row by row: frames that end with the partition are computed anew for every row.
+    w = Window.partitionBy(*key).orderBy(F.desc(order))
+    after = F.last(F.when(shown, F.col(id_col)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.first(F.when(shown, F.col(id_col)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return segments.withColumn("resolved", F.coalesce(after, last))
 
 

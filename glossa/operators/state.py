@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.geometry import percent
 from glossa.functions.text import trim_script
+from glossa.session import shared_folder
 
 
 def distinct(xs: Column) -> Column:
@@ -113,11 +114,31 @@ def imported(backups: DataFrame, papers: DataFrame, segments: DataFrame, shown:
 
 
 def back_stack(visits: DataFrame, reader: str, order: list[str], target: str) -> DataFrame:
-    """(reader, stack): the positions to go back to, folded from visits in order; a null target takes the last one off."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(target).alias("__t"))))
-    step = lambda acc, v: F.when(v["__t"].isNotNull(), F.array_append(acc, v["__t"])).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-    kind = visits.schema[target].dataType.simpleString()
-    return visits.groupBy(reader).agg(F.aggregate(listed, F.array().cast(f"array<{kind}>"), step).alias("stack"))
+    """(reader, depth, target): the positions to go back to, the last at the greatest depth, from visits in (unique) order; a
+    null target takes the last one off, if there is one.
+
+    A visit is still there unless the stack was lower later. Depths are running sums that don't fall below zero. Visits are
+    dealt by ranges of (reader, order), so that a reader's log may lie in many blocks: a block tells how many positions it
+    takes off from before and which it leaves, and a second pass over these pairs tells which of them later blocks take."""
+    rows = visits.select(F.col(reader).alias("__reader"), F.struct(*order).alias("__at"), F.col(target).alias("__target"))
+    path = shared_folder(visits.sparkSession)
+    rows.repartitionByRange("__reader", "__at").withColumn("__block", F.spark_partition_id()).write.parquet(path)
+    placed = visits.sparkSession.read.parquet(path)
+    own, back = Window.partitionBy("__reader", "__block").orderBy("__at"), Window.partitionBy("__reader", "__block").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1)
+    sofar = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = placed.withColumn("sum", F.sum(F.when(F.col("__target").isNotNull(), 1).otherwise(-1)).over(sofar))
+    walked = walked.withColumn("low", F.least(F.min("sum").over(sofar), F.lit(0))).withColumn("depth", F.col("sum") - F.col("low"))
+    kept = walked.withColumn("later", F.min("depth").over(back)).filter(F.col("__target").isNotNull() & (F.col("later").isNull() | (F.col("later") >= F.col("depth"))))
+    # Each block as so many positions off, then so many on; the same walk over blocks.
+    blocks = walked.groupBy("__reader", "__block").agg(F.max(-F.col("low")).alias("off"), F.max_by("depth", "__at").alias("on"))
+    every, after = Window.partitionBy("__reader").orderBy("__block"), Window.partitionBy("__reader").orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = every.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("left", F.sum(F.col("on") - F.col("off")).over(upto) - F.col("on"))
+    blocks = blocks.withColumn("base", F.col("left") - F.least(F.min("left").over(upto), F.lit(0)))
+    blocks = blocks.withColumn("most", F.min("base").over(after)).select(F.col("__reader").alias("r"), F.col("__block").alias("b"), "base", "most")
+    found = kept.join(blocks, F.col("__reader").eqNullSafe(F.col("r")) & (F.col("__block") == F.col("b")))
+    found = found.withColumn("depth", F.col("base") + F.col("depth")).filter(F.col("most").isNull() | (F.col("depth") <= F.col("most")))
+    return found.select(F.col("__reader").alias(reader), "depth", F.col("__target").alias(target))
 
 
 def backups_for(backups: DataFrame, papers: DataFrame) -> DataFrame:

@@ -34,15 +34,15 @@ def _blocks(bs: Column) -> Column:
     return F.transform(bs, lambda b: F.struct(b["type"].alias("type"), trim_plain(b["text"]).alias("text"), trimmed(b["items"]).alias("items"), trimmed(b["headers"]).alias("headers"), F.transform(b["rows"], trimmed).alias("rows")))
 
 
-def normalised(pages: DataFrame) -> DataFrame:
-    """Known fields only, trimmed, colours in capitals."""
+def normalised(pages: DataFrame, *more: Column) -> DataFrame:
+    """Known fields only, trimmed, colours in capitals; and what else is asked for."""
     each = lambda name, fields: F.transform(name, lambda x: _record(x, fields)).alias(name)
     nodes = F.transform_values("node_details", lambda _, n: _record(n, ["title", "summary", "explanation", "page", "color"])).alias("node_details")
     discussions = F.transform("discussions", lambda d: F.struct(trim_plain(d["title"]).alias("title"), trim_plain(d["question"]).alias("question"), _blocks(d["blocks"]).alias("blocks"), trim_plain(d["page"]).alias("page"))).alias("discussions")
     sections = F.transform(F.col("easy_read.sections"), lambda s: F.struct(trim_plain(s["title"]).alias("title"), _blocks(s["blocks"]).alias("blocks")))
     return pages.select(
         *(trim_plain(c).alias(c) for c in ("page_title", "title", "subtitle", "source_note", "mermaid")), nodes, each("statistics", ["name", "label", "meaning", "reason", "caution", "color"]),
-        each("glossary", ["term", "full_name", "explanation", "page", "color"]), discussions, F.struct(trim_plain("easy_read.intro").alias("intro"), sections.alias("sections")).alias("easy_read"),
+        each("glossary", ["term", "full_name", "explanation", "page", "color"]), discussions, F.struct(trim_plain("easy_read.intro").alias("intro"), sections.alias("sections")).alias("easy_read"), *more,
     )
 
 
@@ -70,16 +70,18 @@ def _json(name: str) -> Column:
 
 
 def render(pages: DataFrame, template: str) -> DataFrame:
-    """Pages (valid ones; others raise) with `html`. The template is a small text read once on the driver."""
+    """Pages with `html`, judged in the same pass: reading the html of an invalid page raises with the rule that it breaks.
+    The template is a small text read once on the driver."""
     missing = [t for t in TOKENS if t not in template]
     if missing:
         raise InvalidInput(f"the template lacks {missing[0]}")
-    rows = normalised(require(checked(pages)))
+    judged = checked(pages)
+    rows = normalised(judged, F.col("error"))
     html = F.lit(template)
     for token, name in TOKENS.items():
         value = html_escape(name) if name in ("page_title", "title", "subtitle", "source_note") else _json(name)
         html = F.replace(html, F.lit(token), value)
-    return rows.withColumn("html", html)
+    return rows.withColumn("html", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("invalid study page: "), "error"))).otherwise(html)).drop("error")
 
 
 def rendered_ok(html: Column) -> Column:
@@ -133,14 +135,21 @@ def discussion_cards(pages: DataFrame, key: str = "title") -> DataFrame:
     return rows.select("page", (F.col("k") + 1).alias("number"), "d.title", "d.question", blocks_html(F.col("d.blocks")).alias("html"), F.col("d.page").alias("at"))
 
 
+def _runs(tokens: Column, starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), "-"))
+
+
 def node_of_element(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """(element_id, node_id): the longest node id that stands in an element id between dashes or ends, else the element's
-    data id if it is a node. elements: (element_id, data_id); nodes: (node_id). What stands between dashes is taken apart, so
-    nodes are found by equality."""
+    data id if it is a node. elements: (element_id, data_id); nodes: (node_id). What stands between dashes is taken apart,
+    and only stretches of as many parts as some node id has are looked up, by equality: an id costs its parts times those
+    few sizes."""
+    known = nodes.select("node_id").distinct()
+    sizes = sorted(r.n for r in known.select(F.size(F.split("node_id", "-")).alias("n")).distinct().collect())
     tokens = F.split("element_id", "-")
-    n = F.size(tokens)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(tokens, i, j - i + 1), "-"))))
-    named = elements.select("element_id", F.explode(F.array_distinct(runs)).alias("node_id"), F.lit(1).alias("in_id"))
+    starts = lambda n: F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    runs = [_runs(tokens, starts(n), n) for n in sizes]
+    named = elements.select("element_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("node_id"), F.lit(1).alias("in_id"))
     named = named.unionByName(elements.filter("data_id is not null").select("element_id", F.col("data_id").alias("node_id"), F.lit(0).alias("in_id")))
-    best = named.join(nodes.select("node_id").distinct(), "node_id").groupBy("element_id").agg(F.max_by("node_id", F.struct("in_id", F.length("node_id").alias("size"), "node_id")).alias("node_id"))
+    best = named.join(known, "node_id").groupBy("element_id").agg(F.max_by("node_id", F.struct("in_id", F.length("node_id").alias("size"), "node_id")).alias("node_id"))
     return elements.select("element_id").distinct().join(best, "element_id", "left")

@@ -4,6 +4,7 @@ same rows. What is written goes to the application's shared folder and is read b
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.operators import quality, study
@@ -11,6 +12,7 @@ from glossa.plans import views as V
 from glossa.plans.corpus import query
 from glossa.session import shared_folder
 from glossa.sources import corpus_json, sinks
+from glossa.streaming import responses
 from glossa.streaming import state as streamed
 
 # Study pages: one for every part.
@@ -36,7 +38,7 @@ def _pages(spark, d, broken=False):
     section = lambda n: F.struct(F.concat(F.lit("one "), n).alias("title"), F.array(text("subheading", F.lit("h")), table).alias("blocks"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
     glossary = F.when(k == 6, F.array(term(F.lit("Straße")), term(F.lit("STRASSE")))).otherwise(F.transform(upto(p % 2), lambda n: term(F.concat(F.lit("T"), n))))
-    return V.table(spark, d, "part").select(
+    return V.dealt(V.table(spark, d, "part")).select(
         F.when(k == 1, " ").otherwise(F.concat(F.lit(" P & "), name)).alias("page_title"), p.cast("string").alias("title"), F.lit("S").alias("subtitle"), F.lit("N").alias("source_note"),
         F.when(k == 2, "sequence\n A1[x] B2(y)").when(k == 3, "flowchart LR\n%%{init}\n A1[x] --> B2(y)").otherwise(_DIAGRAM).alias("mermaid"), F.create_map(F.lit("A1"), node, second, node).alias("node_details"),
         F.transform(upto(p % 3), statistic).alias("statistics"), glossary.alias("glossary"), F.transform(upto(F.when(k == 7, F.lit(3).cast("long")).otherwise(p % 2 + 4)), talk).alias("discussions"),
@@ -262,5 +264,68 @@ def streamed_states(spark, d):
     path = shared_folder(spark)
     running = streamed.autosave(rows, f"{path}/states", f"{path}/log", ["user_id", "k"], ["ts", "event_id"], "event_type").trigger(availableNow=True).start()
     running.awaitTermination()
-    last = max(p["batchId"] for p in running.recentProgress)
-    return spark.read.parquet(f"{path}/states/v={last}").select("user_id", "k", "event_type")
+    return streamed.saved(spark, f"{path}/states", ["user_id", "k"], ["ts", "event_id"], "event_type").select("user_id", "k", "event_type")
+
+
+@query(f"WITH {V.ACTIONS} SELECT user_id, k, max_by(event_type, (ts, event_id)) AS event_type FROM acts GROUP BY 1, 2")
+def autosaved_batches(spark, d):
+    """The action log in seven batches out of order, one of them stored twice."""
+    rows = V.actions(spark, d).select("user_id", "k", "ts", "event_id", "event_type")
+    key, order, path = ["user_id", "k"], ["ts", "event_id"], f"{shared_folder(spark)}/states"
+    save = streamed.saver(path, key, order, "event_type", fanin=2)
+    for number in range(7):
+        part = rows.filter(F.col("event_id") % 7 == (number * 3) % 7)
+        save(part, number)
+        if number == 4:
+            save(part, number)
+    return streamed.saved(spark, path, key, order, "event_type", fanin=2).select("user_id", "k", "event_type")
+
+
+#: A user is a view and events are its requests, numbered in order; each is answered after some minutes, every fifth twice.
+_RESPONSES = """WITH q AS (SELECT user_id AS view, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number, ts, event_id, event_type FROM events),
+  r AS (SELECT view, number, date_trunc('second', ts) + to_seconds((event_id * 7919) % 40000) AS "at", event_type AS body FROM q
+        UNION ALL SELECT view, number, date_trunc('second', ts) + to_seconds((event_id * 7919) % 40000 + 60), 'again' FROM q WHERE event_id % 5 = 0),
+  n AS (SELECT r.*, (SELECT max(number) FROM q WHERE q.view = r.view AND date_trunc('second', q.ts) <= r."at") AS newest FROM r)
+  SELECT view, number, CAST(epoch(min("at")) AS BIGINT) AS second, arg_min(body, ("at", body)) AS body FROM n WHERE number = newest GROUP BY 1, 2"""
+
+
+def _responses(spark, d):
+    e = V.table(spark, d, "events")
+    second = F.date_trunc("second", "ts")
+    asked = e.select(F.col("user_id").alias("view"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("number"), second.alias("sent"), "event_id", "event_type")
+    later = lambda more: F.timestamp_seconds(F.unix_timestamp("sent") + F.col("event_id") * 7919 % 40_000 + more)
+    row = lambda kind, at, body: ("view", "number", F.lit(kind).alias("kind"), at.alias("at"), body.alias("body"), "event_id")
+    rows = asked.select(*row("request", F.col("sent"), F.lit("")))
+    rows = rows.unionByName(asked.select(*row("response", later(0), F.col("event_type"))))
+    return rows.unionByName(asked.filter("event_id % 5 = 0").select(*row("response", later(60), F.lit("again"))))
+
+
+def _shown(rows):
+    return rows.select("view", "number", F.unix_timestamp("at").alias("second"), "body")
+
+
+@query(_RESPONSES)
+def shown_responses(spark, d):
+    return _shown(responses.accepted(_responses(spark, d).drop("event_id")))
+
+
+@query(_RESPONSES)
+def streamed_responses(spark, d):
+    """The same log as a stream: five files, whose rows come up to an hour late, and one that moves the watermark past all."""
+    path = shared_folder(spark)
+    rows = _responses(spark, d).withColumn("came", F.unix_timestamp("at") + F.col("event_id") % 3600)
+    ends = rows.agg(F.min("came").alias("a"), F.max("came").alias("z")).first()
+    if ends.a is None:
+        return _shown(responses.accepted(rows.select("view", "number", "kind", "at", "body")))
+    part = F.least(F.floor((F.col("came") - ends.a) * 5 / F.greatest(F.lit(ends.z - ends.a), F.lit(1))), F.lit(4))
+    dealt = rows.withColumn("part", part).select("view", "number", "kind", "at", "body", "part")
+    dealt.repartition(5, "part").write.parquet(f"{path}/dealt")
+    log = spark.read.parquet(f"{path}/dealt")
+    for k in range(5):  # files are read in the order in which they were written
+        log.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/log")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("view"), F.lit(0).cast("long").alias("number"), F.lit("request").alias("kind"), F.timestamp_seconds(F.lit(ends.z + 7 * 86_400)).alias("at"), F.lit("").alias("body"))
+    end.write.mode("append").parquet(f"{path}/log")
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    running = responses.latest_only(stream, "3600 seconds").writeStream.format("parquet").option("path", f"{path}/shown").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return _shown(spark.read.schema("view long, number long, at timestamp, body string").parquet(f"{path}/shown"))

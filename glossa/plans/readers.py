@@ -114,6 +114,20 @@ def chosen_references(spark, d):
     return V.table(spark, d, "documents").select("doc_id", L.chosen_reference(status, F.array("source", "lang")).alias("reference"))
 
 
+@query(
+    "WITH x AS (SELECT user_id, ts, event_id, CASE WHEN event_type NOT IN ('error', 'purchase') THEN event_id END AS target FROM events), "
+    "s AS (SELECT *, sum(CASE WHEN target IS NULL THEN -1 ELSE 1 END) OVER w AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "z AS (SELECT *, n - least(min(n) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS depth FROM s), "
+    "l AS (SELECT *, min(depth) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM z) "
+    "SELECT user_id, CAST(depth AS BIGINT) AS depth, target FROM l WHERE target IS NOT NULL AND coalesce(later >= depth, true)"
+)
+def back_positions(spark, d):
+    """Where each user can go back to: two of five events go back, the others lead somewhere."""
+    e = V.table(spark, d, "events")
+    visits = e.select("user_id", "ts", "event_id", F.when(~F.col("event_type").isin("error", "purchase"), F.col("event_id")).alias("target"))
+    return state.back_stack(visits, "user_id", ["ts", "event_id"], "target")
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'A1' WHEN p_partkey % 4 = 1 THEN 'A' WHEN p_partkey % 4 = 2 THEN 'B.c' END AS node FROM part")
 def element_nodes(spark, d):
     """Ids of drawn elements to nodes: the longest node id between dashes, else the data id; a node id may hold pattern signs."""
@@ -374,7 +388,7 @@ def merge_segments(spark, d):
 )
 def split_segments(spark, d):
     """Cut after twenty UTF-16 units; the first sign of every text takes two."""
-    rows = _segments(spark, d).withColumn("sourceText", F.concat(F.lit("𝄞"), "sourceText"))
+    rows = V.dealt(_segments(spark, d)).withColumn("sourceText", F.concat(F.lit("𝄞"), "sourceText"))
     got = edits.split_segments(rows, "order", F.lit(20))
     tr = F.col("translation")
     return got.select(F.col("paper_id").alias("conv_id"), F.col("order").alias("turn"), "id", F.md5("sourceText").alias("body"), "confidence", tr["plainZh"].alias("plain"), tr["status"].alias("status"), F.col("reviewStatus").alias("review"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from glossa.functions import geometry, labels, text
 from glossa.operators import edits, links, merge, quality, segments, state, study
 from glossa.sources import corpus_json, sinks
-from glossa.streaming import state as stream_state
 
 
 def one(spark, column, **values):
@@ -230,18 +229,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert md == "# Title\n\n- 來源檔案：f.pdf\n- 來源 SHA-256：`abc`\n- 匯出時間：now\n\n## Intro · 第 3、4 頁\n\n- 段落 ID：`a`\n- 書籤：是\n- 已理解：否\n\nnote\n"
 
 
-def test_stream_fold(spark, tmp_path):
-    a = spark.createDataFrame([("u", 1, 1, "x"), ("u", 2, 1, "y"), ("v", 1, 1, "z")], "user string, ts int, n int, state string")
-    b = spark.createDataFrame([("u", 1, 2, "late"), ("v", 3, 1, "w")], "user string, ts int, n int, state string")
-    for part, name in ((a, "1"), (b, "2")):
-        part.write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream_state.autosave(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["user"], ["ts", "n"], "state").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    assert {r.user: r.state for r in spark.read.parquet(str(last)).collect()} == {"u": "y", "v": "w"}
-
-
 def test_reconcile_with_repairs(spark):
     schema = "paper_id string, id string, `order` int, sourceText string, excluded boolean"
     stored = spark.createDataFrame([("p", "a", 1, "A", None), ("p", "c", 2, "C", True), ("bad", "x", 1, "edited", None)], schema)
