@@ -5,11 +5,15 @@ stored and source are segment tables with paper_id, id and order. A null field m
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossa.functions.text import is_caption_sentence
 from glossa.operators.segments import renumbered
+from glossa.session import shared_folder
 
 _DONE = ("reviewed", "published")
 
@@ -36,41 +40,72 @@ def order_repair(stored: DataFrame, source: DataFrame, previous: DataFrame) -> D
 
 def unit_repairs(stored: DataFrame, source: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Applies repairs (paper_id, position, targetId, previousSegments, absorbedIds) in list order; returns the segments
-    and (paper_id, id, status pending | protected). Repairs of a paper see each other's effects, so a paper with repairs is
-    one row, folded over them as column expressions (a paper has some hundred segments); other papers are left alone."""
-    names = stored.columns
-    same = source.select(*(F.col(c) if c in source.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in names))
-    packed = lambda df, name: df.groupBy("paper_id").agg(F.collect_list(F.struct(*names)).alias(name))
-    listed = repairs.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("position", *(c for c in repairs.columns if c not in ("paper_id", "position"))))).alias("r"))
-    busy = repairs.select("paper_id").distinct()
-    rows = packed(stored.join(busy, "paper_id", "left_semi"), "s").join(packed(same.join(busy, "paper_id", "left_semi"), "n"), "paper_id", "left").join(listed, "paper_id")
-    none, empty = F.array().cast("array<string>"), F.filter("s", lambda x: F.lit(False))
-
-    def step(acc: Column, r: Column) -> Column:
-        target = F.try_element_at(F.filter(acc["own"], lambda x: x["id"] == r["targetId"]), F.lit(1))
-        fresh = F.try_element_at(F.filter(F.coalesce("n", empty), lambda x: x["id"] == r["targetId"]), F.lit(1))
-        alike = lambda a, b, fields: F.array_min(F.array(*(a[f].eqNullSafe(b[f]) for f in fields)))
-        already = alike(target, fresh, ("sourceText", "fragments"))
-        open_ = lambda x: ~F.coalesce(x["reviewStatus"].isin(*_DONE), F.lit(False))
-        untouched = F.forall(r["previousSegments"], lambda p: F.exists(acc["own"], lambda x: (x["id"] == p["id"]) & alike(x, p, ("sourceText", "fragments", "translation")) & open_(x)))
-        untouched, absorbed = F.coalesce(untouched, F.lit(True)), F.coalesce(r["absorbedIds"], none)
-        known, blocked = target.isNotNull() & fresh.isNotNull(), ~already & ~untouched
-        mended = F.transform(
-            acc["own"],
-            lambda x: F.when((x["id"] == fresh["id"]) & untouched & ~already, fresh.withField("excluded", F.coalesce(x["excluded"], fresh["excluded"])))
-            .when(F.array_contains(absorbed, x["id"]), x.withField("mergedIntoSegmentId", fresh["id"]).withField("excluded", F.coalesce(x["excluded"], F.lit(True))))
-            .otherwise(x),
-        )
-        return F.struct(
-            F.when(known & ~blocked, mended).otherwise(acc["own"]).alias("own"), F.when(known & blocked, F.array_append(acc["pending"], r["targetId"])).otherwise(acc["pending"]).alias("pending"),
-            F.when(known & blocked, F.concat(acc["protected"], absorbed)).otherwise(acc["protected"]).alias("protected"),
-        )
-
-    start = F.struct(F.col("s").alias("own"), none.alias("pending"), none.alias("protected"))
-    done = rows.select("paper_id", F.aggregate("r", start, step).alias("a"))
-    segments = done.select(F.explode("a.own").alias("x")).select("x.*").select(*names).unionByName(stored.join(busy, "paper_id", "left_anti"))
-    mark = lambda c: F.transform(f"a.{c}", lambda i: F.struct(i.alias("id"), F.lit(c).alias("status")))
-    return segments, done.select("paper_id", F.explode(F.concat(mark("pending"), mark("protected"))).alias("m")).select("paper_id", "m.*")
+    and (paper_id, id, status pending | protected).
+
+    A repair sees the effects of earlier ones, but only through the segments that both touch. So all repairs run together
+    that no earlier one shares a segment with, then those that waited for them, and so on: as many rounds as the longest
+    chain of repairs over shared segments, each a few joins over the touched segments only. Whole papers are never gathered,
+    and segments that no repair touches pass by."""
+    spark, names, key = stored.sparkSession, stored.columns, ["paper_id", "id"]
+    fresh = source.select(*(F.col(c) if c in source.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in names))
+    none = F.array().cast("array<string>")
+    listed = repairs.select("paper_id", "position", "targetId", "previousSegments", F.coalesce("absorbedIds", none).alias("absorbedIds"))
+    of_repair = F.array_compact(F.concat(F.array("targetId"), "absorbedIds", F.coalesce(F.transform("previousSegments", lambda p: p["id"]), none)))
+    path = shared_folder(spark)
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+    left = written(listed.withColumn("__ids", F.array_distinct(of_repair)), "repairs")
+    ids = left.select("paper_id", F.explode("__ids").alias("id")).distinct()
+    own, versions, marks, k = stored.join(ids, key, "left_semi"), fresh.join(ids, key, "left_semi"), [], 0
+    while True:
+        k += 1
+        touching = left.select("paper_id", "position", F.explode("__ids").alias("id"))
+        earliest = touching.groupBy("paper_id", "id").agg(F.min("position").alias("earliest"))
+        waiting = written(touching.join(earliest, key).filter("position > earliest").select("paper_id", "position").distinct(), f"waiting-{k}")
+        last = not waiting.count()
+        if not last and k == 1:
+            own, versions = written(own, "own"), written(versions, "fresh")
+        ready = left if last else left.join(waiting, ["paper_id", "position"], "left_anti")
+        own, marked = _repaired(own, versions, ready, names)
+        if last:
+            marks.append(marked)
+            break
+        own = written(own, f"own-{k}")
+        marks.append(written(marked, f"marks-{k}"))
+        left = written(left.join(waiting, ["paper_id", "position"], "left_semi"), f"left-{k}")
+    nothing = spark.createDataFrame([], T.StructType([stored.schema["paper_id"], T.StructField("id", T.StringType()), T.StructField("status", T.StringType())]))
+    return stored.join(ids, key, "left_anti").unionByName(own), reduce(DataFrame.unionByName, marks, nothing)
+
+
+def _repaired(own: DataFrame, versions: DataFrame, repairs: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round: repairs that share no segment. The touched segments afterwards, and the marks."""
+    one = ["paper_id", "position"]
+    alike = lambda a, b, fields: F.array_min(F.array(*(F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")) for f in fields)))
+    whole = lambda rows, name: rows.select("paper_id", F.col("id").alias("targetId"), F.struct(*names).alias(name))
+    met = repairs.join(whole(own, "target"), ["paper_id", "targetId"]).join(whole(versions, "fresh"), ["paper_id", "targetId"])
+    before = repairs.select(*one, F.explode("previousSegments").alias("before"))
+    now = own.select("paper_id", F.struct(*names).alias("now"), F.col("id").alias("__id"))
+    open_ = ~F.coalesce(F.col("now.reviewStatus").isin(*_DONE), F.lit(False))
+    held = before.withColumn("__id", F.col("before.id")).join(now, ["paper_id", "__id"], "left")
+    held = held.withColumn("held", F.coalesce(F.col("now").isNotNull() & alike("now", "before", ("sourceText", "fragments", "translation")) & open_, F.lit(False)))
+    # A segment that stands several times is untouched if one of them is.
+    untouched = held.groupBy(*one, "__id", "before").agg(F.max("held").alias("held")).groupBy(*one).agg(F.min("held").alias("untouched"))
+    met = met.join(untouched, one, "left").withColumns({"untouched": F.coalesce("untouched", F.lit(True)), "already": alike("target", "fresh", ("sourceText", "fragments"))})
+    met = met.withColumn("blocked", ~F.col("already") & ~F.col("untouched"))
+    done = met.filter("not blocked")
+    put = done.filter("not already").select("paper_id", F.col("targetId").alias("id"), F.col("fresh").alias("__fresh"))
+    into = done.select("paper_id", "targetId", F.explode("absorbedIds").alias("id")).groupBy("paper_id", "id").agg(F.first("targetId").alias("__into"))
+    rows = own.join(put, ["paper_id", "id"], "left").join(into, ["paper_id", "id"], "left")
+    value = {c: F.when(F.col("__fresh").isNotNull(), F.col(f"__fresh.{c}")).otherwise(F.col(c)) for c in names}
+    absorbed = F.col("__fresh").isNull() & F.col("__into").isNotNull()
+    value["excluded"] = F.when(F.col("__fresh").isNotNull(), F.coalesce("excluded", "__fresh.excluded")).when(absorbed, F.coalesce("excluded", F.lit(True))).otherwise(F.col("excluded"))
+    value["mergedIntoSegmentId"] = F.when(absorbed, F.col("__into")).otherwise(value["mergedIntoSegmentId"])
+    mark = lambda ids, status: F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(status).alias("status")))
+    marks = met.filter("blocked").select("paper_id", F.explode(F.concat(mark(F.array("targetId"), "pending"), mark("absorbedIds", "protected"))).alias("m")).select("paper_id", "m.*")
+    return rows.select(*(value[c].alias(c) for c in names)), marks
 
 
 def field_merge(stored: DataFrame, source: DataFrame, protected: DataFrame | None = None, explained: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:

@@ -228,6 +228,15 @@ def written_texts(spark, d):
     return spark.read.text(path).select(F.col("value").alias("line"), F.lit(kept).alias("was_kept"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) || ' v2' AS line FROM documents")
+def rewritten_texts(spark, d):
+    """Texts made from those that they replace: the old version is read while the new one is written beside it."""
+    path = shared_folder(spark)
+    sinks.write_text(V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("line")), path, "line")
+    sinks.write_text(spark.read.text(path).select(F.concat("value", F.lit(" v2")).alias("line")), path, "line", force=True)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("SELECT n_nationkey AS name, '<p>' || n_name || '</p>' AS html FROM nation")
 def html_files(spark, d):
     path = shared_folder(spark)

@@ -492,6 +492,38 @@ def repaired_units(spark, d):
     return got.select(F.col("paper_id").alias("conv_id"), F.col("order").alias("turn"), F.md5("sourceText").alias("body"), F.col("mergedIntoSegmentId").alias("merged"), "excluded")
 
 
+#: Repairs of a conversation follow each other: 0 replaces turn 0 and absorbs 1; 1 asks what 0 made of turn 0, replaces turn 2
+#: and absorbs 0; 2 asks for turn 2 as it was, which 1 may have replaced, or for
+#: another text, and absorbs 3.
+_CHAIN = """WITH x AS (SELECT conv_id, turn, text, conv_id % 3 <> 0 AS u0, conv_id % 5 <> 0 AS u2 FROM conversations),
+  h AS (SELECT conv_id, bool_or(turn = 0) AS t0, bool_or(turn = 2) AS t2 FROM x GROUP BY 1),
+  r AS (SELECT h.*, conv_id % 3 <> 0 AS d0, t2 AND t0 AND conv_id % 3 <> 0 AND conv_id % 5 <> 0 AS d1, t2 AND ((t0 AND conv_id % 3 <> 0 AND conv_id % 5 <> 0) OR conv_id % 7 <> 0) AS d2 FROM h)
+  SELECT x.conv_id, x.turn, md5(CASE WHEN x.turn = 0 AND d0 THEN text || ' new' WHEN x.turn = 2 AND d2 THEN text || ' new' ELSE text END) AS body,
+    CASE WHEN x.turn = 1 AND t0 AND d0 THEN '0' WHEN x.turn = 0 AND d1 THEN '2' WHEN x.turn = 3 AND d2 THEN '2' END AS merged,
+    CASE WHEN x.turn = 1 AND t0 AND d0 THEN true WHEN x.turn = 0 AND d1 THEN true WHEN x.turn = 3 AND d2 THEN true END AS excluded FROM x JOIN r ON r.conv_id = x.conv_id"""
+
+
+@query(_CHAIN)
+def chained_repairs(spark, d):
+    t, c = F.col("turn"), F.col("conv_id")
+    seg = lambda body: (c.alias("paper_id"), t.cast("string").alias("id"), t.alias("order"), body.alias("sourceText"), F.lit("tr").alias("translation"), F.array(F.lit(1)).alias("fragments"), F.lit("needs-review").alias("reviewStatus"), F.lit(None).cast("boolean").alias("excluded"), F.lit(None).cast("string").alias("mergedIntoSegmentId"))
+    rows = V.turns(spark, d)
+    new = F.concat("text", F.lit(" new"))
+    stored, source = rows.select(*seg(F.col("text"))), rows.select(*seg(F.when(t.isin(0, 2), new).otherwise(F.col("text"))))
+    was = lambda i, body: F.struct(F.lit(i).alias("id"), body.alias("sourceText"), F.array(F.lit(1)).alias("fragments"), F.lit("tr").alias("translation"))
+    repair = lambda position, target, before, absorbed: F.struct(F.lit(position).alias("position"), F.lit(target).alias("targetId"), before.alias("previousSegments"), absorbed.alias("absorbedIds"))
+    text = rows.groupBy("conv_id").agg(F.max(F.when(t == 0, F.col("text"))).alias("t0"), F.max(F.when(t == 2, F.col("text"))).alias("t2"))
+    t0, t2 = F.coalesce("t0", F.lit("")), F.coalesce("t2", F.lit(""))
+    steps = F.array(
+        repair(0, "0", F.array(was("0", F.when(c % 3 != 0, t0).otherwise("mine"))), F.array(F.lit("1"))),
+        repair(1, "2", F.array(was("0", F.concat(t0, F.lit(" new"))), was("2", F.when(c % 5 != 0, t2).otherwise("mine"))), F.array(F.lit("0"))),
+        repair(2, "2", F.array(was("2", F.when(c % 7 != 0, t2).otherwise("mine"))), F.array(F.lit("3"))),
+    )
+    repairs = text.select(c.alias("paper_id"), F.explode(steps).alias("r")).select("paper_id", "r.*")
+    got, _ = merge.unit_repairs(stored, source, repairs)
+    return got.select(F.col("paper_id").alias("conv_id"), F.col("order").alias("turn"), F.md5("sourceText").alias("body"), F.col("mergedIntoSegmentId").alias("merged"), "excluded")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'mine ' || source ELSE source END AS title, 'published ' || lang AS citations FROM documents")
 def source_fields(spark, d):
     """Documents edited by readers keep their title, but not their citations."""

@@ -1,8 +1,16 @@
-"""Sinks: JSON, Markdown and HTML texts, and states that replace each other."""
+"""Sinks: JSON, Markdown and HTML texts, and states that replace each other.
+
+A forced write goes to a folder beside its target and takes the target's place by renaming when it is whole: until then the
+old version stands, and a write that fails leaves it as it was. A driver that dies between the two renames leaves the old
+version beside its name, where the next write, or `recovered`, puts it back.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions.text import trim_script
@@ -10,9 +18,52 @@ from glossa.operators.quality import InvalidInput, curated_document, html_name_o
 from glossa.operators.segments import pages
 
 
+_OLD, _NEW = ".replaced-", ".staged-"
+
+
+def _named(spark: SparkSession, path: str):
+    out = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return out, out.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Puts an old version back that a dead writer left beside a missing target."""
+    target, files = _named(spark, path)
+    if not files.exists(target):
+        left = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{_OLD}*"))
+        if left:
+            files.rename(left[0].getPath(), target)
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Writes beside a target and then puts the new version in its place."""
+    recovered(spark, path)
+    mark, (target, files) = uuid.uuid4().hex, _named(spark, path)
+    staged, old = (_named(spark, f"{path.rstrip('/')}{kind}{mark}")[0] for kind in (_NEW, _OLD))
+    try:
+        write(staged.toString())
+        if files.exists(target) and not files.rename(target, old):
+            raise OSError(f"{path} can't be moved away")
+        if not files.rename(staged, target):
+            raise OSError(f"{path} can't be put in its place")
+    except BaseException:
+        files.delete(staged, True)
+        recovered(spark, path)
+        raise
+    files.delete(old, True)
+
+
+def _save(rows: DataFrame, path: str, force: bool, save: Callable[[DataFrameWriter, str], None]) -> None:
+    """Spark's commit makes a first write whole; an existing target is refused unless the write is forced."""
+    if force:
+        replaced(rows.sparkSession, path, lambda to: save(rows.write.mode("errorifexists"), to))
+    else:
+        save(rows.write.mode("errorifexists"), path)
+
+
 def write_text(rows: DataFrame, path: str, col: str, force: bool = False) -> None:
-    """One text per row. Spark's commit protocol makes the write atomic; an existing target is kept unless forced."""
-    rows.select(col).write.mode("overwrite" if force else "errorifexists").option("lineSep", "\n").text(path)
+    """One text per row."""
+    _save(rows.select(col), path, force, lambda w, to: w.option("lineSep", "\n").text(to))
 
 
 def to_json(x: Column) -> Column:
@@ -24,7 +75,7 @@ def export_curated(stored: DataFrame, source: DataFrame, path: str, force: bool
     """Edited documents as `{id}-curated` folders of JSON, after validation."""
     ok = require(curated_document(stored, source))
     named = ok.withColumn("name", F.concat("id", F.lit("-curated")))
-    named.write.mode("overwrite" if force else "errorifexists").option("ignoreNullFields", "false").partitionBy("name").json(path)
+    _save(named, path, force, lambda w, to: w.option("ignoreNullFields", "false").partitionBy("name").json(to))
 
 
 def imported_curated(store: DataFrame, incoming: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,18 +87,13 @@ def imported_curated(store: DataFrame, incoming: DataFrame, source: DataFrame) -
 
 
 def export_states(states: DataFrame, path: str, force: bool = False) -> None:
-    states.write.mode("overwrite" if force else "errorifexists").option("ignoreNullFields", "false").json(path)
+    _save(states, path, force, lambda w, to: w.option("ignoreNullFields", "false").json(to))
 
 
 def persist(states: DataFrame, path: str) -> None:
     """States by paper, stamped; the papers written replace their old ones, others stay."""
-    spark = states.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        states.withColumn("updatedAt", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).write.mode("overwrite").partitionBy("paper_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    stamped = states.withColumn("updatedAt", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("paper_id").parquet(path)
 
 
 def without(stored: DataFrame, ids: DataFrame) -> DataFrame:
@@ -79,4 +125,4 @@ def write_html(rows: DataFrame, path: str, force: bool = False) -> None:
     """(name, html) rows as text folders; every name must end in .html or .htm."""
     if rows.filter(~html_name_ok(F.col("name"))).limit(1).count():
         raise InvalidInput("output names must end in .html or .htm")
-    rows.select("name", F.col("html").alias("value")).write.mode("overwrite" if force else "errorifexists").partitionBy("name").text(path)
+    _save(rows.select("name", F.col("html").alias("value")), path, force, lambda w, to: w.partitionBy("name").text(to))

@@ -272,12 +272,6 @@ def test_slug_of_whole_texts(spark, tmp_path):
     assert want[0] == "The-end-標題-of-7" and {r.doc_id: r.slug for r in corpus.slug(spark, str(tmp_path)).collect()} == want
 
 
-def test_back_stack(spark):
-    visits = [("r", 1, "a"), ("r", 2, "b"), ("r", 3, None), ("r", 4, "c"), ("s", 1, None), ("s", 2, "x"), ("t", 1, "y"), ("t", 2, None), ("t", 3, None)]
-    got = state.back_stack(spark.createDataFrame(visits, "reader string, n int, target string"), "reader", ["n"], "target")
-    assert {r.reader: r.stack for r in got.collect()} == {"r": ["a", "c"], "s": ["x"], "t": []}
-
-
 def test_free_names_skip_taken_numbers(spark):
     taken = spark.createDataFrame([("p", x) for x in ("a", "a-2", "a-02", "b-2", "c", "c-2", "c-3", "d-2", "d-2-2")], "paper_id string, id string")
     wanted = spark.createDataFrame([("p", x) for x in ("a", "b", "c", "d-2", "e")], "paper_id string, base string")
