@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossa.functions import geometry, labels, text
-from glossa.operators import edits, merge, reports, state
+from glossa.operators import edits, merge, quality, reports, state, views
 from glossa.operators import links as L
 from glossa.operators import segments as S
 from glossa.plans import views as V
@@ -533,3 +533,90 @@ def source_fields(spark, d):
     segs = docs.select(F.col("doc_id").alias("paper_id"), F.lit("1").alias("id"), F.lit(1).alias("order"), F.lit("t").alias("sourceText"))
     got, own = merge.reconcile_documents(stored, source, segs.filter("paper_id % 3 = 0"), segs)
     return got.join(own.select("paper_id").distinct(), "paper_id", "left_semi").select(F.col("paper_id").alias("doc_id"), "title", "citations")
+
+
+# Views. A user is the reader of the paper of the same number; what he did last with a segment corrects its link.
+
+_LINKED = """links AS (SELECT paper_id, id, 'e' || paper_id AS exhibit, CASE WHEN ord % 8 = 2 THEN 'high' ELSE 'candidate' END AS confidence FROM segs
+    WHERE ord % 2 = 0 AND ord % 5 <> 0 AND paper_id % 3 = 0),
+  x AS (SELECT doc_id AS paper_id, 'e' || doc_id AS exhibit FROM documents WHERE doc_id % 3 = 0 AND len(string_split(text, chr(10))) >= 3)"""
+_DONE = """done AS (SELECT user_id AS paper_id, user_id || '-' || (k + 1) AS id, bool_or(event_type = 'view') AS seen, bool_or(event_type = 'signup') AS bookmarked,
+    arg_max(event_id, (ts, event_id)) FILTER (event_type = 'purchase') AS note, arg_max(event_type, (ts, event_id)) FILTER (event_type IN ('click', 'error')) AS act FROM acts GROUP BY 1, 2)"""
+
+
+def _view_parts(spark, d):
+    docs = V.labelled(spark, d)
+    segs = V.segments(spark, d, docs)
+    o = F.col("order")
+    links = segs.filter((o % 2 == 0) & (F.col("paper_id") % 3 == 0)).select(
+        "paper_id", F.col("id").alias("segmentId"), F.concat(F.lit("e"), "paper_id").alias("exhibitId"), F.lit("semantic").alias("method"), F.when(o % 8 == 2, "high").otherwise("candidate").alias("confidence"),
+        F.lit("").alias("relationshipZh"), F.when(o % 5 == 0, "gone").otherwise(F.col("sourceText")).alias("evidenceQuote"),
+    )
+    exhibits = V.exhibits(spark, d, docs).withColumn("label", F.concat(F.lit("Figure "), "paper_id"))
+    return docs, segs.withColumn("mergedIntoSegmentId", F.when(o % 9 == 8, F.concat("paper_id", F.lit("-"), o - 1))), links, exhibits
+
+
+@query(
+    f"WITH {V.VISIBLE}, {V.ACTIONS}, {_DONE}, {_LINKED}, "
+    "c AS (SELECT paper_id, id, act, 1 AS own, CAST(split_part(id, '-', 2) AS BIGINT) AS n FROM done WHERE act IS NOT NULL UNION ALL SELECT paper_id, paper_id || '-' || (CAST(split_part(id, '-', 2) AS BIGINT) - 1), act, 0, CAST(split_part(id, '-', 2) AS BIGINT) FROM done WHERE act IS NOT NULL AND CAST(split_part(id, '-', 2) AS BIGINT) % 9 = 8 AND (paper_id, id) IN (SELECT (paper_id, id) FROM segs)), "
+    "e AS (SELECT paper_id, id, arg_max(act, (own, n)) AS act FROM c WHERE own = 0 OR (paper_id, id) IN (SELECT (paper_id, id) FROM segs) GROUP BY 1, 2), "
+    "a AS (SELECT s.paper_id, s.id, l.confidence, e.act, CASE WHEN coalesce(e.act, '') = 'error' THEN NULL WHEN l.confidence = 'high' OR e.act = 'click' THEN 'accepted' WHEN l.confidence = 'candidate' AND e.act IS NULL THEN 'candidate' END AS status, x.exhibit "
+    "FROM segs s LEFT JOIN links l ON l.paper_id = s.paper_id AND l.id = s.id LEFT JOIN e ON e.paper_id = s.paper_id AND e.id = s.id LEFT JOIN x ON x.paper_id = s.paper_id WHERE l.id IS NOT NULL OR (e.act = 'click' AND x.exhibit IS NOT NULL)), "
+    "t AS (SELECT paper_id, id, exhibit IS NOT NULL AND coalesce(status = 'accepted', false) AS accepted, coalesce(status = 'candidate', false) AS candidate FROM a), "
+    "v AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY paper_id) AS total, coalesce(lag(id) OVER w, id) AS previous, coalesce(lead(id) OVER w, id) AS next FROM vis WINDOW w AS (PARTITION BY paper_id ORDER BY ord)) "
+    "SELECT v.paper_id, v.id, CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS place, total, previous, next, kind, md5(\"sourceText\") AS body, CAST(coalesce(accepted, false) AS BIGINT) AS accepted, CAST(coalesce(candidate, false) AS BIGINT) AS candidates, "
+    "CASE WHEN accepted THEN 'Figure ' || v.paper_id ELSE '' END AS labels, coalesce(seen, false) AS seen, coalesce(bookmarked, false) AS bookmarked, note FROM v LEFT JOIN t ON t.paper_id = v.paper_id AND t.id = v.id LEFT JOIN done ON done.paper_id = v.paper_id AND done.id = v.id"
+)
+def reader_view(spark, d):
+    docs, segs, links, exhibits = _view_parts(spark, d)
+    kind = F.col("event_type")
+    at = F.struct("ts", "event_id")
+    corrected = F.max_by(F.when(kind == "click", "include").otherwise("exclude"), F.when(kind.isin("click", "error"), at))
+    done = V.actions(spark, d).groupBy(F.col("user_id").alias("paper_id"), F.concat("user_id", F.lit("-"), F.col("k") + 1).alias("id")).agg(
+        (F.count_if(kind == "view") > 0).alias("seen"), (F.count_if(kind == "signup") > 0).alias("bookmarked"), F.max_by("event_id", F.when(kind == "purchase", at)).alias("note"),
+        F.when(F.count_if(kind.isin("click", "error")) > 0, corrected).alias("act"), F.count_if(kind == "purchase").alias("noted"),
+    )
+    marks = done.select("paper_id", "id", "seen", "bookmarked", F.when(F.col("noted") > 0, F.col("note")).alias("note"), F.when(F.col("act").isNotNull(), F.create_map(F.concat(F.lit("e"), "paper_id"), F.col("act"))).alias("corrections"))
+    got = views.reader_view(segs, V.papers(spark, d, docs), exhibits, links, marks)
+    return got.withColumn("labels", F.array_join("labels", ",")).withColumn("body", F.md5("sourceText")).drop("sourceText")
+
+
+@query(
+    f"WITH {V.SEGMENTS}, {_LINKED}, p AS (SELECT paper_id, count(*) FILTER (NOT coalesce(excluded, false)) AS included, count(*) FILTER (coalesce(excluded, false)) AS excluded_count, count(*) FILTER (NOT coalesce(excluded, false) AND review = 'reviewed') AS reviewed FROM segs GROUP BY 1) "
+    "SELECT s.paper_id, s.id, s.ord, s.kind, coalesce(s.excluded, false) AS excluded, s.review, s.translation, md5(CASE WHEN s.ord % 4 = 3 THEN s.\"sourceText\" || '!' ELSE s.\"sourceText\" END) AS body, s.ord % 4 = 3 AS edited, "
+    "CAST(m.id IS NOT NULL AND m.kind <> 'heading' AND m.ord % 9 = 8 AS BIGINT) AS absorbed, CAST(coalesce(l.confidence = 'high', false) AND x.exhibit IS NOT NULL AS BIGINT) AS accepted, CAST(coalesce(l.confidence = 'candidate', false) AS BIGINT) AS candidates, included, excluded_count, reviewed "
+    "FROM segs s JOIN p ON p.paper_id = s.paper_id LEFT JOIN segs m ON m.paper_id = s.paper_id AND m.ord = s.ord + 1 LEFT JOIN links l ON l.paper_id = s.paper_id AND l.id = s.id LEFT JOIN x ON x.paper_id = s.paper_id"
+)
+def editor_view(spark, d):
+    _, segs, links, exhibits = _view_parts(spark, d)
+    changed = segs.filter(F.col("order") % 4 == 3).select("paper_id", "id", F.concat("sourceText", F.lit("!")).alias("sourceText"))
+    got = views.editor_view(segs, links, exhibits, changed)
+    return got.withColumn("body", F.md5("sourceText")).drop("sourceText").withColumnsRenamed({"order": "ord", "reviewStatus": "review", "translationStatus": "translation"})
+
+
+@query(
+    "SELECT doc_id AS id, CASE doc_id % 11 WHEN 1 THEN 'identity' WHEN 2 THEN 'segments' WHEN 3 THEN 'segments.included' WHEN 4 THEN 'segment.id' WHEN 5 THEN 'segment.id' WHEN 6 THEN 'segment.text' WHEN 7 THEN 'segment.fragments' "
+    "WHEN 8 THEN 'segment.translation' WHEN 9 THEN 'segment.reviewed' WHEN 10 THEN 'segment.fragments' END AS error FROM documents"
+)
+def dq_segments(spark, d):
+    """Documents of two segments, ten of eleven of which break a rule: wrong hash, no segments, all excluded, an id twice,
+    a blank id, a blank text, a box beyond its page, an unknown state, reviewed without a text, no boxes."""
+    k = F.col("doc_id") % 11
+    box = F.struct(F.lit(1).alias("page"), F.array(F.lit(0.0), F.lit(0.0), F.when(k == 7, 2.0).otherwise(1.0), F.lit(1.0)).alias("bbox"), F.array(F.lit(1.0), F.lit(1.0)).alias("pageSize"))
+    tr = F.struct(F.when(k == 8, "done").when((k == 9) | (k == 0), "reviewed").otherwise("ai-draft").alias("status"), F.lit("f").alias("faithfulZh"), F.when(k == 9, " \n").otherwise("p").alias("plainZh"))
+    seg = lambda i, body: F.struct(i.alias("id"), F.lit(1).cast("long").alias("order"), body.alias("sourceText"), (k == 3).alias("excluded"), F.when(k != 10, F.array(box)).alias("fragments"), tr.alias("translation"))
+    both = F.array(seg(F.lit("a"), F.lit("one")), seg(F.when(k == 4, "a").when(k == 5, " ").otherwise("b"), F.when(k == 6, "　").otherwise("two")))
+    docs = V.table(spark, d, "documents")
+    stored = docs.select(F.col("doc_id").alias("id"), F.when(k == 2, F.filter(both, lambda s: F.lit(False))).otherwise(both).alias("segments"), F.lit("1").alias("schemaVersion"), F.when(k == 1, "other").otherwise("sha").alias("sourceSha256"))
+    source = docs.select(F.col("doc_id").alias("id"), F.lit("1").alias("schemaVersion"), F.lit("sha").alias("sourceSha256"), F.lit(1).alias("pageCount"))
+    return quality.curated_document(stored, source).select("id", "error")
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 2 = 0) + CAST(count(*) FILTER (turn % 2 = 0 AND turn = 1) = 0 AS BIGINT) AS entries, coalesce(max(CASE WHEN turn = 0 THEN md5(text) END), '') AS first_note, 'kept' AS put_note FROM conversations GROUP BY 1")
+def put_notes(spark, d):
+    """Notes of even turns; then one is put where there is none, and one over another."""
+    entry = F.struct(F.col("turn").cast("string"), F.md5("text"))
+    notes = V.turns(spark, d).groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("turn") % 2 == 0, entry))).alias("notes"))
+    put = state.put(state.put(F.col("notes"), F.lit("1"), F.lit("draft")), F.lit("1"), F.lit("kept"))
+    rows = notes.withColumn("notes", put)
+    return rows.select("conv_id", F.size("notes").cast("long").alias("entries"), F.coalesce(F.try_element_at("notes", F.lit("0")), F.lit("")).alias("first_note"), F.try_element_at("notes", F.lit("1")).alias("put_note"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,15 +18,28 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels, written once for views that need them several times."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").withColumn("is_labelled", F.lit(True)), "doc_id", "left")
+    path = shared_folder(spark)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def papers(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    if docs is not None:
+        return docs.select(F.col("doc_id").alias("paper_id"), F.coalesce("is_labelled", F.lit(False)).alias("has_quality"), (F.col("doc_id") % 2 == 0).alias("has_companion"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("has_quality"))
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("paper_id"), F.coalesce("has_quality", F.lit(False)).alias("has_quality"), (F.col("doc_id") % 2 == 0).alias("has_companion"))
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "sourceText")).join(labels, "doc_id", "left")
+def segments(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    lines = F.posexplode(F.split("text", "\n")).alias("pos", "sourceText")
+    if docs is not None:
+        rows = docs.select("doc_id", "lang", "quality", "toxic", lines)
+    else:
+        rows = table(spark, sf_dir, "documents").select("doc_id", "lang", lines).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     order = (F.col("pos") + 1).cast("long")
     return rows.select(
         F.col("doc_id").alias("paper_id"), F.concat("doc_id", F.lit("-"), order.cast("string")).alias("id"), order.alias("order"), "sourceText", "lang",
@@ -34,8 +49,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter((F.col("doc_id") % 3 == 0) & (F.size(F.split("text", "\n")) >= 3))
+def exhibits(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = (table(spark, sf_dir, "documents") if docs is None else docs).filter((F.col("doc_id") % 3 == 0) & (F.size(F.split("text", "\n")) >= 3))
     return docs.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("e"), "doc_id").alias("id"), F.concat("doc_id", F.lit("-3")).alias("captionSegmentId"), F.lit(0).alias("position"))
 
 
