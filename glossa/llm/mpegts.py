@@ -123,6 +123,13 @@ def _section(packet: np.ndarray, table: int) -> bytes:
     return body[:size]
 
 
+def _same(packets: np.ndarray) -> np.ndarray:
+    """One of a stream's packets of a program table; all of them say the same, so that the checksum of one holds for all."""
+    if (packets[:, 4:] != packets[0, 4:]).any():
+        raise BrokenStream("program tables differ")
+    return packets[0]
+
+
 def demux(stream: bytes) -> tuple[bytes, dict]:
     """The payload and what the stream says about it: stamps, random-access points (packet numbers) and counts."""
     if not stream or len(stream) % PACKET:
@@ -134,11 +141,11 @@ def demux(stream: bytes) -> tuple[bytes, dict]:
     pats = np.flatnonzero(pid == PAT_PID)
     if not len(pats):
         raise BrokenStream("no program table")
-    pmt_pid = struct.unpack(">H", _section(a[pats[0]], 0)[10:12])[0] & 0x1FFF
+    pmt_pid = struct.unpack(">H", _section(_same(a[pats]), 0)[10:12])[0] & 0x1FFF
     pmts = np.flatnonzero(pid == pmt_pid)
     if not len(pmts):
         raise BrokenStream("no program map")
-    pmt = _section(a[pmts[0]], 2)
+    pmt = _section(_same(a[pmts]), 2)
     kind, es_pid = pmt[12], struct.unpack(">H", pmt[13:15])[0] & 0x1FFF
     own = np.flatnonzero(pid == es_pid)
     for at in (pats, pmts, own):

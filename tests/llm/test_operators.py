@@ -361,6 +361,20 @@ def test_damaged_streams_are_rows(spark):
     assert all(got[k].payload_sha256 is None and got[k].feature.startswith("damaged") for k in (2, 3, 4, 5, 6))
 
 
+def test_every_program_table_is_checked():
+    payload = mpegts.padded(b"long text " * 12_000)
+    good = mpegts.mux(payload)
+    assert mpegts.demux(good)[0] == payload
+    tables = [k for k in range(0, len(good), 188) if good[k + 1] & 0x1F == 0 and good[k + 2] == 0]
+    assert len(tables) > 2
+    for at in tables[1:]:
+        for packet in (at, at + 188):  # the association table and the map after it
+            broken = bytearray(good)
+            broken[packet + 12] ^= 1
+            with pytest.raises(mpegts.BrokenStream):
+                mpegts.demux(bytes(broken))
+
+
 def test_seekable_format():
     import zstandard
 
