@@ -45,7 +45,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     is a count for each language and at most SAMPLE_DOCS pieces of PIECE_BYTES characters for each of HELD_LANGS languages,
     or as many shared by all languages (one for each at least)."""
     usable = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(lang_col).cast("string") != UND))
-    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col).cast("string"), 1, PIECE_BYTES).alias("piece"))
+    text, name = F.col(text_col).cast("string"), F.col(id_col).cast("string")
+    # A piece may start anywhere in its text, by a hash of the id.
+    start = F.pmod(F.xxhash64(name, F.lit("start")), F.greatest(F.length(text) - PIECE_BYTES, F.lit(0)) + 1) + 1
+    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(name).alias("h"), F.substring(text, start.cast("int"), F.lit(PIECE_BYTES)).alias("piece"))
     counted = rows.groupBy("lang").count().collect()
     if not counted:
         return {}

@@ -19,6 +19,20 @@ def test_every_language_is_learned(spark):
     assert langid.keep_identified(docs, model).count() == len(rows)
 
 
+def test_learning_reads_whole_texts(spark):
+    """Texts begin alike in all languages; only what comes after the first thousands of characters tells them apart."""
+    rng, rows = random.Random(9), []
+    alike = " ".join("".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(400))
+    words = {lang: ["".join(rng.choice("lmnopqrstuvw") for _ in range(6)) for _ in range(50)] for lang in ("xx", "yy")}
+    for k in range(60):
+        lang = ("xx", "yy")[k % 2]
+        rows.append((k, alike + " " + " ".join(rng.choice(words[lang]) for _ in range(900)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs.filter("doc_id < 40"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_plain_compression(spark):
     """Predictions equal those of one compressor per language, used text by text."""
     import zstandard
