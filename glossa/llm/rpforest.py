@@ -150,26 +150,37 @@ class Block:
         keep = np.zeros(len(ids), bool)
         keep[by[np.arange(len(by)) - first <= k]] = True
         self.forest, self.ids, self.x, self.k = forest, ids[keep], x[keep], k
-        self.leaf = forest.place(self.x)
+        # For each leaf of all trees its rows, one after the other.
+        leaf = forest.place(self.x).ravel()
+        entries = np.argsort(leaf, kind="stable")
+        self.rows = (entries // forest.trees).astype(np.int32)
+        self.starts = np.searchsorted(leaf[entries], np.arange(forest.trees * forest.leaves + 1))
+        self.met, self.turn, self.slot = np.zeros(len(self.ids), np.int64), 0, np.zeros(len(self.ids), np.int64)
+
+    def fresh(self, leaves: np.ndarray) -> np.ndarray:
+        """The rows of these leaves, each once, that this query hasn't met; they count as met then."""
+        n = self.starts[leaves + 1] - self.starts[leaves]
+        at = np.repeat(self.starts[leaves] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows = self.rows[at]
+        rows = rows[self.met[rows] != self.turn]
+        self.slot[rows] = np.arange(len(rows))
+        rows = rows[self.slot[rows] == np.arange(len(rows))]
+        self.met[rows] = self.turn
+        return rows
 
     def nearest(self, query: int, q: np.ndarray, leaves: np.ndarray, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and distances of the nearest rows among those in the leaves, and how many were compared."""
         f, ranked = self.forest, 0
         best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
-        taken = np.zeros(f.trees * f.leaves, bool)
+        self.turn += 1
         for part in (slice(0, f.trees), slice(f.trees, None)):
             own = leaves[part]
             if part.start and len(best_d) == self.k:
                 own = own[missed[part] <= best_d[-1] * (1 + 1e-9)]
             if not len(own):
                 continue
-            fresh = np.zeros(len(taken), bool)
-            fresh[own] = True
-            hit = fresh[self.leaf].any(axis=1)
-            if part.start:
-                hit &= ~seen  # noqa: F821
-            seen = hit if not part.start else seen | hit  # noqa: F821
-            at = np.flatnonzero(hit & (self.ids != query))
+            at = self.fresh(own)
+            at = at[self.ids[at] != query]
             ranked += len(at)
             d = np.concatenate((best_d, np.sqrt(((self.x[at] - q) ** 2).sum(axis=1))))
             i = np.concatenate((best_i, self.ids[at]))
