@@ -52,3 +52,32 @@ def test_recall_of_edited_copies(spark):
     want = {k for k in range(0, 240, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(want) > 20 and {k for k in range(0, 240, 2) if got[k] == got[k + 1]} == want
+
+
+def test_work_on_a_large_group_is_linear(spark):
+    """A group of 100,000 linked nodes meets the few others of its component, and not itself."""
+    from pyspark.sql import functions as F
+
+    large = spark.range(100_000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("group"))
+    others = spark.range(5).select((F.col("id") + 200_000).alias("node"), F.lit(0).cast("long").alias("root"), (F.col("id") + 200_000).alias("group"))
+    done = spark.range(50_000).select((F.col("id") + 300_000).alias("node"), F.lit(300_000).cast("long").alias("root"), F.lit(300_000).cast("long").alias("group"))
+    dealt = neardup._pieces(large.unionByName(others).unionByName(done), 4)
+    sizes = {r.task: (r.rows, r.large) for r in dealt.groupBy("task").agg(F.count("*").alias("rows"), F.count_if(F.col("group") == 0).alias("large")).collect()}
+    assert sum(n for n, _ in sizes.values()) <= 100_000 + 5 * 300 and max(n for n, _ in sizes.values()) < 1_000
+    assert len(sizes) <= 100_000 // neardup.PIECE + 2
+    names = dealt.groupBy("name").agg(F.count("*").alias("n")).groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in names}[1] == 100_000  # each of the large group meets the others once
+
+
+def test_groups_that_links_join_late(spark):
+    """Chains of texts whose ends differ too much: candidates tie families together that only some members link."""
+    rng, texts = random.Random(12), []
+    for _ in range(3):
+        own = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        for step in range(60):
+            texts.append(" ".join(own))
+            own = list(own)
+            own[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
+    want = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(want))
