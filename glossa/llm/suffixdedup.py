@@ -4,8 +4,9 @@ Equal strings have to meet although no machine can hold all suffixes. Each LENGT
 hash of its GRAM-byte grams, which depends on the window's bytes alone, so equal windows share a key; consecutive windows
 that take their key from one gram form a run, and a run's bytes are a short string. Keys that occur once in the whole corpus can hold no
 repeated window, and those runs are never moved. All other strings, with every place where they stand, are dealt to shards
-by key, and nothing but the shards' suffix arrays decides what goes. A shard takes its strings in parts of whole keys (equal
-strings stand in the array once, with all their places), and
+by key. In a shard, strings that are equal as a whole are told first, by a digest and then their bytes, and stand once for
+all their places: all but the earliest place goes. What different strings share is told by suffix arrays. A shard takes its
+distinct strings in parts of whole keys, and
 
 * builds the suffix array of a part by Larsson-Sadakane refinement (prefix doubling, sorting only groups that are
   still tied, vectorised in numpy) as far as windows reach,
