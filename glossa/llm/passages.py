@@ -377,13 +377,12 @@ def stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int] | No
     j = at[k[i]]
     if len(i) < ENOUGH or len(a) < SPAN or len(b) < SPAN:
         return None
-    n = np.arange(len(i))
-    wide = [np.maximum(p[None, :] - p[:, None] + 1, SPAN) for p in (i, j)]
+    n, i, j = (x.astype(np.int16) for x in (np.arange(len(i)), i, j))  # texts have 2 * REACH + 1 shingles at most
+    wide = [np.maximum(p[None, :] - p[:, None] + np.int16(1), np.int16(SPAN)) for p in (i, j)]
     score = 9 * (n[None, :] - n[:, None] + 1) - 4 * wide[0] - 4 * wide[1]
     good = (score >= 0) & (n[None, :] >= n[:, None]) & (j[None, :] >= j[:, None])
-    for p, q in zip(*np.unravel_index(np.argsort(np.where(good, -wide[0], 1), axis=None, kind="stable")[:8], good.shape), strict=True):
-        if not good[p, q]:
-            break
+    found = np.flatnonzero(good)
+    for p, q in zip(*np.unravel_index(found[np.argsort(-wide[0].ravel()[found], kind="stable")[:8]], good.shape), strict=True):
         bounds = []
         for x, text in ((i, a), (j, b)):
             start, end = int(x[p]), int(x[q]) + 1
@@ -556,13 +555,27 @@ class Classes:
                 sure[k] = True
                 u, v = int(self.back[a[k]]), int(self.back[b[k]])
                 put(np.array([k]), *(np.array([z]) for z in (i.min() - u, i.max() + SPAN - u, j.min() - v, j.max() + SPAN - v, n.max())))
-        # Longer passages of different lengths.
-        for k in (np.flatnonzero(~sure) if not extents else np.arange(len(a))).tolist():
+        # Longer passages of different lengths, which share ENOUGH different shingles.
+        k = np.flatnonzero(~sure) if not extents else np.arange(len(a))
+        for k in np.concatenate([np.zeros(0, np.int64), *(p[self._shared(a[p], b[p]) >= ENOUGH] for p in (k[n : n + 256] for n in range(0, len(k), 256)))]).tolist():
             if got := stretch(self.text(a[k]), self.text(b[k])):
                 u, v = int(self.left[a[k]]), int(self.left[b[k]])
                 put(np.array([k]), *(np.array([z]) for z in (got[0] - u, got[1] - u, got[2] - v, got[3] - v, got[4])))
         return tuple(np.concatenate(out).T)
 
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many different shingles the texts of each pair have in common."""
+        name = []
+        for side, k in enumerate((a, b)):
+            row = np.repeat(np.arange(len(k)), self.length[k])
+            at = np.repeat(self.begin[k] - (np.cumsum(self.length[k]) - self.length[k]), self.length[k]) + np.arange(len(row))
+            name.append((row.astype(np.uint64) << np.uint64(32) | self.flat[at].astype(np.uint64)) << np.uint64(1) | np.uint64(side))
+        name = np.concatenate(name)
+        name.sort()
+        name = name[np.append(True, name[1:] != name[:-1])] if len(name) else name
+        both = np.flatnonzero(name[1:] >> np.uint64(1) == name[:-1] >> np.uint64(1))
+        return np.bincount((name[both] >> np.uint64(33)).astype(np.int64), minlength=len(a))
+
     def _dense(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each text has SPAN or more shingles in a row of which the other has 80 % somewhere; no two passages can share
         80 % otherwise (for texts without repetition). Counting one for a shared shingle and minus four for another, the sum isn't negative."""
