@@ -24,8 +24,9 @@ from glossa.llm import common
 from glossa.llm.components import components
 
 RADIUS, WORDS, SEED = 3, 3, 42
-#: Fingerprints a shard should hold, where a shard's own tree stops, and the bound of the sample that places the shards.
-SHARD, LEAF, SAMPLE = 8192, 96, 4096
+#: Fingerprints a shard should hold, where a shard's own tree stops, and the sample that places the shards: so many for each
+#: shard, but no fewer and no more (2 MB) in all.
+SHARD, LEAF, EACH, SAMPLE, MOST = 8192, 96, 16, 4096, 1 << 18
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -188,7 +189,7 @@ def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     depth = max(0, int(np.ceil(np.log2(max(count, 1) / SHARD))))
     tree: list = []
     if depth:
-        part = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(8)) == 0).orderBy(F.xxhash64("fp")).select("fp").limit(SAMPLE).collect()
+        part = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(8)) == 0).orderBy(F.xxhash64("fp")).select("fp").limit(min(MOST, max(SAMPLE, EACH << depth))).collect()
         tree = build(np.array([r.fp for r in part], np.int64).view(np.uint64), depth)
 
     def run(batches):
