@@ -53,7 +53,16 @@ def checkpointed(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._glossa_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `checkpointed` wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._glossa_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stable(df: DataFrame) -> DataFrame:
