@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,17 +72,24 @@ def hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """The smallest or largest of every `width` in a row, put together from halves."""
+    done = 1
+    while 2 * done <= width:
+        values = pick(values[:-done], values[done:])
+        done *= 2
+    return pick(values[: len(values) - (width - done)], values[width - done :]) if done < width else values
+
+
 def shown(keys: np.ndarray, window: int) -> np.ndarray:
     """Places whose hash is the smallest of some whole window."""
     if window == 1:
         return np.arange(len(keys))
     if len(keys) < window:
         return np.empty(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(keys, window).min(axis=1)
     # Of the windows over a place the one with the largest minimum tells.
-    most = np.zeros(len(keys), np.uint64)
-    for k in range(window):
-        np.maximum(most[k : k + len(least)], least, out=most[k : k + len(least)])
+    edge = np.zeros(window - 1, np.uint64)
+    most = _extreme(np.concatenate((edge, _extreme(keys, window, np.minimum), edge)), window, np.maximum)
     return np.flatnonzero(most == keys)
 
 
@@ -138,46 +146,62 @@ def passing(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
     return left
 
 
-def looked_at(text: bytes, kinds: list[int], held: np.ndarray):
-    """(class, key, place) of the grams that the filter lets through."""
+def looked_at(texts: list[bytes], kinds: list[int], held: np.ndarray):
+    """Arrays (text, key, place) for each class: the grams of these texts that the filter lets through. Texts are hashed one
+    after the other as one buffer; grams over an end are left out."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     shapes: dict[tuple[int, int], list[int]] = {}
     for kind in kinds:
         shapes.setdefault(shape_of(kind)[:2], []).append(kind)
     for (gram, window), of in shapes.items():
         if not gram:
-            yield 0, int(salted(np.zeros(1, np.uint64), 0).view(np.int64)[0]), 0
+            yield 0, np.arange(len(texts)), np.full(len(texts), salted(np.zeros(1, np.uint64), 0).view(np.int64)[0]), np.zeros(len(texts), np.int64)
             continue
         reach = gram + window - 1
-        for at in range(0, max(1, len(text) - reach + 1), PIECE):
-            keys = hashes(np.frombuffer(text, np.uint8, min(PIECE + 2 * reach, len(text) - at), at), gram)
+        for start in range(0, max(1, len(data) - gram + 1), PIECE):
+            keys = hashes(data[start : start + PIECE + 2 * reach], gram)
+            # Windows over an end show grams that a text needn't show, and hide none.
             places = shown(keys, window)
-            keys = keys[places]
+            keys, places = keys[places], places + start
             for kind in of:
                 own = salted(keys, kind)
-                for k in passing(own, held):
-                    yield kind, int(own[k].view(np.int64)), at + int(places[k])
+                k = passing(own, held)
+                text = np.searchsorted(ends, places[k], side="right")
+                k, text = (x[places[k] + gram <= ends[np.minimum(text, len(ends) - 1)]] for x in (k, text))
+                yield kind, text, own[k].view(np.int64), places[k] - np.append(0, ends)[text]
 
 
-def _stretches(id_type, kinds: list[int], held):
+def _texts(batches):
+    """(ids, places of the texts that aren't null, those texts) in parts of bounded size."""
+    for batch in batches:
+        first, sizes = 0, pc.binary_length(batch.column(1)).to_pylist()
+        while first < batch.num_rows:
+            size, stop = 0, first
+            while stop < batch.num_rows and stop - first < 2000 and (stop == first or size <= PIECE):
+                size += int(sizes[stop] or 0)
+                stop += 1
+            held = [(i, t) for i, t in enumerate(batch.column(1).slice(first, stop - first).to_pylist()) if t is not None]
+            if held:
+                at, texts = zip(*held, strict=True)
+                yield batch.column(0).slice(first, stop - first), np.array(at), list(texts)
+            first = stop
+
+
+def _stretches(kinds: list[int], held):
     """For each text the stretches around grams that the filter lets through, each once."""
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                ids, texts = batch.column(0).slice(k, 500), batch.column(1).slice(k, 500).to_pylist()
-                rows: list[tuple] = []
-                for i, text in enumerate(texts):
-                    if text is None:
-                        continue
-                    own = set()
-                    for kind, key, at in looked_at(text, kinds, held.value):
-                        reach = shape_of(kind)[2]
-                        own.add((key, text[max(0, at - reach) : at + reach]))
-                    rows += [(i, (part << 40) + n + i, key, piece) for key, piece in sorted(own)]
-                n += len(texts)
-                at, row, key, piece = zip(*rows, strict=True) if rows else ([],) * 4
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(row, pa.int64()), pa.array(key, pa.int64()), pa.array(piece, pa.binary())], ["__id", "row", "key", "piece"])
+        for ids, where, texts in _texts(batches):
+            own = set()
+            for kind, *found in looked_at(texts, kinds, held.value):
+                reach = shape_of(kind)[2]
+                own.update((t, key, texts[t][max(0, at - reach) : at + reach]) for t, key, at in zip(*(x.tolist() for x in found), strict=True))
+            at, key, piece = zip(*sorted(own), strict=True) if own else ([],) * 3
+            at = np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(where[at])), pa.array((part << 40) + n + at), pa.array(key, pa.int64()), pa.array(piece, pa.binary())], ["__id", "row", "key", "piece"])
+            n += len(texts)
 
     return run
 
@@ -186,19 +210,11 @@ def _verified(kinds: list[int], held, quotes):
     """For each text the digests of the quotes that it holds, from quotes that are all here."""
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                ids, texts = batch.column(0).slice(k, 500), batch.column(1).slice(k, 500).to_pylist()
-                rows: list[tuple] = []
-                for i, text in enumerate(texts):
-                    if text is None:
-                        continue
-                    own = set()
-                    for key in {key for _, key, _ in looked_at(text, kinds, held.value)}:
-                        own.update(digest for digest, quote in quotes.value.get(key, ()) if quote in text)
-                    rows += [(i, digest) for digest in sorted(own)]
-                at, digest = zip(*rows, strict=True) if rows else ([],) * 2
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(digest, pa.binary())], ["__id", "digest"])
+        for ids, where, texts in _texts(batches):
+            asked = {(t, key) for _, text, key, _ in looked_at(texts, kinds, held.value) for t, key in zip(text.tolist(), key.tolist(), strict=True)}
+            own = sorted({(t, digest) for t, key in asked for digest, quote in quotes.value.get(key, ()) if quote in texts[t]})
+            at, digest = zip(*own, strict=True) if own else ([],) * 2
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(where[np.array(at, np.int64)])), pa.array(digest, pa.binary())], ["__id", "digest"])
 
     return run
 
@@ -212,6 +228,9 @@ def containing(texts: DataFrame, id_col: str, text_col: str, quotes: DataFrame,
     distinct = keyed.groupBy("__digest").agg(F.first(F.col(quote_col).cast("string").cast("binary")).alias("quote")).withColumnRenamed("__digest", "digest")
     size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("bytes")).first()
     rows = texts.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores:  # an input of few splits is dealt out first
+        rows = rows.repartition(cores)
     # Written once: the filter, the classes and the exchange read it.
     path = shared_folder(spark)
     anchors(distinct).join(distinct, "digest").write.parquet(path)
@@ -224,7 +243,7 @@ def containing(texts: DataFrame, id_col: str, text_col: str, quotes: DataFrame,
             by_key.setdefault(r.key, []).append((hashlib.sha256(r.quote).digest(), bytes(r.quote)))
         met = rows.mapInArrow(_verified(kinds, held, spark.sparkContext.broadcast(by_key)), f"__id {kind_of_id}, digest binary")
     else:
-        pieces = rows.mapInArrow(_stretches(kind_of_id, kinds, held), f"__id {kind_of_id}, row long, key long, piece binary")
+        pieces = rows.mapInArrow(_stretches(kinds, held), f"__id {kind_of_id}, row long, key long, piece binary")
         met = pieces.join(found.select("digest", "key", "quote"), "key").filter(F.contains("piece", "quote")).select("__id", "row", "digest").distinct()
     out = met.select("__id", F.col("digest").alias("__digest")).join(keyed, "__digest")
     return out.select(F.col("__id").alias(id_col), *quotes.columns)

@@ -320,17 +320,17 @@ def shown_responses(spark, d):
 
 @query(_RESPONSES)
 def streamed_responses(spark, d):
-    """The same log as a stream: five files, whose rows come up to an hour late, and one that moves the watermark past all."""
+    """The same log as a stream: three files, whose rows come up to an hour late, and one that moves the watermark past all."""
     path = shared_folder(spark)
     rows = _responses(spark, d).withColumn("came", F.unix_timestamp("at") + F.col("event_id") % 3600)
     ends = rows.agg(F.min("came").alias("a"), F.max("came").alias("z")).first()
     if ends.a is None:
         return _shown(responses.accepted(rows.select("view", "number", "kind", "at", "body")))
-    part = F.least(F.floor((F.col("came") - ends.a) * 5 / F.greatest(F.lit(ends.z - ends.a), F.lit(1))), F.lit(4))
+    part = F.least(F.floor((F.col("came") - ends.a) * 3 / F.greatest(F.lit(ends.z - ends.a), F.lit(1))), F.lit(2))
     dealt = rows.withColumn("part", part).select("view", "number", "kind", "at", "body", "part")
-    dealt.repartition(5, "part").write.parquet(f"{path}/dealt")
+    dealt.repartition(3, "part").write.parquet(f"{path}/dealt")
     log = spark.read.parquet(f"{path}/dealt")
-    for k in range(5):  # files are read in the order in which they were written
+    for k in range(3):  # files are read in the order in which they were written
         log.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/log")
     end = spark.range(1).select(F.lit(-1).cast("long").alias("view"), F.lit(0).cast("long").alias("number"), F.lit("request").alias("kind"), F.timestamp_seconds(F.lit(ends.z + 7 * 86_400)).alias("at"), F.lit("").alias("body"))
     end.write.mode("append").parquet(f"{path}/log")
