@@ -13,9 +13,9 @@ distinct strings in parts of whole keys, and
 * takes common prefixes by Kasai's algorithm, in many lanes side by side,
 * reads groups of equal windows off the common prefixes and removes all but the earliest window.
 
-Keys with more than SPLIT strings are split over several shards, whatever the strings; the shards' sorted lists of distinct
-windows are then cut into merging tasks by content and merged two by two by binary search, so the earliest window of all
-shards stays.
+A chunk sends one of its equal strings. Keys with more than SPLIT strings are split over several shards by the strings'
+content; what is left in the shards is then cut into merging tasks by longer grams, and the sorted lists of distinct windows
+are merged two by two by binary search, so the earliest window of all shards stays.
 
 Decisions are judged on the input. All exchanges carry keys, candidate strings or places; the text itself is exchanged
 once, by chunk of doc_id.
@@ -48,6 +48,10 @@ SPLIT = 256
 PART = 1 << 20
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
+#: Windows of split keys meet by grams of so many bytes.
+LONG = 92
+#: Bytes of input that are packed by chunk at once.
+HELD = 32 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -119,6 +123,39 @@ def runs(texts: list[bytes]):
             yield first + d, s - (ends[d] - sizes[d]), n, key[s]
 
 
+def _chunked(batches):
+    """Rows packed by chunk, so much input at a time; a packed table takes far less of an exchange than its rows."""
+    held, size = [], 0
+
+    def packed():
+        table = pa.Table.from_batches(held).combine_chunks()
+        rest, tool = table.drop_columns(["chunk"]), zstandard.ZstdCompressor(level=1)
+        chunks, data = [], []
+        for chunk, part in _split(table.column("chunk").to_numpy()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema) as writer:
+                writer.write_table(rest.take(pa.array(part)))
+            chunks.append(chunk)
+            data.append(tool.compress(sink.getvalue()))
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > HELD:
+            yield packed()
+            held, size = [], 0
+    if held:
+        yield packed()
+
+
+def _rows(table: pa.Table) -> pa.Table:
+    """The rows that were packed."""
+    tool = zstandard.ZstdDecompressor()
+    return pa.concat_tables(pa.ipc.open_stream(tool.decompress(d)).read_all() for d in table.column("data").to_pylist())
+
+
 class Chunk:
     """The rows of a chunk in their defined order. tie orders rows without id."""
 
@@ -160,7 +197,7 @@ def _keys(buckets: int):
 
     def run(key, table):
         chunk = key[0].as_py()
-        found = [k for _, _, _, k in runs(Chunk(table).texts)]
+        found = [k for _, _, _, k in runs(Chunk(_rows(table)).texts)]
         rows = []
         if found:
             keys, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -188,14 +225,24 @@ def _repeated(key, table):
     return _blobs(rows, ["chunk", "bucket", "data"])
 
 
+def _fresh(order: np.ndarray, key: np.ndarray, digest: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which strings differ from the one before them in an order by key and digest; strings of one digest are compared."""
+    fresh = np.ones(len(order), bool)
+    near = (key[order[1:]] == key[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+    for k in np.flatnonzero(near).tolist():
+        fresh[k + 1] = strings[order[k + 1]] != strings[order[k]]
+    return fresh
+
+
 def _strings(buckets: int, shards: int):
-    """The strings of a chunk's runs whose key is repeated, with their places, per shard."""
+    """The different strings of a chunk's runs whose key is repeated, with their first places, per shard. Rows of a negative
+    chunk say what the chunk itself removes: later places of equal strings."""
 
     def run(key, left, right):
         names = ["shard", "chunk", "data"]
         if not left.num_rows or not right.num_rows:
             return _blobs([], names)
-        chunk, own = key[0].as_py(), Chunk(left)
+        chunk, own = key[0].as_py(), Chunk(_rows(left))
         marks = [(b, *_unpack(d)) for b, d in zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True)]
         known = np.concatenate([(np.uint64(b) << np.uint64(32)) | s.astype(np.uint64) for b, s, _ in marks])
         often = np.concatenate([c for _, _, c in marks])
@@ -210,11 +257,19 @@ def _strings(buckets: int, shards: int):
         if not held:
             return _blobs([], names)
         h, o, d, s, n = (np.concatenate([x[k] for x in held]) for k in range(5))
+        # Of strings that are equal as a whole the chunk's first stands for all; the others go, wherever it came from.
+        text = [own.texts[i][j : j + k] for i, j, k in zip(d.tolist(), s.tolist(), (n + LENGTH - 1).tolist(), strict=True)]
+        digest = np.fromiter(map(xxhash.xxh64_intdigest, text), np.uint64, len(text))
+        order = np.lexsort((s, d, digest, h))
+        fresh = _fresh(order, h, digest, text)
+        later, order = order[~fresh], order[fresh]
+        rows = [(chunk % shards, -1 - c, x) for _, c, x in _spans(np.full(len(later), chunk), d[later], s[later], n[later])]
+        h, o, d, s, n, digest = (x[order] for x in (h, o, d, s, n, digest))
         ways = np.maximum(-(-o // SPLIT), 1)
-        salt = (np.arange(len(h)) + chunk) % ways
+        # Dealt by content, so that equal strings of all chunks meet in one shard.
+        salt = (digest % ways.astype(np.uint64)).astype(np.int64)
         with np.errstate(over="ignore"):
             shard = (((h ^ salt.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(33)) % np.uint64(shards)
-        rows = []
         for v, p in _split(shard.astype(np.int64)):
             # Equal strings side by side compress well.
             p = p[np.lexsort((s[p], d[p], salt[p], h[p]))]
@@ -310,16 +365,16 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray | None
 
 def _equal(flat: np.ndarray, begin: np.ndarray, count: np.ndarray):
     """Windows of strings (of count windows each, from begin on): their strings, offsets and positions, the number of the
-    group of equal windows that each is in, and its rank."""
+    group of equal windows that each is in."""
     total = int(count.sum())
     owner = np.repeat(np.arange(len(count)), count)
     offset = np.arange(total) - (np.cumsum(count) - count)[owner]
     position = begin[owner] + offset
     ends = np.repeat(begin + count + LENGTH - 1, count + LENGTH - 1)
-    order, rank = suffix_array(flat, ends)
+    order, _ = suffix_array(flat, ends)
     group = np.zeros(len(flat), np.int64)
     group[order] = np.cumsum(common_prefixes(flat, order, ends)[order] < LENGTH)
-    return owner, offset, position, group[position], rank[position]
+    return owner, offset, position, group[position]
 
 
 def _spans(chunk: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray):
@@ -328,22 +383,27 @@ def _spans(chunk: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndar
         yield c, c, _pack(row[part].astype(np.uint32), start[part].astype(np.uint32), count[part].astype(np.uint32))
 
 
-def _content(windows: np.ndarray) -> np.ndarray:
-    """A hash of each row of LENGTH bytes."""
-    h = np.zeros(len(windows), np.uint64)
+def _route(text: np.ndarray) -> np.ndarray:
+    """A hash of each window that neighbouring windows mostly share: the smallest of its LONG-byte grams'."""
+    h, size = text.astype(np.uint64) + np.uint64(1), 1
     with np.errstate(over="ignore"):
-        for k in range(0, LENGTH - LENGTH % 8, 8):
-            h = (h ^ np.ascontiguousarray(windows[:, k : k + 8]).view("<u8").ravel()) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        for k in range(LENGTH - LENGTH % 8, LENGTH):
-            h = (h ^ windows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-    return h >> np.uint64(20)
+        while size < LONG:
+            step = min(size, LONG - size)
+            h = (h[:-step] ^ h[:-step] >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + h[step:]
+            size += step
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return np.lib.stride_tricks.sliding_window_view(h, LENGTH - LONG + 1).min(axis=1) >> np.uint64(20)
 
 
 def _shard(routes: int):
     def run(key, table):
-        chunks = table.column("chunk").to_pylist()
-        parts = [_unpack(d) for d in table.column("data").to_pylist()]
+        chunks, data = table.column("chunk").to_pylist(), table.column("data").to_pylist()
+        rows = [((-1 - c) % routes, -1 - c, d) for c, d in zip(chunks, data, strict=True) if c < 0]
+        parts = [_unpack(d) for c, d in zip(chunks, data, strict=True) if c >= 0]
+        chunks = [c for c in chunks if c >= 0]
+        if not parts:
+            return _blobs(rows, ["route", "chunk", "data"])
         chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
         h, salt, hot, ids, tie, row, start, count = (np.concatenate([p[k] for p in parts]) for k in range(8))
         row, start, count = row.astype(np.int64), start.astype(np.int64), count.astype(np.int64)
@@ -363,16 +423,15 @@ def _shard(routes: int):
         strings = [buffer[i:j] for i, j in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
         digest = np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
         order = np.lexsort((digest, salt, h))
-        edge, fresh = np.ones(len(order), bool), np.ones(len(order), bool)
+        edge = np.ones(len(order), bool)
         edge[1:] = (h[order[1:]] != h[order[:-1]]) | (salt[order[1:]] != salt[order[:-1]])
-        for k in np.flatnonzero(~edge[1:] & (digest[order[1:]] == digest[order[:-1]])).tolist():
-            fresh[k + 1] = strings[order[k + 1]] != strings[order[k]]
+        fresh = edge | _fresh(order, h, digest, strings)
         del strings, buffer
         # Parts of whole keys. A string alone with its key holds no repeated window, unless other shards have the key too.
         first = np.flatnonzero(edge)
         reach = np.concatenate(([0], np.cumsum(np.where(fresh, size[order], 0))))
         alone = (np.diff(np.append(first, len(order))) == 1) & (hot[order[first]] == 0)
-        gone, alive, cut = [], [], 0
+        gone, cut = [], 0
         while cut < len(first):
             end = max(cut + 1, int(np.searchsorted(reach[first], reach[first[cut]] + PART, side="right")) - 1)
             part = slice(first[cut], first[end] if end < len(first) else len(order))
@@ -384,7 +443,7 @@ def _shard(routes: int):
             kind, lead = np.cumsum(new) - 1, own[new]
             n = size[lead]
             text = flat[np.repeat(begin[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            owner, offset, position, group, rank = _equal(text, np.cumsum(n) - n, count[lead])
+            owner, offset, position, group = _equal(text, np.cumsum(n) - n, count[lead])
             # The earliest place of each group, over all places of its strings.
             soonest = np.minimum.reduceat(place[own], np.flatnonzero(new))
             here = soonest[owner] + offset
@@ -406,15 +465,19 @@ def _shard(routes: int):
                 w = own[copy[at]]
                 gone.append((chunk[w], row[w], start[w] + step[at], length))
             left = np.flatnonzero(~later & (hot[own][copy] > 0))
-            if len(left):  # to be merged with other shards' windows, by content
-                windows = text[position[window[left]][:, None] + np.arange(LENGTH)[None, :]]
+            if len(left):  # to be merged with other shards' windows, by content; what goes one way is one string
+                at = position[window[left]]
+                name = _route(text)[at]
+                head = np.ones(len(left), bool)
+                head[1:] = (np.diff(left) != 1) | (copy[left[1:]] != copy[left[:-1]]) | (name[1:] != name[:-1])
+                length = np.diff(np.append(np.flatnonzero(head), len(left)))
+                left, at, name = left[head], at[head], name[head]
                 w = own[copy[left]]
-                alive.append((chunk[w], ids[w], tie[w], row[w], start[w] + step[left], rank[window[left]], windows))
-        rows = []
-        for c, i, t, r, s, rank, windows in alive:
-            for route, p in _split((_content(windows) % np.uint64(routes)).astype(np.int64)):
-                p = p[np.argsort(rank[p])]
-                rows.append((route, -1, _pack(c[p], i[p], t[p], r[p], s[p], windows[p].ravel())))
+                first_at = chunk[w], ids[w], tie[w], row[w], start[w] + step[left]
+                for route, p in _split((name % np.uint64(routes)).astype(np.int64)):
+                    p = p[np.argsort(name[p], kind="stable")]
+                    n = length[p] + LENGTH - 1
+                    rows.append((route, -1, _pack(*(x[p] for x in first_at), length[p].astype(np.uint8), text[np.repeat(at[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())])))
         if gone:
             c, r, s, n = (np.concatenate([g[k] for g in gone]) for k in range(4))
             rows += [(a % routes, b, d) for a, b, d in _spans(c, r, s, n)]
@@ -458,10 +521,17 @@ def _merge(key, table):
         if chunk >= 0:
             rows.append((chunk, data))
             continue
-        *place, text = _unpack(data)
-        # A closing byte keeps zero bytes at the end of a window significant.
-        names = np.concatenate((text.reshape(-1, LENGTH), np.ones((len(place[0]), 1), np.uint8)), axis=1).view(f"S{LENGTH + 1}").ravel()
-        lists.append(Sorted(names, [p.astype(np.int64) for p in place]))
+        *place, count, text = _unpack(data)
+        count = count.astype(np.int64)
+        # The windows of each string; a closing byte keeps zero bytes at the end of a window significant.
+        owner = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+        at = (np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1))[owner] + step
+        names = np.concatenate((text[at[:, None] + np.arange(LENGTH)[None, :]], np.ones((len(at), 1), np.uint8)), axis=1).view(f"S{LENGTH + 1}").ravel()
+        order = np.argsort(names)
+        place = [p.astype(np.int64)[owner] for p in place]
+        place[4] += step
+        lists.append(Sorted(names[order], [p[order] for p in place]))
     if lists:
         level = lists
         while len(level) > 1:
@@ -514,7 +584,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, rest: list[str], finis
         F.col(text_col).cast("string").cast("binary").alias("__text"),
         *(F.col(c).alias(f"__c{k}") for k, c in enumerate(rest)),
     )
-    chunks = frame.repartition(n, "chunk").groupBy("chunk")
+    chunks = frame.mapInArrow(_chunked, "chunk int, data binary").repartition(n, "chunk").groupBy("chunk")
     keys = chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket")
     marks = keys.groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary").repartition(n, "chunk")
     strings = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(_strings(buckets, 2 * buckets), "shard int, chunk int, data binary").repartition(2 * buckets, "shard")
@@ -522,8 +592,9 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, rest: list[str], finis
     spans = routed.groupBy("route").applyInArrow(_merge, "chunk int, data binary").repartition(n, "chunk")
 
     def end(key, left, right):
-        own = Chunk(left)
-        return finish(left, own, removed(own.texts, right))
+        table = _rows(left)
+        own = Chunk(table)
+        return finish(table, own, removed(own.texts, right))
 
     return chunks.cogroup(spans.groupBy("chunk")).applyInArrow(end, schema)
 

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -80,6 +82,46 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, split):
     assert out.filter("text is null").count() == 2 and out.filter("length(text) <> n_chars").count() == 0
 
 
+def test_copies_reach_the_merge_once(monkeypatch):
+    """A key that is split over shards gives the merge each different string once, not once for each shard."""
+    monkeypatch.setattr(suffixdedup, "SPLIT", 2)
+    rng = random.Random(7)
+    line = bytes(rng.choice(b"abcdefgh ") for _ in range(160))
+    sent = {}
+    for copies in (8, 64):
+        parts = []
+        for k in range(copies):
+            texts = [bytes(rng.choice(b"ijklmnop ") for _ in range(150)) + line for _ in range(2)]
+            parts.append(pa.RecordBatch.from_pydict({"chunk": pa.array([k] * 2, pa.int32()), "__id": pa.array([2 * k, 2 * k + 1], pa.int64()), "__text": pa.array(texts, pa.binary())}))
+        chunks = [pa.Table.from_batches([b]) for b in suffixdedup._chunked(parts)]
+        rows = pa.concat_tables(chunks).to_pylist()
+        left = {k: pa.Table.from_pylist([r for r in rows if r["chunk"] == k], chunks[0].schema) for k in range(copies)}
+        key = lambda k: (pa.scalar(k),)
+
+        def dealt(tables, by):
+            table = pa.concat_tables(tables)
+            for v in sorted(set(table.column(by).to_pylist())):
+                yield v, table.filter(pc.equal(table.column(by), v))
+
+        keys = [suffixdedup._keys(1)(key(k), t) for k, t in left.items()]
+        marks = dict(dealt([suffixdedup._repeated(key(b), t) for b, t in dealt(keys, "bucket")], "chunk"))
+        strings = [suffixdedup._strings(1, 16)(key(k), t, marks[k]) for k, t in left.items()]
+        routed = [suffixdedup._shard(4)(key(v), t) for v, t in dealt(strings, "shard")]
+        lists = [suffixdedup._unpack(d) for t in routed for c, d in zip(t.column("chunk").to_pylist(), t.column("data").to_pylist()) if c < 0]
+        sent[copies] = sum(int(x[5].sum()) for x in lists), sum(len(x[6]) for x in lists)
+        spans = [suffixdedup._merge(key(v), t) for v, t in dealt(routed, "route")]
+        gone = 0
+        told = dict(dealt(spans, "chunk"))
+        for k, t in left.items():
+            own = suffixdedup.Chunk(suffixdedup._rows(t))
+            gone += sum(int(x[1::2].sum() - x[0::2].sum()) for x in suffixdedup.removed(own.texts, told.get(k, spans[0].slice(0, 0))))
+        assert gone >= (2 * copies - 1) * len(line)
+    # Windows that hold nothing but the line are sent once; those that begin before it are as many as the documents.
+    inside = len(line) - 99
+    assert sent[64][0] - inside <= 9 * (sent[8][0] - inside)
+    assert sent[64][1] < 40 * sent[64][0]
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     for text in (b"", b"a", b"banana", b"aaaaaaaaaaaaaaaaaaaaaaaa", bytes(rng.choice(b"ab\0") for _ in range(700)), b"\0\0\0\1\0\0\0"):
