@@ -158,12 +158,6 @@ def field_merge(stored: DataFrame, source: DataFrame, protected: DataFrame | Non
 SOURCE_FIELDS = ["exhibits", "references", "citations", "readingOrderRepair", "inlineExhibitsEnabled", "exhibitCompanion", "readingUnitRepairs", "sectionRepairs"]
 
 
-def owned_by_source(stored: DataFrame, source: DataFrame, fields: list[str]) -> DataFrame:
-    """Documents with the source's version of these fields, whatever was stored."""
-    own = source.select("paper_id", *(F.col(f).alias(f"n_{f}") for f in fields))
-    return stored.drop(*fields).join(own, "paper_id").select("*", *(F.col(f"n_{f}").alias(f) for f in fields)).drop(*(f"n_{f}" for f in fields))
-
-
 def current_quality(rows: DataFrame, segments: DataFrame, id_col: str = "segmentId") -> DataFrame:
     """Appendices or repairs whose segment still exists; related ids that are gone are taken out."""
     have = segments.select("paper_id", F.col("id"))
@@ -199,6 +193,10 @@ def reconcile_documents(stored: DataFrame, source: DataFrame, stored_segments: D
     Papers in broken come out as published, as do those that were never stored."""
     fields = [f for f in SOURCE_FIELDS if f in source.columns and f in stored.columns]
     own = stored if steps.get("broken") is None else stored.join(steps["broken"].select("paper_id"), "paper_id", "left_anti")
-    kept = owned_by_source(own, source, fields).select(*stored.columns)
-    documents = kept.unionByName(source.join(own.select("paper_id"), "paper_id", "left_anti").select(*stored.columns))
+    # One join instead of a union of what is stored and what isn't: Spark zips the partitions of a union whose sides are both
+    # dealt by paper, and fails where they were coalesced to different numbers.
+    names = [c for c in stored.columns if c != "paper_id"]
+    held = own.select("paper_id", *(F.col(c).alias(f"t_{c}") for c in names), F.lit(True).alias("is_stored"))
+    value = lambda c: F.col(c) if c in fields else F.when(F.col("is_stored"), F.col(f"t_{c}")).otherwise(F.col(c))
+    documents = source.join(held, "paper_id", "left").select(*(F.col(c) if c == "paper_id" else value(c).alias(c) for c in stored.columns))
     return documents, reconcile(stored_segments, source_segments, **steps)

@@ -276,3 +276,23 @@ def test_free_names_skip_taken_numbers(spark):
     taken = spark.createDataFrame([("p", x) for x in ("a", "a-2", "a-02", "b-2", "c", "c-2", "c-3", "d-2", "d-2-2")], "paper_id string, id string")
     wanted = spark.createDataFrame([("p", x) for x in ("a", "b", "c", "d-2", "e")], "paper_id string, base string")
     assert {r.base: r.id for r in edits.unique_ids(wanted, taken).collect()} == {"a": "a-3", "b": "b", "c": "c-4", "d-2": "d-2-3", "e": "e"}
+
+
+def test_documents_of_unequal_sides(spark, tmp_path):
+    """Joins that are planned alike, of which one turns out to be small enough for a broadcast."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20KB", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        spark.range(0, 20_000, 1, 8).select(F.col("id").alias("paper_id"), F.sha2(F.col("id").cast("string"), 512).alias("title"), F.lit("new").alias("citations")).write.parquet(f"{tmp_path}/t")
+        source = spark.read.parquet(f"{tmp_path}/t")
+        stored = source.filter("paper_id % 50 = 0").select("paper_id", F.concat(F.lit("mine"), "title").alias("title"), F.lit("old").alias("citations"))
+        segs = source.select("paper_id", F.lit("1").alias("id"), F.lit(1).alias("order"), F.lit("t").alias("sourceText"))
+        got, own = merge.reconcile_documents(stored, source, segs.filter("paper_id % 50 = 0"), segs)
+        rows = got.join(own.select("paper_id").distinct(), "paper_id", "left_semi").collect()
+        assert len({r.paper_id for r in rows}) == len(rows) == 20_000
+        assert all(r.citations == "new" and r.title.startswith("mine") == (r.paper_id % 50 == 0) for r in rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
