@@ -32,4 +32,4 @@ def preview(bbox: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, half_up(part / whole * 100)).otherwise(F.lit(0)).cast("long")
+    return F.when(whole > 0, half_up(part * 100 / whole)).otherwise(F.lit(0)).cast("long")

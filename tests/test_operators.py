@@ -296,3 +296,9 @@ def test_documents_of_unequal_sides(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_percent_of_halves(spark):
+    """29 of 200 are 14.5 %, which rounds up; 29 / 200 * 100 is less in doubles."""
+    row = spark.range(1).select(geometry.percent(F.lit(29), F.lit(200)).alias("a"), geometry.percent(F.lit(57), F.lit(200)).alias("b"), geometry.percent(F.lit(0), F.lit(0)).alias("c")).first()
+    assert (row.a, row.b, row.c) == (15, 29, 0)
