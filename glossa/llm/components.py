@@ -23,13 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = held.groupBy("child").agg(F.min("parent").alias("m"))
         # A node may have any number of parents: they are joined with the smallest, never listed in a row.
         met = held.join(least, "child").filter("parent <> m").select(F.col("parent").alias("child"), F.col("m").alias("parent"))
-        joined = checkpointed(met.unionByName(least.select("child", F.col("m").alias("parent"))).distinct())
-        lowest = checkpointed(joined.groupBy("child").agg(F.min("parent").alias("m")))
-        up = lowest.select(F.col("child").alias("parent"), F.col("m").alias("above"))
+        joined = met.unionByName(least.select("child", F.col("m").alias("parent"))).distinct()
+        up = joined.groupBy("child").agg(F.min("parent").alias("above")).withColumnRenamed("child", "parent")
         step = checkpointed(joined.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
         state = step.agg(F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("moved"), F.count(F.lit(1)).alias("rows")).first()
-        done = not state["moved"] and state["rows"] == lowest.count()
-        forget(base, joined, lowest)
+        done = not state["moved"] and state["rows"] == step.select("child").distinct().count()
+        forget(base)
         if done:
             return step.select(F.col("child").alias("node"), F.col("parent").alias("root"))
         held, base = step.select("child", "parent"), step

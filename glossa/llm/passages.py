@@ -5,7 +5,7 @@ with the same smallest hash form a compact window (l, c, r): c holds the minimum
 to between c and r. Those are the nodes of the Cartesian tree over the hashes whose subtree is at least SPAN long, and
 equally the runs of a sliding minimum over SPAN shingles, which is how numpy finds them. The intervals of every two of
 FUNCTIONS functions are joined: where they meet, the pair of minima is one signature of all passages between their bounds,
-if the two stand APART shingles or more from each other (or the text repeats itself there). Two passages that agree in 80 % of their shingles share one of the
+if the two stand APART shingles or more from each other (or the text repeats itself at one of them). Two passages that agree in 80 % of their shingles share one of the
 fifteen with a probability of 0.95 and more, while a common line can't hold both minima.
 
 Windows whose signature occurs once in the corpus never leave their chunk of documents. The others meet by signature, first
@@ -78,6 +78,20 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+#: Numbers below _TIED are mixed and unmixed with these odd factors.
+_TIED, _FACTORS = 1 << 31, (0x2C1B3C6D, 0x297A2D39)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _FACTORS[0] & (_TIED - 1)
+    return (x ^ x >> 16) * _FACTORS[1] & (_TIED - 1)
+
+
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    x = x * pow(_FACTORS[1], -1, _TIED) & (_TIED - 1)
+    return (x ^ x >> 16) * pow(_FACTORS[0], -1, _TIED) & (_TIED - 1)
+
+
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
     """The shingle hashes of each text; words are runs without ASCII blanks, A-Z lower-cased."""
     flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -125,26 +139,32 @@ def windows(x: list[np.ndarray]):
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * power[: len(flat)])))
         content = _short(_mix((sums[SPAN:] - sums[:-SPAN]) * inverse[:n], 92))
-    minima, places = [], np.arange(len(flat), dtype=np.uint64)
+    own = np.arange(len(flat)) - np.repeat(ends - size, size)
+    # Where text repeats itself within APART shingles, minima can't stand further from each other. Of equal ones there that of
+    # a mixed number of its place is taken, which stays for many windows; the first would be another one in each.
+    again = np.zeros(len(flat), bool)
+    for k in range(1, APART):
+        same = np.flatnonzero((flat[:-k] == flat[k:]) & (own[k:] >= k))
+        again[same] = again[same + k] = True
+    minima, places = [], np.where(again, _mixed(own) | _TIED, own).astype(np.uint64)
     for f in range(FUNCTIONS):
         with np.errstate(over="ignore"):
-            # Hashes with their places, so that the smallest is the first of equal ones.
+            # Hashes with their places, so that the smallest is the first of equal ones elsewhere.
             low = _minima(flat * np.uint64(_ODD[f]) & np.uint64(0xFFFFFFFF00000000) | places)
         # A run ends where the minimum changes or its place leaves the window; the centre is that place.
         begin = border.copy()
         begin[1:] |= low[1:] != low[:-1]
-        minima.append((begin, np.cumsum(begin, dtype=np.int32) - 1, (low[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+        at = (low[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        at = np.where(at >= _TIED, _unmixed(at & (_TIED - 1)), at) + (ends - size)[doc[begin]]
+        # Windows over the end of a document have no place; they are left out below.
+        minima.append((begin, np.cumsum(begin, dtype=np.int32) - 1, np.minimum(at, len(flat) - 1)))
     last = np.minimum(ends - SPAN + 1, n)
-    # Where text repeats itself within APART shingles, minima can't stand further from each other.
-    again = np.zeros(len(flat), bool)
-    for k in range(1, APART):
-        again[:-k] |= flat[:-k] == flat[k:]
     for f in range(FUNCTIONS):
         for g in range(f):
             begin = np.flatnonzero(minima[f][0] | minima[g][0])
             stop = np.minimum(np.append(begin[1:], n), last[doc[begin]])
             centre, other = (m[2][m[1][begin]] for m in (minima[f], minima[g]))
-            real = (stop > begin) & ((np.abs(centre - other) >= APART) | (again[centre] & again[other]))
+            real = (stop > begin) & ((np.abs(centre - other) >= APART) | again[centre] | again[other])
             s, e, centre, other = begin[real], stop[real], centre[real], other[real]
             steps = ((centre - s) << 8 | (centre - e + 1)).astype(np.uint16)
             with np.errstate(over="ignore"):
@@ -286,14 +306,14 @@ def _told(ids: np.ndarray, low: np.ndarray, word: np.ndarray) -> bytes:
 LEFT = "data binary, sig long, chunk int, doc int, centre int, steps int, doc_id long"
 
 
-def _groups(spelled: bool):
-    """Joins the windows of all chunks. Rows with data are links; the others are one window of each joined set, where a
-    signature has several sets and they are not all of one document."""
+def _groups(buckets: int, spelled: bool):
+    """Joins the windows of all chunks. Rows with data are links, for each share of the documents (in chunk); the others are
+    one window of each joined set, where a signature has several sets and they are not all of one document."""
 
     def run(key, table):
         bucket, data = key[0].as_py(), table.column("data").to_pylist()
         where = table.column("chunk").to_pylist()
-        told = [d for c, d in zip(where, data, strict=True) if c < 0]
+        told = [_unpack(d) for c, d in zip(where, data, strict=True) if c < 0]
         parts = [_unpack(d) for c, d in zip(where, data, strict=True) if c >= 0]
         columns = [np.zeros(0, np.int64)] * 6
         if parts:
@@ -311,7 +331,7 @@ def _groups(spelled: bool):
                 np.maximum.at(high, root, ids)
                 k = np.flatnonzero(high[root] != ids[root])
                 if len(k):
-                    told.append(_told(ids[k], ids[root[k]], centre[k]))
+                    told.append((ids[k], ids[root[k]], centre[k]))
             k = np.flatnonzero(root == np.arange(len(root)))
             edge = np.ones(len(k), bool)
             edge[1:] = sig[k[1:]] != sig[k[:-1]]
@@ -319,9 +339,15 @@ def _groups(spelled: bool):
             several = np.minimum.reduceat(ids[k], starts) != np.maximum.reduceat(ids[k], starts)
             k = k[np.repeat(several, np.diff(np.append(starts, len(k))))]
             columns = [np.int64(bucket) << np.int64(32) | sig[k], *(x[k] for x in (chunk, doc, centre, steps, ids))]
-        n = len(columns[0])
+        shares = []
+        if told:
+            # What is linked in a bucket is told once; what buckets tell of a document meets in its share.
+            links = _unpack(_told(*(np.concatenate([t[k] for t in told]) for k in range(3))))
+            shares = [(c, _pack(*(x[p] for x in links))) for c, p in _split(_bucket(_mix(links[0].astype(np.uint64), 93), buckets))]
+        n, none = len(columns[0]), np.zeros(len(shares), np.int64)
+        where = [none, np.array([c for c, _ in shares], np.int64), none, none, none, none]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        return pa.table([pa.array(told + [None] * n, pa.binary()), *(pa.array(np.concatenate((np.zeros(len(told), np.int64), c)), t) for c, t in zip(columns, kinds, strict=True))], ["data", "sig", "chunk", "doc", "centre", "steps", "doc_id"])
+        return pa.table([pa.array([d for _, d in shares] + [None] * n, pa.binary()), *(pa.array(np.concatenate(x), t) for *x, t in zip(where, columns, kinds, strict=True))], ["data", "sig", "chunk", "doc", "centre", "steps", "doc_id"])
 
     return run
 
@@ -405,6 +431,7 @@ class Classes:
         self.begin = (np.cumsum(length) - length)[order]
         self.sig, self.side, self.length, self.left, self.back, self.front, self.part, self.ids, self.words = (x[order] for x in (sig, side, length, left, back, front, part, ids, words))
         _, inverse = np.unique(self.sig, return_inverse=True)
+        self.kind, self.name = np.full(len(order), -1, np.int8), None
         self.mixed = (np.bincount(inverse, weights=self.side) > 0)[inverse] if len(inverse) else np.zeros(0, bool)
 
     def frame(self, k: np.ndarray, reach: int, gap: int = -1) -> np.ndarray:
@@ -424,28 +451,43 @@ class Classes:
         return self.flat[self.begin[k] : self.begin[k] + self.length[k]]
 
     def _rare(self, s: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a large group that share one of the rarest shingles of both; others can't share 80 %."""
+        """Pairs of a large group that share one of the rarest shingles of both; others can't share 80 %. One of a pair is not of
+        the component that most of the group belong to."""
+        _, part, sizes = np.unique(self.part[s : s + n], return_inverse=True, return_counts=True)
+        fewer = np.flatnonzero(part != sizes.argmax())
+        least = np.full(n, -1)
+        least[fewer] = np.arange(len(fewer))
         frame = self.frame(np.arange(s, s + n), REACH)
         row, col = np.nonzero(frame >= 0)
         cell = np.unique(row.astype(np.uint64) << np.uint64(32) | frame[row, col].astype(np.uint64))
         row = (cell >> np.uint64(32)).astype(np.int64)
         _, inverse, df = np.unique(cell.astype(np.uint32), return_inverse=True, return_counts=True)
         total = np.bincount(row, minlength=n)
-        need = np.full(n, ENOUGH)
+        need, known = np.full(n, ENOUGH), {}
         for k in np.flatnonzero(total < self.length[s : s + n]).tolist():
             x = self.narrow(s + k)
-            need[k] = min(ENOUGH, *(-(-8 * len(set(x[j : j + SPAN].tolist())) // 10) for j in range(len(x) - SPAN + 1)))
+            if (name := x.tobytes()) not in known:
+                known[name] = min(ENOUGH, *(-(-8 * len(set(x[j : j + SPAN].tolist())) // 10) for j in range(len(x) - SPAN + 1)))
+            need[k] = known[name]
         order = np.lexsort((inverse, df[inverse], row))
         row, word = row[order], inverse[order]
         rank = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
         keep = (rank <= (total - need)[row]) & (df[word] > 1)
-        found = np.zeros((n, n), bool)
-        for _, p in _split(word[keep]):
-            own = row[keep][p]
+        row, word = row[keep], word[keep]
+        keep = (np.bincount(word[least[row] >= 0], minlength=len(df)) > 0)[word]
+        row, word = row[keep], word[keep]
+        found = np.zeros((len(fewer), n), bool)
+        for _, p in _split(word):
+            own = row[p]
             if len(own) > 1:
-                found[np.ix_(own, own)] = True
-        i, j = np.nonzero(np.triu(found, 1))
-        return s + i, s + j
+                at = least[own]
+                found[np.ix_(at[at >= 0], own)] = True
+        i, j = np.nonzero(found)
+        i = fewer[i]
+        # Two that are both of smaller components were found twice.
+        keep = (part[i] != part[j]) & ((least[j] < 0) | (i < j))
+        i, j = i[keep], j[keep]
+        return s + np.minimum(i, j), s + np.maximum(i, j)
 
     def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of classes under one signature and the first one's place in its group."""
@@ -468,7 +510,10 @@ class Classes:
         a, b = np.concatenate(first), np.concatenate(second)
         two = (self.side[a] == self.side[b]) & self.mixed[a]
         keep = np.flatnonzero(~two & (self.part[a] != self.part[b]))
-        place = np.stack((self.ids[a[keep]], self.ids[b[keep]], self.words[a[keep]] - self.words[b[keep]], self.words[a[keep]] // STEP))
+        # Where shingles repeat near the centre, only a window's own passages are compared.
+        own = self.words[a[keep]]
+        own = np.where((self._repeats(a[keep]) == 2) | (self._repeats(b[keep]) == 2), -1 - own, own // STEP)
+        place = np.stack((self.ids[a[keep]], self.ids[b[keep]], self.words[a[keep]] - self.words[b[keep]], own))
         with np.errstate(over="ignore"):
             name = np.zeros(len(keep), np.uint64)
             for x in place:
@@ -489,7 +534,9 @@ class Classes:
         nth = np.arange(len(a)) - np.searchsorted(both, both)
         turn = np.frexp(nth + 1)[1]
         for k in np.unique(turn).tolist():
-            p, q = a[turn == k], b[turn == k]
+            p, q, root = a[turn == k], b[turn == k], stars.flush()
+            open_ = root[node[p]] != root[node[q]]
+            p, q = self._likely(p[open_], q[open_])
             for at in range(0, len(p), 1024):
                 root = stars.flush()
                 x, y = p[at : at + 1024], q[at : at + 1024]
@@ -515,20 +562,21 @@ class Classes:
         return (at >= -self.left[k][:, None]) & (at + SPAN <= (self.length - self.left)[k][:, None])
 
     def _compare(self, a: np.ndarray, b: np.ndarray, extents: bool = False):
+        kind = np.maximum(self._repeats(a), self._repeats(b))
+        near, far = np.ones((2, len(a)), bool)
+        for told, test in ((0, self._close), (1, self._dense)):
+            k = np.flatnonzero(kind == told)
+            for p in (k[n : n + 256] for n in range(0, len(k), 256)):
+                near[p], far[p] = test(a[p], b[p])
+        keep = near | far
+        a, b, near, far, odd = (z[keep] for z in (a, b, near, far, kind == 2))
+        near &= ~odd
         x, y = self.frame(a, NEAR), self.frame(b, NEAR, -2)
-        odd = np.zeros(len(a), bool)
-        for f in (np.sort(x, axis=1), np.sort(y, axis=1)):
-            odd |= ((f[:, 1:] == f[:, :-1]) & (f[:, 1:] >= 0)).any(axis=1)
-        keep = odd.copy()
-        plain = np.flatnonzero(~odd)
-        for k in (plain[n : n + 256] for n in range(0, len(plain), 256)):
-            keep[k] = self._dense(a[k], b[k])
-        a, b, x, y, odd = (z[keep] for z in (a, b, x, y, odd))
         total = np.zeros((len(a), x.shape[1] + 1), np.int16)
         np.cumsum(x == y, axis=1, out=total[:, 1:])
         count = total[:, SPAN:] - total[:, :-SPAN]
         inside = self._inside(a), self._inside(b)
-        hit = (count >= ENOUGH) & inside[0] & inside[1] & ~odd[:, None]
+        hit = (count >= ENOUGH) & inside[0] & inside[1] & near[:, None]
         sure = hit.any(axis=1)
         out = [np.zeros((0, 7), np.int64)]
 
@@ -538,7 +586,7 @@ class Classes:
         k = np.flatnonzero(sure)
         first, end = hit[k].argmax(axis=1) - NEAR, hit.shape[1] - NEAR + SPAN - 1 - hit[k][:, ::-1].argmax(axis=1)
         put(k, first, end, first, end, count[k].max(axis=1))
-        k = np.flatnonzero(~sure & ~odd)
+        k = np.flatnonzero(~sure & near)
         both = np.sort(np.concatenate((x[k], y[k]), axis=1), axis=1)
         k = k[((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1) >= ENOUGH]
         for p in (k[n : n + 64] for n in range(0, len(k), 64)):
@@ -556,7 +604,7 @@ class Classes:
                 u, v = int(self.back[a[k]]), int(self.back[b[k]])
                 put(np.array([k]), *(np.array([z]) for z in (i.min() - u, i.max() + SPAN - u, j.min() - v, j.max() + SPAN - v, n.max())))
         # Longer passages of different lengths, which share ENOUGH different shingles.
-        k = np.flatnonzero(~sure) if not extents else np.arange(len(a))
+        k = np.flatnonzero(far & ~sure) if not extents else np.flatnonzero(far)
         for k in np.concatenate([np.zeros(0, np.int64), *(p[self._shared(a[p], b[p]) >= ENOUGH] for p in (k[n : n + 256] for n in range(0, len(k), 256)))]).tolist():
             if got := stretch(self.text(a[k]), self.text(b[k])):
                 u, v = int(self.left[a[k]]), int(self.left[b[k]])
@@ -576,7 +624,88 @@ class Classes:
         both = np.flatnonzero(name[1:] >> np.uint64(1) == name[:-1] >> np.uint64(1))
         return np.bincount((name[both] >> np.uint64(33)).astype(np.int64), minlength=len(a))
 
-    def _dense(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _repeats(self, k: np.ndarray) -> np.ndarray:
+        """Whether a shingle comes again in the text (1) and near the centre (2)."""
+        new = np.unique(k)
+        new = new[self.kind[new] < 0]
+        for p in (new[n : n + 4096] for n in range(0, len(new), 4096)):
+            self.kind[p] = 0
+            for kind, reach in ((1, REACH), (2, NEAR)):
+                f = np.sort(self.frame(p, reach), axis=1)
+                self.kind[p[((f[:, 1:] == f[:, :-1]) & (f[:, 1:] >= 0)).any(axis=1)]] = kind
+        return self.kind[k]
+
+    def _likely(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs without those that can't be linked, for texts without repetition: passages that share 80 % have shingles
+        in common, the first and last of which in b's order are at least ENOUGH - 1 apart and, counted as in `stretch`,
+        have a sum that isn't negative."""
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        plain = np.flatnonzero((self._repeats(a) == 0) & (self._repeats(b) == 0))
+        if not len(plain):
+            return a, b
+        if self.name is None:
+            values, self.name = np.unique(self.flat, return_inverse=True)
+            self.table = np.full(len(values) + 1, -1, np.int16)
+        keep, place = np.ones(len(a), bool), np.arange(2 * REACH + 1)
+        for p in (plain[n : n + 4096] for n in range(0, len(plain), 4096)):
+            k, line = np.unique(b[p], return_inverse=True)
+            inside = place[None, :] < self.length[k][:, None]
+            text = np.full(inside.shape, len(self.table) - 1)
+            text[inside] = self.name[(self.begin[k][:, None] + place)[inside]]
+            met = np.empty((len(p), len(place)), np.int16)
+            first = np.flatnonzero(np.append(True, a[p[1:]] != a[p[:-1]]))
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(p)], strict=True):
+                x = a[p[s]]
+                own = self.name[self.begin[x] : self.begin[x] + self.length[x]]
+                self.table[own] = place[: len(own)]
+                met[s:e] = self.table[text[line[s:e]]]
+                self.table[own] = -1
+            shared = met >= 0
+            score = 9 * np.cumsum(shared, axis=1, dtype=np.int16) - 4 * (met + place.astype(np.int16))
+            low = np.minimum.accumulate(np.where(shared, score, np.int16(10_000))[:, : len(place) - ENOUGH + 1], axis=1)
+            keep[p] = (np.where(shared, score, np.int16(-10_000))[:, ENOUGH - 1 :] - low >= -1).any(axis=1)
+        return a[keep], b[keep]
+
+    def _close(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether two texts without repetition can hold SPAN-long passages that share 80 %, and whether longer ones can: of
+        the shingles that both have, ENOUGH stand in SPAN places of each; or from one to another at least ENOUGH - 1 later
+        the sum that `stretch` counts, without its least widths, isn't negative."""
+        names = []
+        for side, k in enumerate((a, b)):
+            row = np.repeat(np.arange(len(k)), self.length[k])
+            at = np.arange(len(row)) - np.repeat(np.cumsum(self.length[k]) - self.length[k], self.length[k])
+            value = self.flat[np.repeat(self.begin[k], self.length[k]) + at]
+            names.append((row << 32 | value) << 9 | side << 8 | at)
+        name = np.concatenate(names)
+        name.sort()
+        same = np.flatnonzero(name[1:] >> 9 == name[:-1] >> 9)
+        row = name[same] >> 41
+        n = np.bincount(row, minlength=len(a))
+        enough = n[row] >= ENOUGH
+        near, far = np.zeros((2, len(a)), bool)
+        if not enough.any():
+            return near, far
+        same, row = same[enough], row[enough]
+        i, j = name[same] & 255, name[same + 1] & 255
+        tight = []
+        for x in (i, j):
+            x = np.sort(row << 8 | x)
+            k = np.flatnonzero(x[ENOUGH - 1 :] - x[: 1 - ENOUGH] < SPAN)
+            k = k[x[k] >> 8 == x[k + ENOUGH - 1] >> 8]
+            tight.append(np.bincount(x[k] >> 8, minlength=len(a)) > 0)
+        near = tight[0] & tight[1]
+        order = np.argsort(row << 8 | i)
+        row, i, j = row[order], i[order], j[order]
+        rows, line, n = np.unique(row, return_inverse=True, return_counts=True)
+        nth = np.arange(len(row)) - (np.cumsum(n) - n)[line]
+        score = np.full((len(rows), n.max()), -(1 << 20))
+        score[line, nth] = 9 * nth - 4 * i - 4 * j
+        least = np.minimum.accumulate(np.where(score > -(1 << 20), score, 0)[:, : score.shape[1] - ENOUGH + 1], axis=1)  # the first isn't above 0
+        far[rows] = (score[:, ENOUGH - 1 :] - least).max(axis=1) >= -1
+        return near, far
+
+    def _dense(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each text has SPAN or more shingles in a row of which the other has 80 % somewhere; no two passages can share
         80 % otherwise (for texts without repetition). Counting one for a shared shingle and minus four for another, the sum isn't negative."""
         x = np.stack((self.frame(a, REACH), self.frame(b, REACH)), axis=1)
@@ -594,7 +723,8 @@ class Classes:
         total = np.zeros((*x.shape[:2], width + 1), np.int32)
         np.cumsum(score, axis=2, out=total[:, :, 1:])
         least = np.minimum.accumulate(total[:, :, : width + 1 - SPAN], axis=2)
-        return ((total[:, :, SPAN:] - least).max(axis=2) >= 0).all(axis=1)
+        out = ((total[:, :, SPAN:] - least).max(axis=2) >= 0).all(axis=1)
+        return out, out
 
 
 def _classes_of(left) -> Classes:
@@ -639,10 +769,13 @@ class Search:
         self.chunks = frame.repartition(n, "chunk").groupBy("chunk")
         marks = self.chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
         met = self.chunks.cogroup(marks.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_met(buckets, spelled), "bucket int, chunk int, data binary")
-        self.found = common.checkpointed(met.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_groups(spelled), LEFT))
+        self.found = common.checkpointed(met.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_groups(buckets, spelled), LEFT))
+        self.buckets = buckets
 
     def told(self) -> DataFrame:
-        return self.found.filter("data is not null").select("data")
+        """(doc_id, low, word): the documents that are joined with a smaller one."""
+        shares = self.found.filter("data is not null").select("chunk", "data").repartition(self.buckets, "chunk")
+        return shares.groupBy("chunk").applyInArrow(_once, NAMED)
 
     def compared(self, parts: DataFrame, schema: str, run) -> DataFrame:
         """run over the windows that have to be compared, by task. parts: (node, root) of documents."""
@@ -681,6 +814,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return merged.agg(F.min("a_word").alias("a_word"), F.min("b_word").alias("b_word"), (F.max(F.col("a_word") + F.col("length")) - F.min("a_word")).alias("length"), F.max("shared").alias("shared")).drop("d", "k")
 
 
+NAMED = "doc_id long, low long, word long"
+
+
+def _once(key, table):
+    """The links of a share's documents, each once and with its smallest word."""
+    ids, low, word = (np.concatenate(x) for x in zip(*(_unpack(d) for d in table.column("data").to_pylist()), strict=True))
+    order = np.lexsort((word, low, ids))
+    ids, low, word = ids[order], low[order], word[order]
+    first = np.append(True, (ids[1:] != ids[:-1]) | (low[1:] != low[:-1]))
+    return pa.table([pa.array(ids[first]), pa.array(low[first]), pa.array(word[first].astype(np.int64))], ["doc_id", "low", "word"])
+
+
 def _opened(batches):
     for batch in batches:
         for data in batch.column(0).to_pylist():
@@ -693,15 +838,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the first word of the first of its shared shingles that a link was found by; it lies inside a shared passage."""
     search = Search(docs, id_col, text_col, False)
 
-    def named(packed: DataFrame) -> DataFrame:
-        return common.checkpointed(packed.mapInArrow(_opened, "doc_id long, low long, word long").groupBy("doc_id", "low").agg(F.min("word").alias("word")))
-
     def edges(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
 
-    equal = named(search.told())
+    equal = common.checkpointed(search.told())
     parts = common.checkpointed(components(edges(equal)))
-    near = named(search.compared(parts, "data binary", _linked))
+    found = search.compared(parts, "data binary", _linked).mapInArrow(_opened, NAMED)
+    near = common.checkpointed(found.groupBy("doc_id", "low").agg(F.min("word").alias("word")))
     # What was compared joins components, which are few beside the documents.
     headed = lambda rows, c: rows.join(parts.select(F.col("node").alias(c), F.col("root").alias(f"{c}_head")), c, "left").withColumn(c, F.coalesce(f"{c}_head", c)).drop(f"{c}_head")
     above = components(headed(headed(edges(near), "a"), "b")).select(F.col("node").alias("head"), "root")

@@ -653,3 +653,35 @@ def test_sql_of_queries(spark):
         got = con.execute(sql)
         at = [[c[0] for c in got.description].index(c) for c in df.columns]
         assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in got.fetchall())
+
+
+def test_passages_bounds(spark):
+    """What the bounds before a comparison leave out isn't linked, and they leave out most of a family's pairs; equal shingles
+    in a row make few windows."""
+    rng = random.Random(12)
+    base, parts = prose(rng, 170).split(), []
+    for k in range(120):
+        own = [w if rng.random() > 0.002 * (k % 40) else f"x{rng.random()}" for w in base]
+        own[rng.randrange(170) : 0] = [f"y{k}z{j}" for j in range(k % 3)]
+        x = passages.shingles([" ".join(own).encode()])[0]
+        a, b = 85 - passages.REACH, 85 + passages.REACH + 1
+        one = lambda v, kind=np.int64: np.array([v], kind)
+        parts.append([one(1), one(0), one(b - a), one(passages.REACH), one(20), one(10), one(k), one(k), one(85), passages._short(x[a:b])])
+    c = passages.Classes(parts)
+    a, b = np.triu_indices(120, 1)
+    kept = set(zip(*(x.tolist() for x in c._likely(a, b)), strict=True))
+    sure = {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if passages.similar(c.text(i), c.text(j)) or passages.stretch(c.text(i), c.text(j))}
+    got = c._compare(a, b)
+    linked = set(zip(got[0].tolist(), got[1].tolist(), strict=True))
+    assert linked <= kept and sure <= kept and 100 < len(kept) < 0.7 * len(a)
+    same = passages.shingles([b"the " * 400])
+    assert sum(len(w[0]) for w in passages.windows(same)) < 15 * 80
+
+
+def test_passages_told_once(spark):
+    """However many buckets tell of a document, its links are opened once."""
+    rng = random.Random(13)
+    text = prose(rng, 900)
+    df = spark.createDataFrame([(k, text) for k in range(64)], "doc_id long, text string")
+    rows = passages.Search(df, "doc_id", "text", False).told().collect()
+    assert len(rows) == len({(r.doc_id, r.low) for r in rows}) and {r.doc_id for r in rows} == set(range(64))
