@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(direct).withColumnRenamed("root", "group")
     grouped = common.checkpointed(named.join(groups, "node", "left").select("node", "root", F.coalesce("group", "node").alias("group")))
     dealt = _pieces(grouped, n)
-    rest = texts.join(dealt, F.col("node") == F.col("name")).select("task", "node", "root", "group", "side", "data").groupBy("task").applyInArrow(_verified, "a long, b long")
+    rest = texts.join(dealt, F.col("node") == F.col("name")).select("task", "node", "root", "group", "side", "data").groupBy("task").applyInArrow(common.lean(_verified), "a long, b long")
     roots = components(direct.unionByName(rest)).select(F.col("node").alias("name"), F.col("root").alias("head"))
     placed = common.checkpointed(own.select("doc_id", "mark", "node").join(roots, F.col("node") == F.col("name"), "left").select("doc_id", "mark", F.coalesce("head", "node").alias("head")))
     common.forget(own, edges, named, texts, direct, grouped)

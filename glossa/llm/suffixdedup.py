@@ -585,18 +585,18 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, rest: list[str], finis
         *(F.col(c).alias(f"__c{k}") for k, c in enumerate(rest)),
     )
     chunks = frame.mapInArrow(_chunked, "chunk int, data binary").repartition(n, "chunk").groupBy("chunk")
-    keys = chunks.applyInArrow(_keys(buckets), "bucket int, chunk int, data binary").repartition(buckets, "bucket")
-    marks = keys.groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary").repartition(n, "chunk")
-    strings = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(_strings(buckets, 2 * buckets), "shard int, chunk int, data binary").repartition(2 * buckets, "shard")
-    routed = strings.groupBy("shard").applyInArrow(_shard(buckets), "route int, chunk int, data binary").repartition(buckets, "route")
-    spans = routed.groupBy("route").applyInArrow(_merge, "chunk int, data binary").repartition(n, "chunk")
+    keys = chunks.applyInArrow(common.lean(_keys(buckets)), "bucket int, chunk int, data binary").repartition(buckets, "bucket")
+    marks = keys.groupBy("bucket").applyInArrow(common.lean(_repeated), "chunk int, bucket int, data binary").repartition(n, "chunk")
+    strings = chunks.cogroup(marks.groupBy("chunk")).applyInArrow(common.lean(_strings(buckets, 2 * buckets)), "shard int, chunk int, data binary").repartition(2 * buckets, "shard")
+    routed = strings.groupBy("shard").applyInArrow(common.lean(_shard(buckets)), "route int, chunk int, data binary").repartition(buckets, "route")
+    spans = routed.groupBy("route").applyInArrow(common.lean(_merge), "chunk int, data binary").repartition(n, "chunk")
 
     def end(key, left, right):
         table = _rows(left)
         own = Chunk(table)
         return finish(table, own, removed(own.texts, right))
 
-    return chunks.cogroup(spans.groupBy("chunk")).applyInArrow(end, schema)
+    return chunks.cogroup(spans.groupBy("chunk")).applyInArrow(common.lean(end), schema)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
