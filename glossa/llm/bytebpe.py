@@ -1,14 +1,17 @@
 """Byte-level BPE over a corpus by a global shuffle of distinct words.
 
-A task cuts its documents into blocks of about BLOCK_TOKENS pre-tokens and writes, per block, the sequence of pre-tokens
-as positions into the block's own list of distinct words, and that list, dealt to word shards by hash. Equal words of all
-blocks meet in one shard, where each is encoded once (a shard remembers at most HELD words at a time); the ids go back to
-the blocks and replace the words by position. Frequent words cost one entry per block, never one per occurrence, so no
-shard is hot. Decoding looks every id up in the token-byte table (of fixed size), once for each distinct word of a block.
+A task cuts its documents into blocks of about BLOCK_TOKENS words (with the space before them; or runs of white space) and
+writes, per block, the sequence of words as positions into the block's own list of distinct words, and that list, dealt to
+word shards by hash. Equal words of all blocks meet in one shard, where each is cut into pre-tokens and encoded once (a shard
+remembers at most HELD words at a time); the ids go back to the blocks and replace the words by position. Frequent words cost
+one entry per block, never one per occurrence, so no shard is hot. Decoding looks every id up in the token-byte table (of
+fixed size), once for each distinct word of a block.
 
 Blocks are cut twice from the same scan, once for the words and once for the sequences, which costs less than storing
 both; an input that comes out of a shuffle, whose rows have no order, is written first. Either side carries a hash of the
-block's words, so a table that changed in between is refused.
+block's words, so a table that changed in between is refused. A text is split at the spaces before words, and the expression
+looks only at the distinct pieces of a block. Words of more than LONG characters (scripts without spaces, encoded data) rarely
+repeat, so their pre-tokens stand for them.
 
 Defined results: a null or empty text has no ids, and its hashes are those of no bytes; repeated rows each give a row; an
 empty table gives no rows.
@@ -18,8 +21,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import zlib
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -32,26 +37,28 @@ from pyspark.sql import functions as F
 
 from glossa.llm import common
 
-BLOCK_TOKENS, HELD = 2_000_000, 600_000
+BLOCK_TOKENS, HELD, LONG = 2_000_000, 600_000, 32
 
 # The white space of the tokenizers' pattern language.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words with their space, and runs of white space, cut where every byte-level pattern cuts too.
 _COARSE = regex.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_WHITE, _BEFORE_WORD = re.compile(f"[{_SPACE}]"), re.compile(f" (?=[^{_SPACE}])")
 
 _TOOLS: dict[str, tuple] = {}
 
 
 def tools(name: str) -> tuple:
-    """(encode one pre-token to ids, bytes of each id, pre-token pattern) of a rank file, kept while the worker lives."""
+    """(ids of one of `Block`'s words, bytes of each id, pre-token pattern) of a rank file, kept while the worker lives."""
     if name not in _TOOLS:
         import public_tokenizers
         import tiktoken
 
         with open(common.tokenizer_path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        whole = tiktoken.Encoding(name, pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        _TOOLS[name] = whole.encode_ordinary, {k: b for b, k in ranks.items()}, regex.compile(public_tokenizers.PATTERN)
+        cut, whole = (tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (public_tokenizers.PATTERN, r"[\s\S]+"))
+        # A run of white space is one pre-token; the pattern's look-ahead overflows the library's stack on long runs.
+        _TOOLS[name] = lambda word: whole(word) if word.isspace() else cut(word), {k: b for b, k in ranks.items()}, regex.compile(public_tokenizers.PATTERN)
     return _TOOLS[name]
 
 
@@ -82,37 +89,55 @@ def _unpack_words(data: bytes) -> list[bytes]:
 
 
 class Block:
-    """Documents of a task, their pre-tokens as numbers of the block's distinct words."""
+    """Documents of a task, their words as numbers of the block's distinct words."""
 
     def __init__(self, pattern, only_words: bool):
-        self.pattern, self.only_words, self.coarse, self.words = pattern, only_words, {}, {}
+        self.pattern, self.only_words = pattern, only_words
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, bytes] = {}
         self.docs: list[int | None] = []
         self.sequences: list[bytes] = []
         self.size = 0
 
-    def _cut(self, chunk: str) -> bytes:
-        words = self.words
-        got = b"".join([words.setdefault(w, len(words)).to_bytes(4, "little") for w in self.pattern.findall(chunk)])
-        self.coarse[chunk] = got
-        return got
+    def _cut(self, text: str) -> list[str]:
+        words = _COARSE.findall(text)
+        if max(map(len, words), default=0) > LONG:
+            return [t for w in words for t in (self.pattern.findall(w) if len(w) > LONG and not w.isspace() else (w,))]
+        return words
+
+    def _learn(self, pieces: list[str]) -> bool:
+        """Numbers the words of new pieces, each with the space before it; a text's first piece, which has none before it, is
+        marked by one. False, and nothing done, if a piece begins with white space, so that words cannot be told by piece."""
+        cut, known = [], self.words
+        for p in pieces:
+            at = _WHITE.search(p)
+            if not p or at and p[0] != " " and not at.start():
+                return False
+            plain = at is None and len(p) < LONG
+            cut.append(None if plain else self._cut(p[1:] if p[0] == " " else " " + p))
+        for p, words in zip(pieces, cut, strict=True):
+            if words is None:
+                self.pieces[p] = known.setdefault(" " + p, len(known)).to_bytes(4, "little")
+            else:
+                self.pieces[p] = b"".join([known.setdefault(w, len(known)).to_bytes(4, "little") for w in words])
+        return True
 
     def add(self, doc_id: int | None, text: str | None) -> None:
-        chunks = _COARSE.findall(text) if text else []
-        self.size += len(chunks)
-        if self.only_words:
-            for c in dict.fromkeys(chunks):
-                if c not in self.coarse:
-                    self.coarse[c] = b""
-                    for w in self.pattern.findall(c):
-                        self.words.setdefault(w, len(self.words))
-            return
-        got = list(map(self.coarse.get, chunks))
-        if None in got:
-            for k, x in enumerate(got):
-                if x is None:
-                    got[k] = self.coarse.get(chunks[k]) or self._cut(chunks[k])
-        self.docs.append(doc_id)
-        self.sequences.append(b"".join(got))
+        held, sequence = self.pieces, b""
+        if text:
+            pieces = text.split(" ")
+            pieces[0] = " " + pieces[0]
+            self.size += max(len(pieces), len(text) // 8)
+            new = set(pieces).difference(held)
+            if new and not self._learn(sorted(new)):
+                pieces = _BEFORE_WORD.split(text)
+                pieces[0] = " " + pieces[0]
+                self._learn(sorted(set(pieces).difference(held)))
+            if not self.only_words:
+                sequence = b"".join([held[p] for p in pieces])
+        if not self.only_words:
+            self.docs.append(doc_id)
+            self.sequences.append(sequence)
 
     def rows(self, block: int, shards: int):
         """(block, shard, data): the distinct words of each shard, or else the sequences under shard -1."""
@@ -189,7 +214,7 @@ def encode_words(words: DataFrame, name: str, shards: int) -> DataFrame:
                             ids = known[w] = tuple(encode(w.decode("utf-8", "surrogatepass")))
                         got.append(ids)
                     a = _squeeze(np.fromiter(map(len, got), np.uint32, len(got)))
-                    b = _squeeze(np.array([i for ids in got for i in ids], np.uint32))
+                    b = _squeeze(np.fromiter(chain.from_iterable(got), np.uint32))
                     yield block, shard, data[:8] + struct.pack("<I", len(a)) + a + b
 
         yield from _parts(rows())
@@ -210,20 +235,31 @@ def _sequence(data: bytes):
     return [i if k else None for i, k in zip(ids, known, strict=True)], sizes, flat, where
 
 
-def _word_ids(where: np.ndarray, shards: dict[int, bytes]) -> list[np.ndarray]:
-    """Ids of each word of a block, put back into the block's order."""
-    out: list = [None] * len(where)
-    for shard, data in shards.items():
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of runs of these starts and sizes, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _word_ids(where: np.ndarray, shards: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of each word, as a number; all of them) of a block's words, put back into the block's order."""
+    parts = []
+    for _, data in sorted(shards.items()):
         a = struct.unpack("<I", data[:4])[0]
-        sizes, ids = _expand(data[4 : 4 + a]), _expand(data[4 + a :]).tolist()
-        ends = np.cumsum(sizes).tolist()
-        for k, i, j in zip(np.flatnonzero(where == shard).tolist(), [0, *ends], ends):
-            out[k] = ids[i:j]
-    return out
+        parts.append((_expand(data[4 : 4 + a]), _expand(data[4 + a :])))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+    count = np.empty(len(where), np.int64)
+    order = np.argsort(where, kind="stable")
+    count[order] = sizes
+    out = np.empty(len(ids), np.uint32)
+    out[_gather((np.cumsum(count) - count)[order], sizes.astype(np.int64))] = ids
+    return count, out
 
 
 def assemble(sequences: DataFrame, ids: DataFrame, name: str, each, schema: str) -> DataFrame:
-    """Joins a block's sequences with its words' ids. each(doc_ids, sizes, flat, word_ids, bytes_of) gives a record batch."""
+    """Joins a block's sequences with its words' ids. each(doc_ids, sizes, flat, count, ids, bytes_of) gives a record
+    batch, with the number of ids of each word and all of them."""
 
     def run(key, left, right):
         table = tools(name)[1]
@@ -233,16 +269,24 @@ def assemble(sequences: DataFrame, ids: DataFrame, name: str, each, schema: str)
         if len(rows) != 1 or any(d[:8] != mark for d in shards.values()):
             raise RuntimeError("the input changed between the two scans of a block")
         doc_ids, sizes, flat, where = _sequence(rows[0][8:])
-        return pa.Table.from_batches([each(doc_ids, sizes, flat, _word_ids(where, {s: d[8:] for s, d in shards.items()}), table)])
+        return pa.Table.from_batches([each(doc_ids, sizes, flat, *_word_ids(where, {s: d[8:] for s, d in shards.items()}), table)])
 
     return sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, schema)
 
 
-def _digests(doc_ids, sizes, flat, word_ids, table):
-    said = [",".join(map(str, ids)).encode() for ids in word_ids]
-    spoken = [b"".join([table[i] for i in ids]) for ids in word_ids]
-    count = np.fromiter(map(len, word_ids), np.int64, len(word_ids))
-    total = np.concatenate(([0], np.cumsum(count[flat] if len(flat) else [])))
+def _joined(parts: list, count: np.ndarray, between) -> list[bytes]:
+    """The parts of each word, joined."""
+    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + len(between))))
+    ends = ends[np.concatenate(([0], np.cumsum(count)))].tolist()
+    whole = between.join(parts)
+    whole = whole.encode() if isinstance(whole, str) else whole
+    return [whole[i : j - len(between)] for i, j in zip(ends, ends[1:])]
+
+
+def _digests(doc_ids, sizes, flat, count, ids, table):
+    ids = ids.tolist()
+    said, spoken = _joined(list(map(str, ids)), count, ","), _joined(list(map(table.__getitem__, ids)), count, b"")
+    total = np.concatenate(([0], np.cumsum(count[flat])))
     ends = np.cumsum(sizes)
     rows = []
     for doc_id, n, end in zip(doc_ids, sizes.tolist(), ends.tolist(), strict=True):
@@ -257,10 +301,11 @@ def _digests(doc_ids, sizes, flat, word_ids, table):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _lists(doc_ids, sizes, flat, word_ids, table):
-    ends = np.cumsum(sizes).tolist()
-    ids = [[i for k in flat[e - n : e].tolist() for i in word_ids[k]] for n, e in zip(sizes.tolist(), ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+def _lists(doc_ids, sizes, flat, count, ids, table):
+    total = np.concatenate(([0], np.cumsum(count[flat])))
+    offsets = total[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))]
+    values = ids[_gather((np.cumsum(count) - count)[flat], count[flat])]
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
 
 def _encoded(docs: DataFrame, name: str, each, schema: str, id_col: str, text_col: str) -> DataFrame:

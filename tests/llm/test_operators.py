@@ -452,6 +452,59 @@ def test_byte_bpe(docs, rows, empty, monkeypatch):
     assert Counter((r.doc_id, bytes(r.data)) for r in back) == Counter((i, utf8(t)) for i, t in rows)
 
 
+def test_byte_bpe_cuts_and_matches_distinct_words_only(monkeypatch):
+    """Cutting every text by expressions, and matching the pattern in every block, cost more than the encoding. Texts whose
+    pieces are known reach no expression; punctuation stays with its word until words of all blocks have met."""
+    looked, pattern = [], bytebpe.tools("byte_bpe_multi_50k.tiktoken")[2]
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def findall(self, x):
+            looked.append(x)
+            return self.inner.findall(x)
+
+        def search(self, x):
+            looked.append(x)
+            return self.inner.search(x)
+
+    for name in [k for k, v in vars(bytebpe).items() if hasattr(v, "findall")]:
+        monkeypatch.setattr(bytebpe, name, Spy(getattr(bytebpe, name)))
+    block = bytebpe.Block(Spy(pattern), only_words=False)
+    for k in range(50):
+        block.add(k, "Well, it's here.\nNow, it's" + " here, now" * 20)
+    assert sum(map(len, looked)) < 200
+    assert sorted(block.words) == ["\n", " here,", " here.", " it's", " now", "Now,", "Well,"]
+    assert {len(s) for s in block.sequences} == {4 * 46}
+
+
+def test_byte_bpe_words_beside_white_space():
+    """Words found by piece are those that the expression finds in the text, in both scans, and encode as the text does."""
+    import public_tokenizers
+    import tiktoken
+
+    encode, spoken, pattern = bytebpe.tools("byte_bpe_multi_50k.tiktoken")
+    tool = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: k for k, b in spoken.items()}, special_tokens={})
+    rng = random.Random(8)
+    signs = [" ", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u200b", "a", "B", "é", "中", "1", "²", "'s", "'", ",", "!?", "\x00"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(4000)]
+    texts += ["".join(rng.choices(signs[8:], k=rng.randint(20, 90))) + rng.choice(signs) + "".join(rng.choices(signs[-12:], k=rng.randint(20, 90))) for _ in range(500)] + ["", None, " ", "  ", "a ", " a", "\n a", "a \nb"]
+    full, words = (bytebpe.Block(pattern, only_words=x) for x in (False, True))
+    for k, t in enumerate(texts):
+        full.add(k, t)
+        words.add(k, t)
+    assert list(full.words.items()) == list(words.words.items()) and full.size == words.size
+    names = list(full.words)
+    for t, s in zip(texts, full.sequences, strict=True):
+        got = [names[k] for k in np.frombuffer(s, "<u4")]
+        coarse = bytebpe._COARSE.findall(t or "")
+        assert "".join(got) == "".join(coarse) and (got == coarse or max(map(len, coarse)) > bytebpe.LONG)
+        assert all(len(w) <= bytebpe.LONG or w.isspace() or pattern.findall(w) == [w] for w in got)
+        assert [i for w in got for i in encode(w)] == tool.encode_ordinary(t or "")
+    assert b"".join(map(spoken.get, encode(" " * 3_000_000))) == b" " * 3_000_000
+
+
 # 6 and 9: near duplicates
 
 
